@@ -1,0 +1,6 @@
+"""Every registered query of the engine, with DuckDB SQL for the same result."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
