@@ -40,7 +40,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    other = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(other)
 
 
 def sha_hex(data: bytes) -> str:
