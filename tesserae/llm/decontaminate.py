@@ -55,7 +55,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, most_
     key = [docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), F.size(words_of(docs["text"])).cast("long").alias("n_words")]
     out = docs.select(*key)
     if parts:
-        places = reduce(DataFrame.union, parts).where("begin >= 0 AND begin + size <= size(w)").select("doc_id", "h", "begin", "size", F.expr("array_join(slice(w, begin + 1, size), ' ')").alias("gram"))
+        places = reduce(DataFrame.union, parts).where("begin >= 0 AND begin + size <= size(w)").select("doc_id", "h", "begin", "size", F.expr("array_join(slice(w, greatest(begin, 0) + 1, size), ' ')").alias("gram"))
         hits = places.join(small(grams.select("gram", "size", "items")), ["gram", "size"])
         hits = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("begin", (F.col("begin") + F.col("size")).alias("to")))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         merged = "aggregate(found, cast(array() as array<struct<begin:int,to:int>>), (l, x) -> if(size(l) > 0 AND element_at(l, -1).to >= x.begin, concat(slice(l, 1, size(l) - 1), array(named_struct('begin', element_at(l, -1).begin, 'to', greatest(element_at(l, -1).to, x.to)))), concat(l, array(x))))"
