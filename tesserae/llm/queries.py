@@ -41,6 +41,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(turns.union(more), keep_text=False)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -59,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op5_chat_format, op8_near_dedup, op9_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op5_chat_format, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
 
 #: DuckDB SQL for the same results, where SQL can express them.
 ORACLES = {
