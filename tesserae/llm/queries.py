@@ -16,6 +16,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import near_lines
+
+    return near_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import held_out, score_toxicity, train
 
@@ -65,10 +71,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op5_chat_format, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_decontaminate, op5_chat_format, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
 
 #: DuckDB SQL for the same results, where SQL can express them.
 ORACLES = {
+    "op1_line_dedup": r"""
+        WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line_no, w[i] AS line FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)) WHERE trim(w[i], ' ') <> ''),
+        t AS (SELECT line, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
+        links AS (SELECT x.line AS a, y.line AS b FROM t x JOIN t y ON y.n BETWEEN x.n AND x.n + 2 AND x.line <> y.line AND (x.n < y.n OR x.line < y.line) WHERE levenshtein(x.line, y.line) <= 2),
+        sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, r) AS (SELECT a, a FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.r),
+        c AS (SELECT a, min(r) AS class FROM reach GROUP BY a),
+        g AS (SELECT a, count(*) AS n_links FROM sym GROUP BY a),
+        p AS (SELECT doc_id, line_no, coalesce(n_links, 0) AS n_links, coalesce(class, line) AS class FROM l LEFT JOIN c ON c.a = line LEFT JOIN g ON g.a = line),
+        f AS (SELECT class, min(row(doc_id, line_no)) AS f FROM p GROUP BY class)
+        SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, n_links, f[1] AS class_doc_id, CAST(f[2] AS INTEGER) AS class_line_no, f = row(doc_id, line_no) AS kept FROM p JOIN f USING (class)""",
     "op8_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
