@@ -30,6 +30,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -71,10 +77,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_decontaminate, op5_chat_format, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_vector_dedup, op4_decontaminate, op5_chat_format, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
 
 #: DuckDB SQL for the same results, where SQL can express them.
 ORACLES = {
+    "op3_vector_dedup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.93),
+        sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(id, r) AS (SELECT a, a FROM sym UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.r),
+        c AS (SELECT id, min(r) AS r FROM reach GROUP BY id), g AS (SELECT a AS id, count(*) AS n FROM sym GROUP BY a)
+        SELECT vec_id, coalesce(g.n, 0) AS n_links, coalesce(c.r, vec_id) AS component_id, coalesce(c.r, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN g ON g.id = vec_id""",
     "op1_line_dedup": r"""
         WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line_no, w[i] AS line FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)) WHERE trim(w[i], ' ') <> ''),
         t AS (SELECT line, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
