@@ -23,7 +23,7 @@ from .components import components
 
 WORDS, THRESHOLD = 5, (75, 100)
 COORDINATES, TREES, ROOT_BRANCHES, DEPTH = 64, 14, 2, 3
-SMALL_NODE, PIVOTS, LEAST_BITS, SALT_ROWS = 24, 4, 42, 512
+SMALL_NODE, PIVOTS, LEAST_BITS, SALT_ROWS, SIDE = 8, 2, 42, 512, 256
 
 _RNG = np.random.default_rng(75)
 _STEP = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -226,6 +226,80 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirm, "a long, b long")
 
 
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, id, root, side, sketch, text) come sorted by tile: spanning links between members of different roots.
+
+    side 0 and 1 are compared with each other, side 2 (a tile of one part) with itself.
+    """
+
+    def work(ids: np.ndarray, root: np.ndarray, side: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        open_pairs = (np.bitwise_count((sketch[:, None] ^ sketch[None, :]).view(np.uint64)) <= COORDINATES - LEAST_BITS) & (root[:, None] != root[None, :])
+        open_pairs &= np.triu(np.ones_like(open_pairs), 1) if side[0] == 2 else (side[:, None] == 0) & (side[None, :] == 1)
+        if not open_pairs.any():
+            return []
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(ids)), size)
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(ids), len(ids)), np.float32)
+        for c in range(0, len(values), 4096):
+            a, b = np.searchsorted(column, (c, c + 4096))
+            block = np.zeros((len(ids), min(4096, len(values) - c)), np.float32)
+            block[owner[a:b], column[a:b] - c] = 1
+            shared += block @ block.T
+        linked = open_pairs & (THRESHOLD[1] * shared >= THRESHOLD[0] * (size[:, None] + size[None, :] - shared))
+        joined = {r: r for r in root.tolist()}
+
+        def find(r: int) -> int:
+            while joined[r] != r:
+                joined[r] = r = joined[joined[r]]
+            return r
+
+        out = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+            p, q = find(int(root[i])), find(int(root[j]))
+            if p != q:
+                joined[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+        return out
+
+    now, held = None, []
+    for batch in batches:
+        tile, ids, root, side, sketch = (np.asarray(batch.column(k)) for k in range(5))
+        data, offsets = text_buffers(batch.column(5))
+        found: list[tuple[int, int]] = []
+        for i, j in chunks(offsets):
+            shingles, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for d in range(i, j):
+                if tile[d] != now:
+                    if len(held) > 1:
+                        found += work(*(np.array(c) for c in list(zip(*held, strict=True))[:4]), [h[4] for h in held])
+                    now, held = tile[d], []
+                held.append((ids[d], root[d], side[d], sketch[d], shingles[bounds[d - i] : bounds[d - i + 1]].copy()))
+        yield _links(found)
+    if len(held) > 1:
+        yield _links(work(*(np.array(c) for c in list(zip(*held, strict=True))[:4]), [h[4] for h in held]))
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def resolve(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the different roots in each node of placed (node, id, sketch, root), compared in tiles."""
+    least = placed.groupBy("node").agg(F.min("id").alias("a"))
+    groups = components(placed.join(least, "node").select("a", F.col("id").alias("b")))
+    members = placed.select("id", "sketch", "root").distinct().join(groups, "id").withColumnRenamed("component", "group")
+    parts = members.groupBy("group").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    members = stored(members.join(parts, "group").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) AS int)")), "unresolved")
+    rows = members.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    rows = rows.select(F.xxhash64("group", low, high).alias("tile"), "id", "root", side.alias("side"), "sketch", "text")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept.
 
@@ -242,17 +316,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.where(F.col("doc_id").isNotNull())
     links = stored(confirm(found.where("kind = 0").select("a", "b").distinct(), texts), "links")
     large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("id"), "sketch")
-    more = None
     if not large.isEmpty():
         roots = components(links)
         placed = large.join(roots, "id", "left").select("node", "id", "sketch", F.coalesce("component", "id").alias("root"))
         mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("node")
-        placed = stored(placed.join(mixed, "node", "left_semi"), "unresolved")
-        x, y = placed.alias("x"), placed.alias("y")
-        pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.root") < F.col("y.root")) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= COORDINATES - LEAST_BITS))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        more = confirm(pairs, texts)
-        links = stored(links.union(more), "links")
+        placed = stored(placed.join(mixed, "node", "left_semi"), "mixed-nodes")
+        if not placed.isEmpty():
+            links = stored(links.union(resolve(placed, texts)), "links")
     roots = components(links)
     own = classes.join(roots, "id", "left").select("n_shingles", "p", "q", F.coalesce("component", "id").alias("component_id"))
     shared = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
