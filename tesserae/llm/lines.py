@@ -44,28 +44,28 @@ def probe_keys(text: Column, length: Column, edits: int) -> Column:
     return F.array(*out)
 
 
-def _shared_ends(a: str, b: str) -> tuple[str, str]:
-    """SQL for the length of the common prefix of two lines, and of the common suffix of what is left, by halving steps."""
-    powers = f"transform(reverse(sequence(0, cast(log2(greatest(least(length({a}), length({b})), 1)) AS int))), k -> shiftleft(1, k))"
-    prefix = f"aggregate({powers}, 0, (p, s) -> IF(p + s <= least(length({a}), length({b})) AND substring({a}, p + 1, s) = substring({b}, p + 1, s), p + s, p))"
-    suffix = f"aggregate({powers}, 0, (p, s) -> IF(p + s <= least(length({a}), length({b})) - pre AND substring({a}, length({a}) - p - s + 1, s) = substring({b}, length({b}) - p - s + 1, s), p + s, p))"
-    return prefix, suffix
+def _let(bindings: dict[str, str], body: str) -> str:
+    """SQL for body with v.NAME standing for each bound expression, which is evaluated once."""
+    fields = ", ".join(f"'{name}', {value}" for name, value in bindings.items())
+    return f"element_at(transform(array(named_struct({fields})), v -> {body}), 1)"
 
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """The rows whose lines x and y are at most so many edits apart.
+def within(x: str, y: str, edits: int) -> str:
+    """SQL for whether at most so many edits turn the line in column x into the one in column y.
 
-    Common ends are cut off first. Then bit d of r[e] says: after the characters of x read so far, the prefix of y that
-    is d - edits characters longer is reached with e edits. A character keeps the diagonals where y has the same one
-    next; an edit keeps all, moves one down (deletion) or one up (insertion, from the new vector). Only the
-    2 * edits + 1 diagonals that can matter are held.
+    Common ends are cut off first, by halving steps. Then bit d of r[e] says: after the characters of x read so far, the
+    prefix of y that is d - edits characters longer is reached with e edits. A character keeps the diagonals where y
+    has the same one next; an edit keeps all, moves one down (deletion) or one up (insertion, from the new vector).
+    Only the 2 * edits + 1 diagonals that can matter are held.
     """
-    prefix, suffix = _shared_ends("x", "y")
-    rows = pairs.withColumn("pre", F.expr(prefix)).withColumn("post", F.expr(suffix))
-    for name in ("x", "y"):
-        rows = rows.withColumn(f"c{name}", F.expr(f"split(substring({name}, pre + 1, length({name}) - pre - post), '')")).withColumn(f"n{name}", F.expr(f"length({name}) - pre - post"))
+    shorter = f"least(length({x}), length({y}))"
+    steps = f"transform(reverse(sequence(0, cast(log2(greatest({shorter}, 1)) AS int))), k -> shiftleft(1, k))"
+    prefix = f"aggregate({steps}, 0, (p, s) -> IF(p + s <= {shorter} AND substring({x}, p + 1, s) = substring({y}, p + 1, s), p + s, p))"
+    suffix = f"aggregate({steps}, 0, (p, s) -> IF(p + s <= {shorter} - v.pre AND substring({x}, length({x}) - p - s + 1, s) = substring({y}, length({y}) - p - s + 1, s), p + s, p))"
+    middle = {f"c{n}": f"split(substring({c}, v.pre + 1, length({c}) - v.pre - v.post), '')" for n, c in (("x", x), ("y", y))}
+    middle |= {f"n{n}": f"length({c}) - v.pre - v.post" for n, c in (("x", x), ("y", y))}
     wide = 2 * edits + 1
-    same = " | ".join(f"IF(get(cy, i + {d - edits}) <=> get(cx, i) AND i + {d - edits} < ny, {1 << d}, 0)" for d in range(wide))
+    same = " | ".join(f"IF(get(v.cy, i + {d - edits}) = get(v.cx, i), {1 << d}, 0)" for d in range(wide))
     vectors, new = [], "0"
     for e in range(edits + 1):
         old = f"r.r{e - 1}"
@@ -73,9 +73,9 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
         vectors.append(f"'r{e}', {new}")
     step = f"element_at(transform(array({same}), m -> named_struct({', '.join(vectors)})), 1)"
     begin = "named_struct(" + ", ".join(f"'r{e}', {((1 << (e + 1)) - 1) << edits & (1 << wide) - 1}" for e in range(edits + 1)) + ")"
-    last = f"aggregate(sequence(0, nx - 1), {begin}, (r, i) -> {step}).r{edits}"
-    near = f"IF(nx = 0, ny <= {edits}, IF(abs(nx - ny) > {edits}, false, shiftright({last}, ny - nx + {edits}) & 1 = 1))"
-    return rows.where(F.expr(near)).select(*pairs.columns)
+    last = f"aggregate(sequence(0, v.nx - 1), {begin}, (r, i) -> {step}).r{edits}"
+    near = f"IF(abs(v.nx - v.ny) > {edits}, false, IF(v.nx = 0, true, shiftright({last}, v.ny - v.nx + {edits}) & 1 = 1))"
+    return _let({"pre": prefix}, _let({"pre": "v.pre", "post": suffix}, _let(middle, near)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -84,26 +84,31 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
 
 
-def letter_counts(line: Column) -> Column:
-    """How often eight frequent letters stand in a line, 8 bits each."""
+LETTERS = ("eantirso", "hdulcmgw")
+
+
+def letter_counts(line: Column, letters: str) -> Column:
+    """How often each of eight letters stands in a line, modulo 128, 8 bits each."""
     n = F.length(line)
     packed = F.lit(0).cast("long")
-    for k, c in enumerate("eantirso"):
+    for k, c in enumerate(letters):
         packed = packed.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(127)).cast("long"), 8 * k))
     return packed
 
 
 def counts_fit(a: str, b: str, edits: int) -> Column:
-    """An edit changes two counts by one at most. Counts are modulo 128, differences are taken the shorter way round."""
-    return F.expr(" + ".join(f"least(abs((shiftright({a}, {8 * k}) & 127) - (shiftright({b}, {8 * k}) & 127)), 128 - abs((shiftright({a}, {8 * k}) & 127) - (shiftright({b}, {8 * k}) & 127)))" for k in range(8)) + f" <= {2 * edits}")
+    """An edit changes two counts by one at most. Differences modulo 128 are taken the shorter way round."""
+    parts = [f"abs((shiftright({a}{i}, {8 * k}) & 127) - (shiftright({b}{i}, {8 * k}) & 127))" for i in range(len(LETTERS)) for k in range(8)]
+    return F.expr(" + ".join(f"least({p}, 128 - {p})" for p in parts) + f" <= {2 * edits}")
 
 
 def candidates(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """Pairs a < b of line ids that share a segment and may be near by their letter counts."""
-    distinct = lines_of(docs).where(F.length("line") >= least).select("line", "id").distinct().select("line", "id", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters"))
-    index = distinct.select(F.col("id").alias("b"), F.col("letters").alias("lb"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = distinct.select(F.col("id").alias("a"), F.col("letters").alias("la"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    found = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & counts_fit("la", "lb", edits))
+    counts = [letter_counts(F.col("line"), letters).alias(f"c{i}") for i, letters in enumerate(LETTERS)]
+    distinct = lines_of(docs).where(F.length("line") >= least).select("line", "id", *counts).distinct().withColumn("n", F.length("line"))
+    index = distinct.select(F.col("id").alias("b"), *(F.col(f"c{i}").alias(f"b{i}") for i in range(len(LETTERS))), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    probe = distinct.select(F.col("id").alias("a"), *(F.col(f"c{i}").alias(f"a{i}") for i in range(len(LETTERS))), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    found = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & counts_fit("a", "b", edits))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -115,7 +120,7 @@ def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
         ids = F.broadcast(ids)
     texts = stored(lines_of(docs).select("id", "line").join(ids, "id").distinct(), "line-texts")
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return verified(sides.repartition(F.xxhash64("a", "b")), edits).select("a", "b").distinct()
+    return sides.repartition(F.xxhash64("a", "b")).where(F.expr(within("x", "y", edits))).select("a", "b").distinct()
 
 
 #: A line's place is doc_id * _ROOM + line_no, as a decimal; _LAST stands for a null doc_id.
