@@ -115,9 +115,11 @@ class Rolling:
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
-    def every(self, k: int) -> np.ndarray:
-        """Of each k bytes."""
-        return mix((self.sums[k:] - self.sums[:-k]) * self.inverse[: len(self.sums) - k])
+    def every(self, k: int, finish: bool = True) -> np.ndarray:
+        """Of each k bytes; unfinished ones have good upper bits only."""
+        out = self.sums[k:] - self.sums[:-k]
+        out *= self.inverse[: len(out)]
+        return mix(out) if finish else out
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -20,50 +20,55 @@ from .common import Rolling, chunks, mix, signed, stored, text_buffers
 LENGTH, K = 200, 40
 #: An anchor with more distinct runs has each of its strings dealt by itself.
 MOST_KINDS = 5000
-_BATCH = 1 << 20
+_BATCH = 1 << 19
+_ALL, _ALL_LEVEL = 112, 5
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Where the least of each width successive 32-bit values stands, the leftmost of equals."""
+    """Where the least of each width successive values stands, by their upper 32 bits, the leftmost of equals."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    packed = (values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)
-    blocks = np.full(-(-len(packed) // width) * width, ~np.uint64(0))
-    blocks[: len(packed)] = packed
+    blocks = np.full(-(-len(values) // width) * width, ~np.uint64(0))
+    packed = blocks[: len(values)]
+    np.bitwise_and(values, np.uint64(0xFFFFFFFF00000000), out=packed)
+    packed |= np.arange(len(values), dtype=np.uint64)
     grid = blocks.reshape(-1, width)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).view(np.int64)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of starts with one anchor: document, start in it, number of starts, hash of the anchor, hash of the text."""
-    rolling = Rolling(data)
     if len(data) < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    grams = rolling.every(K)
-    anchor = sliding_argmin((grams >> np.uint64(32)).astype(np.uint32), LENGTH - K + 1)
-    starts = np.arange(len(anchor))
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    valid = starts + LENGTH <= offsets[doc + 1]
-    starts, doc, anchor = starts[valid], doc[valid], anchor[valid]
-    if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(starts)))
-    begin = starts[first]
+    rolling = Rolling(data)
+    grams = rolling.every(K, finish=False)
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xD6E8FEB86659FD93)
+    anchor = sliding_argmin(grams, LENGTH - K + 1)
+    new = np.zeros(len(anchor) + 1, bool)
+    new[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1 : len(anchor)])
+    new[np.minimum(offsets, len(anchor))] = True  # a run ends with its document
+    last = np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])  # where a document's starts end
+    new[np.minimum(last, len(anchor))] = True
+    first = np.flatnonzero(new[:-1])
+    count = np.diff(np.append(first, len(anchor)))
+    doc = np.searchsorted(offsets, first, "right") - 1
+    valid = first < last[doc]
+    first, count, doc = first[valid], count[valid], doc[valid]
     gram = grams[anchor[first]]
-    text = mix(rolling.spans(begin, begin + count - 1 + LENGTH) ^ mix(gram))
-    return doc[first], begin - offsets[doc[first]], count, signed(gram), signed(text)
+    text = mix(rolling.spans(first, first + count - 1 + LENGTH) ^ mix(gram))
+    return doc, first - offsets[doc], count, signed(gram), signed(text)
 
 
-def suffix_array(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
-    """Ranks of all suffixes by their first 7, 14, 28 ... bytes, as far as texts reach; a suffix ends with its text.
+def suffix_array(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
+    """Ranks of suffixes by their first 7, 14, 28 ... bytes, as far as texts reach; a suffix ends with its text.
 
-    Returns the last ranks (equal only for suffixes that are equal to their ends), all levels, and bytes left at each place.
+    Beyond _ALL bytes only the suffixes at starts get finer ranks. Returns the last ranks (equal at starts only for
+    suffixes that are equal to their ends), all levels, and bytes left at each place.
     """
     n = len(data)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
@@ -78,13 +83,17 @@ def suffix_array(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, lis
     tied = _rank(key[order], order, rank, np.zeros(1, np.int64))
     levels = [(7, rank.astype(np.int32))]
     width, longest = 7, int(left.max()) if n else 0
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
     while width < longest and len(tied):
-        after = np.where(left[tied] > width, rank[np.minimum(tied + width, n - 1)] + 1, 0)
+        if width == _ALL:
+            tied = tied[wanted[tied]]
+        after = np.where(left[tied] > width, levels[min(len(levels), _ALL_LEVEL) - 1][1][np.minimum(tied + width, n - 1)].astype(np.int64) + 1, 0)
         key = rank[tied] << 32 | after
         by = np.argsort(key)
         order = tied[by]
         tied = _rank(key[by], order, rank, None)
-        width *= 2
+        width += min(width, _ALL)
         levels.append((width, rank.astype(np.int32)))
     return rank, levels, left
 
@@ -114,8 +123,8 @@ def common_prefixes(a: np.ndarray, b: np.ndarray, data: np.ndarray, levels: list
     most = np.minimum(left[a], left[b])
     out = np.zeros(len(a), np.int64)
     for width, rank in reversed(levels):
-        for _ in range(2 if width == levels[-1][0] else 1):
-            more = out < most
+        for _ in range(3 if width == _ALL else 1):
+            more = (out < most) & ((width <= _ALL) | (out == 0))
             i, j = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
             out = np.where(more & (rank[i] == rank[j]), np.minimum(out + width, most), out)
     for _ in range(7):
@@ -147,7 +156,7 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, l
 
     An interval counts if its occurrences are preceded by different bytes, or one begins its text.
     """
-    rank, levels, left = suffix_array(data, offsets)
+    rank, levels, left = suffix_array(data, offsets, starts)
     starts = starts[np.argsort(rank[starts], kind="stable")]
     shared = np.zeros(len(starts), np.int64)
     shared[1:] = common_prefixes(starts[:-1], starts[1:], data, levels, left)
