@@ -231,9 +231,13 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("body").mapInArrow(run, "gram long, text long, n long")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for batch in batches for i in range(0, len(batch), rows))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the runs of each document (wanted: start, n_starts, gram, text, split); split ones string by string."""
-    for batch in batches:
+    for batch in _parts(batches):
         data, offsets = text_buffers(batch.column(0))
         shard, text, at, count, body = [], [], [], [], []
         for d, wanted in enumerate(batch.column(1).to_pylist()):
@@ -297,7 +301,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         sizes, removed, spans, kept = [], [], [], []
         for body, places in zip(batch.column(1), batch.column(2), strict=True):
             data = np.frombuffer((body.as_py() or "").encode(), np.uint8)
