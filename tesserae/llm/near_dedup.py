@@ -332,3 +332,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joint = components(out.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
         out = out.join(joint, out["component_id"] == joint["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, all columns kept, without the documents that near_duplicates doesn't keep."""
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

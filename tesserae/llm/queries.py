@@ -53,6 +53,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(turns.union(more), keep_text=False)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import remove_repeats
 
@@ -77,7 +83,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_vector_dedup, op4_decontaminate, op5_chat_format, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_vector_dedup, op4_decontaminate, op5_chat_format, op6_html_text, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
 
 #: DuckDB SQL for the same results, where SQL can express them.
 ORACLES = {

@@ -161,3 +161,17 @@ def score_toxicity(docs: DataFrame, model: Model, at_least: float = 0.5) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(np.bincount(b.doc, minlength=j - i).astype(np.int64)), pa.array(hot, place)], names=["doc_id", "score", "predicted", "n_sentences", "offending"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns kept, whose score is below 0.5. Null and empty texts stay."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(at))
+            for i, j in chunks(offsets):
+                score, _ = model.doc_scores(bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), j - i)
+                yield batch.slice(i, j - i).filter(pa.array(score < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
