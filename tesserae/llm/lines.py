@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-EDITS, LEAST_CHARS, BROADCAST_IDS = 2, 20, 1_000_000
+EDITS, LEAST_CHARS, BROADCAST_IDS, HOT = 2, 20, 1_000_000, 8
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -84,11 +84,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
 
 
-LETTERS = ("eantirso", "hdulcmgw")
+#: Characters whose counts are compared within hot segments, eight to a column; an even share of them to a group.
+COUNTED = ("etaoinsr", "hdlcumfg", "wypbvkjx", "qz ,.éüó")
 
 
 def letter_counts(line: Column, letters: str) -> Column:
-    """How often each of eight letters stands in a line, modulo 128, 8 bits each."""
+    """How often each of eight characters stands in a line, modulo 128, 8 bits each."""
     n = F.length(line)
     packed = F.lit(0).cast("long")
     for k, c in enumerate(letters):
@@ -96,29 +97,62 @@ def letter_counts(line: Column, letters: str) -> Column:
     return packed
 
 
-def counts_fit(a: str, b: str, edits: int) -> Column:
+def _count(side: str, j: int) -> str:
+    return f"(shiftright({side}{j // 8}, {j % 8 * 8}) & 127)"
+
+
+def counts_fit(edits: int) -> Column:
     """An edit changes two counts by one at most. Differences modulo 128 are taken the shorter way round."""
-    parts = [f"abs((shiftright({a}{i}, {8 * k}) & 127) - (shiftright({b}{i}, {8 * k}) & 127))" for i in range(len(LETTERS)) for k in range(8)]
+    parts = [f"abs({_count('x', j)} - {_count('y', j)})" for j in range(8 * len(COUNTED))]
     return F.expr(" + ".join(f"least({p}, 128 - {p})" for p in parts) + f" <= {2 * edits}")
 
 
+def count_groups(side: str, edits: int) -> Column:
+    """Hashes of the counts of 2 * edits + 1 groups of characters: lines within so many edits agree in one at least."""
+    n = 2 * edits + 1
+    return F.array(*(F.expr(f"xxhash64({g}, " + ", ".join(_count(side, j) for j in range(g, 8 * len(COUNTED), n)) + ")") for g in range(n)))
+
+
 def candidates(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs a < b of line ids that share a segment and may be near by their letter counts."""
-    counts = [letter_counts(F.col("line"), letters).alias(f"c{i}") for i, letters in enumerate(LETTERS)]
-    distinct = lines_of(docs).where(F.length("line") >= least).select("line", "id", *counts).distinct().withColumn("n", F.length("line"))
-    index = distinct.select(F.col("id").alias("b"), *(F.col(f"c{i}").alias(f"b{i}") for i in range(len(LETTERS))), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = distinct.select(F.col("id").alias("a"), *(F.col(f"c{i}").alias(f"a{i}") for i in range(len(LETTERS))), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    found = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & counts_fit("a", "b", edits))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs a < b of line ids that share a segment.
+
+    A key that HOT or more indexed lines share would give pairs with the square of their number. Its lines also have
+    to agree in the character counts of one of several groups, and to differ little in all counts, which no line within
+    the edits fails.
+    """
+    distinct = lines_of(docs).where(F.length("line") >= least).select("line", "id").distinct().withColumn("n", F.length("line"))
+    index = distinct.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key")).repartition("key")
+    probe = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).repartition("key")
+    hot = index.groupBy("key").agg(F.count("*").alias("m"), F.min("b").alias("lo"), F.max("b").alias("hi")).where(f"m >= {HOT} AND lo <> hi").select("key")
+    pairs = probe.join(index.join(hot, "key", "left_anti").hint("shuffle_hash"), "key").where("a <> b").select(F.lit(0).alias("kind"), "a", "b")
+    members = probe.join(hot, "key", "left_semi").select(F.lit(1).alias("kind"), "a", F.col("key").alias("b")).union(index.join(hot, "key", "left_semi").select(F.lit(2).alias("kind"), F.col("b").alias("a"), F.col("key").alias("b")))
+    found = stored(pairs.union(members), "line-keys")
+    pairs = found.where("kind = 0").select("a", "b")
+    members = found.where("kind > 0")
+    if not members.isEmpty():
+        texts = texts_of(docs, members.select(F.col("a").alias("id")).distinct())
+        counts = stored(texts.select("id", *(letter_counts(F.col("line"), letters).alias(str(i)) for i, letters in enumerate(COUNTED))), "line-counts")
+        sides = []
+        for kind, side, name in ((1, "x", "a"), (2, "y", "b")):
+            own = counts.select(F.col("id").alias(name), *(F.col(str(i)).alias(f"{side}{i}") for i in range(len(COUNTED))))
+            rows = members.where(F.col("kind") == kind).select(F.col("a").alias(name), F.col("b").alias("key")).join(own, name)
+            sides.append(rows.withColumn("group", F.explode(count_groups(side, edits))))
+        near = sides[0].join(sides[1], ["key", "group"]).where((F.col("a") != F.col("b")) & counts_fit(edits))
+        pairs = pairs.union(near.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and line of the lines with these ids; few ids are broadcast to the scan, more are joined by a shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return lines_of(docs).select("id", "line").join(ids, "id").distinct()
 
 
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """Pairs a < b of ids of different lines, both of at least so many characters, within so many edits."""
     pairs = stored(candidates(docs, edits, least), "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = stored(lines_of(docs).select("id", "line").join(ids, "id").distinct(), "line-texts")
+    texts = stored(texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), "line-texts")
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return sides.repartition(F.xxhash64("a", "b")).where(F.expr(within("x", "y", edits))).select("a", "b").distinct()
 
