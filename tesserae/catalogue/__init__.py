@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import pixels
+
+QUERIES: dict = {**pixels.QUERIES}
+ORACLES: dict = {**pixels.ORACLES}
