@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pixels
+from . import graphs, pixels, scores
 
-QUERIES: dict = {**pixels.QUERIES}
-ORACLES: dict = {**pixels.ORACLES}
+QUERIES: dict = {**pixels.QUERIES, **scores.QUERIES, **graphs.QUERIES}
+ORACLES: dict = {**pixels.ORACLES, **scores.ORACLES, **graphs.ORACLES}
