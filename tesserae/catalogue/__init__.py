@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, pixels, scores
+from . import graphs, pixels, plans, scores
 
-QUERIES: dict = {**pixels.QUERIES, **scores.QUERIES, **graphs.QUERIES}
-ORACLES: dict = {**pixels.ORACLES, **scores.ORACLES, **graphs.ORACLES}
+QUERIES: dict = {**pixels.QUERIES, **scores.QUERIES, **graphs.QUERIES, **plans.QUERIES}
+ORACLES: dict = {**pixels.ORACLES, **scores.ORACLES, **graphs.ORACLES, **plans.ORACLES}
