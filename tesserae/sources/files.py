@@ -277,7 +277,7 @@ def read_scenes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 faces = next(iter(decode_ply(r.content).get("face", {"": []}).values()))
-                yield pd.DataFrame({"scene": r.scene, "f": np.arange(len(faces), dtype=np.int32), "verts": faces})
+                yield pd.DataFrame({"scene": r.scene, "f": np.arange(len(faces), dtype=np.int32), "verts": pd.Series(faces, dtype=object)})
 
     return files.mapInPandas(points, "scene string, v int, px double, py double, pz double, f0 double, f1 double, f2 double"), files.select("scene", "content").mapInPandas(polygons, "scene string, f int, verts array<int>")
 
