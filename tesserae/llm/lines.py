@@ -19,9 +19,9 @@ EDITS, LEAST_CHARS, BROADCAST_IDS, HOT = 2, 20, 1_000_000, 8
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0) of a line of that length; the longer segments come last."""
-    base, longer = F.floor(length / (edits + 1)), length % (edits + 1)
+    base, longer = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
     first_longer = edits + 1 - longer
-    return (base * i + F.greatest(F.lit(0), F.lit(i) - first_longer) + 1).cast("int"), (base + F.when(F.lit(i) >= first_longer, 1).otherwise(0)).cast("int")
+    return base * i + F.greatest(F.lit(0), F.lit(i) - first_longer) + 1, base + F.when(F.lit(i) >= first_longer, 1).otherwise(0)
 
 
 def index_keys(text: Column, length: Column, edits: int) -> Column:
@@ -33,13 +33,18 @@ def index_keys(text: Column, length: Column, edits: int) -> Column:
 
 
 def probe_keys(text: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings to look up, for indexed lines of the same length or up to so many characters shorter."""
+    """Keys of the substrings to look up, for indexed lines of the same length or up to so many characters shorter.
+
+    Two lines of one length look each other up. With two edits, a segment that only an insertion and a deletion around
+    it leave whole stands one place later in one of the two lines, so places before the segment's own are left out.
+    """
     out = []
     for less in range(edits + 1):
         other = length - less
         for i in range(edits + 1):
             start, size = segment(other, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+            lowest = 0 if not less and edits <= 2 else max(-i, less - (edits - i))
+            for shift in range(lowest, min(i, less + (edits - i)) + 1):
                 out.append(F.xxhash64(other, F.lit(i), text.substr(start + shift, size)))
     return F.array(*out)
 
@@ -113,33 +118,35 @@ def count_groups(side: str, edits: int) -> Column:
     return F.array(*(F.expr(f"xxhash64({g}, " + ", ".join(_count(side, j) for j in range(g, 8 * len(COUNTED), n)) + ")") for g in range(n)))
 
 
-def candidates(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs a < b of line ids that share a segment.
+def shared_segments(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """kind 0: lines a and b share a segment. kind 1 and 2: line a probes, or is indexed by, the hot key b.
 
-    A key that HOT or more indexed lines share would give pairs with the square of their number. Its lines also have
-    to agree in the character counts of one of several groups, and to differ little in all counts, which no line within
-    the edits fails.
+    A hot key is shared by HOT or more indexed lines, whose pairs would grow with the square of their number. It stands
+    as one row among the indexed lines, so that all rows meet in one join.
     """
     distinct = lines_of(docs).where(F.length("line") >= least).select("line", "id").distinct().withColumn("n", F.length("line"))
     index = distinct.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key")).repartition("key")
-    probe = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).repartition("key")
+    probe = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     hot = index.groupBy("key").agg(F.count("*").alias("m"), F.min("b").alias("lo"), F.max("b").alias("hi")).where(f"m >= {HOT} AND lo <> hi").select("key")
-    pairs = probe.join(index.join(hot, "key", "left_anti").hint("shuffle_hash"), "key").where("a <> b").select(F.lit(0).alias("kind"), "a", "b")
-    members = probe.join(hot, "key", "left_semi").select(F.lit(1).alias("kind"), "a", F.col("key").alias("b")).union(index.join(hot, "key", "left_semi").select(F.lit(2).alias("kind"), F.col("b").alias("a"), F.col("key").alias("b")))
-    found = stored(pairs.union(members), "line-keys")
-    pairs = found.where("kind = 0").select("a", "b")
-    members = found.where("kind > 0")
-    if not members.isEmpty():
-        texts = texts_of(docs, members.select(F.col("a").alias("id")).distinct())
-        counts = stored(texts.select("id", *(letter_counts(F.col("line"), letters).alias(str(i)) for i, letters in enumerate(COUNTED))), "line-counts")
-        sides = []
-        for kind, side, name in ((1, "x", "a"), (2, "y", "b")):
-            own = counts.select(F.col("id").alias(name), *(F.col(str(i)).alias(f"{side}{i}") for i in range(len(COUNTED))))
-            rows = members.where(F.col("kind") == kind).select(F.col("a").alias(name), F.col("b").alias("key")).join(own, name)
-            sides.append(rows.withColumn("group", F.explode(count_groups(side, edits))))
-        near = sides[0].join(sides[1], ["key", "group"]).where((F.col("a") != F.col("b")) & counts_fit(edits))
-        pairs = pairs.union(near.select("a", "b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    held = index.join(hot, "key", "left_anti").select("key", "b").union(hot.select("key", F.lit(None).cast("long").alias("b")))
+    met = probe.join(held.hint("shuffle_hash"), "key").where("b IS NULL OR a <> b").select(F.when(F.col("b").isNull(), 1).otherwise(0).alias("kind"), "a", F.coalesce("b", "key").alias("b"))
+    return met.union(index.join(hot, "key", "left_semi").select(F.lit(2).alias("kind"), F.col("b").alias("a"), F.col("key").alias("b")))
+
+
+def hot_pairs(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of the lines of each hot key that may be near.
+
+    They have to agree in the character counts of one of several groups and to differ little in all counts, which no
+    lines within the edits fail.
+    """
+    ids = members.select(F.col("a").alias("id")).distinct()
+    counts = stored(texts.join(ids, "id", "left_semi").select("id", *(letter_counts(F.col("line"), letters).alias(str(i)) for i, letters in enumerate(COUNTED))), "line-counts")
+    sides = []
+    for kind, side, name in ((1, "x", "a"), (2, "y", "b")):
+        own = counts.select(F.col("id").alias(name), *(F.col(str(i)).alias(f"{side}{i}") for i in range(len(COUNTED))))
+        rows = members.where(F.col("kind") == kind).select(F.col("a").alias(name), F.col("b").alias("key")).join(own, name)
+        sides.append(rows.withColumn("group", F.explode(count_groups(side, edits))))
+    return sides[0].join(sides[1], ["key", "group"]).where((F.col("a") != F.col("b")) & counts_fit(edits)).select("a", "b")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,8 +158,13 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """Pairs a < b of ids of different lines, both of at least so many characters, within so many edits."""
-    pairs = stored(candidates(docs, edits, least), "line-pairs")
-    texts = stored(texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), "line-texts")
+    found = stored(shared_segments(docs, edits, least), "line-keys")
+    ids = found.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("a"))).alias("id")).distinct()
+    texts = stored(texts_of(docs, ids), "line-texts")
+    pairs, members = found.where("kind = 0").select("a", "b"), found.where("kind > 0")
+    if not members.isEmpty():
+        pairs = pairs.union(hot_pairs(members, texts, edits))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return sides.repartition(F.xxhash64("a", "b")).where(F.expr(within("x", "y", edits))).select("a", "b").distinct()
 
