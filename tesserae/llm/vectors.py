@@ -43,26 +43,28 @@ def unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rotation:
-    """Mean, principal axes and learned rotation; encode() gives signed 64-bit codes."""
+    """Principal axes and a learned rotation; encode() gives signed 64-bit codes.
+
+    Vectors aren't centred: links are angles at the origin, and a group that holds most of the sample would else sit
+    on all the planes that cut the codes.
+    """
 
     def __init__(self, sample: np.ndarray, rounds: int = 30, seed: int = 0):
         width = sample.shape[1]
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(width)
-        centred = sample - self.mean
-        _, axes = np.linalg.eigh(centred.T @ centred / max(1, len(sample)) + 1e-12 * np.eye(width))
+        _, axes = np.linalg.eigh(sample.T @ sample / max(1, len(sample)) + 1e-12 * np.eye(width))
         axes = axes[:, ::-1][:, :64]
         rng = np.random.default_rng(seed)
         if axes.shape[1] < 64:  # fewer components than bits: the rest of the bits are random directions
             axes = np.hstack([axes, rng.normal(size=(width, 64 - axes.shape[1]))])
         turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
-        flat = centred @ axes
+        flat = sample @ axes
         for _ in range(rounds if len(sample) else 0):
             u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
             turn = (u @ v).T
         self.turn = axes @ turn
 
     def encode(self, unit: np.ndarray) -> np.ndarray:
-        bits = (unit - self.mean) @ self.turn > 0
+        bits = unit @ self.turn > 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
