@@ -73,8 +73,9 @@ def dual_edges(spark, d):
 
 @register(f"WITH {FACE}, c AS (SELECT f, unnest([a, b, c]) AS v FROM face) SELECT f, round(avg(v % 17), 6) AS px, round(avg(v % 31), 6) AS f0 FROM c GROUP BY f")
 def dual_vertices(spark, d):
-    v = spark.range(300).select(F.col("id").cast("int").alias("v"), (F.col("id") % 17).cast("double").alias("px"), (F.col("id") % 31).cast("double").alias("f0"))
-    return rnd(graph.dual_vertices(faces(spark, d), v, ("px", "f0")), 6, "px", "f0")
+    f = faces(spark, d)
+    v = f.select(F.explode(F.array("a", "b", "c")).alias("v")).distinct().select("v", (F.col("v") % 17).cast("double").alias("px"), (F.col("v") % 31).cast("double").alias("f0"))
+    return rnd(graph.dual_vertices(f, v, ("px", "f0")), 6, "px", "f0")
 
 
 @register(f"WITH {VADJ} SELECT a.u AS v, bool_or(p.spix <> q.spix) AS is_border FROM adj a JOIN vertex p ON p.v = a.u JOIN vertex q ON q.v = a.v GROUP BY a.u")

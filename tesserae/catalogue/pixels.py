@@ -131,10 +131,10 @@ def flow_mean_per_region(spark, d):
     return motion.mean_flow(flows(spark, d))
 
 
-@register(f"WITH {FLOW} SELECT t, y, x, k AS factor, fx * k AS fx, fy * k AS fy FROM flow, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) v(k) WHERE t = 0")
+@register(f"WITH {FLOW} SELECT t, y, x, k AS factor, fx * k AS fx, fy * k AS fy FROM flow, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) v(k)")
 def flow_scaled(spark, d):
     factors = F.explode(F.array(*(F.lit(k) for k in (0.0, 0.25, 0.5, 1.0)))).alias("factor")
-    return flows(spark, d).where("t = 0").select("t", "y", "x", "fx", "fy", factors).select("t", "y", "x", "factor", (F.col("fx") * F.col("factor")).alias("fx"), (F.col("fy") * F.col("factor")).alias("fy"))
+    return flows(spark, d).select("t", "y", "x", "fx", "fy", factors).select("t", "y", "x", "factor", (F.col("fx") * F.col("factor")).alias("fx"), (F.col("fy") * F.col("factor")).alias("fy"))
 
 
 def _shift_sql(order: str) -> str:

@@ -77,14 +77,14 @@ def fill_missing_full(spark, d):
     return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("now") < 0).alias("n_missing"), F.count_if(F.col("now") == F.col("spix")).alias("n_kept"))
 
 
-@register(f"""WITH RECURSIVE {PX}, l AS (SELECT t, y, x, CAST(c1 % 9 AS INTEGER) AS spix FROM px WHERE t < 2), e AS (SELECT a.t, a.y * 50 + a.x AS p, b.y * 50 + b.x AS q FROM l a JOIN l b ON a.t = b.t AND a.spix = b.spix AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+@register(f"""WITH RECURSIVE {PX}, l AS (SELECT t, y, x, CAST(c1 % 9 AS INTEGER) AS spix FROM px), e AS (SELECT a.t, a.y * 50 + a.x AS p, b.y * 50 + b.x AS q FROM l a JOIN l b ON a.t = b.t AND a.spix = b.spix AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
     r(t, p, q) AS (SELECT t, p, q FROM e UNION SELECT r.t, r.p, e.q FROM r JOIN e ON e.t = r.t AND e.p = r.q) SELECT t, CAST(p // 50 AS INTEGER) AS y, CAST(p % 50 AS INTEGER) AS x, CAST(min(q) AS INTEGER) AS spix FROM r GROUP BY t, p""")
 def components_8(spark, d):
-    seg = pixels(spark, d).where("t < 2").select("t", "y", "x", F.expr("cast(c1 % 9 AS int)").alias("spix"))
+    seg = pixels(spark, d).select("t", "y", "x", F.expr("cast(c1 % 9 AS int)").alias("spix"))
     return drivers.components_8(seg).select("t", "y", "x", "spix")
 
 
-@register(f"WITH {SEG} SELECT t, y, x, CAST(y % 5 + x % 5 AS INTEGER) AS steps FROM seg WHERE t < 3")
+@register(f"WITH {SEG} SELECT t, y, x, CAST(y % 5 + x % 5 AS INTEGER) AS steps FROM seg")
 def geodesic_bfs(spark, d):
     import numpy as np
 
@@ -95,7 +95,7 @@ def geodesic_bfs(spark, d):
         y, x = np.mgrid[: labels.shape[0], : labels.shape[1]]
         return distances(labels, np.stack([y[(y % 5 == 0) & (x % 5 == 0)], x[(y % 5 == 0) & (x % 5 == 0)]], 1))
 
-    return drivers._each(segments(spark, d).where("t < 3"), work).select("t", "y", "x", F.col("spix").alias("steps"))
+    return drivers._each(segments(spark, d), work).select("t", "y", "x", F.col("spix").alias("steps"))
 
 
 @register(f"WITH {EDGE} SELECT CAST(count(DISTINCT v) AS BIGINT) AS n_vertices, 0::BIGINT AS n_conflicts, 0::BIGINT AS n_uncoloured FROM (SELECT u AS v FROM edge UNION SELECT v FROM edge)")
@@ -116,17 +116,24 @@ def flood_fill(spark, d):
     return out.agg(F.count("*").alias("n"), F.countDistinct("v").alias("n_distinct_vertices")).crossJoin(split)
 
 
-@register(f"""WITH RECURSIVE {EDGE}, adj AS (SELECT u AS p, v AS q FROM edge WHERE u < 60 AND v < 60 UNION SELECT v, u FROM edge WHERE u < 60 AND v < 60), r(p, q) AS (SELECT p, p FROM adj UNION SELECT r.p, adj.q FROM r JOIN adj ON adj.p = r.q)
-    SELECT p AS id, min(q) AS component FROM r GROUP BY p""")
+def _component_sql(steps: int = 10) -> str:
+    """Least labels passed on so many times, more than the graph is wide."""
+    out = f"WITH {EDGE}, adj AS (SELECT u AS p, v AS q FROM edge UNION SELECT v, u FROM edge), l0 AS (SELECT DISTINCT p AS id, p AS component FROM adj)"
+    for k in range(steps):
+        out += f", l{k + 1} AS (SELECT a.p AS id, least(min(x.component), min(y.component)) AS component FROM adj a JOIN l{k} x ON x.id = a.p JOIN l{k} y ON y.id = a.q GROUP BY a.p)"
+    return out + f" SELECT id, component FROM l{steps}"
+
+
+@register(_component_sql())
 def graph_components(spark, d):
-    return loops.components(edges(spark, d).where("u < 60 AND v < 60"))
+    return loops.components(edges(spark, d))
 
 
 @register(f"WITH {FACE} SELECT 0::BIGINT AS n_bad, true AS some")
 def dual_mesh(spark, d):
     """Rings hold each face once, and each of a ring's faces touches the vertex."""
     f = spark.range(24).selectExpr("cast(id AS int) AS f", "cast(id div 6 AS int) * 7 AS a", "cast(id div 6 * 7 + 1 + id % 6 AS int) AS b", "cast(id div 6 * 7 + 1 + (id + 1) % 6 AS int) AS c")
-    f = f.union(faces(spark, d).select((F.col("f") + 1000).alias("f"), *((F.col(c) + 1000).alias(c) for c in "abc")))
+    f = f.union(faces(spark, d).select((F.col("f") + 1000).alias("f"), *((F.col(c) + 1000).alias(c) for c in "abc")))  # four closed fans, then the strip
     rings = mesh.vertex_rings(f)
     return rings.agg(F.count_if(F.size("ring") != F.size(F.array_distinct("ring"))).alias("n_bad"), (F.count("*") >= 4).alias("some"))
 
@@ -178,16 +185,15 @@ def results_report(spark, d):
     return experiments.report(r, ["o_orderpriority", "o_orderstatus"], ["price"]).withColumns({"price": F.round("price", 4), "price_stderr": F.round("price_stderr", 4)})
 
 
-@register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_other, 0::BIGINT AS n_late FROM px WHERE t < 4 GROUP BY t")
+@register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_other, 0::BIGINT AS n_late FROM px GROUP BY t")
 def stream_frames(spark, d):
     """Frames through the stateful stream, file by file: the same labels as the batch driver gives."""
     from ..streaming import frames
 
-    px, fl = unit(pixels(spark, d)).where("t < 4"), flows(spark, d).where("t < 4")
+    px, fl = unit(pixels(spark, d)), flows(spark, d)
     base = loops.fresh_folder(spark, "stream")
-    packed = loops.cut(frames.packed(px, fl))
-    for t in [r["t"] for r in packed.select("t").orderBy("t").collect()]:
-        packed.where(F.col("t") == t).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    packed = frames.packed(px, fl)
+    packed.repartition(1).sortWithinPartitions("t").write.option("maxRecordsPerFile", 4).parquet(f"{base}/in")  # files in the order of t
     source = spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     query = frames.labelled(source, SMALL).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()

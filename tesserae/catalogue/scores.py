@@ -301,10 +301,11 @@ def tpr_tnr(spark, d):
 
 
 def _changing(spark, d):
-    return segments(spark, d).where("(t + y div 5) % 4 <> 0 AND NOT (x % 5 = t % 5 AND y % 5 = 0)")
+    """Regions whose number and sizes change from frame to frame."""
+    return segments(spark, d).withColumn("spix", F.expr("cast((y div 5) * 10 + x div (5 + t % 3) AS int)"))
 
 
-_CHANGE = SEG.replace("AS gt FROM px)", "AS gt FROM px WHERE (t + y // 5) % 4 <> 0 AND NOT (x % 5 = t % 5 AND y % 5 = 0))")
+_CHANGE = SEG.replace("CAST((y // 5) * 10 + x // 5 AS INTEGER)", "CAST((y // 5) * 10 + x // (5 + t % 3) AS INTEGER)")
 
 
 @register(f"WITH {_CHANGE}, c AS (SELECT DISTINCT t, spix FROM seg) SELECT count(*) / (count(DISTINCT t) * (max(spix) + 1)) AS tex FROM c")
@@ -312,9 +313,9 @@ def tex(spark, d):
     return metrics.temporal_extent(_changing(spark, d))
 
 
-@register(f"WITH {_CHANGE}, c AS (SELECT t, spix, count(*) AS n FROM seg WHERE spix % 7 <> t % 3 OR spix > 20 GROUP BY t, spix), v AS (SELECT spix, stddev_samp(n) AS sd FROM c GROUP BY spix HAVING count(*) > 1) SELECT round(avg(sd), 6) AS szv FROM v")
+@register(f"WITH {_CHANGE}, c AS (SELECT t, spix, count(*) AS n FROM seg GROUP BY t, spix), v AS (SELECT spix, stddev_samp(n) AS sd FROM c GROUP BY spix HAVING count(*) > 1) SELECT round(avg(sd), 6) AS szv FROM v")
 def szv(spark, d):
-    return rnd(metrics.size_variation(_changing(spark, d).where("spix % 7 <> t % 3 OR spix > 20")), 6, "szv")
+    return rnd(metrics.size_variation(_changing(spark, d)), 6, "szv")
 
 
 def _ev_sql(part: str, scale: str) -> str:

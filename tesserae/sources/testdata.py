@@ -45,7 +45,8 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles f of a strip that folds back on itself, so that edges have one, two or more faces."""
-    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS int) AS f", "cast(p_partkey % 199 AS int) AS a", "cast(p_partkey % 199 + 1 AS int) AS b", "cast(p_partkey % 199 + 2 + p_partkey % 3 AS int) AS c").where("f < 2000")
+    f = table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS int) AS f", "cast(p_partkey div 4 * 2 AS int) AS a")
+    return f.selectExpr("f", "a", "a + 1 AS b", "a + 2 + f % 4 AS c")
 
 
 #: DuckDB CTEs for the same relations.
@@ -56,4 +57,4 @@ FLOW = SEG + ", flow AS (SELECT t, y, x, spix, CAST(spix % 3 - 1 AS DOUBLE) AS f
 EDGE = "edge AS (SELECT DISTINCT CAST(least(2 * l_partkey, 2 * l_suppkey + 1) AS INTEGER) AS u, CAST(greatest(2 * l_partkey, 2 * l_suppkey + 1) AS INTEGER) AS v FROM lineitem)"
 VERTEX = EDGE + """, vertex AS (SELECT v, CAST(v % 17 AS DOUBLE) AS px, CAST(v % 23 AS DOUBLE) AS py, CAST(v % 29 AS DOUBLE) AS pz, CAST(v % 31 AS DOUBLE) AS f0, CAST(v % 37 AS DOUBLE) AS f1,
     CAST(v % 41 AS DOUBLE) AS f2, CAST(v % 7 AS INTEGER) AS spix FROM (SELECT u AS v FROM edge UNION SELECT v FROM edge))"""
-FACE = "face AS (SELECT CAST(p_partkey AS INTEGER) AS f, CAST(p_partkey % 199 AS INTEGER) AS a, CAST(p_partkey % 199 + 1 AS INTEGER) AS b, CAST(p_partkey % 199 + 2 + p_partkey % 3 AS INTEGER) AS c FROM part WHERE p_partkey < 2000)"
+FACE = "face AS (SELECT f, a, CAST(a + 1 AS INTEGER) AS b, CAST(a + 2 + f % 4 AS INTEGER) AS c FROM (SELECT CAST(p_partkey AS INTEGER) AS f, CAST(p_partkey // 4 * 2 AS INTEGER) AS a FROM part))"
