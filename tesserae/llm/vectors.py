@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,23 +77,26 @@ def learn(vectors: DataFrame, width: int, sample: int = SAMPLE) -> Rotation:
     return Rotation(unit[usable])
 
 
-def encode(vectors: DataFrame, rotation: Rotation, width: int) -> DataFrame:
-    """vec_id, label and code of the rows that can link."""
+def encode(vectors: DataFrame, rotations: dict[int, Rotation]) -> DataFrame:
+    """vec_id, label, width and code of the rows that can link, each width under its own rotation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, usable = unit_rows(batch.column(2), width)
-            keep = pa.array(usable)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(rotation.encode(unit)[usable])], names=["vec_id", "label", "code"])
+            widths = pc.list_value_length(batch.column(2))
+            for width in set(widths.to_pylist()) & rotations.keys():
+                part = batch.filter(pc.equal(widths, width))
+                unit, usable = unit_rows(part.column(2), width)
+                keep = pa.array(usable)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(np.full(int(usable.sum()), width, np.int32)), pa.array(rotations[width].encode(unit)[usable])], names=["vec_id", "label", "width", "code"])
 
     kind = vectors.schema["label"].dataType.simpleString()
     rows = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    return rows.mapInArrow(run, f"vec_id long, label {kind}, code long")
+    return rows.mapInArrow(run, f"vec_id long, label {kind}, width int, code long")
 
 
 def cells(codes: DataFrame) -> DataFrame:
     """cell, tab, side, vec_id, code: every code under its byte paired with itself and with each neighbouring byte."""
-    rows = codes.select("vec_id", "label", "code", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("tab"))
+    rows = codes.select("vec_id", F.struct("label", "width").alias("label"), "code", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("tab"))
     rows = rows.withColumn("own", F.expr("cast(shiftrightunsigned(code, 8 * tab) & 255 AS int)"))
     buckets = rows.groupBy("label", "tab", "own").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     if buckets.count() <= BROADCAST_BUCKETS:
@@ -219,27 +223,29 @@ def near_vectors(vectors: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id (smallest vec_id reachable by links) and kept.
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is LEAST_COSINE or more
-    (among codes within RADIUS bits; tests hold the recall against brute force). Vectors that are null, zero, of another width
-    than the widest, or that hold null or non-finite components link with nothing; so do rows with a null vec_id,
-    whose component is null and which are kept. Rows that share a vec_id are taken as one vector, the one with the
+    (among codes within RADIUS bits; tests hold the recall against brute force). Vectors that are null, empty, zero, or that
+    hold null or non-finite components link with nothing, and vectors of different widths don't link; rows with a null
+    vec_id link with nothing, have a null component and are kept. Rows that share a vec_id are taken as one vector, the one with the
     least label and components, and get its result. An empty table gives none. Other columns are not looked at.
     vec_id must be an integer.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    width = rows.agg(F.max(F.size("embedding"))).first()[0]
     own = rows
     if not rows.where("vec_id IS NOT NULL").groupBy("vec_id").count().where("count > 1").isEmpty():
         own = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
-    if not width or width < 1:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    codes = stored(encode(own, learn(own, width, sample), width), "codes")
+    widths = [r["width"] for r in rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("width")).count().collect()]  # one row a width
+    rotations = {w: learn(own.where(F.size("embedding") == w), w, sample) for w in widths}
+    codes = stored(encode(own, rotations), "codes")
     met = cells(codes).select("cell", "tab", "self", "side", "vec_id", "code").repartition("cell").sortWithinPartitions("cell", "side")
     tiles = stored(met.mapInArrow(_tiles, "tile long, tab int, self boolean, side int, vec_id long, code long"), "tiles")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, _ = unit_rows(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in unit], pa.binary())], names=["vec_id", "unit"])
+            sizes = pc.list_value_length(batch.column(1))
+            for width in set(sizes.to_pylist()):
+                part = batch.filter(pc.equal(sizes, width))
+                unit, _ = unit_rows(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.tobytes() for u in unit], pa.binary())], names=["vec_id", "unit"])
 
     needed = own.join(tiles.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding").mapInArrow(units, "vec_id long, unit binary")
     full = tiles.join(needed, "vec_id").select("tile", "tab", "self", "side", "vec_id", "code", "unit").repartition("tile").sortWithinPartitions("tile")

@@ -200,6 +200,12 @@ def test_vectors_match_brute_force(spark):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_widths_are_kept_apart(spark):
+    rows = [(1, [1.0], 0), (2, [2.0], 0), (3, [1.0, 0.0], 0), (4, [5.0, 0.1], 0), (5, [], 0), (6, [-1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
+
+
 def test_big_buckets_are_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PART", 40)
     rng = np.random.default_rng(2)
