@@ -154,7 +154,7 @@ def encode_batches(merges: Merges, batches: Iterator[pa.RecordBatch]) -> Iterato
         texts = batch.column(1)
         sizes = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t.as_py() or "") for t in texts], out=sizes[1:])
-        for i, j in chunks(sizes):
+        for i, j in chunks(sizes, 1 << 20):
             part = [t or "" for t in texts.slice(i, j - i).to_pylist()]
             ids = [[x for w in words for x in w] for words in encoder.encode(part)]
             decoded = [b"".join(map(merges.pieces.__getitem__, x)).decode("utf-8", "replace") for x in ids]
@@ -188,7 +188,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.column(1)
             sizes = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(t.as_py() or "") for t in texts], out=sizes[1:])
-            for i, j in chunks(sizes):
+            for i, j in chunks(sizes, 1 << 20):
                 split = encoder.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 if len(joined) > encoder.memory:
                     joined, pieces = {}, {}

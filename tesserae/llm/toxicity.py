@@ -69,36 +69,46 @@ class Model:
         return -np.expm1(miss), 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
-def fit(texts: list[str], labels: list[int], min_docs: int = 4, z_least: float = 3.0, l2: float = 0.02, rounds: int = 300) -> Model:
+def fit(texts: list[str], labels: list[int], min_docs: int = 4, z_least: float = 3.0, l2: float = 0.002, rounds: int = 300) -> Model:
     """Weights from document labels: words tied to the label (two-proportion z), then Adam on the noisy-or likelihood."""
     y = np.asarray(labels, np.int64)
-    hashes, sentences, docs, n_sentences = [], [], [], 0
     sizes = np.zeros(len(texts) + 1, np.int64)
     raw = [t.encode("utf-8", "replace") for t in texts]
     np.cumsum(list(map(len, raw)), out=sizes[1:])
-    for i, j in chunks(sizes):
-        b = bags(np.frombuffer(b"".join(raw[i:j]), np.uint8), sizes[i : j + 1] - sizes[i])
-        hashes.append(b.words)
-        sentences.append(b.sentence + n_sentences)
-        docs.append(b.doc + i)
+    parts = list(chunks(sizes))
+
+    def bags_of(i: int, j: int) -> Bags:
+        return bags(np.frombuffer(b"".join(raw[i:j]), np.uint8), sizes[i : j + 1] - sizes[i])
+
+    # how many documents of either label hold a word, part by part
+    found, n_sentences = [], 0
+    for i, j in parts:
+        b = bags_of(i, j)
         n_sentences += len(b.doc)
+        own, at = np.unique(b.words, return_inverse=True)
+        pair = np.unique(at * (j - i) + b.doc[b.sentence])
+        found.append((own, np.bincount(pair // (j - i), minlength=len(own)), np.bincount(pair // (j - i), y[i + pair % (j - i)], len(own))))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     prior = -6.0
     if not n1 or not n0 or not n_sentences:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 3.0 if n1 and not n0 else prior)
-    vocabulary, word = np.unique(np.concatenate(hashes), return_inverse=True)
-    sentence, doc = np.concatenate(sentences), np.concatenate(docs)
-    pair = np.unique(word * len(y) + doc[sentence])
-    df1 = np.bincount(pair // len(y), y[pair % len(y)], len(vocabulary))
-    df = np.bincount(pair // len(y), minlength=len(vocabulary))
+    vocabulary, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    df, df1 = (np.bincount(at, np.concatenate([f[k] for f in found]), len(vocabulary)) for k in (1, 2))
     p = df / len(y)
     z = (df1 / n1 - (df - df1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    keep = np.flatnonzero((df >= min_docs) & (z >= z_least))
-    index = np.full(len(vocabulary), -1)
-    index[keep] = np.arange(len(keep))
-    used = index[word] >= 0
-    pair = np.unique(sentence[used] * max(1, len(keep)) + index[word[used]])
-    row, column = pair // max(1, len(keep)), pair % max(1, len(keep))
+    keep = vocabulary[(df >= min_docs) & (z >= z_least)]
+    # each word once for each sentence
+    rows, columns, docs, before = [], [], [], 0
+    for i, j in parts:
+        b = bags_of(i, j)
+        at = np.minimum(np.searchsorted(keep, b.words), max(0, len(keep) - 1))
+        used = keep[at] == b.words if len(keep) else np.zeros(len(at), bool)
+        pair = np.unique(b.sentence[used] * max(1, len(keep)) + at[used])
+        rows.append(before + pair // max(1, len(keep)))
+        columns.append(pair % max(1, len(keep)))
+        docs.append(b.doc + i)
+        before += len(b.doc)
+    row, column, doc = np.concatenate(rows), np.concatenate(columns), np.concatenate(docs)
     w, grad, first, second = (np.zeros(len(keep) + 1) for _ in range(4))
     w[-1] = prior
     for step in range(1, rounds + 1):
@@ -114,7 +124,7 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 4, z_least: float =
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         w = w + 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    return Model(vocabulary[keep], w[:-1], float(w[-1]))
+    return Model(keep, w[:-1], float(w[-1]))
 
 
 def held_out():
