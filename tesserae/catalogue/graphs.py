@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import graph
 from ..sources.testdata import EDGE, FACE, VERTEX, edges, faces, vertices
 
@@ -161,3 +162,50 @@ def voxel_mean(spark, d):
 @register(f"WITH {VOX}, o AS (SELECT DISTINCT vx, vy, vz FROM vox) SELECT a.vx, a.vy, a.vz, b.vx AS wx, b.vy AS wy, b.vz AS wz FROM o a JOIN o b ON row(b.vx - a.vx, b.vy - a.vy, b.vz - a.vz) > row(0, 0, 0) AND abs(a.vx - b.vx) <= 1 AND abs(a.vy - b.vy) <= 1 AND abs(a.vz - b.vz) <= 1")
 def voxel_neighbors(spark, d):
     return graph.voxel_neighbours(graph.voxel_means(vertices(spark, d), 4.0).select("vx", "vy", "vz"))
+
+
+@register(f"""WITH {VADJ}, n AS (SELECT a.u, count(*) AS n, count(*) FILTER (p.spix <> q.spix) AS k FROM adj a JOIN vertex p ON p.v = a.u JOIN vertex q ON q.v = a.v GROUP BY a.u)
+    SELECT u AS v, k <= greatest(1.0, n * 0.2) OR (n - k = 1 AND n >= 2) AS is_simple FROM n""")
+def count_simple(spark, d):
+    return graph.removable_by_count(edges(spark, d), vertices(spark, d))
+
+
+_OUT = FE + ", ext AS (SELECT f % 5 AS spix, u, v FROM (SELECT *, count(*) OVER (PARTITION BY f % 5, u, v) AS n FROM fe) WHERE n = 1)"
+
+
+def _outline(spark, d):
+    f = faces(spark, d)
+    return graph.exterior_edges(f, f.select("f", (F.col("f") % 5).alias("spix")))
+
+
+@register(f"WITH {_OUT} SELECT spix, u, v FROM ext")
+def exterior_edges(spark, d):
+    return _outline(spark, d)
+
+
+@register(f"WITH {_OUT} SELECT spix, v, count(*) AS n FROM (SELECT spix, u AS v FROM ext UNION ALL SELECT spix, v FROM ext) GROUP BY spix, v")
+def exterior_corners(spark, d):
+    return graph.exterior_corners(_outline(spark, d))
+
+
+_TURN = [0.0, -1.0, 0.0, 5.0, 1.0, 0.0, 0.0, -2.0, 0.0, 0.0, 1.0, 0.5, 0.0, 0.0, 0.0, 1.0]
+
+
+@register(f"WITH {VERTEX} SELECT v, 5.0 - py AS x, px - 2.0 AS y, pz + 0.5 AS z FROM vertex")
+def rigid_transform(spark, d):
+    p = geometry.rigid((F.col("px"), F.col("py"), F.col("pz")), _TURN)
+    return vertices(spark, d).select("v", *(c.alias(n) for n, c in zip("xyz", p, strict=True)))
+
+
+_DOT, _LA, _LB = "(px * 1.0 + py * 2.0 + pz * 3.0)", "sqrt(px * px + py * py + pz * pz)", "sqrt(14.0::DOUBLE)"
+_CR = ("(py * 3.0 - pz * 2.0)", "(pz * 1.0 - px * 3.0)", "(px * 2.0 - py * 1.0)")
+_SC = f"(({_LA} + 1e-6) * ({_LB} + 1e-6))"
+_AT = f"atan2(sqrt({_CR[0]} * {_CR[0]} + {_CR[1]} * {_CR[1]} + {_CR[2]} * {_CR[2]}) / {_SC}, least(greatest({_DOT} / {_SC}, -1.0), 1.0))"
+
+
+@register(f"WITH {VERTEX} SELECT v, round(acos(least(greatest({_DOT} / ({_LA} * {_LB} + 1e-6), -1.0), 1.0)), 6) AS plain, round(CASE WHEN {_CR[2]} < 0 THEN 2 * pi() - {_AT} ELSE {_AT} END, 6) AS signed FROM vertex")
+def vertex_angles(spark, d):
+    zero, to = (F.lit(0.0),) * 3, (F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    p = (F.col("px"), F.col("py"), F.col("pz"))
+    up = (F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return vertices(spark, d).select("v", F.round(geometry.angle(zero, p, to), 6).alias("plain"), F.round(geometry.signed_angle(zero, p, to, up), 6).alias("signed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import algebra, color
+from ..functions import algebra, color, display
 from ..operators import motion, regions, stencil
 from ..sources.testdata import FLOW, HEIGHT, PX, SEG, WIDTH, flows, pixels, segments
 
@@ -216,3 +216,22 @@ def hash_unit(spark, d):
 def index_gather(spark, d):
     at = pixels(spark, d).select("t", "y", "x", (F.col("x") + F.col("y") % 3 - 1).alias("at"))
     return at.join(segments(spark, d).select("t", "y", F.col("x").alias("at"), "spix"), ["t", "y", "at"], "left").select("t", "y", "x", F.coalesce("spix", F.lit(0)).alias("spix"))
+
+
+@register(f"WITH {_HOLES} SELECT t, y, x, CASE WHEN spix IS NULL THEN 255.0::DOUBLE ELSE CAST(spix AS DOUBLE) END AS shade FROM hole")
+def fill_background(spark, d):
+    return holes(spark, d).select("t", "y", "x", display.with_background("spix", F.col("spix").cast("double"), 255.0).alias("shade"))
+
+
+_WHEEL = display.colour_wheel(6)
+
+
+@register(f"WITH {SEG}, pal AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r!r}::DOUBLE, {g!r}::DOUBLE, {b!r}::DOUBLE)' for i, (r, g, b) in enumerate(_WHEEL))}) p(i, r, g, b)) SELECT t, y, x, r, g, b FROM seg JOIN pal ON i = spix % 6")
+def painted_labels(spark, d):
+    return display.painted(segments(spark, d), "spix", _WHEEL).select("t", "y", "x", "r", "g", "b")
+
+
+@register(f"WITH {FLOW}, m AS (SELECT t, spix, avg(x) AS mx, avg(y) AS my, avg(fx) AS fx, avg(fy) AS fy FROM flow GROUP BY t, spix) SELECT t, spix, mx + fx AS mx, my + fy AS my FROM m")
+def shifted_centres(spark, d):
+    seg = segments(spark, d).groupBy("t", "spix").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    return motion.shifted_centres(seg, motion.mean_flow(flows(spark, d)))

@@ -411,3 +411,34 @@ def results_left_join(spark, d):
 def timing_quantiles(spark, d):
     li = table(spark, d, "lineitem").selectExpr("l_linenumber AS bucket", "l_quantity AS v")
     return li.groupBy("bucket").agg(F.round(F.percentile("v", 0.5), 6).alias("median"), F.round(F.stddev_pop("v"), 6).alias("sd"))
+
+
+def _value(name: str) -> str:
+    """The oracle of another query as a scalar."""
+    return f"({ORACLES[name]})"
+
+
+@register(f"""SELECT * FROM {_value('tex')} a, {_value('szv')} b, (SELECT ev FROM {_value('explained_variance')}) c, (SELECT ev AS ev3d FROM {_value('explained_variance_3d')}) e, {_value('ue2d')} f, {_value('ue3d')} g, {_value('sa2d')} h, {_value('sa3d')} i, {_value('nspix_stats')} j,
+    (SELECT round(avg(psnr), 4) AS pooling FROM {_value('pooling_psnr')}) k, (SELECT -1.0::DOUBLE AS ave_delta_nsp, -1.0::DOUBLE AS std_delta_nsp, -1.0::DOUBLE AS strred0, -1.0::DOUBLE AS strred1) l""".replace(_CHANGE, SEG))
+def evaluation(spark, d):
+    out = metrics.evaluate(segments(spark, d), AREA)
+    digits = {"szv": 6, "ev": 6, "ev3d": 6, "ue2d": 9, "ue3d": 9, "sa2d": 6, "sa3d": 6, "ave_nsp": 6, "std_nsp": 6, "pooling": 4}
+    return out.withColumns({k: F.round(k, n) for k, n in digits.items()})
+
+
+@register(f"WITH {_NEW} SELECT DISTINCT t, spix FROM seg WHERE spix >= 60")
+def new_ids(spark, d):
+    return _scattered(spark, d).where("spix >= 60").select("t", "spix").distinct()
+
+
+@register(f"WITH {MOM} SELECT t, spix FROM mom WHERE abs(s0 / n) > 150")
+def range_check(spark, d):
+    return _params(spark, d).where(F.abs("mu0") > 150).select("t", "spix")
+
+
+@register("SELECT o_orderpriority AS grp, printf('%.2f', avg(o_totalprice)) AS price_mean, printf('%.1f', round(count(*) / 10.0, 1)) AS tex FROM orders GROUP BY ALL")
+def format_table(spark, d):
+    from ..functions.display import formatted
+
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.round(F.avg("o_totalprice"), 6).alias("price_mean"), F.round(F.count("*") / 10, 1).alias("tex"))
+    return formatted(o, {"price": 2, "tex": 1})

@@ -112,6 +112,25 @@ def removable(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return lab.select("v").join(pairs.groupBy("c").agg(F.min("joined").alias("all")), F.col("v") == F.col("c"), "left").select("v", (F.coalesce("all", F.lit(1)) == 1).alias("is_simple"))
 
 
+def removable_by_count(edges: DataFrame, vertices: DataFrame, share: float = 0.2) -> DataFrame:
+    """v and is_simple: few neighbours differ (one, or a fifth of all), or the vertex hangs on by one of its neighbours."""
+    lab = vertices.select("v", "spix")
+    near = both_ways(edges).join(lab.select(F.col("v").alias("u"), F.col("spix").alias("own")), "u").join(lab, "v")
+    unlike, n = F.count_if(F.col("own") != F.col("spix")), F.count("*")
+    return near.groupBy("u").agg(((unlike <= F.greatest(F.lit(1.0), n * share)) | ((n - unlike == 1) & (n >= 2))).alias("is_simple")).withColumnRenamed("u", "v")
+
+
+def exterior_edges(faces: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges that one face of a region (f, spix) has alone: the outline of each region."""
+    return face_edges(faces).join(labels, "f").groupBy("spix", "u", "v").agg(F.count("*").alias("n")).where("n = 1").select("spix", "u", "v")
+
+
+def exterior_corners(outline: DataFrame) -> DataFrame:
+    """Vertices of each region's outline and how many of its edges meet there."""
+    ends = outline.select("spix", F.col("u").alias("v")).union(outline.select("spix", "v"))
+    return ends.groupBy("spix", "v").agg(F.count("*").alias("n"))
+
+
 def moments3d(vertices: DataFrame) -> DataFrame:
     axes = ("px", "py", "pz")
     sums = {"n": F.count("*")} | {f"s_{a}": F.sum(a) for a in axes} | {f"s_f{i}": F.sum(f"f{i}") for i in range(3)}

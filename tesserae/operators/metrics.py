@@ -149,3 +149,22 @@ def count_stats(seg: DataFrame, reference: int | None = None) -> DataFrame:
         d = F.pow(F.col("k") - reference, F.lit(2))
         out += [F.avg(d).alias("ave_delta_nsp"), F.stddev_samp(d).alias("std_delta_nsp")]
     return per.agg(*out)
+
+
+def evaluate(seg: DataFrame, area: int, reference: int | None = None) -> DataFrame:
+    """One row with all scores of a segmentation: tex, szv, ev, ev3d, pooling, ue2d, sa2d, ue3d, sa3d, counts.
+
+    Labels are taken from 0 on (their least is subtracted). Differences to a reference count are -1 where there is none,
+    and so are the scores of the external video-quality tool.
+    """
+    least = seg.agg(F.min("spix").alias("least"))
+    seg = seg.crossJoin(F.broadcast(least)).withColumn("spix", F.col("spix") - F.col("least")).drop("least")
+    pooling = pooling_psnr(seg).agg(F.avg("psnr").alias("pooling"))
+    parts = [temporal_extent(seg), size_variation(seg), explained_variation(seg), explained_variation(seg, over_time=True, scale=255.0).withColumnRenamed("ev", "ev3d"), pooling, undersegmentation(seg, area), accuracy(seg), undersegmentation_3d(seg, area), accuracy_3d(seg), count_stats(seg, reference)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # each is one row
+    for name in ("ave_delta_nsp", "std_delta_nsp", "strred0", "strred1"):
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(-1.0))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,32 @@ def vertex_rings(faces: DataFrame) -> DataFrame:
     return corners.groupBy("v").applyInPandas(ring, "v int, ring array<int>")
 
 
+def outlines(outline: DataFrame, points: DataFrame, most: int = 256) -> DataFrame:
+    """spix and path: the vertices of each region's outline from its least one on, at each step the one that goes
+    straightest ahead, to so many vertices at most (the rest of a longer outline is left out)."""
+    ends = outline.join(points.select(F.col("v").alias("u"), *(F.col(a).alias(f"u{a}") for a in ("px", "py", "pz"))), "u").join(points.select("v", *(F.col(a).alias(f"v{a}") for a in ("px", "py", "pz"))), "v")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        place, near = {}, {}
+        for r in part.itertuples():
+            place[r.u], place[r.v] = np.array([r.upx, r.upy, r.upz]), np.array([r.vpx, r.vpy, r.vpz])
+            near.setdefault(r.u, set()).add(r.v)
+            near.setdefault(r.v, set()).add(r.u)
+        path = [min(place)]
+        ahead = np.zeros(3)
+        while len(path) < most:
+            left = [v for v in sorted(near[path[-1]]) if v not in path]
+            if not left:
+                break
+            steps = [place[v] - place[path[-1]] for v in left]
+            k = max(range(len(left)), key=lambda i: (float(steps[i] @ ahead) / (np.linalg.norm(steps[i]) + 1e-6), -i))
+            ahead = steps[k] / (np.linalg.norm(steps[k]) + 1e-6)
+            path.append(left[k])
+        return pd.DataFrame({"spix": [int(part["spix"].iloc[0])], "path": [[int(v) for v in path]]})
+
+    return ends.groupBy("spix").applyInPandas(walk, "spix int, path array<int>")
+
+
 def bass3d(edges: DataFrame, vertices: DataFrame, rounds: int = 2, side: int = 10, sigma2: float = 50.0, potts: float = 0.5) -> DataFrame:
     """v and spix after so many rounds of parameters and, colour by colour, label updates. vertices: v, px-z, f0-2, spix."""
     colours = coloured(edges)

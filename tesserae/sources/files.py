@@ -282,6 +282,41 @@ def read_scenes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return files.mapInPandas(points, "scene string, v int, px double, py double, pz double, f0 double, f1 double, f2 double"), files.select("scene", "content").mapInPandas(polygons, "scene string, f int, verts array<int>")
 
 
+def scene_files(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """scene and content: binary PLY with colours (f0-2 from 0 to 1), gcolor and label where vertices have them.
+
+    vertices: scene, v, px, py, pz, f0-2[, gcolor][, spix]; faces: scene, f, verts. One task a scene.
+    """
+    extra = [(c, k, n) for c, k, n in (("gcolor", "uchar", "gcolor"), ("spix", "uint", "label")) if c in vertices.columns]
+
+    def pack(key: tuple, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("v")
+        rgb = np.clip(v[["f0", "f1", "f2"]].to_numpy(float) * 255, 0, 255).round().astype(int)
+        props = [("x", "float"), ("y", "float"), ("z", "float"), ("red", "uchar"), ("green", "uchar"), ("blue", "uchar"), ("alpha", "uchar"), *((n, k) for _, k, n in extra)]
+        rows = [(*p, *c, 255, *e) for p, c, e in zip(v[["px", "py", "pz"]].to_numpy(float).tolist(), rgb.tolist(), v[[c for c, _, _ in extra]].to_numpy().astype(int).tolist() if extra else [()] * len(v), strict=True)]
+        content = encode_ply({"vertex": (props, rows), "face": ([("vertex_indices", "list")], [(list(x),) for x in f.sort_values("f")["verts"]])})
+        return pd.DataFrame({"scene": [key[0]], "content": [content]})
+
+    return vertices.groupBy("scene").cogroup(faces.groupBy("scene")).applyInPandas(pack, "scene string, content binary")
+
+
+def region_files(regions: DataFrame) -> DataFrame:
+    """scene and content: a PLY of regions with their position, variances, covariances and colour.
+
+    regions: scene, spix, m_px-z, ixx, iyy, izz, ixy, ixz, iyz, m_f0-2.
+    """
+    names = ["x", "y", "z", "var_x", "var_y", "var_z", "cov_xy", "cov_xz", "cov_yz"]
+    columns = ["m_px", "m_py", "m_pz", "ixx", "iyy", "izz", "ixy", "ixz", "iyz"]
+
+    def pack(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("spix")
+        rgb = np.clip(r[["m_f0", "m_f1", "m_f2"]].to_numpy(float) * 255, 0, 255).round().astype(int)
+        props = [*((n, "float") for n in names), ("red", "uchar"), ("green", "uchar"), ("blue", "uchar"), ("alpha", "uchar")]
+        return pd.DataFrame({"scene": [key[0]], "content": [encode_ply({"vertex": (props, [(*p, *c, 255) for p, c in zip(r[columns].to_numpy(float).tolist(), rgb.tolist(), strict=True)])})]})
+
+    return regions.groupBy("scene").applyInPandas(pack, "scene string, content binary")
+
+
 def boxes(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("scene").agg(*(f(c).alias(n + c[1]) for c in ("px", "py", "pz") for f, n in ((F.min, "min_"), (F.max, "max_"))))
 

@@ -89,3 +89,39 @@ def test_trace(spark, tmp_path):
     files.append_trace(a.withColumn("spix", F.lit(1)), str(tmp_path / "log"), "merge", 1)
     changes = files.label_changes(spark.read.parquet(str(tmp_path / "log"))).collect()
     assert [(r.old, r.new, r.n) for r in changes] == [(2, 1, 1)]
+
+
+def test_scene_files(spark, tmp_path):
+    v = spark.createDataFrame([("s", i, float(i), 0.0, 1.0, 1.0, 0.0, 0.5, i % 2, i) for i in range(3)], "scene string, v int, px double, py double, pz double, f0 double, f1 double, f2 double, gcolor int, spix int")
+    f = spark.createDataFrame([("s", 0, [0, 1, 2])], "scene string, f int, verts array<int>")
+    (tmp_path / "s.ply").write_bytes(bytes(files.scene_files(v, f).first().content))
+    points, faces = files.read_scenes(spark, str(tmp_path))
+    assert sorted((r.v, r.px, r.f0) for r in points.collect()) == [(i, float(i), 1.0) for i in range(3)]
+    assert faces.first().verts == [0, 1, 2]
+    assert files.decode_ply((tmp_path / "s.ply").read_bytes())["vertex"]["label"] == [0, 1, 2]
+    r = spark.createDataFrame([("s", 0, *[1.0] * 12)], "scene string, spix int, " + ", ".join(f"{c} double" for c in ("m_px", "m_py", "m_pz", "ixx", "iyy", "izz", "ixy", "ixz", "iyz", "m_f0", "m_f1", "m_f2")))
+    assert files.decode_ply(bytes(files.region_files(r).first().content))["vertex"]["var_x"] == [1.0]
+
+
+def test_datasets(spark, tmp_path):
+    from tesserae.sources import datasets
+
+    (tmp_path / "GroundTruth" / "bird").mkdir(parents=True)
+    (tmp_path / "GroundTruth" / "bird" / "00001.png").write_bytes(files.png(np.zeros((1, 1, 3), np.uint8)))
+    (tmp_path / "ImageSets" / "2017").mkdir(parents=True)
+    (tmp_path / "ImageSets" / "2017" / "val.txt").write_text("bear\ncar\n")
+    assert [r.video for r in datasets.videos(spark, "SegTrackv2", str(tmp_path)).collect()] == ["bird"]
+    assert sorted(r.video for r in datasets.videos(spark, "davis", str(tmp_path)).collect()) == ["bear", "car"]
+    assert datasets.images("davis", "/d", "bear") == "/d/JPEGImages/480p/bear" and datasets.known("segtrackv2")["start"] == 1
+    with pytest.raises(KeyError):
+        datasets.known("other")
+
+
+def test_outlines(spark):
+    from tesserae.plans.mesh import outlines
+
+    square = [(0, 0, 1), (0, 1, 2), (0, 2, 3), (0, 0, 3)]
+    points = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])], "v int, px double, py double, pz double")
+    out = outlines(spark.createDataFrame(square, "spix int, u int, v int"), points).first()
+    assert out.path == [0, 1, 2, 3]
+    assert len(outlines(spark.createDataFrame(square, "spix int, u int, v int"), points, most=2).first().path) == 2
