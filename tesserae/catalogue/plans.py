@@ -42,18 +42,18 @@ _WHOLE = f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing, 0::BIGINT
 
 
 @register(_WHOLE)
-def bass(spark, d):
-    return invariants(loops.cut(drivers.bass(unit(pixels(spark, d)), SMALL)))
+def segment_frames(spark, d):
+    return invariants(loops.cut(drivers.segment_frames(unit(pixels(spark, d)), SMALL)))
 
 
 @register(_WHOLE)
-def bass_batched(spark, d):
-    return invariants(loops.cut(drivers.bass_batched(unit(pixels(spark, d)), SMALL)))
+def segment_frames_batched(spark, d):
+    return invariants(loops.cut(drivers.segment_frames_batched(unit(pixels(spark, d)), SMALL)))
 
 
 @register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing FROM px GROUP BY t")
-def bist(spark, d):
-    return invariants(drivers.bist(unit(pixels(spark, d)), flows(spark, d), SMALL), pieces=False)
+def segment_videos(spark, d):
+    return invariants(drivers.segment_videos(unit(pixels(spark, d)), flows(spark, d), SMALL), pieces=False)
 
 
 @register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing FROM px GROUP BY t")
@@ -139,8 +139,8 @@ def dual_mesh(spark, d):
 
 
 @register(f"WITH {VERTEX} SELECT count(*) AS n, 0::BIGINT AS n_unlabelled FROM vertex")
-def bass3d(spark, d):
-    out = mesh.bass3d(edges(spark, d), vertices(spark, d), rounds=1)
+def segment_mesh(spark, d):
+    out = mesh.segment_mesh(edges(spark, d), vertices(spark, d), rounds=1)
     return out.agg(F.count("*").alias("n"), F.count_if(F.col("spix").isNull()).alias("n_unlabelled"))
 
 
@@ -166,7 +166,7 @@ def grid_picked(spark, d):
     return experiments.with_menu(experiments.grid(spark, {"flow": ["raft", "spynet", "default"]}).select("id", "flow"), menu, "flow")
 
 
-@register("SELECT 'bist' AS suite, 1::BIGINT AS n UNION ALL SELECT * FROM (VALUES ('bass', 1), ('split', 22), ('rsplit', 6), ('relabel', 12), ('overlap', 2), ('bshape', 9), ('cboundary', 4), ('flow', 3)) t(suite, n)")
+@register("SELECT 'video' AS suite, 1::BIGINT AS n UNION ALL SELECT * FROM (VALUES ('image', 1), ('split', 22), ('rsplit', 6), ('relabel', 12), ('overlap', 2), ('bshape', 9), ('cboundary', 4), ('flow', 3)) t(suite, n)")
 def experiment_suites(spark, d):
     from functools import reduce
 
@@ -199,7 +199,7 @@ def stream_frames(spark, d):
     query.awaitTermination()
     done = spark.read.schema("video string, t int, late boolean, height int, width int, labels binary").parquet(f"{base}/out")
     late = done.groupBy("t").agg(F.count_if("late").alias("n_late"))
-    batch = drivers.bist(px, fl, SMALL)
+    batch = drivers.segment_videos(px, fl, SMALL)
     both = frames.unpacked(done).select("t", "y", "x", F.col("spix").alias("a")).join(batch.select("t", "y", "x", "spix"), ["t", "y", "x"])
     return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("spix")).alias("n_other")).join(late, "t")
 

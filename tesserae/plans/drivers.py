@@ -39,23 +39,23 @@ def _each(pixels: DataFrame, work) -> DataFrame:
     return with_video(pixels).groupBy("video", "t").applyInPandas(run, LABELS)
 
 
-def bass(pixels: DataFrame, options: Options | None = None) -> DataFrame:
+def segment_frames(pixels: DataFrame, options: Options | None = None) -> DataFrame:
     """Labels of every frame on its own: one task a frame, nothing shared between frames."""
     o = options or Options()
-    return _each(pixels, lambda f: kernel.bass(raster(f, ["c0", "c1", "c2"]), o)[0])
+    return _each(pixels, lambda f: kernel.segment_image(raster(f, ["c0", "c1", "c2"]), o)[0])
 
 
-def bass_batched(pixels: DataFrame, options: Options | None = None) -> DataFrame:
-    """bass without splits and merges."""
+def segment_frames_batched(pixels: DataFrame, options: Options | None = None) -> DataFrame:
+    """segment_frames without splits and merges."""
     from dataclasses import replace
 
-    return bass(pixels, replace(options or Options(), use_sm=False))
+    return segment_frames(pixels, replace(options or Options(), use_sm=False))
 
 
 def controlled_count(pixels: DataFrame, target: int, options: Options | None = None) -> DataFrame:
     from dataclasses import replace
 
-    return bass(pixels, replace(options or Options(), target_nspix=target, most_rounds=200))
+    return segment_frames(pixels, replace(options or Options(), target_nspix=target, most_rounds=200))
 
 
 def merge_only(seg: DataFrame, options: Options | None = None, rounds: int = 8) -> DataFrame:
@@ -83,7 +83,7 @@ def components_8(seg: DataFrame) -> DataFrame:
     return _each(seg, lambda f: kernel.pieces(raster(f.fillna({"spix": -1}), ["spix"])[..., 0].astype(int)))
 
 
-def bist(pixels: DataFrame, flows: DataFrame | None = None, options: Options | None = None) -> DataFrame:
+def segment_videos(pixels: DataFrame, flows: DataFrame | None = None, options: Options | None = None) -> DataFrame:
     """Labels with stable ids through each video. flows: fx, fy of the motion from frame t to t + 1.
 
     A task reads the frames of its videos in order as a stream and holds one frame and the video's state, however

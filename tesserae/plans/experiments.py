@@ -99,8 +99,8 @@ def report(results: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
 _LOG = {x: math.log(x) for x in (0.1, 0.5, 2.0, 10.0)}
 #: The option values of the named suites; a suite is one grid or several, and how many rows it leaves out.
 SUITES: dict[str, tuple[list[dict[str, list]], int]] = {
-    "bist": ([{"video_mode": [True]}], 0),
-    "bass": ([{"video_mode": [False]}], 0),
+    "video": ([{"video_mode": [True]}], 0),
+    "image": ([{"video_mode": [False]}], 0),
     "split": ([{"gamma": [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0], "alpha": [_LOG[0.5], 0.0, _LOG[2.0]], "group": ["split_g5"]}], 11),
     "rsplit": ([{"gamma": [0.0], "alpha": [-10.0, -20.0, -50.0], "group": ["rsplit_g0"]}, {"gamma": [4.0], "alpha": [_LOG[10.0]], "group": ["rsplit_g1"]}, {"gamma": [4.0], "alpha": [_LOG[0.1]], "group": ["rsplit_g2"]}, {"gamma": [8.0], "alpha": [_LOG[0.5]], "group": ["rsplit_g3"]}], 0),
     "relabel": ([{"epsilon_new": [1e-1, 5e-2, 1e-2, 1e-3], "epsilon_reid": [1e-6, 1e-5, 1e-4], "group": ["relabel"]}], 0),

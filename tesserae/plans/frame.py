@@ -287,7 +287,7 @@ def controlled(o: Options, live: int, step: int, last: int) -> tuple[Options, in
     return replace(base, split_alpha=base.split_alpha - sign, merge_alpha=base.merge_alpha + sign), sign
 
 
-def bass(image: np.ndarray, o: Options) -> tuple[np.ndarray, Params]:
+def segment_image(image: np.ndarray, o: Options) -> tuple[np.ndarray, Params]:
     """Regions of a single image: parameters, splits and merges by turns, border moves."""
     h, w = image.shape[:2]
     side = max(5, round(math.sqrt(h * w / o.target_nspix))) if o.target_nspix else o.sp_size
@@ -437,7 +437,7 @@ def revive(labels: np.ndarray, p: Params, state: State, o: Options) -> tuple[np.
 
 
 def first_frame(image: np.ndarray, o: Options) -> State:
-    labels, p = bass(image, o)
+    labels, p = segment_image(image, o)
     return State(labels, p.n, p.mu, p.centre)
 
 

@@ -102,7 +102,7 @@ def outlines(outline: DataFrame, points: DataFrame, most: int = 256) -> DataFram
     return ends.groupBy("spix").applyInPandas(walk, "spix int, path array<int>")
 
 
-def bass3d(edges: DataFrame, vertices: DataFrame, rounds: int = 2, side: int = 10, sigma2: float = 50.0, potts: float = 0.5) -> DataFrame:
+def segment_mesh(edges: DataFrame, vertices: DataFrame, rounds: int = 2, side: int = 10, sigma2: float = 50.0, potts: float = 0.5) -> DataFrame:
     """v and spix after so many rounds of parameters and, colour by colour, label updates. vertices: v, px-z, f0-2, spix."""
     colours = coloured(edges)
     vertices = cut(vertices.join(colours, "v", "left").fillna(0, ["colour"]))

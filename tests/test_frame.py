@@ -88,7 +88,7 @@ def test_dead_ids_are_revived_and_changed_ones_renamed():
 def test_controller_reaches_its_target():
     rng = np.random.default_rng(0)
     image = rng.random((40, 50, 3)) * 0.05 + two_colours(40, 50, 25) * 0.5
-    labels, _ = k.bass(image, Options(sp_size=8, niters=6, target_nspix=30, most_rounds=300))
+    labels, _ = k.segment_image(image, Options(sp_size=8, niters=6, target_nspix=30, most_rounds=300))
     assert 20 <= len(np.unique(labels)) <= 45
 
 
