@@ -191,7 +191,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     place = F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(20,0)") * room + F.col("line_no").cast("decimal(12,0)")
     rows = lines_of(docs).select("doc_id", "line_no", "id", place.cast("decimal(38,0)").alias("place"))
     rows = rows.join(known, "id", "left").select("doc_id", "line_no", "place", F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.join(rows.groupBy("class").agg(F.min("place").alias("first")), "class")
+    # stored, so that both sides of the join are plain exchanges, which adaptive execution can split for a hot class
+    out = rows.join(stored(rows.groupBy("class").agg(F.min("place").alias("first")), "line-firsts"), "class")
     owner = F.floor(F.col("first") / room)
     number = (F.col("first") - owner * room).cast("int")
     return out.select("doc_id", "line_no", "n_links", F.when(owner < _LAST, owner.cast("long")).alias("class_doc_id"), number.alias("class_line_no"), (F.col("place") == F.col("first")).alias("kept"))
