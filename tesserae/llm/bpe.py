@@ -9,7 +9,7 @@ merge that made the symbol, so merging all places of a pair at once equals mergi
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +115,25 @@ class Merges:
         return out
 
 
+class _Known(dict):
+    """Values by word; words that have none yet are noted in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.fresh.append(word)
+
+
 class Encoder:
-    """Encodes whole texts; remembers the ids of words it has met, at most ``memory`` of them."""
+    """Encodes whole texts; remembers what it has made of the words it has met, at most about ``memory`` of them.
 
-    def __init__(self, merges: Merges, memory: int = 200_000):
-        self.merges, self.memory, self.known = merges, memory, {}
+    value: what is made of a word's ids, and given back for each of its places.
+    """
+
+    def __init__(self, merges: Merges, value: Callable[[list[int]], object] = tuple, memory: int = 200_000):
+        self.merges, self.value, self.memory, self.known = merges, value, memory, _Known()
         self.find = regex.compile(PATTERN).findall
         names = sorted(merges.added, key=len, reverse=True)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
@@ -133,18 +147,25 @@ class Encoder:
             out += [part] if k % 2 else self.find(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """The ids of each word of each text, in order."""
-        split = [self._words(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[list]:
+        """The values of the words of each text, in order."""
         if len(self.known) > self.memory:
-            self.known = {}
-        known, added = self.known, self.merges.added
-        fresh = list({w for words in split for w in words if w not in known})
+            self.known = _Known()
+        known, added, out, waiting = self.known, self.merges.added, [], []
+        for text in texts:
+            words, before = self._words(text), len(known.fresh)
+            out.append(list(map(known.__getitem__, words)))
+            if len(known.fresh) > before:
+                waiting.append((len(out) - 1, words))
+        fresh = list(dict.fromkeys(known.fresh))
+        known.fresh = []
         plain = [w for w in fresh if w not in added]
-        known.update((w, (added[w],)) for w in fresh if w in added)
+        known.update((w, self.value([added[w]])) for w in fresh if w in added)
         for w, ids in zip(plain, self.merges.encode_words([w.encode() for w in plain]), strict=True):
-            known[w] = tuple(ids.tolist())
-        return [[known[w] for w in words] for words in split]
+            known[w] = self.value(ids.tolist())
+        for k, words in waiting:
+            out[k] = list(map(known.__getitem__, words))
+        return out
 
 
 def encode_batches(merges: Merges, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,23 +202,19 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits, encoder = merges.digits, Encoder(merges)
-        joined: dict[tuple[int, ...], bytes] = {}
-        pieces: dict[tuple[int, ...], bytes] = {}
+        digits, pieces = merges.digits, merges.pieces
+        encoder = Encoder(merges, lambda ids: (len(ids), b",".join([digits[x] for x in ids]), b"".join([pieces[x] for x in ids])))
         for batch in batches:
             texts = batch.column(1)
             sizes = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(t.as_py() or "") for t in texts], out=sizes[1:])
             for i, j in chunks(sizes, 1 << 20):
-                split = encoder.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
-                if len(joined) > encoder.memory:
-                    joined, pieces = {}, {}
-                for w in {w for words in split for w in words} - joined.keys():
-                    joined[w] = b",".join([digits[x] for x in w])
-                    pieces[w] = b"".join([merges.pieces[x] for x in w])
-                counts = [sum(map(len, words)) for words in split]
-                shas = [sha_hex(b",".join([joined[w] for w in words])) for words in split]
-                decoded = [sha_hex(b"".join([pieces[w] for w in words]).decode("utf-8", "replace").encode()) for words in split]
+                counts, shas, decoded = [], [], []
+                for words in encoder.encode([t or "" for t in texts.slice(i, j - i).to_pylist()]):
+                    n, ids, raw = zip(*words, strict=True) if words else ((), (), ())
+                    counts.append(sum(n))
+                    shas.append(sha_hex(b",".join(ids)))
+                    decoded.append(sha_hex(b"".join(raw).decode("utf-8", "replace").encode()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
