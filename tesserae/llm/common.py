@@ -153,6 +153,3 @@ def space_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
-
-def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
