@@ -20,7 +20,7 @@ from .common import Rolling, chunks, mix, signed, stored, text_buffers
 LENGTH, K = 200, 40
 #: An anchor with more distinct runs has each of its strings dealt by itself.
 MOST_KINDS = 5000
-_BATCH = 1 << 19
+_BATCH = 1 << 18
 _ALL, _ALL_LEVEL = 112, 5
 
 
@@ -268,7 +268,11 @@ def _cut_batch(shard: list, text: list, at: list, count: list, body: list) -> pa
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; whole shards are put together up to about _BATCH bytes."""
+    """Rows come sorted by shard; whole shards are put together up to about _BATCH bytes.
+
+    A shard of a split anchor holds one string many times: two of its rows go into the suffix array, and the others,
+    which must be repeated too, are passed on at once, so a shard of any number of rows is read as a stream.
+    """
     shards: list[int] = []
     texts: list[int] = []
     at: list[int] = []
@@ -286,7 +290,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["text", "edges"])
 
     for batch in batches:
+        echoes: list[tuple[int, list[int]]] = []
         for s, t, a, c, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if c == 1 and shards[-2:] == [s, s] and bodies[-1] == b == bodies[-2]:
+                echoes.append((t, [a, a + 1]))
+                continue
             if size > _BATCH and s != shards[-1]:
                 yield work(len(shards))
                 shards, texts, at, counts, bodies, size = [], [], [], [], [], 0
@@ -296,6 +304,8 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(c)
             bodies.append(b)
             size += len(b)
+        if echoes:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in echoes], pa.int64()), pa.array([e for _, e in echoes], pa.list_(pa.int32()))], names=["text", "edges"])
     if shards:
         yield work(len(shards))
 
