@@ -437,6 +437,12 @@ def test_lexer_and_table(spark, odd):
     assert secrets.scan_secrets(odd).count() == odd.count() and secrets.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_lexer_needs_no_quotes():
+    for text in ("db_pwd = 9f8a7b6c5d4e", "mode: fast\nDB_PWD: 9f8a7b6c5d4e\n"):
+        assert [text[a:b] for a, b, _, _ in secrets.lexed_spans(text)] == ["9f8a7b6c5d4e"]
+        assert secrets.lexed_spans(text + "\nit's") == secrets.lexed_spans(text)
+
+
 # --- 10 BPE
 
 
