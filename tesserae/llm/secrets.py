@@ -1,7 +1,7 @@
 """Secret scanning: three base patterns and an assignment-aware lexer.
 
 The lexer reads lines that look like source or configuration (a name, ``=``, ``:`` or ``=>``, then strings,
-numbers, names and ``+``), keeps the constants that it has seen in the text, and so finds the literals that
+numbers, names and ``+``, or in configuration an unquoted value up to the line's end), keeps the constants that it has seen in the text, and so finds the literals that
 reach a name, directly or through other names. A literal is scored by the words of the names that it reaches
 and by how random it looks; spans that score enough are added to those of the base patterns.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +27,24 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 _NAME = r"[A-Za-z_$][\w$.\-]*"
 _TERM = rf"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|{_NAME}|[0-9][\w.]*)"""
-_LINE = re.compile(rf"""(?<![\w$.\-])["']?({_NAME})["']?[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:)[ \t]*({_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""", re.ASCII)
+_OP = r"(:=|=>|(?<![=!<>])=(?!=)|:(?!:))"
+#: A name that something is assigned to; the first group only matches at the start of a line.
+_HEAD = re.compile(rf"""(?:(^[ \t]*(?:(?:export|set|ENV|-)[ \t]+)?)|(?<![\w$.\-]))["']?({_NAME})["']?[ \t]*{_OP}[ \t]*""", re.ASCII | re.MULTILINE)
+_NEXT = re.compile(rf"({_NAME})([ \t]*){_OP}([ \t]*)", re.ASCII)
+_VALUE = re.compile(rf"{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*+", re.ASCII)
+_DECLARED = re.compile(r"([^\n=:;\"`(){}]++):?=(?![=>])[ \t]*")
+_TYPE = re.compile(r"[&*]*(?:'\w+[ \t]+)?(?:(?:mut|const|static|dyn|readonly)[ \t]+)*[A-Za-z_$][\w$.]*[?!]?(?:[ \t]*\|[ \t]*[A-Za-z_$][\w$.]*[?!]?)*", re.ASCII)
+_BRANCH = re.compile(r"\b(?:if|elif|while|for|in|is|and|or|not|case|lambda|with|except|as)[ \t]\Z")
+_QUOTES = ("'", '"', "`")
+_COMMENT = re.compile(r"[ \t]#")
+_BESIDE = re.compile(rf"(?<=[ \t])[\"']?{_NAME}=(?=[^\s=])", re.ASCII)
+#: Right sides that are expressions: containers, references, calls, subscripts, attributes of usual objects, operators.
+_EXPRESSION = re.compile(rf"[\[({{<].*|[$%][({{].*|{_NAME}(?:\(.*\).*|\[.*\].*|[(\[{{])|(?:self|this|cls|process|os|env|environ|config|cfg|settings|options|args|request|req|params)\.{_NAME}|(?:new|await|not|lambda|function|async)[ \t].*", re.ASCII)
 _TERMS = re.compile(_TERM, re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of the words in a target's name.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "credential": 3, "credentials": 3, "apikey": 3, "api": 1, "key": 1, "auth": 1, "private": 1, "access": 1, "bearer": 2, "signing": 1, "client": 0, "session": 1, "salt": 1}
+_TYPES = {"string", "boolean", "integer", "number", "object", "optional"}
 _PLAIN = {"none", "null", "true", "false", "undefined", "changeme", "example", "placeholder"}
 
 
@@ -56,6 +69,63 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _is_type(text: str) -> bool:
+    """Whether text is a type as declarations have it between ':' and '='; what stands in brackets isn't looked at."""
+    depth, plain = 0, []
+    for c in text:
+        depth += c in "[<"
+        if not depth:
+            plain.append(c)
+        depth -= c in "]>" and depth > 0
+    return not depth and bool(_TYPE.fullmatch("".join(plain).strip()))
+
+
+def statements(text: str, known: Container[str]) -> Iterator[tuple[list[str], list[tuple[int, int, str | None]]]]:
+    """The assignments of a text, in order: names, and the terms of the value: start, end, and the name of a constant or
+    None for a literal. known: the constants so far.
+
+    ``a = b = "x"`` and ``a: b = "x"`` (a may be declared with type b, or b be set in a branch of a) assign to both. A
+    line that begins with its name is configuration: an unquoted value is a literal up to the line's end, a comment or
+    the next ``name=``, unless it is an expression or made of known constants.
+    """
+    at, beside, end = 0, -1, -1
+    while m := _HEAD.search(text, at):
+        names, at, op = [m[2]], m.end(), m[3]
+        first = m[1] is not None or m.start(2) == beside
+        branch = op == ":" and m[1] is None and _BRANCH.search(text, max(0, m.start() - 12), m.start())
+        while n := _NEXT.match(text, at):
+            after = text[n.end() : n.end() + 1]
+            if first and (not (n[2] or n[4] or after in _QUOTES) or after in ("", "\n", "\r", "#")):
+                if n[3] == "=" and text[at - 1] in " \t":
+                    beside = at
+                break  # an operator inside an unquoted value
+            if branch:
+                names, branch = [], None
+            names.append(n[1])
+            at, op = n.end(), n[3]
+        if op == ":" and (d := _DECLARED.match(text, at)) and (not first or d[1][-1] in " \t" or text[d.end() : d.end() + 1] in _QUOTES) and _is_type(d[1]):
+            at = d.end()
+        v = _VALUE.match(text, at)
+        found = list(_TERMS.finditer(text, at, v.end())) if v else []
+        terms = [(t.start() + 1, t.end() - 1, None) if t[0][0] in _QUOTES else (t.start(), t.end(), None if t[0][0].isdigit() else t[0]) for t in found]
+        if first and not any(t[0][0] in _QUOTES for t in found):
+            if at > end:
+                end = text.find("\n", at)
+                end = len(text) if end < 0 else end
+                if c := _COMMENT.search(text, at - 1, end):
+                    end = max(at, c.start())
+            stop = end
+            if c := _BESIDE.search(text, at + 1, end):
+                stop = c.start()
+                beside = stop + (text[stop] in _QUOTES)
+            raw = text[at:stop].rstrip(" \t\r,;")
+            if not v or v.end() < at + len(raw) or not any(name in known for _, _, name in terms):
+                yield names, [(at, at + len(raw), None)] if raw and raw.lower() not in _TYPES and not _EXPRESSION.fullmatch(raw) else []
+                continue
+        yield names, terms
+        at = v.end() if v else at
+
+
 def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, str, float]]:
     """Start, end, name and score of the literals that reach a sensitive name.
 
@@ -66,30 +136,27 @@ def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, str, floa
         return []
     known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for m in _LINE.finditer(text):
-        name, value, places = m[1], "", []
-        for t in _TERMS.finditer(text, m.start(2), m.end(2)):
-            term = t[0]
-            if term[0] in "\"'`":
-                value += term[1:-1]
-                places.append((t.start() + 1, t.end() - 1))
+    for names, terms in statements(text, known):
+        value, places = "", []
+        for start, end, term in terms:
+            if term is None:
+                value += text[start:end]
+                places.append((start, end))
             elif term in known:
                 value += known[term][0]
                 places += known[term][1]
-            elif term[0].isdigit():
-                value += term
-                places.append((t.start(), t.end()))
         if not places or len(value) > 4096 or len(places) > 64:
             continue
-        known[name] = (value, tuple(places))
-        weight = sensitivity(name)
-        if weight < 2 or len(value) < 6 or value.lower() in _PLAIN:
-            continue
-        score = weight + entropy(value) / 2 + bool(re.search(r"\d", value)) - 2 * (" " in value)
-        if score >= least:
-            for a, b in places:
-                if b > a and score > best.get((a, b), (0, ""))[0]:
-                    best[a, b] = (score, name)
+        for name in names:
+            known[name] = (value, tuple(places))
+            weight = sensitivity(name)
+            if weight < 2 or len(value) < 6 or value.lower() in _PLAIN:
+                continue
+            score = weight + entropy(value) / 2 + bool(re.search(r"\d", value)) - 2 * (" " in value)
+            if score >= least:
+                for a, b in places:
+                    if b > a and score > best.get((a, b), (0, ""))[0]:
+                        best[a, b] = (score, name)
     return [(a, b, name, score) for (a, b), (score, name) in sorted(best.items())]
 
 

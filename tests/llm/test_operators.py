@@ -443,6 +443,30 @@ def test_lexer_needs_no_quotes():
         assert secrets.lexed_spans(text + "\nit's") == secrets.lexed_spans(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("client_passphrase=hunter2xyz", {"hunter2xyz": "client_passphrase"}),
+        ("mode: x\nDB_PWD: Zk3a!bc-9 # live\r\n  credential = abcdefghijk,\n", {"Zk3a!bc-9": "DB_PWD", "abcdefghijk": "credential"}),
+        ("A=1 DB_PWD=hunter2xyz B=2", {"hunter2xyz": "DB_PWD"}),
+        ("A= DB_PWD=hunter2xyz", {"hunter2xyz": "DB_PWD"}),
+        ("export client_credential=YWJjZGVmZ2hpagx=\nDB_PWD: YWJj=Zk3\n", {"YWJjZGVmZ2hpagx=": "client_credential", "YWJj=Zk3": "DB_PWD"}),
+        ('pwd: str = "q8Z7xx12"', {"q8Z7xx12": "pwd"}),
+        ('let passphrase: string = "q8Z7xx12";', {"q8Z7xx12": "passphrase"}),
+        ("f(pwd: Optional[Dict[str, str]] | None = 'q8Z7xx12')", {"q8Z7xx12": "pwd"}),
+        ("let pwd: &'static str = \"q8Z7xx12\";", {"q8Z7xx12": "pwd"}),
+        ('else: pwd = "q8Z7xx12"', {"q8Z7xx12": "pwd"}),
+        ('if pwd: name = "q8Z7xx12"', {}),
+        ('base = "q8Z7xx12"\npwd = base', {"q8Z7xx12": "pwd"}),
+        ("pwd = getpass.getpass('word 1')\npwd = ${DB_PWD}\npwd: string;\npwd = os.environ['X']", {}),
+        ('credentials = {"pwd": "q8Z7xx12"}', {"q8Z7xx12": "pwd"}),
+        ('pwd=hunter2xyz;authToken="9fK2lmQ0aa"', {'hunter2xyz;authToken="9fK2lmQ0aa"': "pwd", "9fK2lmQ0aa": "authToken"}),
+    ],
+)
+def test_unquoted_and_declared(text, found):
+    assert {text[a:b]: n for a, b, n, _ in secrets.lexed_spans(text)} == found
+
+
 # --- 10 BPE
 
 
