@@ -47,6 +47,8 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3,
 _TYPES = {"string", "boolean", "integer", "number", "object", "optional"}
 _PLAIN = {"none", "null", "true", "false", "undefined", "changeme", "example", "placeholder"}
 
+_LONGEST_PLAIN = max(map(len, _PLAIN))
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of each base match, in code points."""
@@ -64,9 +66,39 @@ def sensitivity(name: str) -> int:
     return sum(SENSITIVE.get(w, 0) for w in {*words, *(a + b for a, b in zip(words, words[1:], strict=False))})
 
 
-def entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+def entropy(count: Counter[str], n: int) -> float:
+    return -sum(p * math.log2(p) for c in count.values() if (p := c / n))
+
+
+class Node:
+    """Where a value comes from: places in the text and nodes of other values; best: score, order and name it reaches."""
+
+    __slots__ = ("best", "parts")
+
+    def __init__(self, parts: list[tuple[int, int] | Node]):
+        self.parts, self.best = parts, None
+
+
+class Constant:
+    """A value of any length: its node, its size and how often it holds each character; ``short`` is the value itself
+    where it may be one of _PLAIN."""
+
+    __slots__ = ("count", "node", "short", "size")
+
+    def __init__(self, text: str, parts: list[tuple[int, int] | Constant]):
+        self.node = Node([x.node if isinstance(x, Constant) else x for x in parts])
+        if len(parts) == 1 and isinstance(parts[0], Constant):
+            self.count, self.size, self.short = parts[0].count, parts[0].size, parts[0].short
+            return
+        self.count = Counter()
+        for part in parts:
+            if isinstance(part, Constant):
+                for c, n in part.count.items():
+                    self.count[c] += n
+            else:
+                self.count.update(text[part[0] : part[1]])
+        self.size = sum(self.count.values())
+        self.short = "".join([x.short if isinstance(x, Constant) else text[x[0] : x[1]] for x in parts]) if self.size <= _LONGEST_PLAIN else None
 
 
 def _is_type(text: str) -> bool:
@@ -130,34 +162,38 @@ def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, str, floa
     """Start, end, name and score of the literals that reach a sensitive name.
 
     Constants are propagated in text order: ``a = "x"; password = a + "y"`` makes the literals x and y reach
-    password. A name keeps its last literals only.
+    password. A name keeps its last literals only, and none once something unknown is assigned to it. Values of any
+    length and any number of literals are scored, by their counts of characters.
     """
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
+    known: dict[str, Constant] = {}
+    made: list[Node] = []
     for names, terms in statements(text, known):
-        value, places = "", []
-        for start, end, term in terms:
-            if term is None:
-                value += text[start:end]
-                places.append((start, end))
-            elif term in known:
-                value += known[term][0]
-                places += known[term][1]
-        if not places or len(value) > 4096 or len(places) > 64:
+        parts: list[tuple[int, int] | Constant] = [(start, end) if term is None else known[term] for start, end, term in terms if term is None or term in known]
+        if not parts:
+            for name in names:
+                known.pop(name, None)
             continue
+        c = Constant(text, parts)
+        made.append(c.node)
         for name in names:
-            known[name] = (value, tuple(places))
+            known[name] = c
             weight = sensitivity(name)
-            if weight < 2 or len(value) < 6 or value.lower() in _PLAIN:
+            if weight < 2 or c.size < 6 or (c.short is not None and c.short.lower() in _PLAIN):
                 continue
-            score = weight + entropy(value) / 2 + bool(re.search(r"\d", value)) - 2 * (" " in value)
-            if score >= least:
-                for a, b in places:
-                    if b > a and score > best.get((a, b), (0, ""))[0]:
-                        best[a, b] = (score, name)
-    return [(a, b, name, score) for (a, b), (score, name) in sorted(best.items())]
+            score = weight + entropy(c.count, c.size) / 2 + any(map(str.isdecimal, c.count)) - 2 * (" " in c.count)
+            if score >= least and (c.node.best is None or score > c.node.best[0]):
+                c.node.best = (score, -len(made), name)
+    best: dict[tuple[int, int], tuple[float, int, str]] = {}
+    for node in reversed(made):  # users of a value come after it, so its best is known by then
+        for part in node.parts if node.best else ():
+            if isinstance(part, Node):
+                if part.best is None or node.best[:2] > part.best[:2]:
+                    part.best = node.best
+            elif part[1] > part[0] and (part not in best or node.best[:2] > best[part][:2]):
+                best[part] = node.best
+    return [(a, b, name, score) for (a, b), (score, _, name) in sorted(best.items())]
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

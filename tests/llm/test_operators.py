@@ -467,6 +467,16 @@ def test_unquoted_and_declared(text, found):
     assert {text[a:b]: n for a, b, n, _ in secrets.lexed_spans(text)} == found
 
 
+def test_long_values_are_scored():
+    long = "q8Z7xx12" * 1000
+    assert [(b - a, n) for a, b, n, _ in secrets.lexed_spans(f'credential = "{long}"')] == [(8000, "credential")]
+    assert len(secrets.lexed_spans("pwd = " + " + ".join(f'"k{i}Zx"' for i in range(100)))) == 100
+    text = 'k = "old8Z7xx"\n' + f'k = "{long}"\npwd = k\nk = f(1)\nclient_pwd = k\n'
+    assert [(b - a, n) for a, b, n, _ in secrets.lexed_spans(text)] == [(8000, "pwd")]
+    grown = 'k = "q8Z7xx12"\n' + "k = k + k\n" * 2000 + 'pwd = k + "y"\n'
+    assert [grown[a:b] for a, b, _, _ in secrets.lexed_spans(grown)] == ["q8Z7xx12", "y"]
+
+
 # --- 10 BPE
 
 
