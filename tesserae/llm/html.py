@@ -3,7 +3,8 @@
 The tree builder closes elements that HTML closes by itself (a paragraph before a block, list items, table parts) and
 ignores end tags without a start. Hidden elements emit nothing. Blocks begin on lines of their own, paragraphs and
 headings are set off by a blank line, list items get a bullet or number and nested lists an indent, and the cells of
-a table are padded to the width of their column.
+a table are padded to the width of their column. Of form fields, a drop-down gives the option that it shows, a list box
+all options, a textarea its default content.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .common import chunks, text_buffers
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noembed noframes iframe object audio video canvas svg math datalist title meta link base param source track area map select textarea".split())
+HIDDEN = frozenset("head script style template noembed noframes iframe object audio video canvas annotation annotation-xml datalist title meta link base param source track area map".split())
+#: Not shown inside of svg.
+SVG_HIDDEN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary caption center optgroup option".split())
 ENDS_P = (BLOCK | frozenset("tr td th tbody thead tfoot".split())) - frozenset("body html legend caption option optgroup".split())
@@ -31,7 +34,7 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "body": ({"head"}, {"html"}),
+    "body": ({"head"}, {"html"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"}), "select": ({"select"}, {"table", "td", "th", "caption", "html"}), "textarea": ({"select"}, {"table", "td", "th", "caption", "html"}), "input": ({"select"}, {"table", "td", "th", "caption", "html"}),
 }
 #: End tags that don't reach out of these.
 SCOPE = frozenset("table td th caption html".split())
@@ -113,7 +116,8 @@ def parse(html: str) -> Node:
         stack.open[-1].children.append(node)
         if tag in RAW or tag in ("title", "textarea"):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(html, at)
-            node.children.append(html[at : end.start() if end else size])
+            inner = html[at : end.start() if end else size]
+            node.children.append(re.sub(r"\A\r?\n", "", unescape(inner)) if tag == "textarea" else inner)
             at = (html.find(">", end.start()) + 1 or size) if end else size
         elif tag not in VOID and (tag in BLOCK or not m[3].endswith("/")):
             stack.push(node)
@@ -125,6 +129,44 @@ def shown(node: Node) -> bool:
     return node.tag not in HIDDEN and "hidden" not in a and not ("style" in a and _NOT_SHOWN.search(a["style"])) and not (node.tag == "input")
 
 
+def _text(node: Node) -> str:
+    """All text in a node, without recursion, but not that of scripts and styles."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag not in ("script", "style"):
+            todo += reversed(x.children)
+    return "".join(out)
+
+
+def _options(select: Node) -> list[tuple[Node, bool]]:
+    """The options of a select in order, and whether each is disabled."""
+    out, todo = [], [(c, False) for c in reversed(select.children)]
+    while todo:
+        x, off = todo.pop()
+        if isinstance(x, str):
+            continue
+        off = off or (x.tag in ("option", "optgroup") and "disabled" in x.attributes)
+        if x.tag == "option":
+            out.append((x, off))
+        else:
+            todo += [(c, off) for c in reversed(x.children)]
+    return out
+
+
+def _label(option: Node) -> str:
+    return option.attributes.get("label") or _text(option)
+
+
+def chosen(select: Node) -> str:
+    """What a closed drop-down shows: the last option marked as selected, or else the first that isn't disabled."""
+    options = _options(select)
+    marked = [x for x, _ in options if "selected" in x.attributes][-1:] or [x for x, off in options if not off][:1]
+    return _label(marked[0]) if marked else ""
+
+
 class Flow:
     """Lines laid out so far, the line being filled, and whether a blank line is due."""
 
@@ -226,7 +268,7 @@ def render(root: Node) -> str:
     flows: list[Flow] = [Flow()]
     tables: list[Table] = []
     lists: list[list] = []  # kind, number
-    pre = 0
+    pre = svg = 0
     todo: list[tuple[str, object]] = [("enter", root)]
     while todo:
         what, node = todo.pop()
@@ -235,9 +277,19 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if what == "enter":
-            if not shown(node):
+            if not shown(node) or (svg and tag in SVG_HIDDEN):
                 continue
             flow = flows[-1]
+            if tag == "textarea" or (tag == "select" and "multiple" not in node.attributes and _span(node.attributes.get("size")) == 1):
+                flow.text(" ", False)
+                flow.text(_text(node) if tag == "textarea" else chosen(node).strip(), tag == "textarea")
+                flow.text(" ", False)
+                continue
+            if tag == "option" and node.attributes.get("label"):
+                flow.block(False)
+                flow.text(_label(node), False)
+                flow.block(False)
+                continue
             if tag == "br":
                 flow.end_line(even_empty=True)
                 continue
@@ -261,6 +313,13 @@ def render(root: Node) -> str:
                     lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start, re.ASCII) else 1])
                 elif tag == "pre":
                     pre += 1
+                elif tag == "optgroup":
+                    flow.text(node.attributes.get("label", ""), False)
+                    flow.block(False)
+            elif tag == "svg":
+                svg += 1
+            elif tag == "mtr" or (svg and tag in ("text", "foreignobject")):
+                flow.block(False)
             todo.append(("leave", node))
             todo += [("enter", c) for c in reversed(node.children)]
             continue
@@ -286,6 +345,12 @@ def render(root: Node) -> str:
             elif tag in ("ul", "ol", "menu"):
                 lists.pop()
             flows[-1].block(tag in SPACED and not (tag in ("ul", "ol") and lists))
+        elif tag == "svg":
+            svg -= 1
+        elif tag == "mtd":
+            flows[-1].text(" ", False)
+        elif tag == "mtr" or (svg and tag in ("text", "foreignobject")):
+            flows[-1].block(False)
     return "\n".join(flows[0].done())
 
 

@@ -306,6 +306,25 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math>.", "so x=2."),
+        ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>", "1 2\n3 4"),
+        ("a<svg><title>t</title><desc>d</desc><style>s{}</style><defs><text>u</text></defs><path d='M0'/><text>North</text><text>So<tspan>uth</tspan></text><script>x</script></svg><desc>b", "a\nNorth\nSouth\nb"),
+        ("hue: <select><option>red<option selected>blue<option>green</select>!", "hue: blue !"),
+        ("<select><optgroup disabled><option>a<optgroup label=g><option>b</select>", "b"),
+        ("<select><option disabled selected hidden>Choose<option>b</select>", "Choose"),
+        ("<select><option>a<option label=Q>b<input><p>c", "a\n\nc"),
+        ("<select multiple><optgroup label=g><option>a<option label=Q>b</select>c", "g\na\nQ\nc"),
+        ("<p>x<textarea>\n1 &lt; 2\n  <b>3</textarea>y", "x 1 < 2\n  <b>3 y"),
+        ("<select hidden><option>a</select><textarea style='display:none'>b</textarea><datalist><option>c</datalist>", ""),
+    ],
+)
+def test_html_shows_formulas_labels_and_fields(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_table(spark):
     rows = [(1, "<p>a</p>" * 3), (1, "<p>a</p>" * 3), (2, None), (None, "<b>x"), (3, "<div>" * 30_000 + "deep"), (4, "<a " * 2000)]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
