@@ -140,7 +140,7 @@ def dual_mesh(spark, d):
 
 @register(f"WITH {VERTEX} SELECT count(*) AS n, 0::BIGINT AS n_unlabelled FROM vertex")
 def segment_mesh(spark, d):
-    out = mesh.segment_mesh(edges(spark, d), vertices(spark, d), rounds=1)
+    out = mesh.segment_mesh(edges(spark, d), vertices(spark, d))
     return out.agg(F.count("*").alias("n"), F.count_if(F.col("spix").isNull()).alias("n_unlabelled"))
 
 

@@ -102,14 +102,24 @@ def outlines(outline: DataFrame, points: DataFrame, most: int = 256) -> DataFram
     return ends.groupBy("spix").applyInPandas(walk, "spix int, path array<int>")
 
 
-def segment_mesh(edges: DataFrame, vertices: DataFrame, rounds: int = 2, side: int = 10, sigma2: float = 50.0, potts: float = 0.5) -> DataFrame:
-    """v and spix after so many rounds of parameters and, colour by colour, label updates. vertices: v, px-z, f0-2, spix."""
+def segment_mesh(edges: DataFrame, vertices: DataFrame, rounds: int | None = None, side: int = 25, sigma2: float = 50.0, potts: float = 0.5, passes: int = 4) -> DataFrame:
+    """v and spix after so many rounds (side of them if not given), each of parameters and then so many passes of label
+    updates colour by colour. vertices: v, px-z, f0-2, spix.
+
+    A pass that changes no label ends its round, and a round that changes none ends all: what would follow changes nothing.
+    """
     colours = coloured(edges)
     vertices = cut(vertices.join(colours, "v", "left").fillna(0, ["colour"]))
     top = vertices.agg(F.max("colour")).first()[0] or 0
-    for _ in range(rounds):
+    for _ in range(side if rounds is None else rounds):
         p = cut(params3d(moments3d(vertices), side))
-        for colour in range(top + 1):
-            new = update3d(edges, vertices, p, sigma2, potts, F.col("colour") == colour).select("v", F.col("spix").alias("new"))
-            vertices = cut(vertices.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"))
+        for k in range(passes):
+            before = vertices
+            for colour in range(top + 1):
+                new = update3d(edges, vertices, p, sigma2, potts, F.col("colour") == colour).select("v", F.col("spix").alias("new"))
+                vertices = cut(vertices.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"))
+            if vertices.select("v", "spix").join(before.select("v", F.col("spix").alias("old")), "v").where("NOT spix <=> old").isEmpty():
+                break
+        if not k:
+            break
     return vertices.select("v", "spix")

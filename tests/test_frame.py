@@ -112,3 +112,25 @@ def test_border_moves_keep_regions_in_one_piece(seed):
 def test_grid_order():
     assert speed(["a", "b"]) == ["a", "b"]
     assert speed(["a", "b", "c"]) == ["b", "c", "a"]
+
+
+def test_mesh_rounds_and_passes(spark, monkeypatch):
+    """Labels that grow by one in every pass, up to a most."""
+    from pyspark.sql import functions as F
+
+    from tesserae.plans import mesh
+
+    calls = []
+    start = spark.range(2).selectExpr("cast(id AS int) AS v", "0 AS spix")
+    monkeypatch.setattr(mesh, "coloured", lambda edges: start.selectExpr("v", "0 AS colour"))
+    monkeypatch.setattr(mesh, "moments3d", lambda vertices: vertices)
+    monkeypatch.setattr(mesh, "params3d", lambda moments, side: calls.append("round") or moments)
+
+    def grown(most):
+        monkeypatch.setattr(mesh, "update3d", lambda edges, vertices, p, sigma2, potts, colour: calls.append("update") or vertices.select("v", F.least(F.col("spix") + 1, F.lit(most)).alias("spix")))
+
+    grown(99)
+    assert {r.spix for r in mesh.segment_mesh(start, start, side=3).collect()} == {12} and calls.count("round") == 3
+    calls.clear()
+    grown(6)
+    assert {r.spix for r in mesh.segment_mesh(start, start).collect()} == {6} and (calls.count("round"), calls.count("update")) == (3, 8)
