@@ -55,7 +55,7 @@ def segment_frames_batched(pixels: DataFrame, options: Options | None = None) ->
 def controlled_count(pixels: DataFrame, target: int, options: Options | None = None) -> DataFrame:
     from dataclasses import replace
 
-    return segment_frames(pixels, replace(options or Options(), target_nspix=target, most_rounds=200))
+    return segment_frames(pixels, replace(options or Options(), target_nspix=target))
 
 
 def merge_only(seg: DataFrame, options: Options | None = None, rounds: int = 8) -> DataFrame:

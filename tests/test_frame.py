@@ -134,3 +134,11 @@ def test_mesh_rounds_and_passes(spark, monkeypatch):
     calls.clear()
     grown(6)
     assert {r.spix for r in mesh.segment_mesh(start, start).collect()} == {6} and (calls.count("round"), calls.count("update")) == (3, 8)
+
+
+def test_controlled_count_keeps_the_callers_rounds(monkeypatch):
+    from tesserae.plans import drivers
+
+    monkeypatch.setattr(drivers, "segment_frames", lambda pixels, options: options)
+    assert drivers.controlled_count(None, 9).most_rounds == Options().most_rounds == 5000
+    assert drivers.controlled_count(None, 9, Options(most_rounds=7)).most_rounds == 7
