@@ -42,6 +42,10 @@ class Merges:
         vocab = model["vocab"]
         if model["type"] != "BPE" or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only a byte-level BPE without normaliser and prefix space is read")
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip spaces or must be single words are not read")
+        if len(vocab) and max(vocab.values()) >= 1 << _SHIFT:
+            raise ValueError(f"ids of {1 << _SHIFT} and more don't fit a pair's key")
         self.first = np.array([vocab[c] for c in chars], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         key = np.array([vocab[a] << _SHIFT | vocab[b] for a, b in pairs], np.int64)

@@ -1,8 +1,8 @@
 """Chat formatting with a grammar round trip.
 
-A turn is rendered as ``<|im_start|>ROLE NEWLINE TEXT<|im_end|>NEWLINE``. A deterministic parser reads the
-rendered turn back; if the recovered role or text differs from the source, the conflicting content is escaped
-one level more and rendered again, until both are identical. Escaping puts a backslash behind the ``<`` of
+A turn is rendered as ``<|im_start|>ROLE NEWLINE TEXT<|im_end|>NEWLINE``. A deterministic parser reads the whole
+rendered conversation back, as a stream; where a recovered role or text differs from the source, the conflicting
+content is escaped and rendered again, until both are identical. Escaping puts a backslash behind the ``<`` of
 whatever the parser would take for a control string or for an escaped one (``<``, backslashes, ``|im_end|>``);
 the parser takes one backslash away, so any number of levels is reversible.
 """
@@ -13,7 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,72 +58,98 @@ def parse_all(rendered: str) -> list[tuple[str, str]]:
     return out
 
 
+class Rendering:
+    """A conversation's output, written turn by turn and read back at once with whatever of it isn't read yet.
+
+    The output so far always ends between two turns, so the parser holds nothing but the turn in hand. ``chars``: the
+    length so far; begin and end of a turn's raw text count from the start of the conversation.
+    """
+
+    def __init__(self) -> None:
+        self.chars = 0
+
+    def add(self, role: str, text: str) -> tuple[str, str, str, int, int]:
+        """Adds a turn: what is written, the role and text that the parser recovers, where the raw text begins and ends."""
+        shown_role, shown = role.replace("\n", NEWLINE), text
+        for _ in range(2):
+            out = f"{START}{shown_role}\n{shown}{END}\n"
+            try:
+                got_role, got, begin, end, stop = parse(out)
+                if (got_role, got) == (role, text) and stop == len(out):
+                    place = self.chars
+                    self.chars += len(out)
+                    return out, got_role, got, place + begin, place + end
+            except Unparsable:
+                pass
+            shown_role, shown = escape(role).replace("\n", NEWLINE), escape(text)
+        raise AssertionError("escaping is not reversible")
+
+
 def render(role: str, text: str) -> str:
     """One turn, escaped as far as the parser needs to give back role and text."""
-    shown_role, shown = role.replace("\n", NEWLINE), text
-    for _ in range(3):
-        out = f"{START}{shown_role}\n{shown}{END}\n"
-        try:
-            got_role, got, _, _, end = parse(out)
-            if (got_role, got) == (role, text) and end == len(out):
-                return out
-        except Unparsable:
-            pass
-        shown_role, shown = escape(role).replace("\n", NEWLINE), escape(text)
-    raise AssertionError("escaping is not reversible")
-
-
-def _digest(frames: Iterator[pd.DataFrame], keep_text: bool) -> Iterator[pd.DataFrame]:
+    return Rendering().add(role, text)[0]
+
+
+_DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+
+def _digest(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by conversation; only the current conversation's running digests are held."""
+    names = _DIGESTS + (["loss_spans", "formatted"] if keep_text else [])
+    types = _TYPES + ([pa.list_(pa.list_(pa.int64())), pa.string()] if keep_text else [])
     now = None
 
     def row() -> list:
-        return [now["id"], now["n"], now["turns"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["chars"], *([now["spans"], "".join(now["out"])] if keep_text else [])]
-
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", *(["loss_spans", "formatted"] if keep_text else [])]
-    for frame in frames:
+        found = [now["id"], now["n"], now["turns"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["output"].chars]
+        if not keep_text:
+            return found
+        formatted = "".join(now["out"])
+        check = hashlib.sha256()
+        for role, text in parse_all(formatted):
+            check.update(f"{role}\n{text}\n".encode())
+        if check.digest() != now["source"].digest():
+            raise AssertionError("the formatted conversation doesn't give back its turns")
+        return [*found, now["spans"], formatted]
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    for batch in batches:
         done = []
-        for key, role, text in zip(frame["conv_id"], frame["role"], frame["text"], strict=True):
-            key = None if pd.isna(key) else int(key)
+        for key, role, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+            key, role, text = key.as_py(), role.as_py() or "", text.as_py() or ""
             if now is None or now["id"] != key:
                 if now is not None:
                     done.append(row())
-                now = {"id": key, "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "spans": [], "out": []}
-            shown = render(role or "", text or "")
-            got_role, got, begin, end, _ = parse(shown)
+                now = {"id": key, "n": 0, "source": hashlib.sha256(), "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "output": Rendering(), "spans": [], "out": []}
+            shown, got_role, got, begin, end = now["output"].add(role, text)
             now["turns"].update(f"{got_role}\n{got}\n".encode())
             if got_role == "assistant":
                 now["loss_chars"] += len(got)
-                now["loss"].update(unescape(shown[begin:end]).encode())
+                now["loss"].update(got.encode())
                 if keep_text:
-                    now["spans"].append([now["chars"] + begin, now["chars"] + end])
+                    now["spans"].append([begin, end])
             now["n"] += 1
-            now["chars"] += len(shown)
             if keep_text:
+                now["source"].update(f"{role}\n{text}\n".encode())
                 now["out"].append(shown)
-        yield _frame(done, names)
+        yield batch_of(done)
     if now is not None:
-        yield _frame([row()], names)
-
-
-def _frame(rows: list[list], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"conv_id": "Int64", "n_turns": "int64", "loss_chars": "int64", "formatted_chars": "int64"})
-
-
-_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+        yield batch_of([row()])
 
 
 def format_chat(turns: DataFrame, keep_text: bool = True) -> DataFrame:
     """One row per conversation of turns (conv_id long, turn, role, text), in the order of turn, then role, then text.
 
     Gives the digests of the turns read back from the output and of the text under the loss mask, and with
-    keep_text ``formatted`` and ``loss_spans`` (start and end of each assistant text in it, in code points).
-    Null role or text: empty. Null turn: first. Null conv_id: a conversation of its own. Equal rows: each is a
-    turn. An empty table gives no row; other columns are not looked at. A task reads its rows sorted, as a
-    stream; without keep_text it holds one turn and two digests, so a conversation of any length fits. (One
+    keep_text ``formatted``, parsed once more as a whole, and ``loss_spans`` (start and end of each assistant text in
+    it, in code points). Null role or text: empty. Null turn: first. Null conv_id: a conversation of its own. Equal
+    rows: each is a turn. An empty table gives no row; other columns are not looked at. A task reads its rows sorted,
+    as a stream; without keep_text it holds one turn and two digests, so a conversation of any length fits. (One
     conversation's digest is sequential and made by one task.)
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInPandas(lambda frames: _digest(frames, keep_text), _DIGESTS + (", loss_spans array<array<long>>, formatted string" if keep_text else ""))
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return rows.mapInArrow(lambda batches: _digest(batches, keep_text), schema + (", loss_spans array<array<long>>, formatted string" if keep_text else ""))

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES, LONG_WORD = 1 << 19, 128
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a private one only where none is set."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. In local mode, where none is set, a private one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
@@ -103,8 +105,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, eight bytes after the other; spans beyond LONG_WORD bytes by BLAKE2b."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_P))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    todo, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(todo):
+        left = size[todo] - at
+        value = eight[start[todo] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+        out[todo] = mix((out[todo] ^ value) * np.uint64(_P) + np.uint64(1))
+        todo, at = todo[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
+
+
 class Rolling:
-    """Hashes of any substring of a byte array, from prefix sums modulo 2**64."""
+    """Hashes of any substring of a byte array, from prefix sums modulo 2**64.
+
+    Strings can be made whose hashes agree, so these only say where to look; what is equal is decided by other means.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)

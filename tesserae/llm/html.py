@@ -10,7 +10,7 @@ all options, a textarea its default content.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,8 +39,9 @@ CLOSES = {
 #: End tags that don't reach out of these.
 SCOPE = frozenset("table td th caption html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)", re.DOTALL)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()(?<=>)", re.DOTALL)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _PARTS = frozenset("tr tbody thead tfoot table body html".split())
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -62,47 +63,74 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 
 class Stack:
-    """Open elements, and how many there are of each tag."""
+    """Open elements, and where those of each tag stand."""
 
     def __init__(self, root: Node):
-        self.open, self.count = [root], Counter()
+        self.open, self.places = [root], defaultdict(list)
 
     def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.open))
         self.open.append(node)
-        self.count[node.tag] += 1
 
     def cut(self, k: int) -> None:
-        self.count.subtract(n.tag for n in self.open[k:])
+        for node in self.open[k:]:
+            self.places[node.tag].pop()
         del self.open[k:]
 
+    def _last(self, tags: set | frozenset) -> int:
+        return max([self.places[t][-1] for t in tags if self.places.get(t)], default=0)
+
     def find(self, tags: set | frozenset, stop: set | frozenset) -> int:
         """Where the innermost element of these tags is open inside the innermost of stop; 0 if there is none."""
-        if any(self.count[t] > 0 for t in tags):
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag in tags:
-                    return k
-                if self.open[k].tag in stop:
-                    return 0
-        return 0
+        k = self._last(tags)
+        return k if k and k >= self._last(stop) else 0
+
+
+class Tags:
+    """Where tags end. Of scans that run to the end of the page the quotes are remembered, so no part is scanned again and again."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.dead = html, html.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """The first ``>`` from a place on that isn't quoted, or failing that the first one; -1 if there is none."""
+        if at > self.last:
+            return -1
+        seen, place = [], at
+        while (m := _STOP.search(self.html, place)) and m.start() not in self.dead:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            place = self.html.find(m[0], m.end()) + 1
+            if not place:
+                break
+        self.dead.update(seen)
+        return self.html.find(">", at)
 
 
 def parse(html: str) -> Node:
     """The tree; text stands in it as strings, entities resolved."""
     root = Node("#root", {})
-    stack, at, size = Stack(root), 0, len(html)
+    stack, tags, at, size = Stack(root), Tags(html), 0, len(html)
     while at < size:
-        m = _TOKEN.match(html, at) or _LOOSE.match(html, at)
-        if m is None:  # a tag that doesn't end is text
-            stack.open[-1].children.append(html[at])
-            at += 1
+        if html[at] != "<":
+            begin, at = at, html.find("<", at)
+            at = size if at < 0 else at
+            stack.open[-1].children.append(unescape(html[begin:at]))
             continue
-        at = m.end()
-        if m[4]:
-            stack.open[-1].children.append(unescape(m[4]) if "&" in m[4] else m[4])
+        if c := _COMMENT.match(html, at):
+            at = c.end()
+            continue
+        m, odd = _NAME.match(html, at), html[at + 1 : at + 2] in ("!", "?")
+        end = html.find(">", at) if odd and at <= tags.last else tags.end(m.end()) if m else -1
+        if end < 0:  # a tag that doesn't end is text
+            stack.open[-1].children.append("<")
+            at += 1
             continue
-        if m[2] is None:
+        at = end + 1
+        if odd:
             continue
-        tag = m[2].lower()
+        tag, raw = m[2].lower(), html[m.end() : end]
         if m[1]:
             if tag not in VOID and (k := stack.find({tag}, SCOPE - {tag} if tag not in _PARTS else {"table"} - {tag})):
                 stack.cut(k)
@@ -112,14 +140,14 @@ def parse(html: str) -> Node:
                 stack.cut(k)
         elif tag in ENDS_P and (k := stack.find({"p"}, SCOPE)):
             stack.cut(k)
-        node = Node(tag, attributes_of(m[3]))
+        node = Node(tag, attributes_of(raw))
         stack.open[-1].children.append(node)
         if tag in RAW or tag in ("title", "textarea"):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(html, at)
             inner = html[at : end.start() if end else size]
             node.children.append(re.sub(r"\A\r?\n", "", unescape(inner)) if tag == "textarea" else inner)
             at = (html.find(">", end.start()) + 1 or size) if end else size
-        elif tag not in VOID and (tag in BLOCK or not m[3].endswith("/")):
+        elif tag not in VOID and (tag in BLOCK or not raw.endswith("/")):
             stack.push(node)
     return root
 
@@ -232,7 +260,7 @@ class Table:
         column = max((c + n for c, n, _ in self.rows[-1]), default=0)
         while column in self.taken:
             column += 1
-        wide, high = (_span(node.attributes.get(k)) for k in ("colspan", "rowspan"))
+        wide, high = _span(node.attributes.get("colspan")), _span(node.attributes.get("rowspan"), 65_534)
         self.rows[-1].append((column, wide, lines))
         if high > 1:
             self.taken |= dict.fromkeys(range(column, column + wide), high)
@@ -259,8 +287,9 @@ class Table:
         return out
 
 
-def _span(value: str | None) -> int:
-    return min(1000, max(1, int(value))) if value and value.isascii() and value.isdigit() else 1
+def _span(value: str | None, most: int = 1000) -> int:
+    """The value of a colspan, or of a rowspan with its own bound; HTML itself clamps both."""
+    return min(most, max(1, int(value[:9]))) if value and value.isascii() and value.isdigit() else 1
 
 
 def render(root: Node) -> str:

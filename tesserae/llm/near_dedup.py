@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, lower_bytes, mix, signed, space_words, stored, text_buffers
+from .common import chunks, lower_bytes, mix, signed, space_words, stored, text_buffers, word_hashes
 from .components import components
 
 WORDS, THRESHOLD = 5, (75, 100)
@@ -35,7 +35,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """The sorted distinct shingle hashes of each text, joined, and where each text's begin and end."""
     low = lower_bytes(data)
     start, end = space_words(low, offsets)
-    word = Rolling(low).spans(start, end)
+    word = word_hashes(low, start, end)
     n = len(offsets) - 1
     first = np.searchsorted(start, offsets)
     count = np.diff(first)
@@ -335,6 +335,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns kept, without the documents that near_duplicates doesn't keep."""
+    """docs, all columns kept, without the documents that near_duplicates doesn't keep.
+
+    Of rows that share a doc_id the least one stays (by all columns in order). Rows with a null doc_id, null texts and
+    texts without words all stay. An empty table stays empty; columns of any names are kept.
+    """
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    shared = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__d"))
+    if shared.isEmpty():
+        return left
+    single = left.join(shared, left["doc_id"] == shared["__d"], "left_anti")
+    several = left.join(shared, left["doc_id"] == shared["__d"], "left_semi").groupBy(F.col("doc_id").alias("__d")).agg(F.min(F.struct(*left.columns)).alias("__row"))
+    return single.union(several.select("__row.*"))

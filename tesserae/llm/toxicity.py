@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, lower_bytes, spans_of, text_buffers
+from .common import chunks, lower_bytes, spans_of, stored, text_buffers, word_hashes
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -44,7 +44,7 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> Bags:
     new[1:] = (stops[start[1:]] != stops[start[:-1]]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
-    return Bags(Rolling(low).spans(start, end), np.cumsum(new) - 1, doc[first], start[first], end[last])
+    return Bags(word_hashes(low, start, end), np.cumsum(new) - 1, doc[first], start[first], end[last])
 
 
 @dataclass
@@ -128,21 +128,26 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 4, z_least: float =
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from training; false for a null doc_id, which no label can name."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """text and toxic of labelled rows that aren't held out: per_class rows of each label at most, by a hash of doc_id."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True)))
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> DataFrame:
+    """doc_id, text and toxic of labelled rows that aren't held out, in the order of a hash of doc_id: of each label
+    per_class rows at most, and whole texts of most_bytes / 2 at most. Of a doc_id's texts the least one counts."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     picked = picked[0].union(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    texts = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    sofar = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # over 2 * per_class rows at most
+    fitting = texts.select("doc_id", sofar.alias("sofar")).where(F.col("sofar") <= most_bytes // 2).select("doc_id")
+    return texts.join(fitting, "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
-    """Fits on the driver, on a sample of 2 * per_class labelled rows at most, whatever the size of the tables."""
-    rows = training_sample(docs, labels, per_class).orderBy("doc_id").toLocalIterator()
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_bytes: int = 1 << 26) -> Model:
+    """Fits on the driver, on 2 * per_class labelled rows and most_bytes of text at most, whatever the size of the tables."""
+    rows = training_sample(docs, labels, per_class, most_bytes).orderBy("doc_id").toLocalIterator()
     got = [(r["text"] or "", r["toxic"]) for r in rows]
     return fit([t for t, _ in got], [k for _, k in got])
 

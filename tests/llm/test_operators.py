@@ -251,7 +251,7 @@ def test_decontamination(spark, odd):
     assert find_contamination(odd, bench).count() == odd.count() and find_contamination(odd.limit(0), bench).count() == 0
     assert {r.n_hit for r in find_contamination(odd, bench.limit(0)).collect()} == {0}
     assert decontaminate(odd, bench).columns == odd.columns
-    assert find_contamination(df, bench, most_windows=0).where("contaminated").count() == find_contamination(df, bench).where("contaminated").count()
+    assert find_contamination(df, bench, most_bytes=0).where("contaminated").count() == find_contamination(df, bench).where("contaminated").count()
 
 
 # --- 5 chat
