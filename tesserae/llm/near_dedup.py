@@ -1,12 +1,14 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct five-word shingles. Equal sets are one class. In each of several independent
-trees a class takes the branches of a few minwise coordinates, which a hash of the node selects so that a node has
-1/threshold branches on average; a branch is named by the coordinate and the class's minwise token there. Nodes at
-the last level hold classes that share all tokens of their path. Small nodes are compared exhaustively. Of a large
-node every member is first compared with a few pivots; links found that way are contracted to components, and then
-all pairs of members of different components are compared, so no link between components is lost. A pair of sketches
-that the threshold all but excludes is skipped; every link is confirmed on the full sets.
+trees a class takes the branches of a few minwise coordinates, which a hash of the node selects; a branch is named by
+the coordinate and the class's minwise token there. The first levels are taken in one pass, with 1/threshold branches
+on average. A small node is compared exhaustively and ends there. Of a large node every member is first compared with
+a few pivots, and links found that way are contracted to components. A large node that still holds several components
+branches further, level by level, until its parts are small, hold one component, or are dense: of members that are
+alike on average, so that further tokens would no longer part them. Those are compared exhaustively in tiles, as far
+as they are of different components. A pair of sketches that the threshold all but excludes is skipped; every link is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .components import components
 WORDS, THRESHOLD = 5, (75, 100)
 COORDINATES, TREES, ROOT_BRANCHES, DEPTH = 64, 14, 2, 3
 SMALL_NODE, PIVOTS, LEAST_BITS, SALT_ROWS, SIDE = 8, 2, 42, 512, 256
+#: Branches of a large node beyond DEPTH; at what average similarity a node is dense; levels after which all nodes count as dense.
+MORE_BRANCHES, DENSE, DEEPEST = 2.0, 0.5, 16
 
 _RNG = np.random.default_rng(75)
 _STEP = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,24 +74,34 @@ def minwise(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _limit(branches: float) -> np.uint64:
+    return np.uint64(int(2**64 * branches / COORDINATES))
+
+
+def children(node: np.ndarray, wide: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows go to a child of their node, and that child, for the coordinates that each node selects."""
+    rows, nodes = [], []
+    for i in range(COORDINATES):
+        chosen = np.flatnonzero(mix(node + np.uint64(i + 1) * _MINWISE[0]) < limit)
+        rows.append(chosen)
+        nodes.append(mix(node[chosen] * np.uint64(3) + wide[chosen, i] + (np.uint64(i + 1) << np.uint64(40))))
+    return np.concatenate(rows), np.concatenate(nodes)
+
+
 def paths(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last-level nodes of each row of tokens: row and node."""
+    """The nodes at level DEPTH of each row of tokens: row and node."""
     n = len(tokens)
-    limit = np.uint64(int(2**64 * THRESHOLD[1] / (THRESHOLD[0] * COORDINATES)))
+    limit = _limit(THRESHOLD[1] / THRESHOLD[0])
     order = np.random.default_rng(7).permutation(COORDINATES)
-    wide, steps = tokens.astype(np.uint64), np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MINWISE[0]
+    wide = tokens.astype(np.uint64)
     rows, nodes = [], []
     for t in range(TREES):
         for b in range(ROOT_BRANCHES):
             k = order[(t * ROOT_BRANCHES + b) % COORDINATES]
             row, node = np.arange(n), mix(wide[:, k] + (np.uint64(t * COORDINATES + k + 1) << np.uint64(32)))
             for _ in range(DEPTH - 1):
-                more_rows, more_nodes = [], []
-                for i in range(COORDINATES):
-                    chosen = mix(node + steps[i]) < limit
-                    more_rows.append(row[chosen])
-                    more_nodes.append(mix(node[chosen] * np.uint64(3) + wide[row[chosen], i] + (np.uint64(i + 1) << np.uint64(40))))
-                row, node = np.concatenate(more_rows), np.concatenate(more_nodes)
+                chosen, node = children(node, wide[row], limit)
+                row = row[chosen]
             rows.append(row)
             nodes.append(node)
     return np.concatenate(rows), np.concatenate(nodes)
@@ -122,31 +136,61 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(node)), part.column(0).take(pa.array(row)), pa.array(sketch[row])], names=["node", "id", "sketch"])
 
 
-def _pairs(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> tuple:
-    """kind 0 rows for the pairs x[i], y[j] that the sketches don't exclude."""
-    fit = (np.bitwise_count((sx[i] ^ sy[j]).view(np.uint64)) <= COORDINATES - LEAST_BITS) & (x[i] != y[j])
-    a, b = x[i[fit]], y[j[fit]]
+def _deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, id, sketch, root, tokens) go to the next level."""
+    for batch in batches:
+        for i in range(0, len(batch), 2000):
+            part = batch.slice(i, 2000)
+            tokens = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            row, node = children(np.asarray(part.column(0)).view(np.uint64), tokens.astype(np.uint64), _limit(MORE_BRANCHES))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(node)), *(part.column(k).take(pa.array(row)) for k in (1, 2, 3))], names=["node", "id", "sketch", "root"])
+
+
+class Members:
+    """Rows of nodes: ids, sketches and roots (components so far)."""
+
+    __slots__ = ("id", "root", "sketch")
+
+    def __init__(self, id: np.ndarray, sketch: np.ndarray, root: np.ndarray):
+        self.id, self.sketch, self.root = id, sketch, root
+
+    def __getitem__(self, at) -> Members:
+        return Members(self.id[at], self.sketch[at], self.root[at])
+
+
+def _pairs(x: Members, y: Members) -> tuple:
+    """kind 0 rows for the pairs of x and y, row by row, that the sketches don't exclude and that aren't joined yet."""
+    fit = (np.bitwise_count((x.sketch ^ y.sketch).view(np.uint64)) <= COORDINATES - LEAST_BITS) & (x.root != y.root)
+    a, b = x.id[fit], y.id[fit]
     return np.zeros(len(a), np.int32), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by node. kind 0: a pair to confirm; kind 1: a large node, a member and its sketch.
+    """Rows (node, id, sketch, and root, if not the id) come sorted by node. kind 0: a pair to confirm; kind 1: a large
+    node, a member and its sketch; kind 2: a large node and the average similarity of its members, in thousandths.
 
     Holds a batch, the rows of a node that may still be small, and the pivots of a large node that goes on.
     """
-    held = tuple(np.zeros(0, np.int64) for _ in range(3))
-    open_node, pivots = None, None
-
-    def large(node: int, x: np.ndarray, sx: np.ndarray) -> list[tuple]:
-        i, j = (k.ravel() for k in np.meshgrid(np.arange(len(pivots[0])), np.arange(len(x)), indexing="ij"))
-        return [_pairs(i, j, pivots[0], x, pivots[1], sx), (np.ones(len(x), np.int32), np.full(len(x), node), x, sx)]
-
-    def batch_of(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["kind", "a", "b", "sketch"])
+    held = [np.zeros(0, np.int64) for _ in range(4)]
+    open_node, pivots, ones, n_seen = None, None, None, 0
+
+    def large(node: int, x: Members) -> list[tuple]:
+        nonlocal ones, n_seen
+        ones = ones + np.unpackbits(x.sketch.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n_seen += len(x.id)
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(len(pivots.id)), np.arange(len(x.id)), indexing="ij"))
+        return [_pairs(pivots[i], x[j]), (np.ones(len(x.id), np.int32), np.full(len(x.id), node), x.id, x.sketch)]
+
+    def close() -> list[tuple]:
+        nonlocal open_node
+        node, open_node = open_node, None
+        if node is None:
+            return []
+        agree = (ones * (ones - 1) + (n_seen - ones) * (n_seen - ones - 1)).mean() / (n_seen * (n_seen - 1.0))
+        return [(np.full(1, 2, np.int32), np.full(1, node), np.full(1, round(1000 * (2 * agree - 1))), np.zeros(1, np.int64))]
 
-    def work(nodes: np.ndarray, ids: np.ndarray, sketches: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, open_node, pivots
+    def work(nodes: np.ndarray, x: Members, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, open_node, pivots, ones, n_seen
         if not len(nodes):
             return
         parts: list[tuple] = []
@@ -154,29 +198,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(start, len(nodes)))
         whole = np.ones(len(start), bool)
         whole[-1] = last
+        begun = 0
         if nodes[0] == open_node:
-            parts += large(open_node, ids[: size[0]], sketches[: size[0]])
+            parts += large(open_node, x[: size[0]])
             begun = 1
-        else:
-            begun = 0
+        if len(start) > 1 or nodes[0] != open_node:
+            parts += close()
         rest_start, rest_size, rest_whole = start[begun:], size[begun:], whole[begun:]
         small = rest_whole & (rest_size > 1) & (rest_size <= SMALL_NODE)
         for n in np.unique(rest_size[small]):
             at = rest_start[small & (rest_size == n)]
             i, j = np.triu_indices(n, 1)
-            parts.append(_pairs((at[:, None] + i).ravel(), (at[:, None] + j).ravel(), ids, ids, sketches, sketches))
+            parts.append(_pairs(x[(at[:, None] + i).ravel()], x[(at[:, None] + j).ravel()]))
         for s, n in zip(rest_start[rest_size > SMALL_NODE].tolist(), rest_size[rest_size > SMALL_NODE].tolist(), strict=True):
-            open_node, pivots = nodes[s], (ids[s : s + PIVOTS].copy(), sketches[s : s + PIVOTS].copy())
-            parts += large(open_node, ids[s : s + n], sketches[s : s + n])
-        if open_node is not None and nodes[-1] != open_node:
-            open_node = None
+            parts += close()
+            open_node, pivots, ones, n_seen = nodes[s], x[np.arange(s, s + PIVOTS)], np.zeros(COORDINATES, np.int64), 0
+            parts += large(open_node, x[s : s + n])
+        if last or nodes[-1] != open_node:
+            parts += close()
         keep = len(nodes) if last or nodes[-1] == open_node else int(start[-1])
-        held = nodes[keep:], ids[keep:], sketches[keep:]
-        yield from batch_of([p for p in parts if len(p[0])])
+        held = [nodes[keep:], x.id[keep:], x.sketch[keep:], x.root[keep:]]
+        parts = [p for p in parts if len(p[0])]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["kind", "a", "b", "sketch"])
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.asarray(batch.column(k)) for k in ((0, 1, 2, 3) if batch.num_columns > 3 else (0, 1, 2, 1))]
 
     for batch in batches:
-        yield from work(*(np.append(h, np.asarray(batch.column(k))) for k, h in enumerate(held)), False)
-    yield from work(*held, True)
+        node, *rest = (np.append(h, c) for h, c in zip(held, columns(batch), strict=True))
+        yield from work(node, Members(*rest), False)
+    yield from work(held[0], Members(*held[1:]), True)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +338,17 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def compared(nodes: DataFrame) -> DataFrame:
+    """What _compare finds in rows that begin with node and id."""
+    rows = nodes.repartition("node").sortWithinPartitions("node", F.xxhash64("id"), "id")
+    return stored(rows.mapInArrow(_compare, "kind int, a long, b long, sketch long"), "candidates")
+
+
 def resolve(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between the different roots in each node of placed (node, id, sketch, root), compared in tiles."""
+    """Links between the different roots in the dense nodes placed (node, id, sketch, root), compared in tiles.
+
+    Nodes that share members are taken together, as the same families meet in many trees: each pair is compared once.
+    """
     least = placed.groupBy("node").agg(F.min("id").alias("a"))
     groups = components(placed.join(least, "node").select("a", F.col("id").alias("b")))
     members = placed.select("id", "sketch", "root").distinct().join(groups, "id").withColumnRenamed("component", "group")
@@ -311,18 +372,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(signatures(docs), "signatures")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("id"))
     firsts = rows.join(classes.select(F.col("id").alias("doc_id"), "n_shingles", "p", "q"), ["doc_id", "n_shingles", "p", "q"], "left_semi").select(F.col("doc_id").alias("id"), "tokens")
-    nodes = firsts.mapInArrow(_branch, "node long, id long, sketch long").repartition("node").sortWithinPartitions("node", F.xxhash64("id"), "id")
-    found = stored(nodes.mapInArrow(_compare, "kind int, a long, b long, sketch long"), "candidates")
+    found = compared(firsts.mapInArrow(_branch, "node long, id long, sketch long"))
     texts = docs.where(F.col("doc_id").isNotNull())
-    links = stored(confirm(found.where("kind = 0").select("a", "b").distinct(), texts), "links")
-    large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("id"), "sketch")
-    if not large.isEmpty():
-        roots = components(links)
-        placed = large.join(roots, "id", "left").select("node", "id", "sketch", F.coalesce("component", "id").alias("root"))
-        mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("node")
-        placed = stored(placed.join(mixed, "node", "left_semi"), "mixed-nodes")
-        if not placed.isEmpty():
-            links = stored(links.union(resolve(placed, texts)), "links")
+    links, depth = stored(confirm(found.where("kind = 0").select("a", "b").distinct(), texts), "links"), DEPTH
+    while not (large := found.where("kind = 1")).isEmpty():
+        dense = found.where("kind = 2").select(F.col("a").alias("node"), ((F.col("b") >= int(1000 * DENSE)) | F.lit(depth >= DEEPEST)).alias("dense"))
+        placed = large.select(F.col("a").alias("node"), F.col("b").alias("id"), "sketch").join(components(links), "id", "left").select("node", "id", "sketch", F.coalesce("component", "id").alias("root"))
+        mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").join(dense, "node").select("node", "dense")
+        placed = stored(placed.join(mixed, "node"), "mixed-nodes")
+        found = compared(placed.where("NOT dense").join(firsts, "id").select("node", "id", "sketch", "root", "tokens").mapInArrow(_deepen, "node long, id long, sketch long, root long"))
+        more = confirm(found.where("kind = 0").select("a", "b").distinct(), texts)
+        if not (tight := placed.where("dense")).isEmpty():
+            more = more.union(resolve(tight.drop("dense"), texts))
+        links, depth = stored(links.union(more), "links"), depth + 1
     roots = components(links)
     own = classes.join(roots, "id", "left").select("n_shingles", "p", "q", F.coalesce("component", "id").alias("component_id"))
     shared = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

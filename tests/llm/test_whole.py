@@ -117,3 +117,40 @@ def test_held_out_is_never_null(spark, tmp_path):
     spark.createDataFrame([(None, "a b"), (7, "a c")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, 1)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert {r.doc_id: r.held_out is None for r in op2_toxicity(spark, f"file://{tmp_path}").collect()} == {None: False, 7: False}
+
+
+def test_large_nodes_branch_until_small_or_dense(spark, monkeypatch):
+    """Families whose members are partly just below the threshold, and many texts that share a long common part."""
+    from tesserae.llm import near_dedup
+
+    rng = np.random.default_rng(11)
+    words = np.array([f"v{i}" for i in range(4000)])
+    texts = []
+    for f in range(3):
+        base = rng.choice(words, 120)
+        for k in range(40):
+            own = base.copy()
+            cut = rng.integers(0, 45)
+            own[120 - cut :] = rng.choice(words, cut)
+            texts.append(" ".join(own))
+    common = rng.choice(words, 40)
+    texts += [" ".join(np.append(common, rng.choice(words, 80))) for _ in range(120)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    levels = []
+    monkeypatch.setattr(near_dedup, "compared", lambda nodes, f=near_dedup.compared: (levels.append(1), f(nodes))[1])
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(levels) > 1
