@@ -188,6 +188,21 @@ def colour_sums(image: np.ndarray, labels: np.ndarray, size: int) -> tuple[np.nd
     return n, s, np.stack([sums(labels, image[..., i] ** 2, size) for i in range(3)], 1)
 
 
+def split_gain(kept: tuple, moved: tuple, o: Options, lost: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """By region: what its cut gains, and whether the moved part takes after the old region (it has fewer invalid pixels).
+
+    kept and moved: pixels, colour sums and sums of squares of the two parts; lost: invalid pixels of each, in a
+    propagated frame. There every cut pays gamma times the valid share of the part that takes after the old region.
+    """
+    both = tuple(a + b for a, b in zip(kept, moved, strict=True))
+    gain = marginal(*kept, o.sigma_app) + marginal(*moved, o.sigma_app) - marginal(*both, o.sigma_app) + o.split_alpha
+    if lost is None:
+        return gain, np.zeros(len(gain), bool)
+    other = lost[1] < lost[0]
+    share = np.where(other, lost[1] / np.maximum(moved[0], 1), lost[0] / np.maximum(kept[0], 1))
+    return gain - o.gamma * (1 - share), other
+
+
 def split(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: int, invalid: np.ndarray | None = None) -> tuple[np.ndarray, Params]:
     """Cuts regions along one axis where two parts explain the colours better than one."""
     h, w = labels.shape
@@ -208,15 +223,10 @@ def split(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     wanted[live[ok]] = True
     away = (labels >= 0) & wanted[np.maximum(labels, 0)] & (first > second) & (second >= 0)
     kept, moved = colour_sums(image, np.where(away, -1, labels), size), colour_sums(image, np.where(away, labels, -1), size)
-    both = tuple(a + b for a, b in zip(kept, moved, strict=True))
-    gain = marginal(*kept, o.sigma_app) + marginal(*moved, o.sigma_app) - marginal(*both, o.sigma_app) + o.split_alpha
-    swap = np.zeros(size, bool)
-    if invalid is not None:
-        lost = [sums(np.where(m, labels, -1), invalid.astype(float), size) for m in (~away, away)]
-        swap = p.propagated & (lost[1] < lost[0])
-        share = np.where(swap, lost[1] / np.maximum(moved[0], 1), lost[0] / np.maximum(kept[0], 1))
-        gain = gain - np.where(p.propagated, o.gamma * share, 0)
-    accept = wanted & (gain > -2) & (kept[0] > 0) & (moved[0] > 0) & ((invalid is None) | (both[0] >= 64))
+    lost = None if invalid is None else [sums(np.where(m, labels, -1), invalid.astype(float), size) for m in (~away, away)]
+    gain, other = split_gain(kept, moved, o, lost)
+    swap = p.propagated & other
+    accept = wanted & (gain > -2) & (kept[0] > 0) & (moved[0] > 0) & ((invalid is None) | (kept[0] + moved[0] >= 64))
     ids = np.flatnonzero(accept)
     if not len(ids):
         return labels, p
@@ -227,8 +237,7 @@ def split(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     floor = 8 if invalid is None else 36
     half = np.maximum(p.prior_count[ids] / 2, floor)
     prior = np.append(p.prior_count, half)
-    if invalid is None:
-        prior[ids] = half
+    prior[ids] = np.where((invalid is None) | other[ids], half, prior[ids])
     return labels, parameters(image, labels, prior, np.append(p.propagated, np.zeros(len(ids), bool)), o.sp_size)
 
 
@@ -374,10 +383,7 @@ def fill(labels: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """Missing pixels take the neighbouring label with the nearest centre, from the edges of holes inwards."""
     labels = labels.copy()
     h, w = labels.shape
-    for _ in range(1000):
-        if not (labels < 0).any():
-            break
-        before = (labels < 0).sum()
+    while (before := (labels < 0).sum()):
         for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
             hole = np.zeros((h, w), bool)
             hole[b::2, a::2] = labels[b::2, a::2] < 0

@@ -12,7 +12,7 @@ from ..operators.graph import both_ways, moments3d, params3d, update3d
 from .loops import components, cut
 
 
-def coloured(edges: DataFrame, seed: int = 123, most: int = 64) -> DataFrame:
+def coloured(edges: DataFrame, seed: int = 123) -> DataFrame:
     """v and colour: in each round the vertices of highest priority (degree, then a hash, then id) among their uncoloured
     neighbours take the least colour that no neighbour has."""
     adj = cut(both_ways(edges).distinct())
@@ -22,8 +22,8 @@ def coloured(edges: DataFrame, seed: int = 123, most: int = 64) -> DataFrame:
         near = adj.join(left.select(F.col("v"), F.col("rank").alias("theirs")), "v").groupBy(F.col("u").alias("v")).agg(F.max("theirs").alias("theirs"))
         now = cut(left.join(near, "v", "left").where("theirs IS NULL OR rank > theirs").select("v"))
         used = now.join(adj.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").join(done.select(F.col("v").alias("w"), "colour"), "w").groupBy("v").agg(F.collect_set("colour").alias("used"))
-        fresh = now.join(used, "v", "left").select("v", F.expr(f"array_min(array_except(sequence(0, {most}), coalesce(used, cast(array() AS array<int>))))").alias("colour"))
-        done = cut(done.union(fresh))
+        fresh = now.join(used, "v", "left").select("v", F.expr("array_min(array_except(sequence(0, cardinality(coalesce(used, cast(array() AS array<int>)))), coalesce(used, cast(array() AS array<int>))))").alias("colour"))
+        done = done.union(cut(fresh))
         left = cut(left.join(now, "v", "left_anti"))
     return done
 
@@ -76,9 +76,9 @@ def vertex_rings(faces: DataFrame) -> DataFrame:
     return corners.groupBy("v").applyInPandas(ring, "v int, ring array<int>")
 
 
-def outlines(outline: DataFrame, points: DataFrame, most: int = 256) -> DataFrame:
+def outlines(outline: DataFrame, points: DataFrame) -> DataFrame:
     """spix and path: the vertices of each region's outline from its least one on, at each step the one that goes
-    straightest ahead, to so many vertices at most (the rest of a longer outline is left out)."""
+    straightest ahead (of equals the least), until no neighbour is left."""
     ends = outline.join(points.select(F.col("v").alias("u"), *(F.col(a).alias(f"u{a}") for a in ("px", "py", "pz"))), "u").join(points.select("v", *(F.col(a).alias(f"v{a}") for a in ("px", "py", "pz"))), "v")
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
@@ -87,16 +87,14 @@ def outlines(outline: DataFrame, points: DataFrame, most: int = 256) -> DataFram
             place[r.u], place[r.v] = np.array([r.upx, r.upy, r.upz]), np.array([r.vpx, r.vpy, r.vpz])
             near.setdefault(r.u, set()).add(r.v)
             near.setdefault(r.v, set()).add(r.u)
-        path = [min(place)]
-        ahead = np.zeros(3)
-        while len(path) < most:
-            left = [v for v in sorted(near[path[-1]]) if v not in path]
-            if not left:
-                break
+        path, ahead = [min(place)], np.zeros(3)
+        seen = set(path)
+        while left := [v for v in sorted(near[path[-1]]) if v not in seen]:
             steps = [place[v] - place[path[-1]] for v in left]
             k = max(range(len(left)), key=lambda i: (float(steps[i] @ ahead) / (np.linalg.norm(steps[i]) + 1e-6), -i))
             ahead = steps[k] / (np.linalg.norm(steps[k]) + 1e-6)
             path.append(left[k])
+            seen.add(left[k])
         return pd.DataFrame({"spix": [int(part["spix"].iloc[0])], "path": [[int(v) for v in path]]})
 
     return ends.groupBy("spix").applyInPandas(walk, "spix int, path array<int>")

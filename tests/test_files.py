@@ -124,4 +124,7 @@ def test_outlines(spark):
     points = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])], "v int, px double, py double, pz double")
     out = outlines(spark.createDataFrame(square, "spix int, u int, v int"), points).first()
     assert out.path == [0, 1, 2, 3]
-    assert len(outlines(spark.createDataFrame(square, "spix int, u int, v int"), points, most=2).first().path) == 2
+    ring = spark.range(700).selectExpr("1 AS spix", "cast(id AS int) AS u", "cast((id + 1) % 700 AS int) AS v")
+    places = spark.range(700).selectExpr("cast(id AS int) AS v", "cos(id * pi() / 350) AS px", "sin(id * pi() / 350) AS py", "0D AS pz")
+    long = outlines(ring, places).first().path
+    assert long in ([*range(700)], [0, *range(699, 0, -1)])

@@ -142,3 +142,45 @@ def test_controlled_count_keeps_the_callers_rounds(monkeypatch):
     monkeypatch.setattr(drivers, "segment_frames", lambda pixels, options: options)
     assert drivers.controlled_count(None, 9).most_rounds == Options().most_rounds == 5000
     assert drivers.controlled_count(None, 9, Options(most_rounds=7)).most_rounds == 7
+
+
+def test_split_gain_equals_the_scores_of_the_table(spark):
+    """Regions with all shares of invalid pixels, on either side."""
+    from tesserae.operators.regions import split_scores
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 60, (2, 30)).astype(float)
+    values = [[rng.random((int(c), 3)) * rng.random() for c in side] for side in n]
+    moments = [(side, np.array([v.sum(0) for v in vs]), np.array([(v**2).sum(0) for v in vs])) for side, vs in zip(n, values, strict=True)]
+    lost = [np.floor(rng.random(30) * side) for side in n]
+    o = Options(sigma_app=0.1, gamma=4.0, split_alpha=0.5)
+    gain, other = k.split_gain(*moments, o, lost)
+    rows = []
+    for i in range(30):
+        part = 1 if lost[1][i] < lost[0][i] else 0
+        rows.append((i, float(lost[part][i] / n[part][i]), *(float(x) for m in moments for x in (m[0][i], *m[1][i], *m[2][i]))))
+    columns = ["i", "iperc", *(f"{side}{c}" for side in ("k_", "s_") for c in ("n", "s0", "s1", "s2", "q0", "q1", "q2"))]
+    got = split_scores(spark.createDataFrame(rows, columns), 0.1, 0.5, 4.0).orderBy("i").collect()
+    assert np.allclose([r.h for r in got], gain) and 0 < other.sum() < 30
+    assert np.allclose(k.split_gain(*moments, o)[0] - gain, 4 * (1 - np.array([r[1] for r in rows])))
+
+
+def test_a_cut_halves_the_prior_of_a_part_that_changed():
+    image = two_colours(24, 32, 16)
+    one = np.zeros((24, 32), int)
+    p = k.parameters(image, one, np.full(1, 400.0), np.ones(1, bool), 8)
+    o = Options(gamma=0.0)
+    for side in (0, 1):
+        invalid = np.zeros((24, 32), bool)
+        invalid[:, 16 * side : 16 * side + 16] = True  # which half newly came into view
+        labels, q = k.split(image, one, p, o, 0, invalid)
+        assert len(np.unique(labels)) == 2 and q.prior_count.tolist() in ([400.0, 200.0], [200.0, 200.0])
+        assert labels[0, 0] != labels[0, -1]
+        old = labels[0, -1] if side == 0 else labels[0, 0]
+        assert old == 0  # the valid half keeps the id
+
+
+def test_wide_holes_are_filled_to_the_end():
+    labels = np.full((3, 2600), -1)
+    labels[:, 0] = 4
+    assert (k.fill(labels, np.zeros((5, 2))) == 4).all()
