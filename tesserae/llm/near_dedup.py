@@ -4,16 +4,17 @@ A document's set holds its distinct five-word shingles. Equal sets are one class
 trees a class takes the branches of a few minwise coordinates, which a hash of the node selects; a branch is named by
 the coordinate and the class's minwise token there. The first levels are taken in one pass, with 1/threshold branches
 on average. A small node is compared exhaustively and ends there. Of a large node every member is first compared with
-a few pivots, and links found that way are contracted to components. A large node that still holds several components
-branches further, level by level, until its parts are small, hold one component, or are dense: of members that are
-alike on average, so that further tokens would no longer part them. Those are compared exhaustively in tiles, as far
-as they are of different components. A pair of sketches that the threshold all but excludes is skipped; every link is
+a few pivots, and links found that way are contracted to components. A large node that still holds several components is
+compared exhaustively, as far as members are of different components, if it fits a tile; if not, it branches further,
+level by level, until its parts fit, hold one component, or are dense: of members that are alike on average, so that
+further tokens would no longer part them. Dense ones are compared in several tiles. A pair of sketches that the threshold all but excludes is skipped; every link is
 confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ WORDS, THRESHOLD = 5, (75, 100)
 COORDINATES, TREES, ROOT_BRANCHES, DEPTH = 64, 14, 2, 3
 SMALL_NODE, PIVOTS, LEAST_BITS, SALT_ROWS, SIDE = 8, 2, 42, 512, 256
 #: Branches of a large node beyond DEPTH; at what average similarity a node is dense; levels after which all nodes count as dense.
-MORE_BRANCHES, DENSE, DEEPEST = 2.0, 0.5, 16
+MORE_BRANCHES, DENSE, DEEPEST = 2.0, 0.5, 8
 
 _RNG = np.random.default_rng(75)
 _STEP = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -344,17 +345,22 @@ def compared(nodes: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_compare, "kind int, a long, b long, sketch long"), "candidates")
 
 
-def resolve(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between the different roots in the dense nodes placed (node, id, sketch, root), compared in tiles.
+def resolve(placed: DataFrame, docs: DataFrame, families: bool) -> DataFrame:
+    """Links between the different roots in the nodes placed (node, id, sketch, root), compared in tiles.
 
-    Nodes that share members are taken together, as the same families meet in many trees: each pair is compared once.
+    A node of SIDE members at most is one tile. Larger ones are dense: those that share members are taken together, as
+    the same family meets in many trees, and each pair is compared once.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if not families:
+        rows = placed.join(texts, "id").select(F.col("node").alias("tile"), "id", "root", F.lit(2).alias("side"), "sketch", "text")
+        return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile, "a long, b long")
     least = placed.groupBy("node").agg(F.min("id").alias("a"))
     groups = components(placed.join(least, "node").select("a", F.col("id").alias("b")))
     members = placed.select("id", "sketch", "root").distinct().join(groups, "id").withColumnRenamed("component", "group")
     parts = members.groupBy("group").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
     members = stored(members.join(parts, "group").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) AS int)")), "unresolved")
-    rows = members.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = members.join(texts, "id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
     rows = rows.select(F.xxhash64("group", low, high).alias("tile"), "id", "root", side.alias("side"), "sketch", "text")
@@ -378,13 +384,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while not (large := found.where("kind = 1")).isEmpty():
         dense = found.where("kind = 2").select(F.col("a").alias("node"), ((F.col("b") >= int(1000 * DENSE)) | F.lit(depth >= DEEPEST)).alias("dense"))
         placed = large.select(F.col("a").alias("node"), F.col("b").alias("id"), "sketch").join(components(links), "id", "left").select("node", "id", "sketch", F.coalesce("component", "id").alias("root"))
-        mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").join(dense, "node").select("node", "dense")
-        placed = stored(placed.join(mixed, "node"), "mixed-nodes")
-        found = compared(placed.where("NOT dense").join(firsts, "id").select("node", "id", "sketch", "root", "tokens").mapInArrow(_deepen, "node long, id long, sketch long, root long"))
-        more = confirm(found.where("kind = 0").select("a", "b").distinct(), texts)
-        if not (tight := placed.where("dense")).isEmpty():
-            more = more.union(resolve(tight.drop("dense"), texts))
-        links, depth = stored(links.union(more), "links"), depth + 1
+        mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most")
+        way = F.when(F.col("n") <= SIDE, "tile").when("dense", "family").otherwise("branch")
+        placed = stored(placed.join(mixed.join(dense, "node").select("node", way.alias("way")), "node"), "mixed-nodes")
+        ways = {r["way"] for r in placed.select("way").distinct().collect()}  # three at most
+        more = [resolve(placed.where(F.col("way") == w).drop("way"), texts, w == "family") for w in ("tile", "family") if w in ways]
+        if "branch" in ways:
+            found = compared(placed.where("way = 'branch'").join(firsts, "id").select("node", "id", "sketch", "root", "tokens").mapInArrow(_deepen, "node long, id long, sketch long, root long"))
+            more.append(confirm(found.where("kind = 0").select("a", "b").distinct(), texts))
+        if not more:
+            break
+        links, depth = stored(reduce(DataFrame.union, [links, *more]), "links"), depth + 1
+        if "branch" not in ways:
+            break
     roots = components(links)
     own = classes.join(roots, "id", "left").select("n_shingles", "p", "q", F.coalesce("component", "id").alias("component_id"))
     shared = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

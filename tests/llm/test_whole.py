@@ -151,6 +151,7 @@ def test_large_nodes_branch_until_small_or_dense(spark, monkeypatch):
                 root[max(p, q)] = min(p, q)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     levels = []
+    monkeypatch.setattr(near_dedup, "SIDE", 16)
     monkeypatch.setattr(near_dedup, "compared", lambda nodes, f=near_dedup.compared: (levels.append(1), f(nodes))[1])
     got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
     assert got == {i: find(i) for i in range(len(texts))} and len(levels) > 1
