@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         dense = found.where("kind = 2").select(F.col("a").alias("node"), ((F.col("b") >= int(1000 * DENSE)) | F.lit(depth >= DEEPEST)).alias("dense"))
         placed = large.select(F.col("a").alias("node"), F.col("b").alias("id"), "sketch").join(components(links), "id", "left").select("node", "id", "sketch", F.coalesce("component", "id").alias("root"))
         mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most")
-        way = F.when(F.col("n") <= SIDE, "tile").when("dense", "family").otherwise("branch")
+        way = F.when(F.col("n") <= SIDE, "tile").when(F.col("dense"), "family").otherwise("branch")
         placed = stored(placed.join(mixed.join(dense, "node").select("node", way.alias("way")), "node"), "mixed-nodes")
         ways = {r["way"] for r in placed.select("way").distinct().collect()}  # three at most
         more = [resolve(placed.where(F.col("way") == w).drop("way"), texts, w == "family") for w in ("tile", "family") if w in ways]
