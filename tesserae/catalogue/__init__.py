@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import graphs, pixels, plans, scores
+from . import files, graphs, pixels, plans, scores, videos
 
-QUERIES: dict = {**pixels.QUERIES, **scores.QUERIES, **graphs.QUERIES, **plans.QUERIES}
-ORACLES: dict = {**pixels.ORACLES, **scores.ORACLES, **graphs.ORACLES, **plans.ORACLES}
+_PARTS = (pixels, scores, graphs, plans, files, videos)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -104,10 +104,23 @@ def overlay_border(spark, d):
 
 
 _CODE = " + ".join(f"CASE WHEN {n} IS NULL OR {n} = spix THEN {1 << i} ELSE 0 END" for i, n in enumerate(("nw", "n", "ne", "w", "e", "sw", "s", "se")))
-_SIMPLE = ", ".join(str(c) for c, v in enumerate(stencil.simple_table()) if v)
 
 
-@register(f"WITH {NEAR}, k AS (SELECT t, y, x, {_CODE} AS code FROM near8) SELECT t, y, x, code, code IN ({_SIMPLE}) AS is_simple FROM k")
+def _simple_codes() -> str:
+    """SQL for the codes whose same-label neighbours, and also the others, form one run around the centre that holds n, e, s or w.
+
+    A run begins where the neighbour before it is of the other kind; a run of a single corner doesn't count.
+    """
+    ring = [f"((c >> {bit}) & 1)" for bit in (0, 1, 2, 4, 7, 6, 5, 3)]  # nw n ne e se s sw w
+    begun = {k: " + ".join(f"({a} = {k} AND {ring[i - 1]} <> {k})::INT" for i, a in enumerate(ring)) for k in (0, 1)}
+    corner = {k: " + ".join(f"({ring[i]} = {k} AND {ring[i - 1]} <> {k} AND {ring[i + 1]} <> {k})::INT" for i in (0, 2, 4, 6)) for k in (0, 1)}
+    return f"SELECT c FROM range(256) r(c) WHERE {begun[0]} - ({corner[0]}) = 1 AND {begun[1]} - ({corner[1]}) = 1"
+
+
+SIMPLE_CODES = _simple_codes()
+
+
+@register(f"WITH {NEAR}, k AS (SELECT t, y, x, {_CODE} AS code FROM near8) SELECT t, y, x, code, code IN ({SIMPLE_CODES}) AS is_simple FROM k")
 def simple_points(spark, d):
     return stencil.simple_points(segments(spark, d)).select("t", "y", "x", "code", "is_simple")
 
@@ -117,10 +130,9 @@ def square_init(spark, d):
     return regions.square_cells(pixels(spark, d), 7, WIDTH).select("t", "y", "x", "spix")
 
 
-_TALL, _WIDE, _NX, _NY = regions.hex_geometry(7, WIDTH, HEIGHT)
-
-
-@register(f"""WITH {PX}, centre AS (SELECT i AS j, (i % {_NX}) * {_WIDE!r} + CASE WHEN (i // {_NX}) % 2 = 0 THEN 0.5 * {_WIDE!r} ELSE 0 END AS cx, (i // {_NX}) * {_TALL!r} AS cy FROM range({_NX * _NY}) r(i))
+@register(f"""WITH {PX}, pitch AS (SELECT sqrt(3) * sqrt(49 / (1.5 * sqrt(3))) AS wide, 1.5 * sqrt(49 / (1.5 * sqrt(3))) AS tall),
+    size AS (SELECT *, CAST(floor(50 / wide) AS INTEGER) + 2 AS nx, CAST(floor(30 / tall) AS INTEGER) + 2 AS ny FROM pitch),
+    centre AS (SELECT i AS j, (i % nx) * wide + CASE WHEN (i // nx) % 2 = 0 THEN 0.5 * wide ELSE 0 END AS cx, (i // nx) * tall AS cy FROM size, range(400) r(i) WHERE i < nx * ny)
     SELECT t, y, x, CAST(arg_min(j, row(round(pow(x - cx, 2) + pow(y - cy, 2), 6), -j)) AS INTEGER) AS spix FROM px, centre GROUP BY t, y, x""")
 def hex_init(spark, d):
     return regions.hex_cells(pixels(spark, d), 7, WIDTH, HEIGHT).select("t", "y", "x", "spix")

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..operators.regions import pooled_video
 from ..plans import drivers, experiments, loops, mesh
-from ..plans.frame import Options
-from ..sources.testdata import EDGE, FACE, PX, SEG, VERTEX, edges, faces, flows, pixels, segments, vertices
+from ..plans import frame as kernel
+from ..plans.frame import PHASES, Options
+from ..sources.testdata import EDGE, PX, SEG, STRIPE, VERTEX, drift, edges, flows, pixels, segments, stripes, table, vertices
+from . import scores
 from .pixels import holes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 SMALL = Options(sp_size=7, niters=8, sigma_app=0.3)
+#: For the stripes, whose colours are far apart.
+SHARP = Options(sp_size=7, niters=16, sigma_app=0.02)
 
 
 def register(sql: str | None = None):
@@ -29,52 +37,118 @@ def unit(df):
     return df.withColumns({f"c{i}": F.col(f"c{i}") / 255 for i in range(3)})
 
 
-def invariants(labels, pieces: bool = True):
-    """By frame: pixels, pixels without a label, and pieces beyond one for each region."""
-    out = labels.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("spix") < 0).alias("n_missing"), F.countDistinct("spix").alias("k"))
-    if not pieces:
-        return out.select("t", "n", "n_missing")
-    found = drivers.components_8(labels).groupBy("t").agg(F.countDistinct("spix").alias("p"))
-    return out.join(found, "t").select("t", "n", "n_missing", (F.col("p") - F.col("k")).alias("n_extra"))
+def region_colours(labels, pixels):
+    """t, y, x and the mean colour of each pixel's region, which is its own colour if no region goes beyond a stripe."""
+    found = labels.select("t", "y", "x", "spix").join(pixels, ["t", "y", "x"])
+    return pooled_video(found).select("t", "y", "x", *((F.round(f"m{i}", 6) + F.lit(0.0)).alias(f"m{i}") for i in (0, 1)))
 
 
-_WHOLE = f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM px GROUP BY t"
+_OWN_COLOURS = f"WITH {STRIPE} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1 FROM stripe"
 
 
-@register(_WHOLE)
+@register(_OWN_COLOURS.replace("FROM stripe", "FROM stripe WHERE t % 5 < 3"))
 def segment_frames(spark, d):
-    return invariants(loops.cut(drivers.segment_frames(unit(pixels(spark, d)), SMALL)))
+    """Regions of single frames end where the stripes do. (In other frames a stripe is cut to less than a region is wide.)"""
+    px = stripes(spark, d).where("t % 5 < 3")
+    return region_colours(drivers.segment_frames(px, SHARP), px)
 
 
-@register(_WHOLE)
+@register(_OWN_COLOURS.replace("FROM stripe", "FROM stripe WHERE t % 5 < 3"))
 def segment_frames_batched(spark, d):
-    return invariants(loops.cut(drivers.segment_frames_batched(unit(pixels(spark, d)), SMALL)))
+    px = stripes(spark, d).where("t % 5 < 3")
+    return region_colours(drivers.segment_frames_batched(px, SHARP), px)
+
 
+@register(f"WITH {PX} SELECT t, count(*) AS n, count(*) AS n_same FROM px GROUP BY t")
+def segment_frames_alone(spark, d):
+    """Frames taken together and one by one: the pixels with the same label."""
+    px = unit(pixels(spark, d)).where("t < 4")
+    together = drivers.segment_frames(unit(pixels(spark, d)), SMALL).select("t", "y", "x", F.col("spix").alias("a"))
+    alone = reduce(DataFrame.union, [drivers.segment_frames(px.where(F.col("t") == k), SMALL) for k in range(4)])
+    later = drivers.segment_frames(unit(pixels(spark, d)).where("t >= 4"), SMALL)
+    both = alone.union(later).join(together, ["t", "y", "x"])
+    return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("spix")).alias("n_same"))
 
-@register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing FROM px GROUP BY t")
+
+@register(f"WITH {STRIPE} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1 FROM stripe")
 def segment_videos(spark, d):
-    return invariants(drivers.segment_videos(unit(pixels(spark, d)), flows(spark, d), SMALL), pieces=False)
+    """Regions of a video follow the stripes from frame to frame."""
+    px = stripes(spark, d)
+    return region_colours(drivers.segment_videos(px, drift(spark, d), SHARP), px)
+
+
+@register(f"WITH {PX} SELECT t, true AS kept, true AS known FROM px WHERE t > 0 GROUP BY t")
+def stable_ids(spark, d):
+    """By frame: at least nine tenths of the pixels keep their label along the motion, and at least as many labels are old."""
+    out = loops.cut(drivers.segment_videos(stripes(spark, d), drift(spark, d), SHARP)).select("t", "y", "x", "spix")
+    before = out.select((F.col("t") + 1).alias("t"), "y", (F.col("x") - 2).alias("x"), F.col("spix").alias("was"))
+    kept = out.join(before, ["t", "y", "x"]).groupBy("t").agg((F.avg((F.col("was") == F.col("spix")).cast("int")) >= 0.9).alias("kept"))
+    ids = out.groupBy("t").agg(F.collect_set("spix").alias("ids"))
+    old = ids.select((F.col("t") + 1).alias("t"), F.col("ids").alias("before"))
+    known = ids.join(old, "t").select("t", (F.size(F.array_intersect("ids", "before")) >= 0.8 * F.size("ids")).alias("known"))
+    return kept.join(known, "t")
 
 
-@register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing FROM px GROUP BY t")
+@register(f"WITH {PX} SELECT t, count(*) AS n, 0::BIGINT AS n_missing, true AS on_target FROM px GROUP BY t")
 def controlled_count(spark, d):
-    return invariants(drivers.controlled_count(unit(pixels(spark, d)), 40, SMALL), pieces=False)
+    """Within five hundredths of forty regions, and all pixels have one."""
+    out = drivers.controlled_count(unit(pixels(spark, d)), 40, SMALL).groupBy("t")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("spix") < 0).alias("n_missing"), F.countDistinct("spix").between(38, 42).alias("on_target"))
 
 
-@register(f"WITH {SEG} SELECT t, count(*) AS n, 0::BIGINT AS n_missing, true AS no_more FROM seg GROUP BY t")
+@register(f"WITH {STRIPE} SELECT t, y, x, CAST(min(x) OVER (PARTITION BY t, band) AS INTEGER) AS first FROM stripe")
 def merge_only(spark, d):
-    seg = segments(spark, d)
-    out = drivers.merge_only(unit(seg), SMALL)
-    ks = seg.groupBy("t").agg(F.countDistinct("spix").alias("k0"))
-    return out.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("spix") < 0).alias("n_missing"), F.countDistinct("spix").alias("k")).join(ks, "t").select("t", "n", "n_missing", (F.col("k") <= F.col("k0")).alias("no_more"))
+    """Squares merge into whole stripes; a region is named by the place of its first pixel."""
+    seg = stripes(spark, d).withColumn("spix", F.expr("cast((y div 5) * 12 + ((x + 2 * t) div 10 - (2 * t) div 10) * 2 + ((x + 2 * t) % 10) div 5 AS int)"))
+    out = drivers.merge_only(seg, SHARP, 16)
+    first = F.min(F.struct("y", "x")).over(Window.partitionBy("t", "spix"))["x"]
+    return out.select("t", "y", "x", first.alias("first"))
 
 
-@register(f"WITH {SEG} SELECT t, count(*) AS n, 0::BIGINT AS n_missing, CAST(count(*) FILTER (NOT (x BETWEEN 10 AND 20 AND y BETWEEN 7 AND 15)) AS BIGINT) AS n_kept FROM seg GROUP BY t")
+def _fill_sql(passes: int) -> str:
+    """Passes of filling, phase by phase, over the pixels of the hole and its edge."""
+    from .pixels import _HOLES
+
+    out = f"WITH {_HOLES}, m AS (SELECT t, spix, avg(x) AS mx, avg(y) AS my FROM hole WHERE spix IS NOT NULL GROUP BY t, spix), f0 AS (SELECT * FROM hole WHERE x BETWEEN 9 AND 21 AND y BETWEEN 6 AND 16)"
+    k = 0
+    for _ in range(passes):
+        for a, b in PHASES:
+            out += f""", c{k} AS (SELECT h.t, h.y, h.x, arg_min(o.spix, row(round(pow((h.x - mx) / 50, 2) + pow((h.y - my) / 30, 2), 9), o.spix)) AS filled FROM f{k} h JOIN f{k} o ON o.t = h.t AND abs(o.y - h.y) + abs(o.x - h.x) = 1 JOIN m ON m.t = o.t AND m.spix = o.spix
+                WHERE h.spix IS NULL AND h.x % 2 = {a} AND h.y % 2 = {b} GROUP BY h.t, h.y, h.x), f{k + 1} AS MATERIALIZED (SELECT f{k}.t, f{k}.y, f{k}.x, coalesce(spix, filled) AS spix FROM f{k} LEFT JOIN c{k} USING (t, y, x))"""
+            k += 1
+    return out + f" SELECT hole.t, hole.y, hole.x, CAST(coalesce(hole.spix, f{k}.spix) AS INTEGER) AS spix FROM hole LEFT JOIN f{k} USING (t, y, x)"
+
+
+@register(_fill_sql(4))
 def fill_missing_full(spark, d):
-    before = holes(spark, d)
-    after = drivers.fill_missing(before)
-    both = after.select("t", "y", "x", F.col("spix").alias("now")).join(before, ["t", "y", "x"])
-    return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("now") < 0).alias("n_missing"), F.count_if(F.col("now") == F.col("spix")).alias("n_kept"))
+    """The kernel's filling, to the end: in each phase a missing pixel takes the label around it with the nearest centre."""
+    return drivers.fill_missing(holes(spark, d)).select("t", "y", "x", "spix")
+
+
+@register(f"SELECT s.t, s.y, s.x, coalesce(e.label, s.spix) AS spix FROM (WITH {SEG} SELECT t, y, x, spix FROM seg) s LEFT JOIN ({scores.ORACLES['estep_one_phase']}) e ON e.t = s.t AND e.y = s.y AND e.x = s.x")
+def estep_kernel(spark, d):
+    """One phase of border moves by the kernel that the drivers run."""
+
+    def work(f):
+        image, labels = drivers.raster(f, ["c0", "c1", "c2"]), drivers.raster(f, ["spix"])[..., 0].astype(int)
+        size = labels.max() + 1
+        p = kernel.parameters(image, labels, np.full(size, 25.0), np.zeros(size, bool), 5)
+        return kernel.update_labels(image, labels, p, 100.0, 10.0, 1, ((0, 0),))
+
+    return drivers._each(segments(spark, d), work).select("t", "y", "x", "spix")
+
+
+@register(f"SELECT s.t, s.y, s.x, coalesce(e.target, s.spix) AS spix FROM (WITH {SEG} SELECT t, y, x, spix FROM seg) s LEFT JOIN ({scores.ORACLES['merge_accept']}) e ON e.t = s.t AND e.spix = s.spix")
+def merge_kernel(spark, d):
+    """One round of merges, downwards, by the kernel that the drivers run."""
+
+    def work(f):
+        image, labels = drivers.raster(f, ["c0", "c1", "c2"]), drivers.raster(f, ["spix"])[..., 0].astype(int)
+        size = labels.max() + 1
+        p = kernel.parameters(image, labels, np.full(size, 25.0), np.zeros(size, bool), 5)
+        return kernel.merge(image, labels, p, Options(sp_size=5), 1)[0]
+
+    return drivers._each(unit(segments(spark, d)), work).select("t", "y", "x", "spix")
 
 
 @register(f"""WITH RECURSIVE {PX}, l AS (SELECT t, y, x, CAST(c1 % 9 AS INTEGER) AS spix FROM px), e AS (SELECT a.t, a.y * 50 + a.x AS p, b.y * 50 + b.x AS q FROM l a JOIN l b ON a.t = b.t AND a.spix = b.spix AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
@@ -86,8 +160,6 @@ def components_8(spark, d):
 
 @register(f"WITH {SEG} SELECT t, y, x, CAST(y % 5 + x % 5 AS INTEGER) AS steps FROM seg")
 def geodesic_bfs(spark, d):
-    import numpy as np
-
     from ..plans.frame import distances
 
     def work(f):
@@ -107,13 +179,20 @@ def graph_coloring(spark, d):
     return c.agg(F.countDistinct("v").alias("n_vertices"), F.count_if(F.col("colour").isNull()).alias("n_uncoloured")).crossJoin(conflicts).select("n_vertices", "n_conflicts", "n_uncoloured")
 
 
-@register(f"WITH {VERTEX} SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS n_distinct_vertices, 0::BIGINT AS n_split FROM vertex")
+def _flood_sql(steps: int = 12) -> str:
+    """Pieces of a cell by passing on least vertices; the piece of the vertex nearest to the cell's centroid is reached."""
+    out = f"WITH {VERTEX}, adj AS (SELECT e.u AS p, e.v AS q FROM edge e JOIN vertex a ON a.v = e.u JOIN vertex b ON b.v = e.v WHERE a.spix = b.spix), both_ways AS (SELECT p, q FROM adj UNION SELECT q, p FROM adj UNION SELECT v, v FROM vertex), l0 AS (SELECT v AS id, v AS piece FROM vertex)"
+    for k in range(steps):
+        out += f", l{k + 1} AS MATERIALIZED (SELECT w.p AS id, min(x.piece) AS piece FROM both_ways w JOIN l{k} x ON x.id = w.q GROUP BY w.p)"
+    return out + f""", c AS (SELECT spix, avg(px) AS x, avg(py) AS y, avg(pz) AS z FROM vertex GROUP BY spix), s AS (SELECT vertex.spix, arg_min(v, row(round(pow(px - x, 2) + pow(py - y, 2) + pow(pz - z, 2), 9), v)) AS v FROM vertex JOIN c ON c.spix = vertex.spix GROUP BY vertex.spix),
+        r AS (SELECT piece, CAST(row_number() OVER (ORDER BY piece) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT piece FROM l{steps}))
+        SELECT l.id AS v, r.k AS spix, l.piece = m.piece AS reached FROM l{steps} l JOIN r ON r.piece = l.piece JOIN vertex ON vertex.v = l.id JOIN s ON s.spix = vertex.spix JOIN l{steps} m ON m.id = s.v"""
+
+
+@register(_flood_sql())
 def flood_fill(spark, d):
     e, v = edges(spark, d), vertices(spark, d)
-    out = loops.cut(mesh.flood_filled(e, v.select("v", F.col("spix").alias("cell")), v))
-    same = e.join(out.select(F.col("v").alias("u"), F.col("spix").alias("a")), "u").join(out.select("v", F.col("spix").alias("b")), "v").join(v.select(F.col("v").alias("u"), F.col("spix").alias("p")), "u").join(v.select("v", F.col("spix").alias("q")), "v")
-    split = same.agg(F.count_if((F.col("p") == F.col("q")) & (F.col("a") != F.col("b"))).alias("n_split"))
-    return out.agg(F.count("*").alias("n"), F.countDistinct("v").alias("n_distinct_vertices")).crossJoin(split)
+    return mesh.flood_filled(e, v.select("v", F.col("spix").alias("cell")), v)
 
 
 def _component_sql(steps: int = 10) -> str:
@@ -129,19 +208,22 @@ def graph_components(spark, d):
     return loops.components(edges(spark, d))
 
 
-@register(f"WITH {FACE} SELECT 0::BIGINT AS n_bad, true AS some")
+@register("WITH p AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS k FROM part) SELECT CAST(k // 6 * 7 AS INTEGER) AS v, CAST(list(CAST(k AS INTEGER) ORDER BY k) AS INTEGER[]) AS ring FROM p GROUP BY k // 6 HAVING count(*) = 6")
 def dual_mesh(spark, d):
-    """Rings hold each face once, and each of a ring's faces touches the vertex."""
-    f = spark.range(24).selectExpr("cast(id AS int) AS f", "cast(id div 6 AS int) * 7 AS a", "cast(id div 6 * 7 + 1 + id % 6 AS int) AS b", "cast(id div 6 * 7 + 1 + (id + 1) % 6 AS int) AS c")
-    f = f.union(faces(spark, d).select((F.col("f") + 1000).alias("f"), *((F.col(c) + 1000).alias(c) for c in "abc")))  # four closed fans, then the strip
-    rings = mesh.vertex_rings(f)
-    return rings.agg(F.count_if(F.size("ring") != F.size(F.array_distinct("ring"))).alias("n_bad"), (F.count("*") >= 4).alias("some"))
+    """The faces around the middles of fans of six, in their order; a ring begins at its least face and goes to the lesser side."""
+    part = table(spark, d, "part")
+    k = part.crossJoin(F.broadcast(part.agg(F.min("p_partkey").alias("least")))).select((F.col("p_partkey") - F.col("least")).alias("k"))
+    f = k.selectExpr("cast(k AS int) AS f", "cast(k div 6 AS int) * 7 AS a", "cast(k div 6 * 7 + 1 + k % 6 AS int) AS b", "cast(k div 6 * 7 + 1 + (k + 1) % 6 AS int) AS c")
+    return mesh.vertex_rings(f.repartition(7, F.hash("f"))).withColumn("ring", mesh.ring_from_least(F.col("ring")))
 
 
-@register(f"WITH {VERTEX} SELECT count(*) AS n, 0::BIGINT AS n_unlabelled FROM vertex")
+@register(f"WITH {PX} SELECT CAST(t * 1500 + y * 50 + x AS INTEGER) AS v, CAST(2 * t + CASE WHEN x >= 25 THEN 1 ELSE 0 END AS INTEGER) AS spix FROM px")
 def segment_mesh(spark, d):
-    out = mesh.segment_mesh(edges(spark, d), vertices(spark, d))
-    return out.agg(F.count("*").alias("n"), F.count_if(F.col("spix").isNull()).alias("n_unlabelled"))
+    """Grids of two colours whose regions begin two columns off: the borders move to where the colours change."""
+    px = pixels(spark, d).withColumn("p", F.expr("cast(t * 1500 + y * 50 + x AS int)"))
+    v = px.selectExpr("p AS v", "cast(x + 60 * t AS double) AS px", "cast(y AS double) AS py", "0D AS pz", "IF(x < 25, 0D, 100D) AS f0", "0D AS f1", "0D AS f2", "2 * t + IF(x < 27, 0, 1) AS spix")
+    e = px.where("x < 49").selectExpr("p AS u", "p + 1 AS v").union(px.where("y < 29").selectExpr("p", "p + 50"))
+    return mesh.segment_mesh(e, v, side=2)
 
 
 @register("""SELECT 'id_' || place AS id, place, potts, sigma_app, sp_size FROM (SELECT CAST(p.i * 1 + s.i * 3 * 2 + z.i * 3 AS INTEGER) AS place, potts, sigma_app, sp_size
@@ -168,8 +250,6 @@ def grid_picked(spark, d):
 
 @register("SELECT 'video' AS suite, 1::BIGINT AS n UNION ALL SELECT * FROM (VALUES ('image', 1), ('split', 22), ('rsplit', 6), ('relabel', 12), ('overlap', 2), ('bshape', 9), ('cboundary', 4), ('flow', 3)) t(suite, n)")
 def experiment_suites(spark, d):
-    from functools import reduce
-
     parts = [experiments.suite(spark, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("suite"), "n") for n in experiments.SUITES]
     return reduce(lambda a, b: a.union(b), parts)
 

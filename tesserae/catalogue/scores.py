@@ -180,12 +180,12 @@ _COLS = ["n", *(f"{c}{i}" for c in "sq" for i in range(3))]
 
 
 @register(f"""WITH {_HALF}, b AS (SELECT k.t, k.spix, {', '.join(f'k.{c} AS k_{c}, s.{c} AS s_{c}' for c in _COLS)} FROM mom k JOIN mom s ON k.t = s.t AND k.spix = s.spix AND k.side = 0 AND s.side = 1)
-    SELECT t, spix, round({_m('k_')} + {_m('s_')} - {_m('k_', 's_')} - 4.0 * (1 - 0.5), 4) AS h, {_m('k_')} + {_m('s_')} - {_m('k_', 's_')} - 4.0 * (1 - 0.5) > -2 AND k_n + s_n >= 20 AS accept FROM b""")
+    SELECT t, spix, round({_m('k_')} + {_m('s_')} - {_m('k_', 's_')} - 4.0 * (1 - spix % 8 / 8.0), 4) AS h, {_m('k_')} + {_m('s_')} - {_m('k_', 's_')} - 4.0 * (1 - spix % 8 / 8.0) > -2 AND k_n + s_n >= 20 AS accept FROM b""")
 def split_proposal_stats(spark, d):
     unit = segments(spark, d).withColumns({f"c{i}": F.col(f"c{i}") / 255 for i in range(3)}).withColumn("side", (F.col("y") + F.col("x")) % 2)
     m = regions.moments(unit, squares=True, key=("t", "spix", "side"))
     parts = [m.where(F.col("side") == k).select("t", "spix", *(F.col(c).alias(f"{p}{c}") for c in _COLS)) for k, p in ((0, "k_"), (1, "s_"))]
-    both = parts[0].join(parts[1], ["t", "spix"]).withColumn("iperc", F.lit(0.5))
+    both = parts[0].join(parts[1], ["t", "spix"]).withColumn("iperc", F.col("spix") % 8 / 8)
     return regions.split_scores(both, _SIGMA, gamma=4.0, least_size=20).select("t", "spix", F.round("h", 4).alias("h"), "accept")
 
 
@@ -222,13 +222,11 @@ def merge_accept(spark, d):
 
 
 def _estep_sql() -> str:
-    from ..operators.stencil import simple_table
-    from .pixels import NEAR
+    from .pixels import NEAR, SIMPLE_CODES
 
-    simple = ", ".join(str(c) for c, v in enumerate(simple_table()) if v)
     around = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
     code = lambda d: "(" + " + ".join(f"CASE WHEN {o} IS NULL OR {o} = {d} THEN {1 << i} ELSE 0 END" for i, o in enumerate(around)) + ")"
-    ok = " AND ".join(f"({d} IS NULL OR {code(d)} IN ({simple}))" for d in "nswe")
+    ok = " AND ".join(f"({d} IS NULL OR {code(d)} IN ({SIMPLE_CODES}))" for d in "nswe")
     ctes = _params_sql(25.0).replace(SEG, NEAR) + f", act AS (SELECT * FROM near8 WHERE x % 2 = 0 AND y % 2 = 0 AND (n IS NULL OR s IS NULL OR w IS NULL OR e IS NULL OR n <> spix OR s <> spix OR w <> spix OR e <> spix) AND {ok})"
     parts = []
     for k, d in enumerate("nswe"):

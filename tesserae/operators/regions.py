@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import inverse2, smooth
+from .stencil import frame_key, neighbours, same_code, simple_table, video_key
 
-KEY = ("t", "spix")
+
+def region_key(df: DataFrame) -> list[str]:
+    """What names a region: its frame and its id."""
+    return [*frame_key(df), "spix"]
 
 
 def square_cells(pixels: DataFrame, side: int, width: int) -> DataFrame:
@@ -42,21 +46,21 @@ def hex_cells(pixels: DataFrame, side: int, width: int, height: int) -> DataFram
 
 
 def sizes(seg: DataFrame) -> DataFrame:
-    return seg.where(F.col("spix").isNotNull()).groupBy(*KEY).agg(F.count("*").alias("n"))
+    return seg.where(F.col("spix").isNotNull()).groupBy(*region_key(seg)).agg(F.count("*").alias("n"))
 
 
 def count_invalid(seg: DataFrame) -> DataFrame:
-    return seg.groupBy("t").agg(F.count_if(F.col("spix").isNull()).alias("n_invalid"), F.count("*").alias("n"))
+    return seg.groupBy(*frame_key(seg)).agg(F.count_if(F.col("spix").isNull()).alias("n_invalid"), F.count("*").alias("n"))
 
 
-def moments(seg: DataFrame, squares: bool = False, key: tuple[str, ...] = KEY) -> DataFrame:
+def moments(seg: DataFrame, squares: bool = False, key: tuple[str, ...] | None = None) -> DataFrame:
     """n and the sums of colours, places and products of places of each region: one shuffle, combined before it."""
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
     sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y)}
     sums |= {f"s{i}": F.sum(f"c{i}") for i in range(3)}
     if squares:
         sums |= {f"q{i}": F.sum(F.col(f"c{i}") * F.col(f"c{i}")) for i in range(3)}
-    return seg.where(F.col("spix").isNotNull()).groupBy(*key).agg(*(c.alias(k) for k, c in sums.items()))
+    return seg.where(F.col("spix").isNotNull()).groupBy(*(key or region_key(seg))).agg(*(c.alias(k) for k, c in sums.items()))
 
 
 def parameters(stats: DataFrame, prior_count: Column, side: int, propagated: Column | None = None) -> DataFrame:
@@ -76,18 +80,18 @@ def parameters(stats: DataFrame, prior_count: Column, side: int, propagated: Col
     total = n + 50 * pc + 3
     cov = {k: (pc * prior[k] + scatter[k]) / total for k in scatter}
     inv = inverse2(cov["xx"], cov["xy"], cov["yy"])
-    return stats.select(*KEY, "n", *((F.col(f"s{i}") / n).alias(f"mu{i}") for i in range(3)), mx.alias("mx"), my.alias("my"), *(inv[k].alias(f"i{k}" if k != "logdet" else k) for k in inv))
+    return stats.select(*region_key(stats), "n", *((F.col(f"s{i}") / n).alias(f"mu{i}") for i in range(3)), mx.alias("mx"), my.alias("my"), *(inv[k].alias(f"i{k}" if k != "logdet" else k) for k in inv))
 
 
 def pooled(seg: DataFrame, over_time: bool = False) -> DataFrame:
     """Mean colours of each region (of a frame, or of all frames)."""
-    key = ["spix"] if over_time else list(KEY)
+    key = [*video_key(seg), "spix"] if over_time else region_key(seg)
     return seg.where(F.col("spix").isNotNull()).groupBy(*key).agg(F.count("*").alias("n"), *(F.avg(f"c{i}").alias(f"m{i}") for i in range(3)))
 
 
 def pooled_video(seg: DataFrame, over_time: bool = False) -> DataFrame:
     """seg with the mean colours of the pixel's region as m0, m1, m2: a window over what one shuffle brings together."""
-    w = Window.partitionBy("spix") if over_time else Window.partitionBy(*KEY)
+    w = Window.partitionBy(*([*video_key(seg), "spix"] if over_time else region_key(seg)))
     return seg.select("*", *(F.avg(f"c{i}").over(w).alias(f"m{i}") for i in range(3)))
 
 
@@ -96,25 +100,27 @@ def compacted(seg: DataFrame, previous: int) -> DataFrame:
 
     Ranks come from the distinct ids of a frame, not from its pixels.
     """
-    ids = seg.where(F.col("spix") >= previous).select(*KEY).distinct()
-    ranked = ids.withColumn("new", F.dense_rank().over(Window.partitionBy("t").orderBy("spix")) - 1 + previous)
-    return seg.join(ranked, list(KEY), "left").withColumn("spix", F.coalesce("new", "spix").cast("int")).drop("new")
+    key = region_key(seg)
+    ids = seg.where(F.col("spix") >= previous).select(*key).distinct()
+    ranked = ids.withColumn("new", F.dense_rank().over(Window.partitionBy(*key[:-1]).orderBy("spix")) - 1 + previous)
+    return seg.join(ranked, key, "left").withColumn("spix", F.coalesce("new", "spix").cast("int")).drop("new")
 
 
 def compacted_first_seen(seg: DataFrame) -> DataFrame:
     """Ids renumbered in the order in which the pixels of a frame show them first."""
-    first = seg.where(F.col("spix").isNotNull()).groupBy(*KEY).agg(F.min(F.struct("y", "x")).alias("f"))
-    ranked = first.select(*KEY, (F.row_number().over(Window.partitionBy("t").orderBy("f")) - 1).alias("new"))
-    return seg.join(ranked, list(KEY), "left").withColumn("spix", F.col("new").cast("int")).drop("new")
+    key = region_key(seg)
+    first = seg.where(F.col("spix").isNotNull()).groupBy(*key).agg(F.min(F.struct("y", "x")).alias("f"))
+    ranked = first.select(*key, (F.row_number().over(Window.partitionBy(*key[:-1]).orderBy("f")) - 1).alias("new"))
+    return seg.join(ranked, key, "left").withColumn("spix", F.col("new").cast("int")).drop("new")
 
 
 def living(seg: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of known (t, spix) that stand in seg."""
-    return known.join(seg.select(*KEY).distinct(), list(KEY), "left_semi")
+    return known.join(seg.select(*region_key(seg)).distinct(), region_key(seg), "left_semi")
 
 
 def dead(seg: DataFrame, known: DataFrame) -> DataFrame:
-    return known.join(seg.select(*KEY).distinct(), list(KEY), "left_anti")
+    return known.join(seg.select(*region_key(seg)).distinct(), region_key(seg), "left_anti")
 
 
 def identity_distances(now: DataFrame, before: DataFrame, width: int, height: int) -> DataFrame:
@@ -122,18 +128,19 @@ def identity_distances(now: DataFrame, before: DataFrame, width: int, height: in
 
     Only regions of one frame pair meet (a join on t), and a region keeps only its best candidate.
     """
-    old = before.select("t", *(F.col(c).alias(f"o_{c}") for c in ("spix", "mu0", "mu1", "mu2", "mx", "my", "is_dead")))
+    frame, key = frame_key(now), region_key(now)
+    old = before.select(*frame, *(F.col(c).alias(f"o_{c}") for c in ("spix", "mu0", "mu1", "mu2", "mx", "my", "is_dead")))
     near = [F.pow(F.col(f"mu{i}") - F.col(f"o_mu{i}"), F.lit(2)) for i in range(3)]
     place = F.pow((F.col("mx") - F.col("o_mx")) / width, F.lit(2)) + F.pow((F.col("my") - F.col("o_my")) / height, F.lit(2))
     delta = F.round(near[0] + near[1] + near[2] + place * 10, 9)
-    pairs = now.join(old, "t").where(F.col("o_is_dead") | (F.col("o_spix") == F.col("spix"))).withColumn("delta", delta)
-    return pairs.groupBy(*KEY).agg(F.min(F.struct("delta", F.col("o_spix").alias("id"))).alias("best"), F.max(F.when(F.col("o_spix") == F.col("spix"), F.col("delta"))).alias("own")).select(*KEY, F.col("best.id").alias("candidate"), F.col("best.delta").alias("delta"), "own")
+    pairs = now.join(old, frame).where(F.col("o_is_dead") | (F.col("o_spix") == F.col("spix"))).withColumn("delta", delta)
+    return pairs.groupBy(*key).agg(F.min(F.struct("delta", F.col("o_spix").alias("id"))).alias("best"), F.max(F.when(F.col("o_spix") == F.col("spix"), F.col("delta"))).alias("own")).select(*key, F.col("best.id").alias("candidate"), F.col("best.delta").alias("delta"), "own")
 
 
 def identity_decisions(distances: DataFrame, epsilon_reid: float, epsilon_new: float) -> DataFrame:
     """revive: take over the nearest dead id (of several regions the nearest one does); new: far from what it was."""
     wants = (F.col("delta") < epsilon_reid) & (F.col("candidate") != F.col("spix"))
-    first = F.row_number().over(Window.partitionBy("t", "candidate", wants).orderBy("delta", "spix")) == 1
+    first = F.row_number().over(Window.partitionBy(*frame_key(distances), "candidate", wants).orderBy("delta", "spix")) == 1
     action = F.when(wants & first, "revive").when(~wants & (F.col("own") > epsilon_new), "new").otherwise("keep")
     return distances.withColumn("action", action)
 
@@ -156,52 +163,52 @@ def split_scores(parents: DataFrame, sigma: float, split_alpha: float = 0.0, gam
 
 def merge_candidates(seg: DataFrame, direction: str = "s") -> DataFrame:
     """For each region the largest label next to it in one direction (s: below, w: left)."""
-    from .stencil import neighbours
-
     near = neighbours(seg, diagonal=False).where((F.col(direction).isNotNull()) & (F.col(direction) != F.col("spix")))
-    return near.groupBy(*KEY).agg(F.max(direction).alias("target"))
+    return near.groupBy(*region_key(seg)).agg(F.max(direction).alias("target"))
 
 
 def merge_scores(candidates: DataFrame, stats: DataFrame, sigma: float, alpha: float, merge_alpha: float = 0.0) -> DataFrame:
     """h of merging each region into its target."""
     columns = ["n", *(f"{c}{i}" for c in "sq" for i in range(3))]
-    both = candidates.join(stats.select(*KEY, *(F.col(c).alias(f"k_{c}") for c in columns)), list(KEY)).join(stats.select("t", F.col("spix").alias("target"), *(F.col(c).alias(f"f_{c}") for c in columns)), ["t", "target"])
+    frame, key = frame_key(candidates), region_key(candidates)
+    both = candidates.join(stats.select(*key, *(F.col(c).alias(f"k_{c}") for c in columns)), key).join(stats.select(*frame, F.col("spix").alias("target"), *(F.col(c).alias(f"f_{c}") for c in columns)), [*frame, "target"])
     part = [marginal(F.col(f"{p}n"), [F.col(f"{p}s{i}") for i in range(3)], [F.col(f"{p}q{i}") for i in range(3)], sigma) for p in ("k_", "f_")]
     joint = marginal(F.col("k_n") + F.col("f_n"), [F.col(f"k_s{i}") + F.col(f"f_s{i}") for i in range(3)], [F.col(f"k_q{i}") + F.col(f"f_q{i}") for i in range(3)], sigma)
-    return both.select("t", "spix", "target", (joint - alpha - part[0] - part[1] + merge_alpha).alias("h"))
+    return both.select(*frame, "spix", "target", (joint - alpha - part[0] - part[1] + merge_alpha).alias("h"))
 
 
 def merge_accepted(scores: DataFrame, least: float = -2.0) -> DataFrame:
     """One region for each target (the highest h, then the smallest id); of two that want each other the smaller id goes."""
-    rank = Window.partitionBy("t", "target").orderBy(F.desc("h"), "spix")
+    frame = frame_key(scores)
+    rank = Window.partitionBy(*frame, "target").orderBy(F.desc("h"), "spix")
     chosen = scores.where(F.col("h") > least).withColumn("k", F.row_number().over(rank)).where("k = 1").drop("k")
-    back = chosen.select("t", F.col("spix").alias("target"), F.col("target").alias("wants"))
-    return chosen.join(back, ["t", "target"], "left").where(F.col("wants").isNull() | ((F.col("wants") == F.col("spix")) & (F.col("spix") < F.col("target")))).select("t", "spix", "target", "h")
+    back = chosen.select(*frame, F.col("spix").alias("target"), F.col("target").alias("wants"))
+    return chosen.join(back, [*frame, "target"], "left").where(F.col("wants").isNull() | ((F.col("wants") == F.col("spix")) & (F.col("spix") < F.col("target")))).select(*frame, "spix", "target", "h")
 
 
 def border_scores(seg: DataFrame, params: DataFrame, sigma2: float, potts: float, phase: tuple[int, int]) -> DataFrame:
     """One checkerboard phase of the boundary update: t, y, x and the new label of each pixel that may change.
 
     A border pixel may take the label of one of its four neighbours if its own removal keeps every label around it in
-    one piece. The candidates are four lookups of region parameters; of equal scores the first of n, s, w, e wins.
+    one piece. The candidates are rows, joined once with the parameters of their regions; of equal scores the first of n, s,
+    w, e wins.
     """
-    from .stencil import neighbours, same_code, simple_table
-
     flags = F.array(*(F.lit(b) for b in simple_table()))
     out = neighbours(seg)
     differs = [F.col(d).isNull() | (F.col(d) != F.col("spix")) for d in "nswe"]
     out = out.where((F.col("x") % 2 == phase[0]) & (F.col("y") % 2 == phase[1]) & (differs[0] | differs[1] | differs[2] | differs[3]))
     for d in "nswe":
         out = out.where(F.col(d).isNull() | F.element_at(flags, same_code(d) + 1))
-    names = ["n", "mu0", "mu1", "mu2", "mx", "my", "ixx", "ixy", "iyy", "logdet"]
-    scores = []
-    for k, d in enumerate("nswe"):
-        side = params.select("t", F.col("spix").alias(d), *(F.col(c).alias(f"{d}_{c}") for c in names[1:]))
-        out = out.join(side, ["t", d], "left")
-        d0, d1 = (F.col("x") - F.col(f"{d}_mx")).cast("int"), (F.col("y") - F.col(f"{d}_my")).cast("int")
-        colour = sum(F.pow(F.col(f"c{i}") - F.col(f"{d}_mu{i}"), F.lit(2)) for i in range(3))
-        unlike = sum(F.when(F.col(o).isNotNull() & (F.col(o) != F.col(d)), 1).otherwise(0) for o in ("n", "s", "w", "e", "nw", "ne", "sw", "se"))
-        r = -1000 - colour / sigma2 - (d0 * d0 * F.col(f"{d}_ixx") + d1 * d1 * F.col(f"{d}_iyy") + 2 * d0 * d1 * F.col(f"{d}_ixy")) - F.col(f"{d}_logdet") - potts * unlike
-        scores.append(F.when(F.col(d).isNotNull() & F.col(f"{d}_mx").isNotNull(), F.struct(F.round(r, 6).alias("score"), F.lit(-k).alias("order"), F.col(d).alias("label"))))
-    best = F.array_max(F.array_compact(F.array(*scores)))
-    return out.select("t", "y", "x", "spix", best["label"].alias("label"), best["score"].alias("score"))
+    frame = frame_key(seg)
+    around = [F.when(F.col(d).isNotNull(), F.struct(F.lit(-k).alias("order"), F.col(d).alias("label"))) for k, d in enumerate("nswe")]
+    ring = F.array("n", "s", "w", "e", "nw", "ne", "sw", "se")
+    out = out.select(*frame, "y", "x", "spix", "c0", "c1", "c2", ring.alias("ring"), F.explode(F.array_compact(F.array(*around))).alias("k")).select("*", "k.order", F.col("k.label").alias("label"))
+    names = ["mu0", "mu1", "mu2", "mx", "my", "ixx", "ixy", "iyy", "logdet"]
+    out = out.join(params.select(*frame, F.col("spix").alias("label"), *names), [*frame, "label"]).where("mx IS NOT NULL")
+    d0, d1 = (F.col("x") - F.col("mx")).cast("int"), (F.col("y") - F.col("my")).cast("int")
+    colour = sum(F.pow(F.col(f"c{i}") - F.col(f"mu{i}"), F.lit(2)) for i in range(3))
+    unlike = F.expr("aggregate(ring, 0, (m, o) -> m + IF(o IS NOT NULL AND o <> label, 1, 0))")
+    r = -1000 - colour / sigma2 - (d0 * d0 * F.col("ixx") + d1 * d1 * F.col("iyy") + 2 * d0 * d1 * F.col("ixy")) - F.col("logdet") - potts * unlike
+    best = F.max(F.struct(F.round(r, 6).alias("score"), "order", "label")).alias("best")
+    out = out.groupBy(*frame, "y", "x").agg(F.first("spix").alias("spix"), best)  # all candidates of a pixel have its label
+    return out.select(*frame, "y", "x", "spix", "best.label", "best.score")

@@ -1,4 +1,7 @@
-"""Neighbourhoods on the pixel grid: windows after one repartition by frame, so that all share its shuffle."""
+"""Neighbourhoods on the pixel grid: windows after one repartition by frame, so that all share its shuffle.
+
+A frame is named by t, or by video and t where the table has a column video.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,23 @@ from pyspark.sql import functions as F
 AROUND = {"n": (-1, 0), "s": (1, 0), "w": (0, -1), "e": (0, 1), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}
 
 
+def video_key(df: DataFrame) -> list[str]:
+    return [c for c in ("video",) if c in df.columns]
+
+
+def frame_key(df: DataFrame) -> list[str]:
+    return [*video_key(df), "t"]
+
+
 def by_frame(df: DataFrame) -> DataFrame:
     """One shuffle by frame; windows and sums on (t, ...) need no other."""
-    return df.repartition("t")
+    return df.repartition(*frame_key(df))
+
+
+def lines(df: DataFrame) -> tuple[Window, Window]:
+    """Windows along the rows and along the columns of each frame."""
+    key = frame_key(df)
+    return Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
 
 
 def neighbours(df: DataFrame, column: str = "spix", diagonal: bool = True) -> DataFrame:
@@ -18,7 +35,7 @@ def neighbours(df: DataFrame, column: str = "spix", diagonal: bool = True) -> Da
 
     Rows must hold every pixel of the rectangle (missing labels as null), as windows step from row to row.
     """
-    row, col = Window.partitionBy("t", "y").orderBy("x"), Window.partitionBy("t", "x").orderBy("y")
+    row, col = lines(df)
     c = F.col(column)
     out = by_frame(df).select("*", F.lag(c).over(row).alias("w"), F.lead(c).over(row).alias("e"))
     out = out.select("*", F.lag(c).over(col).alias("n"), F.lead(c).over(col).alias("s"), *([F.lag("w").over(col).alias("nw"), F.lag("e").over(col).alias("ne"), F.lead("w").over(col).alias("sw"), F.lead("e").over(col).alias("se")] if diagonal else []))
@@ -82,8 +99,7 @@ def simple_points(df: DataFrame, column: str = "spix") -> DataFrame:
 
 def dilate(df: DataFrame, flag: str, radius: int) -> DataFrame:
     """df with the flag set wherever it is set within a square of that radius: two separable windows."""
-    row = Window.partitionBy("t", "y").orderBy("x").rowsBetween(-radius, radius)
-    col = Window.partitionBy("t", "x").orderBy("y").rowsBetween(-radius, radius)
+    row, col = (w.rowsBetween(-radius, radius) for w in lines(df))
     out = by_frame(df).withColumn(flag, F.max(flag).over(row))
     return out.withColumn(flag, F.max(flag).over(col))
 

@@ -124,12 +124,15 @@ def parameters(image: np.ndarray, labels: np.ndarray, prior_count: np.ndarray, p
     return Params(n, mu, np.stack([mx, my], 1), np.stack([syy / det, -sxy / det, sxx / det], 1), np.log(det), pc, propagated)
 
 
-def update_labels(image: np.ndarray, labels: np.ndarray, p: Params, sigma2: float, potts: float, passes: int) -> np.ndarray:
+PHASES = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def update_labels(image: np.ndarray, labels: np.ndarray, p: Params, sigma2: float, potts: float, passes: int, phases: tuple = PHASES) -> np.ndarray:
     """Moves region borders: in each checkerboard phase a simple border pixel takes the best of its neighbours' labels."""
     labels = labels.copy()
     h, w = labels.shape
     for _ in range(passes):
-        for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        for a, b in phases:
             near = {d: around(labels, d) for d in _STEPS}
             border = np.zeros((h, w), bool)
             for d in "nswe":
@@ -384,7 +387,7 @@ def fill(labels: np.ndarray, centre: np.ndarray) -> np.ndarray:
     labels = labels.copy()
     h, w = labels.shape
     while (before := (labels < 0).sum()):
-        for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        for a, b in PHASES:
             hole = np.zeros((h, w), bool)
             hole[b::2, a::2] = labels[b::2, a::2] < 0
             y, x = np.nonzero(hole)

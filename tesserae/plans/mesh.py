@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import hash_unit
@@ -76,6 +76,14 @@ def vertex_rings(faces: DataFrame) -> DataFrame:
     return corners.groupBy("v").applyInPandas(ring, "v int, ring array<int>")
 
 
+def ring_from_least(ring: Column) -> Column:
+    """The same ring from its least face on, towards the lesser of the two faces beside it."""
+    n, k = F.size(ring), F.array_position(ring, F.array_min(ring)).cast("int")
+    turned = F.concat(F.slice(ring, k, n - k + 1), F.slice(ring, F.lit(1), k - 1))
+    back = F.concat(F.slice(turned, 1, 1), F.reverse(F.slice(turned, F.lit(2), n)))
+    return F.when((n > 2) & (F.get(turned, n - 1) < F.get(turned, F.lit(1))), back).otherwise(turned)
+
+
 def outlines(outline: DataFrame, points: DataFrame) -> DataFrame:
     """spix and path: the vertices of each region's outline from its least one on, at each step the one that goes
     straightest ahead (of equals the least), until no neighbour is left."""
@@ -106,6 +114,7 @@ def segment_mesh(edges: DataFrame, vertices: DataFrame, rounds: int | None = Non
 
     A pass that changes no label ends its round, and a round that changes none ends all: what would follow changes nothing.
     """
+    edges = cut(edges)
     colours = coloured(edges)
     vertices = cut(vertices.join(colours, "v", "left").fillna(0, ["colour"]))
     top = vertices.agg(F.max("colour")).first()[0] or 0

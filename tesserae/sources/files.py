@@ -1,21 +1,30 @@
 """Readers and writers of the on-disk forms: images, motion fields, label matrices, point lists, meshes, results.
 
 Files are listed and read by Spark (``binaryFile``, ``image``, ``csv``), so any path that Spark reads will do; a file is
-decoded in one task. The engine's own storage form is Parquet partitioned by video.
+decoded in one task. Files are written by the tasks that hold them. The engine's own storage form is Parquet partitioned
+by video.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.color import lab_to_rgb, rgb_to_lab
+from ..operators.stencil import frame_key
+from ..plans.drivers import raster
+
 PIXELS = "video string, t int, y int, x int, c0 float, c1 float, c2 float"
 #: The tag of a motion file, which read as a float is 202021.25.
 FLOW_TAG = b"PIEH"
@@ -133,22 +142,39 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_matrices(seg: DataFrame) -> DataFrame:
-    """t and content: each frame's labels as comma-separated lines, null as -1. Rows are put together natively."""
+    """[video,] t and content: each frame's labels as comma-separated lines, null as -1. Rows are put together natively."""
+    frame = frame_key(seg)
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.coalesce("spix", F.lit(-1)).alias("s")))), lambda p: p["s"].cast("string")), ",")
-    rows = seg.groupBy("t", "y").agg(line.alias("line"))
+    rows = seg.groupBy(*frame, "y").agg(line.alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda r: r["line"]), "\n")
-    return rows.groupBy("t").agg(F.concat(text, F.lit("\n")).alias("content"))
+    return rows.groupBy(*frame).agg(F.concat(text, F.lit("\n")).alias("content"))
+
+
+def write_files(contents: DataFrame, folder: str, suffix: str) -> int:
+    """Writes content (string or binary) to folder/[video/]%05d + suffix, or for scenes to folder/scene + suffix; returns
+    how many files there are.
+
+    The tasks that hold the contents write them through pyarrow's file systems (local, hdfs, s3, gs by the folder's
+    scheme). A file is written under a name of its own and then moved, so a task that runs twice leaves whole files.
+    """
+    name = F.col("scene") if "scene" in contents.columns else F.format_string("%05d", "t")
+    parts = [F.col("video"), name] if "video" in contents.columns else [name]
+    rows = contents.select(F.concat(F.concat_ws("/", *parts), F.lit(suffix)).alias("name"), F.col("content").cast("binary").alias("content"))
+    where = re.sub(r"^file:/*", "file:///", folder) if folder.startswith("file:") else folder if "://" in folder else f"file://{folder}"
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for k in range(len(batch)):
+                path = f"{base}/{batch.column(0)[k].as_py()}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                fresh = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(fresh) as out:
+                    out.write(batch.column(1)[k].as_py())
+                system.move(fresh, path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
 
-def write_files(contents: DataFrame, folder: str, suffix: str) -> None:
-    """Writes t, content (string or binary) to folder/%05d + suffix through the cluster's file system."""
-    spark = contents.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in contents.select("t", "content").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['t']:05d}{suffix}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(r["content"] if isinstance(r["content"], (bytes, bytearray)) else r["content"].encode()))
-        out.close()
+    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def png(image: np.ndarray) -> bytes:
@@ -163,23 +189,23 @@ def png(image: np.ndarray) -> bytes:
 
 
 def images(pixels: DataFrame, scale: float = 1.0) -> DataFrame:
-    """t and content: each frame as PNG bytes."""
-    from ..plans.drivers import raster
+    """[video,] t and content: each frame as PNG bytes."""
+    return _packed(pixels, lambda f: png(np.clip(raster(f, ["c0", "c1", "c2"]) * scale, 0, 255).round().astype(np.uint8)))
 
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        a = np.clip(raster(f, ["c0", "c1", "c2"]) * scale, 0, 255).round().astype(np.uint8)
-        return pd.DataFrame({"t": [np.int32(f["t"].iloc[0])], "content": [png(a)]})
 
-    return pixels.groupBy("t").applyInPandas(pack, "t int, content binary")
+def _packed(rows: DataFrame, encode) -> DataFrame:
+    """[video,] t and content, which encode makes of the rows of a frame."""
+    frame = frame_key(rows)
 
+    def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [v] for c, v in zip(frame, key, strict=True)}, "content": [encode(f)]}).astype({"t": "int32"})
 
-def flow_files(flows: DataFrame) -> DataFrame:
-    from ..plans.drivers import raster
+    return rows.groupBy(*frame).applyInPandas(pack, ", ".join(f"{c} {'int' if c == 't' else 'string'}" for c in frame) + ", content binary")
 
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"t": [np.int32(f["t"].iloc[0])], "content": [encode_flow(raster(f, ["fx", "fy"]))]})
 
-    return flows.groupBy("t").applyInPandas(pack, "t int, content binary")
+def flow_files(flows: DataFrame) -> DataFrame:
+    """[video,] t and content: each frame's motion as the bytes of a motion file."""
+    return _packed(flows, lambda f: encode_flow(raster(f, ["fx", "fy"])))
 
 
 #: The columns of a file of region parameters.
@@ -254,9 +280,9 @@ def encode_ply(elements: dict[str, tuple[list[tuple[str, str]], list[tuple]]]) -
     return "\n".join([*head, "end_header", ""]).encode() + b"".join(body)
 
 
-def read_scenes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (scene, v, px, py, pz, f0-2 from 0 to 1) and faces (scene, f, verts) of PLY files; an ``axisAlignment``
-    line of 16 numbers in a .txt file of the same name moves the vertices."""
+def read_scenes(spark: SparkSession, path: str, lab: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Vertices (scene, v, px, py, pz, f0-2: Lab, or RGB from 0 to 1) and faces (scene, f, verts) of PLY files; an
+    ``axisAlignment`` line of 16 numbers in a .txt file of the same name moves the vertices."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", True).load(path)
     files = files.select(F.regexp_extract("path", r"([^/]+)\.ply$", 1).alias("scene"), "content")
     notes = spark.read.text(path, pathGlobFilter="*.txt", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("scene"), "value").where("value LIKE 'axisAlignment%'")
@@ -279,14 +305,23 @@ def read_scenes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                 faces = next(iter(decode_ply(r.content).get("face", {"": []}).values()))
                 yield pd.DataFrame({"scene": r.scene, "f": np.arange(len(faces), dtype=np.int32), "verts": pd.Series(faces, dtype=object)})
 
-    return files.mapInPandas(points, "scene string, v int, px double, py double, pz double, f0 double, f1 double, f2 double"), files.select("scene", "content").mapInPandas(polygons, "scene string, f int, verts array<int>")
+    vertices = files.mapInPandas(points, "scene string, v int, px double, py double, pz double, f0 double, f1 double, f2 double")
+    if lab:
+        vertices = vertices.withColumns({f"f{i}": c for i, c in enumerate(rgb_to_lab(F.col("f0"), F.col("f1"), F.col("f2")))})
+    return vertices, files.select("scene", "content").mapInPandas(polygons, "scene string, f int, verts array<int>")
 
 
-def scene_files(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """scene and content: binary PLY with colours (f0-2 from 0 to 1), gcolor and label where vertices have them.
+def scene_files(vertices: DataFrame, faces: DataFrame, edges: DataFrame | None = None, lab: bool = False) -> DataFrame:
+    """scene and content: binary PLY with colours (f0-2: RGB from 0 to 1, or Lab), gcolor and label where vertices have them.
 
-    vertices: scene, v, px, py, pz, f0-2[, gcolor][, spix]; faces: scene, f, verts. One task a scene.
+    vertices: scene, v, px, py, pz, f0-2[, gcolor][, spix]; faces: scene, f, verts; edges: scene, u, v, written as their
+    own element. One task a scene.
     """
+    if lab:
+        vertices = vertices.withColumns({f"f{i}": c for i, c in enumerate(lab_to_rgb(F.col("f0"), F.col("f1"), F.col("f2")))})
+    ends = faces.groupBy("scene").agg(F.collect_list(F.struct("f", "verts")).alias("faces"))
+    if edges is not None:
+        ends = ends.join(edges.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("edges")), "scene", "full")
     extra = [(c, k, n) for c, k, n in (("gcolor", "uchar", "gcolor"), ("spix", "uint", "label")) if c in vertices.columns]
 
     def pack(key: tuple, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
@@ -294,10 +329,14 @@ def scene_files(vertices: DataFrame, faces: DataFrame) -> DataFrame:
         rgb = np.clip(v[["f0", "f1", "f2"]].to_numpy(float) * 255, 0, 255).round().astype(int)
         props = [("x", "float"), ("y", "float"), ("z", "float"), ("red", "uchar"), ("green", "uchar"), ("blue", "uchar"), ("alpha", "uchar"), *((n, k) for _, k, n in extra)]
         rows = [(*p, *c, 255, *e) for p, c, e in zip(v[["px", "py", "pz"]].to_numpy(float).tolist(), rgb.tolist(), v[[c for c, _, _ in extra]].to_numpy().astype(int).tolist() if extra else [()] * len(v), strict=True)]
-        content = encode_ply({"vertex": (props, rows), "face": ([("vertex_indices", "list")], [(list(x),) for x in f.sort_values("f")["verts"]])})
+        found = sorted((int(x["f"]), list(x["verts"])) for cell in f["faces"] if cell is not None for x in cell)
+        elements = {"vertex": (props, rows), "face": ([("vertex_indices", "list")], [(x,) for _, x in found])}
+        if "edges" in f:
+            elements["edge"] = ([("vertex1", "int"), ("vertex2", "int")], [(int(x["u"]), int(x["v"])) for cell in f["edges"] if cell is not None for x in cell])
+        content = encode_ply(elements)
         return pd.DataFrame({"scene": [key[0]], "content": [content]})
 
-    return vertices.groupBy("scene").cogroup(faces.groupBy("scene")).applyInPandas(pack, "scene string, content binary")
+    return vertices.groupBy("scene").cogroup(ends.groupBy("scene")).applyInPandas(pack, "scene string, content binary")
 
 
 def region_files(regions: DataFrame) -> DataFrame:
@@ -349,8 +388,15 @@ def every_nth(points: DataFrame, step: int) -> DataFrame:
     return points.where(F.col("i") % step == 0)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True)
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """A CSV file of results with a header; None where there is no file, or no header that names columns."""
+    try:
+        found = spark.read.csv(path, header=True, inferSchema=True)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return found if found.columns else None
 
 
 def write_results(results: DataFrame, path: str, keys: tuple[str, ...] = ("group", "id", "rep")) -> None:

@@ -65,7 +65,7 @@ def test_meshes(spark, tmp_path):
     (tmp_path / "a.ply").write_bytes(files.encode_ply({"vertex": (props, v), "face": ([("vertex_indices", "list")], [([0, 1, 2],)])}))
     (tmp_path / "a.txt").write_text("axisAlignment = 1 0 0 5 0 1 0 0 0 0 1 0 0 0 0 1\nother = 1\n")
     (tmp_path / "b.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n")
-    points, faces = files.read_scenes(spark, str(tmp_path))
+    points, faces = files.read_scenes(spark, str(tmp_path), lab=False)
     got = {(r.scene, r.v): (r.px, r.f0) for r in points.collect()}
     assert got["a", 1] == (6.0, 0.0) and got["a", 0] == (5.0, 1.0) and got["b", 0][0] == 1.0
     assert [r.verts for r in faces.where("scene = 'a'").collect()] == [[0, 1, 2]]
@@ -81,6 +81,10 @@ def test_points_and_results(spark, tmp_path):
     files.write_results(r, str(tmp_path / "results"))
     files.write_results(r.withColumn("rep", F.lit(1)), str(tmp_path / "results"))
     assert spark.read.parquet(str(tmp_path / "results")).count() == 2
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "one.csv").write_text("tex,szv\n0.5,1\n")
+    assert files.read_results(spark, str(tmp_path / "absent.csv")) is None and files.read_results(spark, str(tmp_path / "empty.csv")) is None
+    assert files.read_results(spark, str(tmp_path / "one.csv")).first().tex == 0.5
 
 
 def test_trace(spark, tmp_path):
@@ -95,7 +99,7 @@ def test_scene_files(spark, tmp_path):
     v = spark.createDataFrame([("s", i, float(i), 0.0, 1.0, 1.0, 0.0, 0.5, i % 2, i) for i in range(3)], "scene string, v int, px double, py double, pz double, f0 double, f1 double, f2 double, gcolor int, spix int")
     f = spark.createDataFrame([("s", 0, [0, 1, 2])], "scene string, f int, verts array<int>")
     (tmp_path / "s.ply").write_bytes(bytes(files.scene_files(v, f).first().content))
-    points, faces = files.read_scenes(spark, str(tmp_path))
+    points, faces = files.read_scenes(spark, str(tmp_path), lab=False)
     assert sorted((r.v, r.px, r.f0) for r in points.collect()) == [(i, float(i), 1.0) for i in range(3)]
     assert faces.first().verts == [0, 1, 2]
     assert files.decode_ply((tmp_path / "s.ply").read_bytes())["vertex"]["label"] == [0, 1, 2]
