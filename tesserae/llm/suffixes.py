@@ -8,6 +8,7 @@ common-prefix intervals, with a test of the bytes to the left, gives the maximal
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, mix, signed, stored, text_buffers
+from .common import Rolling, chunks, signed, stored, text_buffers
 
 LENGTH, K = 200, 40
 #: An anchor with more distinct runs has each of its strings dealt by itself.
@@ -39,10 +40,11 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).view(np.int64)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: document, start in it, number of starts, hash of the anchor, hash of the text."""
+def runs(data: np.ndarray, offsets: np.ndarray) -> tuple:
+    """Runs of starts with one anchor: document, start in it, number of starts, hash of the anchor, the text's BLAKE2b digest of
+    128 bits. Runs count as equal if their digests are."""
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return *(np.zeros(0, np.int64) for _ in range(4)), []
     rolling = Rolling(data)
     grams = rolling.every(K, finish=False)
     grams ^= grams >> np.uint64(29)
@@ -60,8 +62,9 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = first < last[doc]
     first, count, doc = first[valid], count[valid], doc[valid]
     gram = grams[anchor[first]]
-    text = mix(rolling.spans(first, first + count - 1 + LENGTH) ^ mix(gram))
-    return doc, first - offsets[doc], count, signed(gram), signed(text)
+    raw, end = memoryview(data.tobytes()), (first + count - 1 + LENGTH).tolist()
+    text = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end, strict=True)]
+    return doc, first - offsets[doc], count, signed(gram), text
 
 
 def suffix_array(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
@@ -199,7 +202,7 @@ def repeated_starts(texts: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """did and h (a document's key), start, n_starts, gram and text (hashes) of each run."""
+    """did and h (a document's key), start, n_starts, gram (hash) and text (digest) of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,28 +210,9 @@ def _runs(docs: DataFrame) -> DataFrame:
             for i, j in chunks(offsets):
                 doc, start, count, gram, text = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 where = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(start), pa.array(count.astype(np.int32)), pa.array(gram), pa.array(text)], names=["did", "h", "start", "n_starts", "gram", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(start), pa.array(count.astype(np.int32)), pa.array(gram), pa.array(text, pa.binary())], names=["did", "h", "start", "n_starts", "gram", "text"])
 
-    return docs.select("did", "h", "body").mapInArrow(run, "did long, h int, start long, n_starts int, gram long, text long")
-
-
-def _counted(docs: DataFrame) -> DataFrame:
-    """gram, text and n of the runs of each batch, equal ones summed, so that hot ones shrink before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            grams, texts = [], []
-            for i, j in chunks(offsets):
-                _, _, _, gram, text = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                grams.append(gram)
-                texts.append(text)
-            if not grams:
-                continue
-            text, at, n = np.unique(np.concatenate(texts), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)[at]), pa.array(text), pa.array(n)], names=["gram", "text", "n"])
-
-    return docs.select("body").mapInArrow(run, "gram long, text long, n long")
+    return docs.select("did", "h", "body").mapInArrow(run, "did long, h int, start long, n_starts int, gram long, text binary")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
@@ -264,7 +248,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_batch(shard: list, text: list, at: list, count: list, body: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(text, pa.int64()), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(body, pa.binary())], names=["shard", "text", "at", "n_starts", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(text, pa.binary()), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(body, pa.binary())], names=["shard", "text", "at", "n_starts", "body"])
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +258,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     which must be repeated too, are passed on at once, so a shard of any number of rows is read as a stream.
     """
     shards: list[int] = []
-    texts: list[int] = []
+    texts: list[bytes] = []
     at: list[int] = []
     counts: list[int] = []
     bodies: list[bytes] = []
@@ -287,10 +271,10 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, a, c in rows:
             edge = np.flatnonzero(np.diff(np.concatenate(([0], c.view(np.int8), [0]))))
             spans.append((edge + a).tolist())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["text", "edges"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(spans, pa.list_(pa.int32()))], names=["text", "edges"])
 
     for batch in batches:
-        echoes: list[tuple[int, list[int]]] = []
+        echoes: list[tuple[bytes, list[int]]] = []
         for s, t, a, c, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if c == 1 and shards[-2:] == [s, s] and bodies[-1] == b == bodies[-2]:
                 echoes.append((t, [a, a + 1]))
@@ -305,7 +289,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bodies.append(b)
             size += len(b)
         if echoes:
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in echoes], pa.int64()), pa.array([e for _, e in echoes], pa.list_(pa.int32()))], names=["text", "edges"])
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in echoes], pa.binary()), pa.array([e for _, e in echoes], pa.list_(pa.int32()))], names=["text", "edges"])
     if shards:
         yield work(len(shards))
 
@@ -341,15 +325,16 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
     keyed = keyed.withColumns({"did": F.coalesce("doc_id", F.xxhash64("body")), "h": F.hash("body")})
-    counted = _counted(keyed).repartition("gram").groupBy("gram", "text").agg(F.sum("n").alias("n"))
+    every = stored(_runs(keyed), "runs")
+    counted = every.groupBy("gram", "text").agg(F.count("*").alias("n"))
     by_gram = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     known = stored(counted.join(by_gram.select("gram", "kinds"), "gram"), "repeated-runs")
-    places = stored(_runs(keyed).join(known.select("text", "n", "kinds"), "text"), "places")
+    places = stored(every.join(known.select("text", "n", "kinds"), "text"), "places")
     firsts = places.where("kinds > 1").groupBy("text").agg(F.min(F.struct("did", "h", "start")).alias("f"), F.first("gram").alias("gram"), F.first("n_starts").alias("n_starts"), F.first("kinds").alias("kinds"))
     wanted = firsts.groupBy(F.col("f.did").alias("did"), F.col("f.h").alias("h")).agg(F.collect_list(F.struct(F.col("f.start").alias("start"), "n_starts", "gram", "text", (F.col("kinds") > MOST_KINDS).alias("split"))).alias("wanted"))
     cut = keyed.join(wanted, ["did", "h"]).dropDuplicates(["did", "h"]).select("body", "wanted")
-    cut = cut.mapInArrow(_cut, "shard long, text long, at int, n_starts int, body binary")
-    shared = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_runs, "text long, edges array<int>")
+    cut = cut.mapInArrow(_cut, "shard long, text binary, at int, n_starts int, body binary")
+    shared = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_runs, "text binary, edges array<int>")
     shared = stored(shared.groupBy("text").agg(F.flatten(F.collect_list("edges")).alias("edges")), "shared-runs")
     # a run that occurs twice is repeated as a whole; others as far as the intervals say
     hit = places.where("n > 1").select("did", "h", "start", "n_starts", F.lit(None).cast("array<int>").alias("edges"))
