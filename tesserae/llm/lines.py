@@ -90,7 +90,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 #: Characters whose counts are compared within hot segments, eight to a column; an even share of them to a group.
-COUNTED = ("etaoinsr", "hdlcumfg", "wypbvkjx", "qz ,.éüó")
+COUNTED = ("etaoinsr", "hdlcumfg", "wypbvkjx", "qz ,.éüó", "01234567", "89-/:_%#")
 
 
 def letter_counts(line: Column, letters: str) -> Column:
