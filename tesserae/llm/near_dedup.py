@@ -26,7 +26,7 @@ from .components import components
 
 WORDS, THRESHOLD = 5, (75, 100)
 COORDINATES, TREES, ROOT_BRANCHES, DEPTH = 64, 14, 2, 3
-SMALL_NODE, PIVOTS, LEAST_BITS, SALT_ROWS, SIDE = 8, 2, 42, 512, 256
+SMALL_NODE, PIVOTS, LEAST_BITS, LEAST_TOKENS, SALT_ROWS, SIDE = 8, 2, 42, 29, 512, 256
 #: Branches of a large node beyond DEPTH; at what average similarity a node is dense; levels after which all nodes count as dense.
 MORE_BRANCHES, DENSE, DEEPEST = 2.0, 0.5, 8
 
@@ -279,6 +279,35 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirm, "a long, b long")
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, id, sketch, root, tokens) come sorted by node, SIDE of a node at most: those with a member of another
+    root beside them that shares LEAST_TOKENS minwise tokens, which the threshold all but grants."""
+    held: list[tuple] = []
+
+    def work() -> list[tuple]:
+        tokens = np.frombuffer(b"".join([h[4] for h in held]), np.uint32).reshape(len(held), COORDINATES)
+        root = np.array([h[3] for h in held])
+        shared = np.zeros((len(held), len(held)), np.int16)
+        for k in range(COORDINATES):
+            shared += tokens[:, k][:, None] == tokens[:, k][None, :]
+        some = ((shared >= LEAST_TOKENS) & (root[:, None] != root[None, :])).any(axis=1)
+        return [held[i] for i in np.flatnonzero(some).tolist()]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h[k] for h in found], pa.int64()) for k in range(4)], names=["node", "id", "sketch", "root"])
+
+    for batch in batches:
+        found: list[tuple] = []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if held and row[0] != held[0][0]:
+                found += work()
+                held = []
+            held.append(row)
+        yield batch_of(found)
+    if held:
+        yield batch_of(work())
+
+
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tile, id, root, side, sketch, text) come sorted by tile: spanning links between members of different roots.
 
@@ -345,15 +374,18 @@ def compared(nodes: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_compare, "kind int, a long, b long, sketch long"), "candidates")
 
 
-def resolve(placed: DataFrame, docs: DataFrame, families: bool) -> DataFrame:
+def resolve(placed: DataFrame, docs: DataFrame, tokens: DataFrame, families: bool) -> DataFrame:
     """Links between the different roots in the nodes placed (node, id, sketch, root), compared in tiles.
 
-    A node of SIDE members at most is one tile. Larger ones are dense: those that share members are taken together, as
-    the same family meets in many trees, and each pair is compared once.
+    A node of SIDE members at most is one tile; its members' minwise tokens say first whose texts are wanted. Larger
+    nodes are dense: those that share members are taken together, as the same family meets in many trees, and each pair
+    is compared once.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     if not families:
-        rows = placed.join(texts, "id").select(F.col("node").alias("tile"), "id", "root", F.lit(2).alias("side"), "sketch", "text")
+        rows = placed.join(tokens, "id").select("node", "id", "sketch", "root", "tokens").repartition("node").sortWithinPartitions("node")
+        likely = stored(rows.mapInArrow(_likely, "node long, id long, sketch long, root long"), "likely")
+        rows = likely.join(texts, "id").select(F.col("node").alias("tile"), "id", "root", F.lit(2).alias("side"), "sketch", "text")
         return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile, "a long, b long")
     least = placed.groupBy("node").agg(F.min("id").alias("a"))
     groups = components(placed.join(least, "node").select("a", F.col("id").alias("b")))
@@ -388,7 +420,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         way = F.when(F.col("n") <= SIDE, "tile").when(F.col("dense"), "family").otherwise("branch")
         placed = stored(placed.join(mixed.join(dense, "node").select("node", way.alias("way")), "node"), "mixed-nodes")
         ways = {r["way"] for r in placed.select("way").distinct().collect()}  # three at most
-        more = [resolve(placed.where(F.col("way") == w).drop("way"), texts, w == "family") for w in ("tile", "family") if w in ways]
+        more = [resolve(placed.where(F.col("way") == w).drop("way"), texts, firsts, w == "family") for w in ("tile", "family") if w in ways]
         if "branch" in ways:
             found = compared(placed.where("way = 'branch'").join(firsts, "id").select("node", "id", "sketch", "root", "tokens").mapInArrow(_deepen, "node long, id long, sketch long, root long"))
             more.append(confirm(found.where("kind = 0").select("a", "b").distinct(), texts))
