@@ -145,8 +145,7 @@ def flow_mean_per_region(spark, d):
 
 @register(f"WITH {FLOW} SELECT t, y, x, k AS factor, fx * k AS fx, fy * k AS fy FROM flow, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) v(k)")
 def flow_scaled(spark, d):
-    factors = F.explode(F.array(*(F.lit(k) for k in (0.0, 0.25, 0.5, 1.0)))).alias("factor")
-    return flows(spark, d).select("t", "y", "x", "fx", "fy", factors).select("t", "y", "x", "factor", (F.col("fx") * F.col("factor")).alias("fx"), (F.col("fy") * F.col("factor")).alias("fy"))
+    return motion.scaled(flows(spark, d), [0.0, 0.25, 0.5, 1.0])
 
 
 def _shift_sql(order: str) -> str:
@@ -227,7 +226,17 @@ def hash_unit(spark, d):
 @register(f"WITH {SEG} SELECT p.t, p.y, p.x, coalesce(q.spix, 0) AS spix FROM px p LEFT JOIN seg q ON q.t = p.t AND q.y = p.y AND q.x = p.x + (p.y % 3) - 1")
 def index_gather(spark, d):
     at = pixels(spark, d).select("t", "y", "x", (F.col("x") + F.col("y") % 3 - 1).alias("at"))
-    return at.join(segments(spark, d).select("t", "y", F.col("x").alias("at"), "spix"), ["t", "y", "at"], "left").select("t", "y", "x", F.coalesce("spix", F.lit(0)).alias("spix"))
+    return stencil.gathered(at, segments(spark, d))
+
+
+def _unfold_sql() -> str:
+    near = ", ".join(f"coalesce(lag(l, {-k}) OVER c, [0.0, 0.0, 0.0])" if k < 0 else f"coalesce(lead(l, {k}) OVER c, [0.0, 0.0, 0.0])" if k else "l" for k in (-1, 0, 1))
+    return f"WITH {PX}, r AS (SELECT t, y, x, [coalesce(lag(c0) OVER w, 0.0), c0, coalesce(lead(c0) OVER w, 0.0)] AS l FROM px WINDOW w AS (PARTITION BY t, y ORDER BY x)) SELECT t, y, x, flatten([{near}]) AS near FROM r WINDOW c AS (PARTITION BY t, x ORDER BY y)"
+
+
+@register(_unfold_sql())
+def unfold(spark, d):
+    return stencil.unfold(pixels(spark, d), "c0")
 
 
 @register(f"WITH {_HOLES} SELECT t, y, x, CASE WHEN spix IS NULL THEN 255.0::DOUBLE ELSE CAST(spix AS DOUBLE) END AS shade FROM hole")

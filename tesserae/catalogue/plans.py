@@ -284,3 +284,39 @@ def stream_frames(spark, d):
     return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("spix")).alias("n_other")).join(late, "t")
 
 
+@register(f"""WITH p AS ({ORACLES['components_8']}), l AS (WITH {PX} SELECT t, y, x, CAST(c1 % 9 AS INTEGER) AS label FROM px), j AS (SELECT l.t, l.y, l.x, label, spix AS piece FROM l JOIN p ON p.t = l.t AND p.y = l.y AND p.x = l.x),
+    n AS (SELECT t, label, piece, count(*) AS n FROM j GROUP BY ALL), b AS (SELECT t, label, arg_max(piece, row(n, -piece)) AS best FROM n GROUP BY t, label) SELECT j.t, y, x, CASE WHEN piece = best THEN j.label ELSE -1 END AS spix FROM j JOIN b ON b.t = j.t AND b.label = j.label""")
+def largest_pieces(spark, d):
+    """Only the largest piece of each label stays, the first one of equals."""
+    seg = pixels(spark, d).select("t", "y", "x", F.expr("cast(c1 % 9 AS int)").alias("spix"))
+    return drivers.largest_pieces(seg).select("t", "y", "x", "spix")
+
+
+@register(f"WITH {PX} SELECT t, step, n_steps, CAST(sum(n_steps) AS BIGINT) AS n FROM px, (VALUES ('split', 2), ('merge', 2), ('bndy', 8)) v(step, n_steps) GROUP BY ALL")
+def trace_frames(spark, d):
+    """Every step of eight rounds is logged for every pixel: splits and merges every fourth round, border moves in all."""
+    trace = drivers.trace_frames(unit(pixels(spark, d)), SMALL)
+    return trace.groupBy("t", "step").agg(F.countDistinct("seq").cast("int").alias("n_steps"), F.count("*").alias("n"))
+
+
+@register("SELECT 'id_' || CAST(p + 2 * s AS VARCHAR) AS id FROM range(2) a(p), range(2) b(s) WHERE p = 1 AND s = 0 OR p = 0 AND s = 1")
+def grid_only(spark, d):
+    """The experiments that hold one of two pairs of values."""
+    full = experiments.grid(spark, {"sp_size": [10, 25], "potts": [1.0, 10.0]})
+    return experiments.only(full, [("potts", 10.0, "sp_size", 10), ("potts", 1.0, "sp_size", 25)]).select("id")
+
+
+@register(f"""WITH {STRIPE} SELECT 'g' AS "group", e.id, CAST(r.rep AS INTEGER) AS rep, count(*) AS n, CAST(0 AS INTEGER) AS n_again, 1.0::DOUBLE AS ev FROM stripe, (VALUES ('id_0'), ('id_1')) e(id), (VALUES (0), (1)) r(rep) WHERE t < 3 GROUP BY e.id, r.rep""")
+def experiment_runs(spark, d):
+    """Two experiments in two repetitions: labels of all pixels, regions that explain all colours, and nothing run twice."""
+    from ..plans import runner
+
+    base, px = loops.fresh_folder(spark, "runs"), stripes(spark, d).where("t < 3")
+    grid = experiments.grid(spark, {"sp_size": [7, 8]}).withColumns({"group": F.lit("g"), "niters": F.lit(16), "sigma_app": F.lit(0.02)})
+    flow = drift(spark, d)
+    runner.run(grid, px, flow, base, 2)
+    again = runner.run(grid, px, flow, base, 2)
+    truth = px.withColumn("gt", F.expr("cast((x + 2 * t) div 10 AS int)"))
+    scores = runner.evaluate(spark, base, truth, 1500).select("group", "id", "rep", F.round("ev", 6).alias("ev"))
+    n = spark.read.parquet(f"{base}/labels").groupBy("group", "id", "rep").agg(F.count("*").alias("n"))
+    return n.join(scores, ["group", "id", "rep"]).withColumn("n_again", F.lit(again))

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.algebra import eigenvalues2
-from ..operators import metrics, regions
+from ..operators import metrics, regions, stencil
+from ..plans import experiments
 from ..sources.testdata import HEIGHT, PX, SEG, WIDTH, segments, table
 
 QUERIES: dict = {}
@@ -65,6 +66,22 @@ def params_update(spark, d):
     return out.withColumn("ixy", F.col("ixy") + F.lit(0.0))
 
 
+def _propagated_sql() -> str:
+    """A prior whose shape is the sample covariance, drawn to a round region of side 5, at unit determinant."""
+    own = {k: f"(({q} + 25.0 * (s{k} - n * ({a} / n) * ({b} / n)) / n) / (25.0 + 6.25 + 3))" for k, q, a, b in (("xx", 6.25 * 5, "sx", "sx"), ("xy", 0.0, "sx", "sy"), ("yy", 6.25 * 5, "sy", "sy"))}
+    ctes = _params_sql(25.0)
+    for k in ("xx", "yy"):
+        ctes = ctes.replace(f"(25.0 * 25.0 + s{k}", f"(25.0 * 25.0 * k{k} / root + s{k}")
+    ctes = ctes.replace("(sxy - n *", "(25.0 * 25.0 * kxy / root + sxy - n *").replace("FROM mom),", f"FROM (SELECT *, sqrt(greatest(kxx * kyy - kxy * kxy, 1e-12)) AS root FROM (SELECT *, {own['xx']} AS kxx, {own['xy']} AS kxy, {own['yy']} AS kyy FROM mom))),")
+    return f"WITH {ctes} SELECT t, spix, n, round(ixx, 6) AS ixx, round(ixy, 6) + 0.0 AS ixy, round(iyy, 6) AS iyy, round(logdet, 6) AS logdet FROM par"
+
+
+@register(_propagated_sql())
+def params_propagated(spark, d):
+    p = regions.parameters(regions.moments(segments(spark, d)), F.lit(25.0), 5, F.lit(True))
+    return p.select("t", "spix", "n", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("ixx", "ixy", "iyy", "logdet")))
+
+
 @register(f"WITH {_params_sql(25.0)} SELECT t, spix, round((xx + yy) / 2 + sqrt((xx - yy) * (xx - yy) / 4 + xy * xy), 6) AS large, round((xx + yy) / 2 - sqrt((xx - yy) * (xx - yy) / 4 + xy * xy), 6) AS small FROM cv")
 def covariance_axes(spark, d):
     p = _params(spark, d)
@@ -100,12 +117,7 @@ def psnr_per_frame(spark, d):
 
 @register(f"WITH {_POOL} SELECT t, y, x, round({_ERR} / max({_ERR}) OVER (PARTITION BY t), 6) AS residual FROM pool")
 def residual_image(spark, d):
-    from pyspark.sql import Window
-
-    out = regions.pooled_video(segments(spark, d))
-    e = sum(F.pow(F.col(f"c{i}") - F.col(f"m{i}"), F.lit(2)) for i in range(3)) / 3
-    out = out.select("t", "y", "x", e.alias("e"))
-    return out.select("t", "y", "x", F.round(F.col("e") / F.max("e").over(Window.partitionBy("t")), 6).alias("residual"))
+    return rnd(metrics.residual(segments(spark, d)), 6, "residual")
 
 
 _NEW = SEG.replace("CAST((y // 5) * 10 + x // 5 AS INTEGER)", "CAST(((y // 5) * 10 + x // 5) * 3 % 101 AS INTEGER)")
@@ -367,8 +379,7 @@ def delta_nspix(spark, d):
 
 @register(f"WITH {SEG}, c AS (SELECT t, gt, count(*) AS n FROM seg GROUP BY t, gt) SELECT t, gt, n FROM c ORDER BY n DESC, t, gt LIMIT 20")
 def topk_regions(spark, d):
-    s = segments(spark, d)
-    return s.groupBy("t", "gt").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t", "gt").limit(20)
+    return metrics.largest_cells(segments(spark, d), 20)
 
 
 @register(f"WITH {SEG} SELECT t, y, x, spix FROM seg WHERE t < 3")
@@ -384,13 +395,12 @@ def unique_ids(spark, d):
 @register(f"WITH {_CHANGE} SELECT 'tex' AS metric, count(*) AS n FROM seg UNION ALL SELECT 'rows', count(DISTINCT spix) FROM seg")
 def union_results(spark, d):
     s = _changing(spark, d)
-    return s.agg(F.count("*").alias("n")).select(F.lit("tex").alias("metric"), "n").unionByName(s.agg(F.countDistinct("spix").alias("n")).select(F.lit("rows").alias("metric"), "n"))
+    return experiments.united({"tex": s.agg(F.count("*").alias("n")), "rows": s.agg(F.countDistinct("spix").alias("n"))}, "metric")
 
 
 @register("SELECT i::INTEGER AS x FROM range(50) r(i) WHERE i % 8 <> 7")
 def except_blocks(spark, d):
-    x = spark.range(WIDTH).select(F.col("id").cast("int").alias("x"))
-    return x.exceptAll(x.where("x % 8 = 7"))
+    return stencil.inside_blocks(spark, WIDTH)
 
 
 @register("WITH r AS (SELECT o_orderpriority AS grp, o_orderstatus AS id, o_totalprice AS v FROM orders) SELECT grp, id, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v) / sqrt(count(*)), 4) AS stderr FROM r GROUP BY grp, id")
@@ -402,13 +412,13 @@ def results_mean_stderr(spark, d):
 @register("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON c_nationkey = n_nationkey")
 def results_left_join(spark, d):
     n = table(spark, d, "nation").where("n_regionkey < 2")
-    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    return experiments.with_results(table(spark, d, "customer"), n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
 @register("SELECT l_shipmode_bucket AS bucket, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS sd FROM (SELECT l_linenumber AS l_shipmode_bucket, l_quantity AS v FROM lineitem) GROUP BY ALL")
 def timing_quantiles(spark, d):
     li = table(spark, d, "lineitem").selectExpr("l_linenumber AS bucket", "l_quantity AS v")
-    return li.groupBy("bucket").agg(F.round(F.percentile("v", 0.5), 6).alias("median"), F.round(F.stddev_pop("v"), 6).alias("sd"))
+    return rnd(experiments.timings(li, ["bucket"], "v"), 6, "median", "sd")
 
 
 def _value(name: str) -> str:
@@ -426,12 +436,12 @@ def evaluation(spark, d):
 
 @register(f"WITH {_NEW} SELECT DISTINCT t, spix FROM seg WHERE spix >= 60")
 def new_ids(spark, d):
-    return _scattered(spark, d).where("spix >= 60").select("t", "spix").distinct()
+    return regions.new_ids(_scattered(spark, d), 60)
 
 
 @register(f"WITH {MOM} SELECT t, spix FROM mom WHERE abs(s0 / n) > 150")
 def range_check(spark, d):
-    return _params(spark, d).where(F.abs("mu0") > 150).select("t", "spix")
+    return regions.out_of_range(_params(spark, d), "mu0", 150)
 
 
 @register("SELECT o_orderpriority AS grp, printf('%.2f', avg(o_totalprice)) AS price_mean, printf('%.1f', round(count(*) / 10.0, 1)) AS tex FROM orders GROUP BY ALL")

@@ -180,3 +180,17 @@ def evaluate(seg: DataFrame, area: int, reference: int | None = None) -> DataFra
         if name not in out.columns:
             out = out.withColumn(name, F.lit(-1.0))
     return out
+
+
+def residual(seg: DataFrame) -> DataFrame:
+    """The frame, y, x and residual: each pixel's squared error to its region's mean colour, over the frame's largest one."""
+    frame = frame_key(seg)
+    error = sum(F.pow(F.col(f"c{i}") - F.col(f"m{i}"), F.lit(2)) for i in range(3)) / 3
+    out = pooled_video(seg).select(*frame, "y", "x", error.alias("e"))
+    return out.select(*frame, "y", "x", (F.col("e") / F.max("e").over(Window.partitionBy(*frame))).alias("residual"))
+
+
+def largest_cells(seg: DataFrame, k: int) -> DataFrame:
+    """The k ground-truth labels of frames with the most pixels (t, gt and n), of equals the first."""
+    key = [*frame_key(seg), "gt"]
+    return seg.groupBy(*key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *key).limit(k)

@@ -70,3 +70,10 @@ def region_invalid_share(shifted: DataFrame, filled: DataFrame) -> DataFrame:
     before = shifted.where("spix IS NOT NULL").groupBy(*key).agg(F.count("*").alias("before"))
     after = filled.groupBy(*key).agg(F.count("*").alias("after"))
     return after.join(before, key, "left").select(*key, ((F.col("after") - F.coalesce("before", F.lit(0))) / (F.col("after") + 1e-8)).alias("icount"))
+
+
+def scaled(flow: DataFrame, factors: list[float]) -> DataFrame:
+    """The motion times each factor, with a column factor."""
+    key = [*frame_key(flow), "y", "x"]
+    out = flow.select(*key, "fx", "fy", F.explode(F.array(*(F.lit(float(k)) for k in factors))).alias("factor"))
+    return out.select(*key, "factor", (F.col("fx") * F.col("factor")).alias("fx"), (F.col("fy") * F.col("factor")).alias("fy"))

@@ -212,3 +212,13 @@ def border_scores(seg: DataFrame, params: DataFrame, sigma2: float, potts: float
     best = F.max(F.struct(F.round(r, 6).alias("score"), "order", "label")).alias("best")
     out = out.groupBy(*frame, "y", "x").agg(F.first("spix").alias("spix"), best)  # all candidates of a pixel have its label
     return out.select(*frame, "y", "x", "spix", "best.label", "best.score")
+
+
+def new_ids(seg: DataFrame, previous: int) -> DataFrame:
+    """The regions whose ids begin at previous."""
+    return seg.where(F.col("spix") >= previous).select(*region_key(seg)).distinct()
+
+
+def out_of_range(params: DataFrame, column: str, most: float) -> DataFrame:
+    """The regions whose value lies further than most from 0."""
+    return params.where(F.abs(column) > most).select(*region_key(params))

@@ -5,7 +5,7 @@ A frame is named by t, or by video and t where the table has a column video.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AROUND = {"n": (-1, 0), "s": (1, 0), "w": (0, -1), "e": (0, 1), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}
@@ -111,3 +111,29 @@ def crop(df: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
 def overlay(df: DataFrame, colour: tuple[float, float, float] = (0.0, 0.0, 1.0), top: float = 1.0) -> DataFrame:
     """Colours clamped to [0, top], borders painted (df has is_border)."""
     return df.withColumns({f"c{i}": F.when(F.col("is_border"), F.lit(float(v))).otherwise(F.least(F.greatest(F.col(f"c{i}"), F.lit(0.0)), F.lit(float(top)))) for i, v in enumerate(colour)})
+
+
+def gathered(places: DataFrame, seg: DataFrame, default: int = 0) -> DataFrame:
+    """Each row of places (t, y, x, at) with the label of the pixel at (y, at), the default where there is none."""
+    key = frame_key(seg)
+    found = places.join(seg.select(*key, "y", F.col("x").alias("at"), "spix"), [*key, "y", "at"], "left")
+    return found.select(*key, "y", "x", F.coalesce("spix", F.lit(default)).alias("spix"))
+
+
+def unfold(df: DataFrame, column: str, radius: int = 1, outside: float = 0.0) -> DataFrame:
+    """The frame, y, x and near: the column's values in the square of that radius around each pixel, row by row."""
+    row, col = lines(df)
+    empty = F.array(*(F.lit(float(outside)) for _ in range(2 * radius + 1)))
+
+    def at(c: Column, k: int, window: Window, default: Column) -> Column:
+        return F.coalesce((F.lag(c, -k) if k < 0 else F.lead(c, k)).over(window) if k else c, default)
+
+    steps = range(-radius, radius + 1)
+    out = by_frame(df).select(*frame_key(df), "y", "x", F.array(*(at(F.col(column).cast("double"), k, row, F.lit(float(outside))) for k in steps)).alias("line"))
+    return out.select(*frame_key(df), "y", "x", F.flatten(F.array(*(at(F.col("line"), k, col, empty) for k in steps))).alias("near"))
+
+
+def inside_blocks(spark: SparkSession, width: int, block: int = 8) -> DataFrame:
+    """x: the columns that aren't the last of a block."""
+    x = spark.range(width).select(F.col("id").cast("int").alias("x"))
+    return x.exceptAll(x.where(F.col("x") % block == block - 1))

@@ -45,6 +45,28 @@ def segment_frames(pixels: DataFrame, options: Options | None = None) -> DataFra
     return _each(pixels, lambda f: kernel.segment_image(raster(f, ["c0", "c1", "c2"]), o)[0])
 
 
+def trace_frames(pixels: DataFrame, options: Options | None = None) -> DataFrame:
+    """The labels of every frame after every step of segment_frames: video, t, step (split, merge or bndy), seq, y, x, spix."""
+    o = options or Options()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts: list[pd.DataFrame] = []
+
+        def log(step: str, labels: np.ndarray) -> None:
+            snapshot = rows(frame["video"].iloc[0], frame["t"].iloc[0], labels)
+            parts.append(snapshot.assign(step=step, seq=np.int32(len(parts))))
+
+        kernel.segment_image(raster(frame, ["c0", "c1", "c2"]), o, log)
+        return pd.concat(parts)[["video", "t", "step", "seq", "y", "x", "spix"]]
+
+    return with_video(pixels).groupBy("video", "t").applyInPandas(run, "video string, t int, step string, seq int, y int, x int, spix int")
+
+
+def largest_pieces(seg: DataFrame) -> DataFrame:
+    """Only the largest 8-connected piece of each label keeps it, the first one of equals; the rest get -1."""
+    return _each(seg, lambda f: kernel.largest_pieces(raster(f.fillna({"spix": -1}), ["spix"])[..., 0].astype(int)))
+
+
 def segment_frames_batched(pixels: DataFrame, options: Options | None = None) -> DataFrame:
     """segment_frames without splits and merges."""
     from dataclasses import replace

@@ -116,3 +116,26 @@ def suite(spark: SparkSession, name: str) -> DataFrame:
     grids, skip = SUITES[name]
     parts = [grid(spark, g if "group" in g else g | {"group": [name]}) for g in grids]
     return with_defaults(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).where(F.col("place") >= skip).drop("place"))
+
+
+def only(experiments: DataFrame, pairs: list[tuple[str, object, str, object]]) -> DataFrame:
+    """Keeps the experiments that hold both values of one of the pairs of fields."""
+    kept = F.lit(False)
+    for a, x, b, y in pairs:
+        kept = kept | (F.col(a).eqNullSafe(F.lit(x)) & F.col(b).eqNullSafe(F.lit(y)))
+    return experiments.where(kept)
+
+
+def with_results(experiments: DataFrame, results: DataFrame, on: Column | list[str]) -> DataFrame:
+    """Every experiment with its results, null where there are none yet."""
+    return experiments.join(results, on, "left")
+
+
+def united(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """The rows of all tables, with the table's name in a column."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn(name, F.lit(k)) for k, t in tables.items()])
+
+
+def timings(times: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Median and deviation of repeated times."""
+    return times.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("sd"))

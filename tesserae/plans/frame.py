@@ -6,6 +6,7 @@ A frame is an array (height, width, 3) and labels are an int array (height, widt
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -299,8 +300,8 @@ def controlled(o: Options, live: int, step: int, last: int) -> tuple[Options, in
     return replace(base, split_alpha=base.split_alpha - sign, merge_alpha=base.merge_alpha + sign), sign
 
 
-def segment_image(image: np.ndarray, o: Options) -> tuple[np.ndarray, Params]:
-    """Regions of a single image: parameters, splits and merges by turns, border moves."""
+def segment_image(image: np.ndarray, o: Options, log: Callable[[str, np.ndarray], None] = lambda step, labels: None) -> tuple[np.ndarray, Params]:
+    """Regions of a single image: parameters, splits and merges by turns, border moves. log gets the labels after each step."""
     h, w = image.shape[:2]
     side = max(5, round(math.sqrt(h * w / o.target_nspix))) if o.target_nspix else o.sp_size
     labels = hex_labels(h, w, side)
@@ -318,9 +319,12 @@ def segment_image(image: np.ndarray, o: Options) -> tuple[np.ndarray, Params]:
             if step % 4 == 0:
                 labels, p = split(image, labels, p, o, count)
                 count += 1
+                log("split", labels)
             elif step % 4 == 2:
                 labels, p = merge(image, labels, p, o, count)
+                log("merge", labels)
         labels = update_labels(image, labels, p, o.sigma2, o.potts, o.niters_seg)
+        log("bndy", labels)
         step += 1
         if step % 8 == 0:
             labels, p = compact(labels, p)
