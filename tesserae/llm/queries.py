@@ -98,8 +98,8 @@ ORACLES = {
         FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN g ON g.id = vec_id""",
     "op1_line_dedup": r"""
         WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line_no, w[i] AS line FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)) WHERE trim(w[i], ' ') <> ''),
-        t AS (SELECT line, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
-        links AS (SELECT x.line AS a, y.line AS b FROM t x JOIN t y ON y.n BETWEEN x.n AND x.n + 2 AND x.line <> y.line AND (x.n < y.n OR x.line < y.line) WHERE levenshtein(x.line, y.line) <= 2),
+        t AS (SELECT line, length(line) AS n FROM l WHERE length(line) >= 10 GROUP BY line),
+        links AS (SELECT x.line AS a, y.line AS b FROM t x JOIN t y ON y.n BETWEEN x.n AND x.n + 2 AND x.line <> y.line AND (x.n < y.n OR x.line < y.line) WHERE levenshtein(x.line, y.line) <= least(2, x.n // 10)),
         sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach(a, r) AS (SELECT a, a FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.r),
         c AS (SELECT a, min(r) AS class FROM reach GROUP BY a),

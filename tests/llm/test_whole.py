@@ -150,3 +150,33 @@ def test_families_around_the_threshold_in_large_nodes(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_short_lines_may_differ_by_fewer_edits(spark):
+    """One edit from 10 characters on, two from 20 on, none below; and numbered lines of one template."""
+    from tesserae.llm.lines import near_links
+
+    rng = np.random.default_rng(8)
+    lines = set()
+    for n in [*range(5, 26)] * 3:
+        s = "".join(rng.choice(list("abcd "), n)).strip()
+        for _ in range(4):
+            t = list(s)
+            for _ in range(rng.integers(0, 3)):
+                k = int(rng.integers(len(t))) if t else 0
+                t[k : k + 1] = [[], ["z"], ["y", "x"]][rng.integers(3)]
+            lines.add("".join(t))
+    lines |= {f"order number {rng.integers(0, 10**5):08d} was shipped today" for _ in range(150)}
+    lines = sorted(x for x in lines if x.strip())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, before = [i], row
+            for j, d in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    pairs = sum(distance(a, b) <= min(2, min(len(a), len(b)) // 10) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert near_links(df).count() == pairs > 100
