@@ -25,16 +25,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("u").agg(F.count("*").alias("degree")).withColumnRenamed("u", "v")
 
 
-def prefix_offsets(edges: DataFrame, blocks: int = 64) -> DataFrame:
-    """Where each vertex's neighbours end in the list of all, by id: v, degree, stop.
+def running_total(df: DataFrame, number: str, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to its own, in the order of an integer column without repeats.
 
-    A running sum in two levels: within ranges of ids, then over the ranges' totals, so that no task sorts all vertices.
+    Sums run within ranges of 1024 numbers, within ranges of 1024 such ranges, and over those ranges' totals, so that one
+    task only sorts a millionth of the numbers.
     """
-    d = degrees(edges).withColumn("block", F.expr(f"cast(v div 1024 AS int)"))
-    within = d.withColumn("inner", F.sum("degree").over(Window.partitionBy("block").orderBy("v")))
-    totals = d.groupBy("block").agg(F.sum("degree").alias("total"))
-    before = totals.select(F.col("block"), (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("before"))
-    return within.join(before, "block").select("v", "degree", (F.col("inner") + F.col("before")).alias("stop"))
+    n = F.col(number).cast("long")
+    rows = df.withColumns({"__value": value.cast("long"), "__block": F.shiftright(n, 10), "__range": F.shiftright(n, 20)})
+    blocks = rows.groupBy("__range", "__block").agg(F.sum("__value").alias("__total"))
+    ranges = blocks.groupBy("__range").agg(F.sum("__total").alias("__sum"))
+    ranges = ranges.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__first"))
+    ahead = F.sum("__total").over(Window.partitionBy("__range").orderBy("__block")) - F.col("__total")
+    blocks = blocks.select("__range", "__block", ahead.alias("__ahead")).join(ranges, "__range").select("__block", (F.col("__ahead") + F.col("__first")).alias("__before"))
+    inner = F.sum("__value").over(Window.partitionBy("__block").orderBy(number))
+    return rows.withColumn("__inner", inner).join(blocks, "__block").withColumn(name, F.col("__inner") + F.col("__before")).select(*df.columns, name)
+
+
+def prefix_offsets(edges: DataFrame) -> DataFrame:
+    """Where each vertex's neighbours end in the list of all, by id: v, degree, stop."""
+    return running_total(degrees(edges), "v", F.col("degree"), "stop")
 
 
 def from_both_ways(adjacency: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import hash_unit
-from ..operators.graph import both_ways, moments3d, params3d, update3d
+from ..operators.graph import both_ways, moments3d, params3d, running_total, update3d
 from .loops import components, cut
 
 
@@ -42,10 +42,7 @@ def flood_filled(edges: DataFrame, cells: DataFrame, points: DataFrame) -> DataF
     d2 = F.round(sum(F.pow(F.col(a) - F.col(f"m_{a}"), F.lit(2)) for a in ("px", "py", "pz")), 9)
     seeds = far.groupBy("cell").agg(F.min(F.struct(d2.alias("d"), "v"))["v"].alias("v")).join(full, ["cell", "v"]).select("cell", F.col("piece").alias("main"))
     first = full.groupBy("piece").agg(F.min("v").alias("least"))
-    ranks = first.withColumn("block", F.expr("cast(least div 4096 AS int)")).withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("least")))
-    totals = ranks.groupBy("block").agg(F.count("*").alias("n"))
-    offset = totals.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    numbered = ranks.join(offset, "block").select("piece", (F.col("k") + F.col("before") - 1).cast("int").alias("spix"))
+    numbered = running_total(first, "least", F.lit(1), "k").select("piece", (F.col("k") - 1).cast("int").alias("spix"))
     return full.join(numbered, "piece").join(seeds, "cell", "left").select("v", "spix", (F.col("piece") == F.col("main")).alias("reached"))
 
 
