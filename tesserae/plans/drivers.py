@@ -13,6 +13,7 @@ from . import frame as kernel
 from .frame import Options
 
 LABELS = "video string, t int, y int, x int, spix int"
+FRAMES = "video string, t int, height int, width int, image binary, flow binary"
 
 
 def raster(frame: pd.DataFrame, columns: list[str]) -> np.ndarray:
@@ -39,6 +40,26 @@ def _each(pixels: DataFrame, work) -> DataFrame:
     return with_video(pixels).groupBy("video", "t").applyInPandas(run, LABELS)
 
 
+def packed(pixels: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """One row a frame: colours and the motion into this frame as float32 bytes."""
+    px = with_video(pixels).select("video", "t", "y", "x", "c0", "c1", "c2")
+    if flows is not None:
+        px = px.join(with_video(flows).select("video", (F.col("t") + 1).alias("t"), "y", "x", "fx", "fy"), ["video", "t", "y", "x"], "left").fillna(0.0, ["fx", "fy"])
+    else:
+        px = px.withColumns({"fx": F.lit(0.0), "fy": F.lit(0.0)})
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        image = raster(f, ["c0", "c1", "c2"])
+        return pd.DataFrame({"video": [f["video"].iloc[0]], "t": [np.int32(f["t"].iloc[0])], "height": [np.int32(image.shape[0])], "width": [np.int32(image.shape[1])], "image": [image.astype("<f4").tobytes()], "flow": [raster(f, ["fx", "fy"]).astype("<f4").tobytes()]})
+
+    return px.groupBy("video", "t").applyInPandas(pack, FRAMES)
+
+
+def image_of(row) -> tuple[np.ndarray, np.ndarray]:
+    """Colours and motion of a packed frame."""
+    return tuple(np.frombuffer(data, "<f4").reshape(row.height, row.width, -1).astype(float) for data in (row.image, row.flow))
+
+
 def segment_frames(pixels: DataFrame, options: Options | None = None) -> DataFrame:
     """Labels of every frame on its own: one task a frame, nothing shared between frames."""
     o = options or Options()
@@ -108,41 +129,22 @@ def components_8(seg: DataFrame) -> DataFrame:
 def segment_videos(pixels: DataFrame, flows: DataFrame | None = None, options: Options | None = None) -> DataFrame:
     """Labels with stable ids through each video. flows: fx, fy of the motion from frame t to t + 1.
 
-    A task reads the frames of its videos in order as a stream and holds one frame and the video's state, however
-    long the video is. A missing frame is skipped and the state kept.
+    Frames are packed in parallel, one row each; then a task reads the frames of its videos in order as a stream and holds
+    one frame and the video's state, however long the video is. A missing frame is skipped and the state kept.
     """
     o = options or Options()
-    px = with_video(pixels).select("video", "t", "y", "x", "c0", "c1", "c2")
-    if flows is not None:
-        fl = with_video(flows).select("video", (F.col("t") + 1).alias("t"), "y", "x", "fx", "fy")
-        px = px.join(fl, ["video", "t", "y", "x"], "left")
-    else:
-        px = px.withColumns({"fx": F.lit(0.0), "fy": F.lit(0.0)})
-    px = px.fillna(0.0, ["fx", "fy"]).repartition("video").sortWithinPartitions("video", "t", "y", "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, state, video = None, [], None, None
-
-        def work() -> pd.DataFrame:
-            nonlocal state, video
-            f = pd.concat(held)
-            if now[0] != video:
-                video, state = now[0], None
-            image = raster(f, ["c0", "c1", "c2"])
-            if state is None or state.labels.shape != image.shape[:2]:
-                state = kernel.first_frame(image, o)
-            else:
-                state = kernel.next_frame(image, raster(f, ["fx", "fy"]), state, o)
-            return rows(video, now[1], state.labels)
-
+        video, state = None, None
         for batch in batches:
-            for key, part in batch.groupby(["video", "t"], sort=False):
-                if key != now and held:
-                    yield work()
-                    held = []
-                now = key
-                held.append(part)
-        if held:
-            yield work()
-
-    return px.mapInPandas(run, LABELS)
+            for r in batch.itertuples():
+                image, flow = image_of(r)
+                if r.video != video:
+                    video, state = r.video, None
+                if state is None or state.labels.shape != image.shape[:2]:
+                    state = kernel.first_frame(image, o)
+                else:
+                    state = kernel.next_frame(image, flow, state, o)
+                yield rows(video, r.t, state.labels)
+
+    return packed(pixels, flows).repartition("video").sortWithinPartitions("video", "t").mapInPandas(run, LABELS)

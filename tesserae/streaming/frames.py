@@ -12,28 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import frame as kernel
-from ..plans.drivers import raster, with_video
+from ..plans.drivers import FRAMES, image_of, packed  # noqa: F401
 from ..plans.frame import Options, State
 
-FRAMES = "video string, t int, height int, width int, image binary, flow binary"
 OUTPUT = "video string, t int, late boolean, height int, width int, labels binary"
 
 
-def packed(pixels: DataFrame, flows: DataFrame | None = None) -> DataFrame:
-    """One row a frame: colours and the motion into this frame as float32 bytes."""
-    px = with_video(pixels).select("video", "t", "y", "x", "c0", "c1", "c2")
-    if flows is not None:
-        px = px.join(with_video(flows).select("video", (F.col("t") + 1).alias("t"), "y", "x", "fx", "fy"), ["video", "t", "y", "x"], "left").fillna(0.0, ["fx", "fy"])
-    else:
-        px = px.withColumns({"fx": F.lit(0.0), "fy": F.lit(0.0)})
-
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        image = raster(f, ["c0", "c1", "c2"])
-        return pd.DataFrame({"video": [f["video"].iloc[0]], "t": [np.int32(f["t"].iloc[0])], "height": [np.int32(image.shape[0])], "width": [np.int32(image.shape[1])], "image": [image.astype("<f4").tobytes()], "flow": [raster(f, ["fx", "fy"]).astype("<f4").tobytes()]})
-
-    return px.groupBy("video", "t").applyInPandas(pack, FRAMES)
-
-
 def unpacked(labelled: DataFrame) -> DataFrame:
     """Rows (video, t, y, x, spix) of the frames that weren't late."""
 
@@ -65,11 +49,11 @@ def labelled(frames: DataFrame, options: Options | None = None) -> DataFrame:
             if r.t <= last:
                 out.append((key[0], r.t, True, r.height, r.width, b""))
                 continue
-            image = np.frombuffer(r.image, "<f4").reshape(r.height, r.width, 3).astype(float)
+            image, flow = image_of(r)
             if state is None or state.labels.shape != image.shape[:2]:
                 state = kernel.first_frame(image, o)
             else:
-                state = kernel.next_frame(image, np.frombuffer(r.flow, "<f4").reshape(r.height, r.width, 2).astype(float), state, o)
+                state = kernel.next_frame(image, flow, state, o)
             last = int(r.t)
             out.append((key[0], r.t, False, r.height, r.width, state.labels.astype("<i4").tobytes()))
         if state is not None:
