@@ -310,7 +310,7 @@ def segment_image(image: np.ndarray, o: Options, log: Callable[[str, np.ndarray]
     step, count, last = 0, 0, 0
     while step < (o.most_rounds if o.target_nspix else o.rounds):
         if o.target_nspix:
-            live = int((p.n > 0).sum())
+            live = int(np.count_nonzero(np.bincount(labels[labels >= 0])))
             if step >= o.rounds and abs(live - o.target_nspix) <= 0.05 * o.target_nspix:
                 break
             o, last = controlled(o, live, step, last)
@@ -475,7 +475,7 @@ def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options) ->
     while step < (o.most_rounds if o.target_nspix else rounds):
         p = parameters(image, labels, p.prior_count, p.propagated, o.sp_size)
         if o.target_nspix:
-            live = int((p.n > 0).sum())
+            live = int(np.count_nonzero(np.bincount(labels[labels >= 0])))
             if step >= rounds and abs(live - o.target_nspix) <= 0.05 * o.target_nspix:
                 break
             o, last = controlled(o, live, step, last)
