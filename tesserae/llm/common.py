@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, so that no later step computes it again."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """df written as Parquet (with these options) to the shared folder and read back, so that no later step computes it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -83,7 +83,34 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_vector_dedup, op4_decontaminate, op5_chat_format, op6_html_text, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import code_report
+
+    return code_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+def _lloyd_round(k: int) -> str:
+    """DuckDB SQL of one round: the nearest entries (a{k}), then the moved codebooks (b{k + 1})."""
+    return f"""a{k} AS (SELECT DISTINCT ON (p.vec_id, p.part) p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            FROM parts p JOIN b{k} b USING (part) ORDER BY p.vec_id, p.part, d, b.entry),
+        m{k} AS (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x FROM (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n
+            FROM a{k} JOIN parts USING (vec_id, part), UNNEST(generate_series(1, 4)) AS u(i) GROUP BY ALL) GROUP BY ALL),
+        b{k + 1} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry)),"""
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_vector_dedup, op4_decontaminate, op5_chat_format, op6_html_text, op7_suffix_dedup, op8_near_dedup, op9_secret_scan, op10_bpe, op11_token_counts, op12_vector_codes, op13_spelling_groups)}
 
 #: DuckDB SQL for the same results, where SQL can express them.
 ORACLES = {
@@ -144,4 +171,34 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(25 + length(role) - 1 + length(CASE WHEN guarded THEN regexp_replace(text, '<(\\*)\|(im_start|im_end|nl)\|>', '<\1\\|\2|>', 'g') ELSE text END)) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_vector_codes": rf"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT vec_id, part, e[part * 4 + 1:part * 4 + 4] AS x FROM kept, UNNEST(generate_series(0, 15)) AS u(part)),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+        b0 AS (SELECT part, entry, x FROM parts JOIN seeds USING (vec_id)),
+        {_lloyd_round(0)}
+        {_lloyd_round(1)}
+        {_lloyd_round(2)}
+        c AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+        f AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN kept USING (vec_id), f""",
+    "op13_spelling_groups": r"""
+        WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM UNNEST(generate_series(0, 255)) AS u(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc WHERE k < 8),
+        t AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+        runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run, 0 AS x FROM documents)
+            WHERE length(run) >= 5 GROUP BY ALL),
+        coded AS (SELECT run, n, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS x FROM runs),
+        bytes AS (SELECT run, n, list_transform(generate_series(1, len(x) // 2), lambda i: CAST('0x' || x[2 * i - 1:2 * i] AS BIGINT)) AS b FROM coded),
+        hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c // 256, t[xor(c, y) % 256 + 1]))) AS h FROM bytes, t),
+        dropped AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS m FROM dropped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        one AS (SELECT string_agg(chr(CAST(i + 192 AS INTEGER)), '' ORDER BY i) AS wide, string_agg(chr(CAST(i + 32 AS INTEGER)), '' ORDER BY i) AS narrow FROM UNNEST(generate_series(0, 63)) AS u(i)),
+        c AS (SELECT word, n, m, translate(word, wide, narrow) AS c FROM v, one),  -- levenshtein counts bytes
+        near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM c x JOIN c y ON y.m BETWEEN x.m - 1 AND x.m + 1 AND x.word <> y.word WHERE levenshtein(x.c, y.c) = 1),
+        best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+        f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+        walk(word, place) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, walk.place AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = walk.place WHERE e.form IS NULL""",
 }
