@@ -12,7 +12,7 @@ from ..operators.regions import pooled_video
 from ..plans import drivers, experiments, loops, mesh
 from ..plans import frame as kernel
 from ..plans.frame import PHASES, Options
-from ..sources.testdata import EDGE, PX, SEG, STRIPE, VERTEX, drift, edges, flows, pixels, segments, stripes, table, vertices
+from ..sources.testdata import BAND, EDGE, PX, SEG, STRIPE, VERTEX, bands, drift, edges, flows, pixels, segments, stripes, table, vertices
 from . import scores
 from .pixels import holes
 
@@ -37,25 +37,28 @@ def unit(df):
     return df.withColumns({f"c{i}": F.col(f"c{i}") / 255 for i in range(3)})
 
 
-def region_colours(labels, pixels):
-    """t, y, x and the mean colour of each pixel's region, which is its own colour if no region goes beyond a stripe."""
+def region_colours(labels, pixels, most: int = 45):
+    """t, y, x and the mean colour of each pixel's region, which is its own colour if no region goes beyond a stripe; and
+    whether the frame has so few regions that they hold many pixels each."""
     found = labels.select("t", "y", "x", "spix").join(pixels, ["t", "y", "x"])
-    return pooled_video(found).select("t", "y", "x", *((F.round(f"m{i}", 6) + F.lit(0.0)).alias(f"m{i}") for i in (0, 1)))
+    few = labels.groupBy("t").agg((F.countDistinct("spix") <= most).alias("few"))
+    return pooled_video(found).join(few, "t").select("t", "y", "x", *((F.round(f"m{i}", 6) + F.lit(0.0)).alias(f"m{i}") for i in (0, 1)), "few")
 
 
-_OWN_COLOURS = f"WITH {STRIPE} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1 FROM stripe"
+_OWN_COLOURS = f"WITH {STRIPE} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1, true AS few FROM stripe"
+_BAND_COLOURS = f"WITH {BAND} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1, true AS few FROM band"
 
 
-@register(_OWN_COLOURS.replace("FROM stripe", "FROM stripe WHERE t % 5 < 3"))
+@register(_BAND_COLOURS)
 def segment_frames(spark, d):
-    """Regions of single frames end where the stripes do. (In other frames a stripe is cut to less than a region is wide.)"""
-    px = stripes(spark, d).where("t % 5 < 3")
+    """Regions of single frames end where the bands do, and are few."""
+    px = bands(spark, d)
     return region_colours(drivers.segment_frames(px, SHARP), px)
 
 
-@register(_OWN_COLOURS.replace("FROM stripe", "FROM stripe WHERE t % 5 < 3"))
+@register(_BAND_COLOURS)
 def segment_frames_batched(spark, d):
-    px = stripes(spark, d).where("t % 5 < 3")
+    px = bands(spark, d)
     return region_colours(drivers.segment_frames_batched(px, SHARP), px)
 
 
@@ -70,7 +73,7 @@ def segment_frames_alone(spark, d):
     return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("spix")).alias("n_same"))
 
 
-@register(f"WITH {STRIPE} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1 FROM stripe")
+@register(_OWN_COLOURS)
 def segment_videos(spark, d):
     """Regions of a video follow the stripes from frame to frame."""
     px = stripes(spark, d)
@@ -307,17 +310,17 @@ def grid_only(spark, d):
     return experiments.only(full, [("potts", 10.0, "sp_size", 10), ("potts", 1.0, "sp_size", 25)]).select("id")
 
 
-@register(f"""WITH {STRIPE} SELECT 'g' AS "group", e.id, CAST(r.rep AS INTEGER) AS rep, count(*) AS n, CAST(0 AS INTEGER) AS n_again, 1.0::DOUBLE AS ev FROM stripe, (VALUES ('id_0'), ('id_1')) e(id), (VALUES (0), (1)) r(rep) WHERE t < 3 GROUP BY e.id, r.rep""")
+@register(f"""WITH {BAND} SELECT 'g' AS "group", e.id, CAST(r.rep AS INTEGER) AS rep, count(*) AS n, CAST(0 AS INTEGER) AS n_again, 1.0::DOUBLE AS ev FROM band, (VALUES ('id_0'), ('id_1')) e(id), (VALUES (0), (1)) r(rep) GROUP BY e.id, r.rep""")
 def experiment_runs(spark, d):
-    """Two experiments in two repetitions: labels of all pixels, regions that explain all colours, and nothing run twice."""
+    """Two experiments in two repetitions over all frames: labels of all pixels, regions that explain all colours, and nothing
+    run twice."""
     from ..plans import runner
 
-    base, px = loops.fresh_folder(spark, "runs"), stripes(spark, d).where("t < 3")
-    grid = experiments.grid(spark, {"sp_size": [7, 8]}).withColumns({"group": F.lit("g"), "niters": F.lit(16), "sigma_app": F.lit(0.02)})
-    flow = drift(spark, d)
-    runner.run(grid, px, flow, base, 2)
-    again = runner.run(grid, px, flow, base, 2)
-    truth = px.withColumn("gt", F.expr("cast((x + 2 * t) div 10 AS int)"))
+    base, px = loops.fresh_folder(spark, "runs"), bands(spark, d)
+    grid = experiments.grid(spark, {"sp_size": [7, 8]}).withColumns({"group": F.lit("g"), "niters": F.lit(16), "sigma_app": F.lit(0.02), "video_mode": F.lit(False)})
+    runner.run(grid, px, None, base, 2)
+    again = runner.run(grid, px, None, base, 2)
+    truth = px.withColumn("gt", F.expr("cast(x div 10 AS int)"))
     scores = runner.evaluate(spark, base, truth, 1500).select("group", "id", "rep", F.round("ev", 6).alias("ev"))
     n = spark.read.parquet(f"{base}/labels").groupBy("group", "id", "rep").agg(F.count("*").alias("n"))
     return n.join(scores, ["group", "id", "rep"]).withColumn("n_again", F.lit(again))

@@ -70,17 +70,72 @@ def parameters(stats: DataFrame, prior_count: Column, side: int, propagated: Col
     covariance smoothed to a round cell of that side.
     """
     n, pc = F.col("n").cast("double"), prior_count.cast("double")
-    mx, my = F.col("sx") / n, F.col("sy") / n
-    scatter = {"xx": F.col("sxx") - n * mx * mx, "xy": F.col("sxy") - n * mx * my, "yy": F.col("syy") - n * my * my}
-    prior = {"xx": pc, "xy": F.lit(0.0), "yy": pc}
+    shape = {"xx": F.lit(1.0), "xy": F.lit(0.0), "yy": F.lit(1.0)}
     if propagated is not None:
-        own = {k: smooth(v / n, pc, pc, side, k != "xy") for k, v in scatter.items()}
-        det = F.greatest(own["xx"] * own["yy"] - own["xy"] * own["xy"], F.lit(1e-12))
-        prior = {k: F.when(propagated, pc / F.sqrt(det) * own[k]).otherwise(prior[k]) for k in prior}
-    total = n + 50 * pc + 3
-    cov = {k: (pc * prior[k] + scatter[k]) / total for k in scatter}
+        own = {k: smooth(v / n, pc, pc, side, k != "xy") for k, v in scatter(stats).items()}
+        shape = {k: F.when(propagated, own[k]).otherwise(shape[k]) for k in shape}
+    return stats.select(*region_key(stats), "n", *_fitted(stats, pc, shape))
+
+
+def scatter(stats: DataFrame) -> dict[str, Column]:
+    """Centred sums of squares of places, of rows of moments."""
+    n = F.col("n").cast("double")
+    mx, my = F.col("sx") / n, F.col("sy") / n
+    return {"xx": F.col("sxx") - n * mx * mx, "xy": F.col("sxy") - n * mx * my, "yy": F.col("syy") - n * my * my}
+
+
+def _fitted(stats: DataFrame, pc: Column, shape: dict[str, Column]) -> list[Column]:
+    """Means and inverse covariances drawn to a shape, scaled to unit determinant and the weight pc."""
+    n, spread = F.col("n").cast("double"), scatter(stats)
+    root = F.sqrt(F.greatest(shape["xx"] * shape["yy"] - shape["xy"] * shape["xy"], F.lit(1e-12)))
+    cov = {k: (pc * (pc / root * shape[k]) + spread[k]) / (n + 50 * pc + 3) for k in spread}
     inv = inverse2(cov["xx"], cov["xy"], cov["yy"])
-    return stats.select(*region_key(stats), "n", *((F.col(f"s{i}") / n).alias(f"mu{i}") for i in range(3)), mx.alias("mx"), my.alias("my"), *(inv[k].alias(f"i{k}" if k != "logdet" else k) for k in inv))
+    means = [*((F.col(f"s{i}") / n).alias(f"mu{i}") for i in range(3)), (F.col("sx") / n).alias("mx"), (F.col("sy") / n).alias("my")]
+    return [*means, *(inv[k].alias(f"i{k}" if k != "logdet" else k) for k in inv)]
+
+
+def initial_priors(stats: DataFrame) -> DataFrame:
+    """The priors of a first frame's regions: the whole part of their mean size as weight, the identity, not propagated."""
+    frame = Window.partitionBy(*frame_key(stats))
+    weight = F.floor(F.sum("n").over(frame) / F.count("*").over(frame)).cast("double")
+    one, none = F.lit(1.0), F.lit(0.0)
+    shapes = [c.alias(f"{m}{k}") for m in "kv" for k, c in (("xx", one), ("xy", none), ("yy", one))]
+    return stats.select(*region_key(stats), weight.alias("prior_count"), *shapes, F.lit(False).alias("propagated"))
+
+
+def kept_shapes(stats: DataFrame, params: DataFrame, prior_count: Column) -> DataFrame:
+    """What a frame leaves to the next one, by region: n, prior_count, the inverse covariance that was fitted (ixx, ixy,
+    iyy) and the covariance of places (vxx, vxy, vyy). stats and params: moments and parameters of the same frame."""
+    key = region_key(stats)
+    spread = [(v / F.col("n")).alias(f"v{k}") for k, v in scatter(stats).items()]
+    return stats.select(*key, "n", prior_count.cast("double").alias("prior_count"), *spread).join(params.select(*key, "ixx", "ixy", "iyy"), key)
+
+
+def carried_priors(kept: DataFrame, filled: DataFrame, prop_nc: bool = True) -> DataFrame:
+    """The priors of each region of the frames t + 1 of kept: prior_count, the matrix kxx, kxy, kyy, the sample, propagated.
+
+    filled: sizes n by region after filling. With prop_nc a region's prior weighs as much as the region did, or as what
+    was filled where it had no pixels; without, as its prior did. The matrix is the inverse of the fitted one, but its
+    off-diagonal keeps its sign. Regions that weren't there before have the identity and are not propagated.
+    """
+    key, det = region_key(filled), F.col("ixx") * F.col("iyy") - F.col("ixy") * F.col("ixy")
+    weight = F.when(F.col("n") > 0, F.col("n").cast("double")) if prop_nc else F.col("prior_count")
+    old = kept.select(*[c for c in key if c not in ("t", "spix")], (F.col("t") + 1).cast("int").alias("t"), "spix", weight.alias("weight"),
+        (F.col("iyy") / det).alias("kxx"), (F.col("ixy") / det).alias("kxy"), (F.col("ixx") / det).alias("kyy"), "vxx", "vxy", "vyy")
+    joined = filled.select(*key, F.col("n").cast("double").alias("now")).join(old, key, "left")
+    rounds = [F.coalesce(f"{m}{k}", F.lit(one)).alias(f"{m}{k}") for m in "kv" for k, one in (("xx", 1.0), ("xy", 0.0), ("yy", 1.0))]
+    return joined.select(*key, F.coalesce("weight", "now").alias("prior_count"), *rounds, F.col("kxx").isNotNull().alias("propagated"))
+
+
+def conditioned_parameters(stats: DataFrame, priors: DataFrame, side: int, prop_icov: bool = True) -> DataFrame:
+    """parameters with a prior for each region, as from carried_priors. With prop_icov a propagated region is drawn to its
+    smoothed sample of the frame before, else to its matrix. One join by region; stats are aggregated before it."""
+    key = region_key(stats)
+    both = stats.join(priors, key)
+    pc = F.col("prior_count")
+    conditioned = F.col("propagated") if prop_icov else F.lit(False)
+    shape = {k: F.when(conditioned, smooth(F.col(f"v{k}"), pc, pc, side, k != "xy")).otherwise(F.col(f"k{k}")) for k in ("xx", "xy", "yy")}
+    return both.select(*key, "n", "prior_count", "propagated", *_fitted(both, pc, shape))
 
 
 def pooled(seg: DataFrame, over_time: bool = False) -> DataFrame:
@@ -137,6 +192,35 @@ def identity_distances(now: DataFrame, before: DataFrame, width: int, height: in
     return pairs.groupBy(*key).agg(F.min(F.struct("delta", F.col("o_spix").alias("id"))).alias("best"), F.max(F.when(F.col("o_spix") == F.col("spix"), F.col("delta"))).alias("own")).select(*key, F.col("best.id").alias("candidate"), F.col("best.delta").alias("delta"), "own")
 
 
+def nearby_identities(now: DataFrame, before: DataFrame, width: int, height: int, epsilon: float) -> DataFrame:
+    """identity_distances, but dead ids count only within epsilon, which is all that a decision asks for.
+
+    Rows of a frame meet by cells of (first colour, x, y) as wide as the root of epsilon; a living region looks into the 27
+    cells around its own, so the work is linear in living and dead ids, however many ids a video has seen.
+    """
+    frame, key, wide = frame_key(now), region_key(now), math.sqrt(epsilon)
+
+    def cells(prefix: str = "") -> list[Column]:
+        scaled = [F.col(f"{prefix}mu0"), math.sqrt(10) * F.col(f"{prefix}mx") / width, math.sqrt(10) * F.col(f"{prefix}my") / height]
+        return [F.floor(c / wide) for c in scaled]
+
+    def delta() -> Column:
+        near = [F.pow(F.col(f"mu{i}") - F.col(f"o_mu{i}"), F.lit(2)) for i in range(3)]
+        place = F.pow((F.col("mx") - F.col("o_mx")) / width, F.lit(2)) + F.pow((F.col("my") - F.col("o_my")) / height, F.lit(2))
+        return F.round(near[0] + near[1] + near[2] + place * 10, 9)
+
+    old = before.select(*frame, *(F.col(c).alias(f"o_{c}") for c in ("spix", "mu0", "mu1", "mu2", "mx", "my", "is_dead")))
+    own = now.join(old.withColumn("spix", F.col("o_spix")), key, "left").select(*key, delta().alias("own"))
+    steps = [F.array(*(c + step for step in (-1, 0, 1))) for c in cells()]
+    looks = now
+    for i, step in enumerate(steps):
+        looks = looks.withColumn(f"cell{i}", F.explode(step))
+    lies = old.where("o_is_dead").select("*", *(c.alias(f"cell{i}") for i, c in enumerate(cells("o_"))))
+    met = looks.join(lies, [*frame, "cell0", "cell1", "cell2"]).withColumn("delta", delta()).where(F.col("delta") < epsilon)
+    best = met.groupBy(*key).agg(F.min(F.struct("delta", F.col("o_spix").alias("id"))).alias("best"))
+    return own.join(best, key, "left").select(*key, F.coalesce("best.id", "spix").alias("candidate"), F.coalesce("best.delta", "own").alias("delta"), "own")
+
+
 def identity_decisions(distances: DataFrame, epsilon_reid: float, epsilon_new: float) -> DataFrame:
     """revive: take over the nearest dead id (of several regions the nearest one does); new: far from what it was."""
     wants = (F.col("delta") < epsilon_reid) & (F.col("candidate") != F.col("spix"))

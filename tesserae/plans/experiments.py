@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Defaults of the region algorithms' options.
-DEFAULTS = {"sp_size": 25, "niters": -1, "potts": 10.0, "sigma_app": 0.009, "alpha": -0.6931471805599453, "gamma": 4.0, "epsilon_new": 0.05, "epsilon_reid": 1e-6, "split_alpha": 0.0, "video_mode": True, "rgb2lab": True, "target_nspix": 0}
+DEFAULTS = {"sp_size": 25, "niters": -1, "potts": 10.0, "sigma_app": 0.009, "alpha": -0.6931471805599453, "gamma": 4.0, "epsilon_new": 0.05, "epsilon_reid": 1e-6, "split_alpha": 0.0, "video_mode": True, "rgb2lab": True, "target_nspix": 0, "prop_nc": 1, "prop_icov": 1, "overlap": 1}
 
 
 def _kind(values: list) -> T.DataType:

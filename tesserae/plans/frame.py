@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -26,6 +26,8 @@ class Options:
     sp_size: int = 25
     niters: int = 0
     niters_seg: int = 4
+    #: Rounds of later frames; by their share of new pixels if 0.
+    vid_niters: int = 0
     potts: float = 10.0
     sigma_app: float = 0.009
     alpha: float = math.log(0.5)
@@ -35,6 +37,10 @@ class Options:
     epsilon_new: float = 5e-2
     epsilon_reid: float = 1e-6
     smaller_wins: bool = True
+    #: In a later frame the prior weighs as much as the region did before it, else as much as its prior did.
+    prop_nc: bool = True
+    #: The prior of a region that was there before has the shape it had then, smoothed; else the inverse kept for it.
+    prop_icov: bool = True
     target_nspix: int = 0
     use_sm: bool = True
     sm_start: int = -1
@@ -51,7 +57,11 @@ class Options:
 
 @dataclass
 class Params:
-    """Parameters by region id (arrays indexed by id); n is 0 where an id has no pixels."""
+    """Parameters by region id (arrays indexed by id); n is 0 where an id has no pixels.
+
+    Matrices are rows xx, xy, yy. sample: the covariance of places in the frame before. prior: the shape to which the
+    covariance is drawn, if it isn't conditioned on the sample.
+    """
 
     n: np.ndarray
     mu: np.ndarray
@@ -60,18 +70,25 @@ class Params:
     logdet: np.ndarray
     prior_count: np.ndarray
     propagated: np.ndarray
+    sample: np.ndarray
+    prior: np.ndarray
+    conditioned: bool = True
 
 
 @dataclass
 class State:
-    """What a video carries from frame to frame: labels and the means of every id ever seen."""
+    """What a video carries from frame to frame: labels, and of every id ever seen what it was when last seen.
+
+    inverse: the inverse covariance that was fitted; sample: the covariance of places; prior_count: the prior's weight.
+    """
 
     labels: np.ndarray
     n: np.ndarray
     mu: np.ndarray
     centre: np.ndarray
-    side: int = 0
-    extra: dict = field(default_factory=dict)
+    inverse: np.ndarray | None = None
+    sample: np.ndarray | None = None
+    prior_count: np.ndarray | None = None
 
 
 def around(a: np.ndarray, d: str, fill: int = -2) -> np.ndarray:
@@ -104,25 +121,52 @@ def sums(labels: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(labels[ok], values[ok], size)
 
 
-def parameters(image: np.ndarray, labels: np.ndarray, prior_count: np.ndarray, propagated: np.ndarray, side: int) -> Params:
-    size = len(prior_count)
+def round_shapes(size: int) -> np.ndarray:
+    return np.tile([1.0, 0.0, 1.0], (size, 1))
+
+
+def scatter(labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels, mean places and centred sums of squares of places of each region."""
     y, x = np.mgrid[: labels.shape[0], : labels.shape[1]].astype(float)
     n = sums(labels, np.ones(labels.shape), size)
     safe = np.maximum(n, 1)
-    mu = np.stack([sums(labels, image[..., i], size) / safe for i in range(3)], 1)
     mx, my = sums(labels, x, size) / safe, sums(labels, y, size) / safe
-    xx, xy, yy = sums(labels, x * x, size) - n * mx * mx, sums(labels, x * y, size) - n * mx * my, sums(labels, y * y, size) - n * my * my
+    spread = sums(labels, x * x, size) - n * mx * mx, sums(labels, x * y, size) - n * mx * my, sums(labels, y * y, size) - n * my * my
+    return n, np.stack([mx, my], 1), np.stack(spread, 1)
+
+
+def smoothed(sample: np.ndarray, prior_count: np.ndarray, side: int) -> np.ndarray:
+    """Covariances drawn to round cells of that side, with a quarter of the prior's weight."""
+    q = prior_count / 4
+    out = prior_count[:, None] * sample / (prior_count + q + 3)[:, None]
+    out[:, [0, 2]] += (q * side / (prior_count + q + 3))[:, None]
+    return out
+
+
+def parameters(image: np.ndarray, labels: np.ndarray, prior_count: np.ndarray, propagated: np.ndarray, side: int, sample: np.ndarray | None = None, prior: np.ndarray | None = None, conditioned: bool = True) -> Params:
+    """Fits each region; its covariance is drawn to a prior matrix scaled to unit determinant and the prior's weight.
+
+    That matrix is the smoothed sample of a propagated region if conditioned, else prior (without one, the identity).
+    """
+    size = len(prior_count)
+    n, centre, spread = scatter(labels, size)
+    mu = np.stack([sums(labels, image[..., i], size) / np.maximum(n, 1) for i in range(3)], 1)
+    sample = spread / np.maximum(n, 1)[:, None] if sample is None else sample
+    prior = round_shapes(size) if prior is None else prior
     pc = prior_count
-    q = pc / 4
-    kxx, kxy, kyy = ((q * side + pc * v / safe) / (pc + q + 3) if diagonal else pc * v / safe / (pc + q + 3) for v, diagonal in ((xx, 1), (xy, 0), (yy, 1)))
-    root = np.sqrt(np.maximum(kxx * kyy - kxy * kxy, 1e-12))
-    pxx, pxy, pyy = (np.where(propagated, pc * k / root, pc * one) for k, one in ((kxx, 1.0), (kxy, 0.0), (kyy, 1.0)))
+    k = np.where((propagated & conditioned)[:, None], smoothed(sample, pc, side), prior)
+    root = np.sqrt(np.maximum(k[:, 0] * k[:, 2] - k[:, 1] ** 2, 1e-12))
     total = n + 50 * pc + 3
-    sxx, sxy, syy = (pc * pxx + xx) / total, (pc * pxy + xy) / total, (pc * pyy + yy) / total
+    sxx, sxy, syy = ((pc[:, None] * (pc / root)[:, None] * k + spread) / total[:, None]).T
     bad = sxx * syy - sxy * sxy <= 0
     sxx, syy = sxx + 1e-5 * bad, syy + 1e-5 * bad
     det = np.maximum(sxx * syy - sxy * sxy, 1e-5)
-    return Params(n, mu, np.stack([mx, my], 1), np.stack([syy / det, -sxy / det, sxx / det], 1), np.log(det), pc, propagated)
+    return Params(n, mu, centre, np.stack([syy / det, -sxy / det, sxx / det], 1), np.log(det), pc, propagated, sample, prior, conditioned)
+
+
+def refit(image: np.ndarray, labels: np.ndarray, p: Params, side: int) -> Params:
+    """Parameters of new labels under the same priors."""
+    return parameters(image, labels, p.prior_count, p.propagated, side, p.sample, p.prior, p.conditioned)
 
 
 PHASES = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -240,15 +284,26 @@ def split(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     labels = np.where(flips, new[np.maximum(labels, 0)], labels)
     floor = 8 if invalid is None else 36
     half = np.maximum(p.prior_count[ids] / 2, floor)
-    prior = np.append(p.prior_count, half)
-    prior[ids] = np.where((invalid is None) | other[ids], half, prior[ids])
-    return labels, parameters(image, labels, prior, np.append(p.propagated, np.zeros(len(ids), bool)), o.sp_size)
+    count = np.append(p.prior_count, half)
+    changed = ids[(invalid is None) | other[ids]]
+    count[changed] = half[(invalid is None) | other[ids]]
+    prior = np.vstack([p.prior, round_shapes(len(ids))])
+    prior[changed] = round_shapes(len(changed))
+    sample = np.vstack([p.sample, round_shapes(len(ids))])
+    return labels, parameters(image, labels, count, np.append(p.propagated, np.zeros(len(ids), bool)), o.sp_size, sample, prior, p.conditioned)
+
 
+def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: int, edge: int = 0) -> tuple[np.ndarray, Params]:
+    """Joins regions to a neighbour where one explains the colours as well; one region for each target.
 
-def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: int) -> tuple[np.ndarray, Params]:
-    """Joins regions to a neighbour where one explains the colours as well; one region for each target."""
+    Pixels nearer than edge to the frame's two sides in that direction propose nothing.
+    """
     size = len(p.n)
     near = around(labels, "s" if count % 2 else "w")
+    if edge:
+        near = near if count % 2 else near.T
+        near[:edge] = near[-edge:] = -2
+        near = near if count % 2 else near.T
     pair = (near >= 0) & (labels >= 0) & (near != labels)
     pair &= ~(p.propagated[np.maximum(labels, 0)] & p.propagated[np.maximum(near, 0)])
     target = np.full(size, -1)
@@ -276,10 +331,10 @@ def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     source, into = np.where(flip, f, ids), np.where(flip, ids, f)
     to = np.arange(size)
     to[source] = into
-    prior = p.prior_count.copy()
-    np.add.at(prior, into, p.prior_count[source])
+    total = p.prior_count.copy()
+    np.add.at(total, into, p.prior_count[source])
     labels = np.where(labels >= 0, to[np.maximum(labels, 0)], labels)
-    return labels, parameters(image, labels, prior, p.propagated, o.sp_size)
+    return labels, refit(image, labels, replace(p, prior_count=total), o.sp_size)
 
 
 def compact(labels: np.ndarray, p: Params, previous: int = 0) -> tuple[np.ndarray, Params]:
@@ -288,7 +343,8 @@ def compact(labels: np.ndarray, p: Params, previous: int = 0) -> tuple[np.ndarra
     ids = np.append(np.arange(min(previous, len(p.n))), live[live >= previous])
     to = np.full(len(p.n), -1)
     to[ids] = np.arange(len(ids))
-    return np.where(labels >= 0, to[np.maximum(labels, 0)], -1), Params(*(getattr(p, k)[ids] for k in ("n", "mu", "centre", "inverse", "logdet", "prior_count", "propagated")))
+    kept = {k: getattr(p, k)[ids] for k in ("n", "mu", "centre", "inverse", "logdet", "prior_count", "propagated", "sample", "prior")}
+    return np.where(labels >= 0, to[np.maximum(labels, 0)], -1), replace(p, **kept)
 
 
 def controlled(o: Options, live: int, step: int, last: int) -> tuple[Options, int]:
@@ -314,7 +370,7 @@ def segment_image(image: np.ndarray, o: Options, log: Callable[[str, np.ndarray]
             if step >= o.rounds and abs(live - o.target_nspix) <= 0.05 * o.target_nspix:
                 break
             o, last = controlled(o, live, step, last)
-        p = parameters(image, labels, p.prior_count, p.propagated, side)
+        p = refit(image, labels, p, side)
         if o.use_sm and step > o.sm_start:
             if step % 4 == 0:
                 labels, p = split(image, labels, p, o, count)
@@ -328,7 +384,7 @@ def segment_image(image: np.ndarray, o: Options, log: Callable[[str, np.ndarray]
         step += 1
         if step % 8 == 0:
             labels, p = compact(labels, p)
-    return compact(labels, parameters(image, labels, p.prior_count, p.propagated, side))
+    return compact(labels, refit(image, labels, p, side))
 
 
 def merge_only(image: np.ndarray, labels: np.ndarray, o: Options, rounds: int) -> np.ndarray:
@@ -337,7 +393,7 @@ def merge_only(image: np.ndarray, labels: np.ndarray, o: Options, rounds: int) -
     for k in range(rounds):
         labels, p = merge(image, labels, p, o, k)
         labels = update_labels(image, labels, p, o.sigma2, o.potts, 1)
-        p = parameters(image, labels, p.prior_count, p.propagated, o.sp_size)
+        p = refit(image, labels, p, o.sp_size)
     return compact(labels, p)[0]
 
 
@@ -386,18 +442,23 @@ def shift(labels: np.ndarray, flow: np.ndarray, smaller_wins: bool = True) -> tu
     return out, move
 
 
-def fill(labels: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Missing pixels take the neighbouring label with the nearest centre, from the edges of holes inwards."""
-    labels = labels.copy()
+def fill(labels: np.ndarray, centre: np.ndarray, passes: int = 0, size: tuple[int, int] | None = None) -> np.ndarray:
+    """Missing pixels take the neighbouring label with the nearest centre, from the edges of holes inwards.
+
+    passes: how many passes of four phases at most, 0 for all. size: height and width of the frame, if labels are a part.
+    """
+    labels, done = labels.copy(), 0
     h, w = labels.shape
-    while (before := (labels < 0).sum()):
+    tall, wide = size or (h, w)
+    while (before := (labels < 0).sum()) and (not passes or done < passes):
+        done += 1
         for a, b in PHASES:
             hole = np.zeros((h, w), bool)
             hole[b::2, a::2] = labels[b::2, a::2] < 0
             y, x = np.nonzero(hole)
             near = np.stack([around(labels, d)[y, x] for d in "nswe"], 1)
             k = np.maximum(near, 0)
-            d = np.where(near >= 0, ((x[:, None] - centre[k, 0]) / w) ** 2 + ((y[:, None] - centre[k, 1]) / h) ** 2, np.inf)
+            d = np.where(near >= 0, ((x[:, None] - centre[k, 0]) / wide) ** 2 + ((y[:, None] - centre[k, 1]) / tall) ** 2, np.inf)
             best = near[np.arange(len(y)), np.lexsort((near, np.round(d, 9)), axis=1)[:, 0]] if len(y) else np.zeros(0, int)
             found = np.isfinite(d).any(1) if len(y) else np.zeros(0, bool)
             labels[y[found], x[found]] = best[found]
@@ -406,74 +467,133 @@ def fill(labels: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return labels
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of a and b that lie in the same or neighbouring cells, as wide as the radius, of the first three
+    components: all pairs within the radius and few others, found by sorted cells."""
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ca, cb = (np.floor(m[:, :3] / radius).astype(np.int64) for m in (a, b))
+    low = np.minimum(ca.min(0), cb.min(0)) - 1
+    ca, cb = ca - low, cb - low
+    wide = np.maximum(ca.max(0), cb.max(0)) + 2
+    if float(wide[0]) * float(wide[1]) * float(wide[2]) >= 2.0**62:  # cells that can't be numbered: those of one component
+        wide, ca, cb = np.array([1, 1, 1]), ca * [0, 0, 1], cb * [0, 0, 1]
+    factor = np.array([wide[1] * wide[2], wide[2], 1])
+    key = cb @ factor
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    left, right = [], []
+    steps = sorted({int(np.dot(step, factor)) for step in np.ndindex(3, 3, 3)})
+    middle = int(np.dot((1, 1, 1), factor))
+    for step in steps:
+        at = ca @ factor + step - middle
+        first, last = np.searchsorted(key, at), np.searchsorted(key, at, "right")
+        size = last - first
+        left.append(np.repeat(np.arange(len(a)), size))
+        right.append(order[np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def revive(labels: np.ndarray, p: Params, state: State, o: Options) -> tuple[np.ndarray, Params]:
-    """Living regions close to a dead id take it over; those far from what they were get a new one."""
+    """Living regions close to a dead id take it over; those far from what they were get a new one.
+
+    Only living and dead regions whose colours and places share a cell are compared.
+    """
     h, w = labels.shape
     known, size = len(state.n), len(p.n)
     live = np.flatnonzero(p.n > 0)
     dead = np.setdiff1d(np.flatnonzero(state.n > 0), live)
-    to, top = np.arange(size), size
-    own = np.full(size, -1.0)
-    kept = live[(live < known)]
+    to, own = np.arange(size), np.full(size, -1.0)
+    kept = live[live < known]
     kept = kept[state.n[kept] > 0]
 
     def delta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         place = ((p.centre[a] - state.centre[b]) / (w, h)) ** 2
         return ((p.mu[a] - state.mu[b]) ** 2).sum(-1) + 10 * place.sum(-1)
 
+    def features(mu: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return np.column_stack([mu[:, 0], math.sqrt(10) * centre / (w, h)])
+
     own[kept] = delta(kept, kept)
-    best = np.full(size, -1)
-    if len(dead):
-        wants = []
-        for k in live:
-            d = delta(np.full(len(dead), k), dead)
-            i = int(np.argmin(d))
-            if d[i] < o.epsilon_reid and not 0 <= own[k] <= d[i]:
-                wants.append((d[i], k, dead[i]))
-                best[k] = dead[i]
-        taken = set()
-        for _, k, i in sorted(wants):
-            if i not in taken:
-                taken.add(i)
-                to[k] = i
-    for k in live:
-        if best[k] < 0 and own[k] > o.epsilon_new:
-            to[k] = top
-            top += 1
-    grown = np.zeros(top)
-    grown[:size] = p.prior_count
-    grown[to[live]] = p.prior_count[live]
-    prop = np.zeros(top, bool)
-    prop[:size] = p.propagated
-    prop[to[live][to[live] >= size]] = False
-    return np.where(labels >= 0, to[np.maximum(labels, 0)], -1), Params(np.zeros(top), *(np.zeros((top, *getattr(p, k).shape[1:])) for k in ("mu", "centre", "inverse", "logdet")), grown, prop)
+    wants = np.zeros(size, bool)
+    i, j = near_pairs(features(p.mu[live], p.centre[live]), features(state.mu[dead], state.centre[dead]), math.sqrt(o.epsilon_reid))
+    k, j = live[i], dead[j]
+    d = delta(k, j)
+    close = (d < o.epsilon_reid) & ~((own[k] >= 0) & (own[k] <= d))
+    k, j, d = k[close], j[close], d[close]
+    for nearest in (np.lexsort((j, d, k)), None):  # each region's nearest dead id, then each dead id's nearest region
+        order = nearest if nearest is not None else np.lexsort((k, d, j))
+        k, j, d = k[order], j[order], d[order]
+        by = k if nearest is not None else j
+        first = np.append(True, by[1:] != by[:-1]) if len(by) else np.zeros(0, bool)
+        k, j, d = k[first], j[first], d[first]
+        if nearest is not None:
+            wants[k] = True
+    to[k] = j
+    changed = live[~wants[live] & (own[live] > o.epsilon_new)]
+    top = size + len(changed)
+    to[changed] = np.arange(size, top)
+    out = {c: np.concatenate([getattr(p, c), getattr(p, c)[changed]]) for c in ("prior_count", "propagated", "sample", "prior")}
+    out["propagated"][size:] = False
+    empty = {c: np.zeros((top, *getattr(p, c).shape[1:])) for c in ("n", "mu", "centre", "inverse", "logdet")}
+    return np.where(labels >= 0, to[np.maximum(labels, 0)], -1), replace(p, **out, **empty)
 
 
 def first_frame(image: np.ndarray, o: Options) -> State:
     labels, p = segment_image(image, o)
-    return State(labels, p.n, p.mu, p.centre)
+    return State(labels, p.n, p.mu, p.centre, p.inverse, scatter(labels, len(p.n))[2] / np.maximum(p.n, 1)[:, None], p.prior_count)
+
 
+def carried_priors(state: State, filled: np.ndarray, size: int, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, samples and prior matrices of the ids in the next frame, before it is fitted.
 
-def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options) -> State:
-    """Propagates the regions along the motion into the next frame and fits them there; ids stay stable."""
+    With prop_nc the weight is the size before, or for ids that had no pixels then the size after filling; without, the
+    weight that was kept. A prior matrix is the adjugate-free inverse of the kept one: its off-diagonal keeps its sign.
+    """
+    known = len(state.n)
+    before, now = np.zeros(size), np.bincount(filled[filled >= 0], minlength=size).astype(float)
+    before[:known] = np.bincount(state.labels[state.labels >= 0], minlength=known)
+    weight = np.where(before > 0, before, now)
+    if not o.prop_nc and state.prior_count is not None:
+        weight[:known] = state.prior_count
+    sample, prior = round_shapes(size), round_shapes(size)
+    if state.inverse is not None:
+        kept = state.inverse[:, 0] * state.inverse[:, 2] - state.inverse[:, 1] ** 2
+        good = kept > 0
+        prior[:known][good] = state.inverse[good][:, [2, 1, 0]] / kept[good, None]
+        sample[:known] = state.sample
+    return weight, sample, prior
+
+
+def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options, log: Callable[[str, np.ndarray], None] = lambda step, labels: None) -> State:
+    """Propagates the regions along the motion into the next frame and fits them there; ids stay stable.
+
+    log gets the labels after each step: shifted, filled (once whole, once with the largest pieces only), then split,
+    relabel, merge and bndy.
+    """
     h, w = state.labels.shape
     size = len(state.n)
     moved, motion = shift(state.labels, flow, o.smaller_wins)
+    log("shifted", moved)
     motion = np.vstack([motion, np.zeros((size - len(motion), 2))]) if len(motion) < size else motion
     centre = state.centre + motion
-    filled = fill(largest_pieces(fill(moved, centre)), centre) if (moved >= 0).any() else hex_labels(h, w, o.sp_size)
+    if (moved >= 0).any():
+        whole = fill(moved, centre)
+        log("filled", whole)
+        filled = fill(largest_pieces(whole), centre)
+    else:
+        filled = hex_labels(h, w, o.sp_size)
+    log("filled", filled)
     size = max(size, int(filled.max()) + 1)
     invalid = moved < 0
     share = invalid.mean()
-    rounds = 12 if share > 0.2 else 4 if share < 0.01 else 8
-    before = np.zeros(size)
-    before[: len(state.n)] = np.bincount(state.labels[state.labels >= 0], minlength=len(state.n))
-    n = np.bincount(filled[filled >= 0], minlength=size)
-    p = parameters(image, filled, np.where(before > 0, before, n).astype(float), np.arange(size) < len(state.n), o.sp_size)
+    rounds = o.vid_niters or (12 if share > 0.2 else 4 if share < 0.01 else 8)
+    weight, sample, prior = carried_priors(state, filled, size, o)
+    p = parameters(image, filled, weight, np.arange(size) < len(state.n), o.sp_size, sample, prior, o.prop_icov)
     labels, count, last = filled, 0, 0
     step = 0
     while step < (o.most_rounds if o.target_nspix else rounds):
-        p = parameters(image, labels, p.prior_count, p.propagated, o.sp_size)
+        p = refit(image, labels, p, o.sp_size)
         if o.target_nspix:
             live = int(np.count_nonzero(np.bincount(labels[labels >= 0])))
             if step >= rounds and abs(live - o.target_nspix) <= 0.05 * o.target_nspix:
@@ -484,14 +604,19 @@ def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options) ->
         if step % 4 == 1:
             labels, p = split(image, labels, p, o, count, invalid)
             count += 1
+            log("split", labels)
         elif step % 4 == 3:
-            labels, q = revive(labels, p, state, o)
-            p = parameters(image, labels, q.prior_count, q.propagated, o.sp_size)
-            labels, p = merge(image, labels, p, o, count)
+            labels, p = revive(labels, p, state, o)
+            log("relabel", labels)
+            labels, p = merge(image, labels, refit(image, labels, p, o.sp_size), o, count, 2)
+            log("merge", labels)
         labels = update_labels(image, labels, p, o.sigma2, o.potts, o.niters_seg)
+        log("bndy", labels)
         step += 1
-    labels, p = compact(labels, parameters(image, labels, p.prior_count, p.propagated, o.sp_size), len(state.n))
-    n, mu, at = p.n.copy(), p.mu.copy(), p.centre.copy()
+    labels, p = compact(labels, refit(image, labels, p, o.sp_size), len(state.n))
+    now = State(labels, p.n.copy(), p.mu.copy(), p.centre.copy(), p.inverse.copy(), scatter(labels, len(p.n))[2] / np.maximum(p.n, 1)[:, None], p.prior_count)
     gone = np.flatnonzero(p.n[: len(state.n)] == 0)
-    n[gone], mu[gone], at[gone] = state.n[gone], state.mu[gone], state.centre[gone]  # dead ids are remembered
-    return State(labels, n, mu, at)
+    for name in ("n", "mu", "centre", "inverse", "sample"):  # dead ids are remembered
+        if getattr(state, name) is not None:
+            getattr(now, name)[gone] = getattr(state, name)[gone]
+    return now

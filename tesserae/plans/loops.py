@@ -32,6 +32,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read back. Unlike cut it also drops what the planner has inferred of df, which
+    in long loops over joins and sums grows until planning takes longer than running."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every end of the edges (u, v): hooking to smaller ids, chains halved."""
     links = cut(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b").distinct())

@@ -37,6 +37,12 @@ def stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).selectExpr("t", "y", "x", f"cast({band} % 3 AS double) * 0.45 AS c0", f"cast({band} % 2 AS double) * 0.75 AS c1", "0.25D AS c2")
 
 
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pixels with the colours of five upright bands that stand still and change colour from frame to frame."""
+    band = "(x div 10 + t)"
+    return pixels(spark, sf_dir).selectExpr("t", "y", "x", f"cast({band} % 3 AS double) * 0.45 AS c0", f"cast({band} % 2 AS double) * 0.75 AS c1", "0.25D AS c2")
+
+
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The motion of the stripes."""
     return pixels(spark, sf_dir).selectExpr("t", "y", "x", "-2D AS fx", "0D AS fy")
@@ -65,6 +71,7 @@ PX = f"""px AS (SELECT CAST(o_orderkey // {WIDTH * HEIGHT} AS INTEGER) AS t, CAS
     CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS DOUBLE) AS c0, CAST(o_custkey % 256 AS DOUBLE) AS c1, CAST(month(o_orderdate) * 20 AS DOUBLE) AS c2 FROM orders)"""
 SEG = PX + ", seg AS (SELECT *, CAST((y // 5) * 10 + x // 5 AS INTEGER) AS spix, CAST((x + y + t) // 8 AS INTEGER) AS gt FROM px)"
 STRIPE = PX + ", stripe AS (SELECT t, y, x, (x + 2 * t) // 10 AS band, CAST((x + 2 * t) // 10 % 3 AS DOUBLE) * 0.45 AS c0, CAST((x + 2 * t) // 10 % 2 AS DOUBLE) * 0.75 AS c1 FROM px)"
+BAND = PX + ", band AS (SELECT t, y, x, CAST((x // 10 + t) % 3 AS DOUBLE) * 0.45 AS c0, CAST((x // 10 + t) % 2 AS DOUBLE) * 0.75 AS c1 FROM px)"
 FLOW = SEG + ", flow AS (SELECT t, y, x, spix, CAST(spix % 3 - 1 AS DOUBLE) AS fx, CAST(spix // 3 % 3 - 1 AS DOUBLE) AS fy FROM seg)"
 EDGE = "edge AS (SELECT DISTINCT CAST(least(2 * l_partkey, 2 * l_suppkey + 1) AS INTEGER) AS u, CAST(greatest(2 * l_partkey, 2 * l_suppkey + 1) AS INTEGER) AS v FROM lineitem)"
 VERTEX = EDGE + """, vertex AS (SELECT v, CAST(v % 17 AS DOUBLE) AS px, CAST(v % 23 AS DOUBLE) AS py, CAST(v % 29 AS DOUBLE) AS pz, CAST(v % 31 AS DOUBLE) AS f0, CAST(v % 37 AS DOUBLE) AS f1,

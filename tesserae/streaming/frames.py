@@ -1,21 +1,27 @@
-"""Stable regions on a stream of frames: one keyed state for each video."""
+"""Stable regions on a stream of frames: one keyed state for each video, which holds a row for each region."""
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans import frame as kernel
 from ..plans.drivers import FRAMES, image_of, packed  # noqa: F401
 from ..plans.frame import Options, State
 
 OUTPUT = "video string, t int, late boolean, height int, width int, labels binary"
+#: What is kept of each id: State's arrays, flat.
+_WIDTHS = {"n": 1, "mu": 3, "centre": 2, "inverse": 3, "sample": 3, "prior_count": 1}
+_REGION = ", ".join(f"{name}{i} double" for name, width in _WIDTHS.items() for i in range(width))
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that keyed collections need; where the session has another one, it is set for streams started later."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def unpacked(labelled: DataFrame) -> DataFrame:
@@ -30,34 +36,81 @@ def unpacked(labelled: DataFrame) -> DataFrame:
     return labelled.where("NOT late").mapInPandas(unpack, "video string, t int, y int, x int, spix int")
 
 
-def labelled(frames: DataFrame, options: Options | None = None) -> DataFrame:
-    """A stream of FRAMES rows to a stream of OUTPUT rows.
+class Regions(StatefulProcessor):
+    """State of a video: the last frame's number and labels; a row for each id ever seen; frames that wait for their turn.
 
-    State by video: the last frame's number, its labels and the means of all ids seen, compressed. The frames of a
-    micro-batch are taken in order of t; a frame not after the last one is late: it gets a row without labels and
-    leaves the state alone. No watermark is needed, as t only counts up.
+    The frames of a micro-batch are put aside one by one, in the store, and taken out in order of t, so a task holds one
+    frame at a time however many arrive together. A frame not after the last one is late: it gives a row without labels
+    and leaves the state alone. A frame that never comes is skipped. After a micro-batch the rows of those ids are written
+    that were alive in it.
     """
-    o = options or Options()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        last, state = -1, None
-        if held.exists:
-            last, blob = held.get
-            state = State(*pickle.loads(zlib.decompress(blob)))
-        out = []
-        for r in pd.concat(list(batches)).sort_values("t").itertuples():
-            if r.t <= last:
-                out.append((key[0], r.t, True, r.height, r.width, b""))
-                continue
-            image, flow = image_of(r)
+
+    def __init__(self, options: Options):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t int, height int, width int, labels binary")
+        self.regions = handle.getMapState("regions", "spix int", _REGION)
+        self.waiting = handle.getMapState("waiting", "t int", "height int, width int, image binary, flow binary")
+
+    def _load(self) -> tuple[int, State | None]:
+        if not self.last.exists():
+            return -1, None
+        t, height, width, blob = self.last.get()
+        held = {key[0]: value for key, value in self.regions.iterator()}
+        size = max(held) + 1 if held else 0
+        table = np.zeros((size, sum(_WIDTHS.values())))
+        for i, value in held.items():
+            table[i] = value
+        columns, at = {}, 0
+        for name, wide in _WIDTHS.items():
+            columns[name] = table[:, at] if wide == 1 else table[:, at : at + wide]
+            at += wide
+        return t, State(np.frombuffer(blob, "<i4").reshape(height, width).astype(np.int64), **{k: v.copy() for k, v in columns.items()})
+
+    def _store(self, last: int, state: State, alive: np.ndarray) -> None:
+        table = np.column_stack([getattr(state, name) for name in _WIDTHS])
+        for i in alive.tolist():
+            self.regions.updateValue((i,), tuple(table[i].tolist()))
+        self.last.update((last, *state.labels.shape, state.labels.astype("<i4").tobytes()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, state = self._load()
+        turns, alive = [], set()
+        for batch in rows:
+            for r in batch.itertuples():
+                if r.t <= last or r.t in turns:
+                    yield self._row(key[0], r.t, True, r.height, r.width, b"")
+                else:
+                    turns.append(int(r.t))
+                    self.waiting.updateValue((int(r.t),), (int(r.height), int(r.width), r.image, r.flow))
+        for t in sorted(turns):
+            height, width, image, flow = self.waiting.getValue((t,))
+            self.waiting.removeKey((t,))
+            image, flow = (np.frombuffer(data, "<f4").reshape(height, width, -1).astype(float) for data in (image, flow))
             if state is None or state.labels.shape != image.shape[:2]:
-                state = kernel.first_frame(image, o)
+                self.regions.clear()
+                state, alive = kernel.first_frame(image, self.options), set()
             else:
-                state = kernel.next_frame(image, flow, state, o)
-            last = int(r.t)
-            out.append((key[0], r.t, False, r.height, r.width, state.labels.astype("<i4").tobytes()))
-        if state is not None:
-            held.update((last, zlib.compress(pickle.dumps((state.labels, state.n, state.mu, state.centre)))))
-        yield pd.DataFrame(out, columns=["video", "t", "late", "height", "width", "labels"]).astype({"t": "int32", "height": "int32", "width": "int32"})
-
-    return frames.groupBy("video").applyInPandasWithState(step, OUTPUT, "last int, blob binary", "append", "NoTimeout")
+                state = kernel.next_frame(image, flow, state, self.options)
+            last = t
+            alive.update(np.unique(state.labels).tolist())
+            yield self._row(key[0], t, False, height, width, state.labels.astype("<i4").tobytes())
+        if turns:
+            self._store(last, state, np.array(sorted(alive), np.int64))
+
+    @staticmethod
+    def _row(video: str, t: int, late: bool, height: int, width: int, labels: bytes) -> pd.DataFrame:
+        return pd.DataFrame({"video": [video], "t": np.array([t], np.int32), "late": [late], "height": np.array([height], np.int32), "width": np.array([width], np.int32), "labels": [labels]})
+
+    def close(self) -> None:
+        pass
+
+
+def labelled(frames: DataFrame, options: Options | None = None) -> DataFrame:
+    """A stream of FRAMES rows to a stream of OUTPUT rows: labels, and late frames as rows of their own.
+
+    No watermark is needed, as t only counts up.
+    """
+    use_rocksdb(frames.sparkSession)
+    return frames.groupBy("video").transformWithStateInPandas(Regions(options or Options()), OUTPUT, "Append", "None")
