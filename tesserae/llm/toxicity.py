@@ -134,14 +134,16 @@ def held_out():
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> DataFrame:
     """doc_id, text and toxic of labelled rows that aren't held out, in the order of a hash of doc_id: of each label
-    per_class rows at most, and whole texts of most_bytes / 2 at most. Of a doc_id's texts the least one counts."""
+    per_class rows at most, and whole texts of most_bytes / 2 at most. Of a doc_id's texts the least one counts. Texts beyond
+    a sixteenth of that room come last, and those beyond all of it are left out, so a few long ones don't use it up."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     picked = picked[0].union(picked[1])
     texts = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
-    sofar = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # over 2 * per_class rows at most
-    fitting = texts.select("doc_id", sofar.alias("sofar")).where(F.col("sofar") <= most_bytes // 2).select("doc_id")
+    size, room = F.coalesce(F.octet_length("text"), F.lit(0)), most_bytes // 2
+    sofar = F.sum(size).over(Window.partitionBy("toxic").orderBy(size > room // 16, F.xxhash64("doc_id"), "doc_id"))  # over 2 * per_class rows at most
+    fitting = texts.where(size <= room).select("doc_id", sofar.alias("sofar")).where(F.col("sofar") <= most_bytes // 2).select("doc_id")
     return texts.join(fitting, "doc_id", "left_semi")
 
 
