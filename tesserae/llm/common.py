@@ -105,21 +105,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, eight bytes after the other; spans beyond LONG_WORD bytes by BLAKE2b."""
-    size = end - start
-    out = mix(size.astype(np.uint64) * np.uint64(_P))
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _lane(eight: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return eight[start] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+
+
+def _blake(data: np.ndarray, start: int, end: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data[start:end], digest_size=8).digest(), "little")
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b, cut to 64 bits, of each span.
+
+    Spans of up to LONG_WORD bytes are first told apart by a quick hash, so that BLAKE2b runs once for each of them. Other
+    spans can share that quick hash by design; so each is compared with its representative, byte by byte, and hashed by
+    itself where they differ.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    quick, eight = mix(size.astype(np.uint64) * np.uint64(_P)), _lanes(data)
     todo, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
     while len(todo):
         left = size[todo] - at
-        value = eight[start[todo] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
-        out[todo] = mix((out[todo] ^ value) * np.uint64(_P) + np.uint64(1))
+        quick[todo] = mix((quick[todo] ^ _lane(eight, start[todo] + at, left)) * np.uint64(_P) + np.uint64(1))
         todo, at = todo[left > 8], at + 8
-    for k in np.flatnonzero(size > LONG_WORD).tolist():
-        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    alone = np.flatnonzero(size > LONG_WORD)
+    quick[alone] = np.arange(len(alone), dtype=np.uint64)
+    _, first, group = np.unique(quick, return_index=True, return_inverse=True)
+    out = np.fromiter((_blake(data, s, e) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)), np.uint64, len(first))[group]
+    like = first[group]
+    same = (size == size[like]) & (size <= LONG_WORD)
+    todo, at = np.flatnonzero(same & (size > 0)), 0
+    while len(todo):
+        left = size[todo] - at
+        equal = _lane(eight, start[todo] + at, left) == _lane(eight, start[like[todo]] + at, left)
+        same[todo[~equal]] = False
+        todo, at = todo[equal & (left > 8)], at + 8
+    for k in np.flatnonzero(~same).tolist():
+        out[k] = _blake(data, start[k], end[k])
     return out
 
 
