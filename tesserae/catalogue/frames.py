@@ -1,14 +1,18 @@
-"""Queries over what frames hand on to each other: priors, identities."""
+"""Queries over what frames hand on to each other: priors, identities, steps into the next frame, merge rounds."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import regions
-from ..sources.testdata import HEIGHT, SEG, WIDTH, segments
+from ..plans import drivers, loops
+from ..plans.frame import PHASES, Options
+from ..sources.testdata import HEIGHT, PX, SEG, STRIPE, WIDTH, drift, segments, stripes
+from . import pixels as pixel_queries
+from . import plans, scores
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -106,3 +110,102 @@ def nearby_identities(spark, d):
     means = seg.groupBy("t", "spix").agg(*((F.avg(f"c{i}") / 255).alias(f"mu{i}") for i in range(3)), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     old = means.withColumns({"t": (F.col("t") + 1).cast("int"), "is_dead": F.col("spix") % 3 == 0})
     return regions.nearby_identities(means.where("spix % 3 <> 0"), old, WIDTH, HEIGHT, 0.2)
+
+
+def _wandering(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Squares of two sizes, and their motion by a pixel or none in each direction."""
+    return pixel_queries._uneven(spark, d), pixel_queries._uneven_flow(spark, d)
+
+
+def _trace(spark, d) -> DataFrame:
+    seg, flow = _wandering(spark, d)
+    return drivers.traced_labels(drivers.trace_steps(plans.unit(seg), flow, plans.SMALL))
+
+
+_SHIFTED = pixel_queries.ORACLES["shift_labels"]
+_LATER = f"later AS (WITH {PX} SELECT DISTINCT t FROM px WHERE t > 0)"
+
+
+@register(f"WITH {_LATER}, sh AS ({_SHIFTED}), grid AS (WITH {PX} SELECT t, y, x FROM px) SELECT grid.t, grid.y, grid.x, CAST(coalesce(sh.spix, -1) AS INTEGER) AS spix FROM grid JOIN later USING (t) LEFT JOIN sh USING (t, y, x)")
+def trace_shifted(spark, d):
+    """The first step into each next frame: the labels along their regions' motion."""
+    return _trace(spark, d).where("step = 'shifted'").select("t", "y", "x", "spix")
+
+
+def _filled_sql(passes: int = 4) -> str:
+    uneven = pixel_queries._UNEVEN
+    out = f"""WITH {_LATER}, sh AS ({_SHIFTED}), grid AS (WITH {PX} SELECT t, y, x FROM px), m AS (WITH {uneven} SELECT t + 1 AS t, spix, avg(x) + avg(fx) AS mx, avg(y) + avg(fy) AS my FROM flow GROUP BY t, spix),
+        f0 AS MATERIALIZED (SELECT grid.t, grid.y, grid.x, sh.spix FROM grid JOIN later USING (t) LEFT JOIN sh USING (t, y, x))"""
+    k = 0
+    for _ in range(passes):
+        for a, b in PHASES:
+            out += f""", g{k} AS (SELECT h.t, h.y, h.x, arg_min(o.spix, row(round(pow((h.x - mx) / {WIDTH}, 2) + pow((h.y - my) / {HEIGHT}, 2), 9), o.spix)) AS filled
+                FROM (SELECT * FROM f{k} WHERE spix IS NULL AND x % 2 = {a} AND y % 2 = {b}) h, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx) JOIN f{k} o ON o.t = h.t AND o.y = h.y + s.dy AND o.x = h.x + s.dx JOIN m ON m.t = o.t AND m.spix = o.spix GROUP BY h.t, h.y, h.x),
+                f{k + 1} AS MATERIALIZED (SELECT f{k}.t, f{k}.y, f{k}.x, coalesce(f{k}.spix, g{k}.filled) AS spix FROM f{k} LEFT JOIN g{k} USING (t, y, x))"""
+            k += 1
+    return out + f" SELECT t, y, x, CAST(spix AS INTEGER) AS spix FROM f{k}"
+
+
+@register(_filled_sql())
+def trace_filled(spark, d):
+    """The second step: what the motion left open is filled from the labels around it."""
+    filled = _trace(spark, d).where("step = 'filled'")
+    return filled.withColumn("first", F.min("seq").over(Window.partitionBy("video", "t"))).where("seq = first").select("t", "y", "x", "spix")
+
+
+def _loop_sql(rounds: int) -> str:
+    """Rounds of downward merges, two rows away from the frame's edges, one region for each target."""
+    out = f"WITH {SEG}, s0 AS MATERIALIZED (SELECT t, y, x, spix, c0 / 255 AS c0, c1 / 255 AS c1, c2 / 255 AS c2 FROM seg)"
+    columns = "count(*) AS n, " + ", ".join(f"sum(c{i}) AS s{i}, sum(c{i} * c{i}) AS q{i}" for i in range(3))
+    for k in range(rounds):
+        names = ", ".join(f"p.{c} AS k_{c}, f.{c} AS f_{c}" for c in scores._COLS)
+        out += f""", mo{k} AS MATERIALIZED (SELECT t, spix, {columns} FROM s{k} GROUP BY t, spix),
+            ca{k} AS (SELECT a.t, a.spix, max(b.spix) AS target FROM s{k} a JOIN s{k} b ON b.t = a.t AND b.x = a.x AND b.y = a.y + 1 WHERE a.spix <> b.spix AND a.y > 1 AND a.y < {HEIGHT - 2} GROUP BY a.t, a.spix),
+            sc{k} AS (SELECT ca{k}.t, ca{k}.spix, target, {names} FROM ca{k} JOIN mo{k} p ON p.t = ca{k}.t AND p.spix = ca{k}.spix JOIN mo{k} f ON f.t = ca{k}.t AND f.spix = target),
+            h{k} AS (SELECT t, spix, target, {scores._m('k_', 'f_')} - {scores._m('k_')} - {scores._m('f_')} - ln(0.5) + 1.5 AS h FROM sc{k}),
+            ch{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, target ORDER BY h DESC, spix) AS r FROM h{k} WHERE h > -2) WHERE r = 1),
+            ac{k} AS MATERIALIZED (SELECT x.t, x.spix, x.target, CAST({k} AS INTEGER) AS round FROM ch{k} x LEFT JOIN ch{k} y ON y.t = x.t AND y.spix = x.target WHERE y.target IS NULL OR (y.target = x.spix AND x.spix < x.target)),
+            s{k + 1} AS MATERIALIZED (SELECT s.t, s.y, s.x, coalesce(a.target, s.spix) AS spix, c0, c1, c2 FROM s{k} s LEFT JOIN ac{k} a ON a.t = s.t AND a.spix = s.spix)"""
+    return out
+
+
+_LOOPED = Options(sp_size=5, merge_alpha=1.5)
+
+
+@register(_loop_sql(2) + " SELECT * FROM ac0 UNION ALL SELECT * FROM ac1")
+def merge_loop_accepted(spark, d):
+    """The merges of two rounds, from joins and sums by region."""
+    return drivers.merge_loop_table(plans.unit(segments(spark, d)), _LOOPED, 2)[1].select("t", "spix", "target", "round")
+
+
+@register(_loop_sql(2) + " SELECT t, y, x, CAST(spix AS INTEGER) AS spix FROM s2")
+def merge_loop(spark, d):
+    """The labels after two rounds of merges by the kernel."""
+    return drivers.merge_loop(plans.unit(segments(spark, d)), _LOOPED, 2).select("t", "y", "x", "spix")
+
+
+@register(f"WITH {STRIPE} SELECT t, y, x, round(c0, 6) + 0.0 AS m0, round(c1, 6) + 0.0 AS m1, true AS few, CAST(CASE WHEN t = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_late FROM stripe WHERE t % 5 <> 3")
+def stream_restarted(spark, d):
+    """A stream that lacks every fifth frame, is stopped after half of its files and begun again from its checkpoint, when the
+    first frame comes once more, too late: regions end where the stripes do, and the late frame is set aside."""
+    from ..streaming import frames
+
+    base, px = loops.fresh_folder(spark, "stream"), stripes(spark, d)
+    packed = loops.cut(frames.packed(px, drift(spark, d)).where("t % 5 <> 3"))
+    middle = packed.agg(F.max("t")).first()[0] // 2
+    parts = [packed.where(F.col("t") <= middle), packed.where((F.col("t") > middle) | (F.col("t") == 0))]
+    for part in parts:
+        part.repartition(1).sortWithinPartitions(F.desc("t")).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run = frames.labelled(source, plans.SHARP).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
+        run.awaitTermination()
+    done = loops.cut(spark.read.schema(frames.OUTPUT).parquet(f"{base}/out"))
+    late = done.groupBy("t").agg(F.count_if("late").alias("n_late"))
+    return plans.region_colours(frames.unpacked(done), px).join(late, "t")
+
+
+@register(f"SELECT s.t, s.spix, s.target, s.h, a.spix IS NOT NULL AS accepted FROM ({scores.ORACLES['merge_scores']}) s LEFT JOIN ({scores.ORACLES['merge_accept']}) a ON a.t = s.t AND a.spix = s.spix")
+def merge_proposals(spark, d):
+    """Every merge that a round proposes, and whether it is accepted."""
+    asked = scores.rnd(scores._merge(spark, d), 4, "h")
+    return regions.merge_proposals(asked)

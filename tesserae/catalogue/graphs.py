@@ -209,3 +209,42 @@ def vertex_angles(spark, d):
     p = (F.col("px"), F.col("py"), F.col("pz"))
     up = (F.lit(0.0), F.lit(0.0), F.lit(1.0))
     return vertices(spark, d).select("v", F.round(geometry.angle(zero, p, to), 6).alias("plain"), F.round(geometry.signed_angle(zero, p, to, up), 6).alias("signed"))
+
+
+_MARKS = FE + """, cor AS (SELECT f, unnest([0, 1, 2]) AS k, unnest([a, b, c]) AS p, unnest([b, c, a]) AS q FROM face), ranked AS (SELECT f, k, p, dense_rank() OVER (PARTITION BY least(p, q), greatest(p, q) ORDER BY f) AS nth FROM cor WHERE p <> q),
+    top AS (SELECT max(greatest(a, b, c)) + 1 AS top FROM face), mark AS (SELECT f, k, p AS old, CAST(top + row_number() OVER (ORDER BY f, k) - 1 AS INTEGER) AS new FROM ranked, top WHERE nth > 2),
+    wide AS (SELECT face.f, a, b, c, max(new) FILTER (k = 0) AS n0, max(new) FILTER (k = 1) AS n1, max(new) FILTER (k = 2) AS n2 FROM face LEFT JOIN mark ON mark.f = face.f GROUP BY face.f, a, b, c)"""
+
+
+def _corners(spark, d):
+    f = faces(spark, d)
+    return f, f.select(F.explode(F.array("a", "b", "c")).alias("v")).distinct().withColumn("px", F.col("v") % 17)
+
+
+@register(f"WITH {_MARKS} SELECT f, coalesce(n0, a) AS a, coalesce(n1, b) AS b, coalesce(n2, c) AS c FROM wide")
+def repaired_faces(spark, d):
+    """Faces after the corner that begins a crowded edge has become a new vertex."""
+    return graph.repaired_mesh(*_corners(spark, d))[0]
+
+
+@register(f"WITH {_MARKS} SELECT v, v % 17 AS px FROM (SELECT a AS v FROM face UNION SELECT b FROM face UNION SELECT c FROM face) UNION ALL SELECT new, old % 17 FROM mark")
+def repaired_vertices(spark, d):
+    return graph.repaired_mesh(*_corners(spark, d))[1]
+
+
+@register(f"""WITH {_MARKS}, more AS (SELECT n0 AS v, unnest([b, c]) AS u FROM wide WHERE n0 IS NOT NULL UNION ALL SELECT n1, unnest([c, coalesce(n0, a)]) FROM wide WHERE n1 IS NOT NULL UNION ALL SELECT n2, unnest([coalesce(n0, a), coalesce(n1, b)]) FROM wide WHERE n2 IS NOT NULL)
+    SELECT u, v FROM fe GROUP BY u, v UNION ALL SELECT least(u, v), greatest(u, v) FROM more""")
+def repaired_edges(spark, d):
+    return graph.repaired_mesh(*_corners(spark, d))[2]
+
+
+@register(f"""WITH RECURSIVE {VADJ}, near AS (SELECT a.u, a.v, p.spix = q.spix AS same FROM adj a JOIN vertex p ON p.v = a.u JOIN vertex q ON q.v = a.v),
+    b AS (SELECT u, count(*) FILTER (same) AS k FROM near GROUP BY u HAVING count(*) FILTER (NOT same) > 0), own AS (SELECT u, max(v) AS first, min(v) AS least FROM near WHERE same GROUP BY u),
+    walk(v, goal, prev, place, step) AS (SELECT b.u, least, b.u, first, 0 FROM b JOIN own ON own.u = b.u WHERE k = 2
+        UNION ALL SELECT w.v, w.goal, w.place, n.nx, w.step + 1 FROM walk w, LATERAL (SELECT max(near.v) AS nx FROM near WHERE near.u = w.place AND same AND near.v <> w.prev) n WHERE w.place <> w.goal AND w.step < 32 AND n.nx IS NOT NULL)
+    SELECT b.u AS v, coalesce(bool_or(place = goal), false) AS is_simple FROM b LEFT JOIN walk ON walk.v = b.u GROUP BY b.u""")
+def ring_simple(spark, d):
+    """Border vertices around which a walk inside the label leads."""
+    from ..plans import mesh
+
+    return mesh.ring_walks(edges(spark, d), vertices(spark, d))

@@ -92,16 +92,16 @@ def _split_sql(moved: str, lost: str, accept: str, swap: str) -> str:
     SELECT cut.t, y, x, CAST(CASE WHEN ok.t IS NOT NULL AND moved <> ({swap}) THEN top + k ELSE cut.spix END AS INTEGER) AS spix FROM cut JOIN top ON top.t = cut.t LEFT JOIN ok ON ok.t = cut.t AND ok.spix = cut.spix"""
 
 
-@register(_split_sql("x % 5 > 2", "false", "gain + 40 > -2", "false"))
+@register(_split_sql("x % 5 > 2", "false", "gain - 4.4 > -2", "false"))
 def split_labels(spark, d):
     """Labels after one round of splits along x: the columns nearer to the second seed go where the colours call for it."""
     halo = 0
     cut = _tiles(plans.unit(segments(spark, d)), halo)
-    out, _ = tiles.split(cut, GRID, halo, _fitted(cut, halo), Options(sp_size=5, split_alpha=40.0), 1)
+    out, _ = tiles.split(cut, GRID, halo, _fitted(cut, halo), Options(sp_size=5, split_alpha=-4.4), 1)
     return tiles.unpacked(out, GRID).select("t", "y", "x", "spix")
 
 
-_WIDE = _split_sql("x % 10 > 4", "(x + 3 * y + t) % 7 < 3", "gain + 170 - 40 * (1 - share) > -2 AND k_n + s_n >= 64", "other").replace("(y // 5) * 10 + x // 5", "(y // 10) * 5 + x // 10")
+_WIDE = _split_sql("x % 10 > 4", "(x + 3 * y + t) % 7 < 3", "gain + 23 - 40 * (1 - share) > -2 AND k_n + s_n >= 64", "other").replace("(y // 5) * 10 + x // 5", "(y // 10) * 5 + x // 10")
 
 
 @register(_WIDE)
@@ -111,7 +111,7 @@ def split_labels_propagated(spark, d):
     seg = plans.unit(segments(spark, d, 10)).withColumn("lost", F.expr("cast((x + 3 * y + t) % 7 < 3 AS int)"))
     cut = _tiles(seg, 0)
     lost = loops.cut(tiles.tiled(seg, GRID, {"invalid": ["lost"]}))
-    out, _ = tiles.split(cut, GRID, 0, _fitted(cut, 0, True), Options(sp_size=10, split_alpha=170.0, gamma=40.0), 1, lost)
+    out, _ = tiles.split(cut, GRID, 0, _fitted(cut, 0, True), Options(sp_size=10, split_alpha=23.0, gamma=40.0), 1, lost)
     return tiles.unpacked(out, GRID).select("t", "y", "x", "spix")
 
 

@@ -71,6 +71,34 @@ def repaired(faces: DataFrame) -> DataFrame:
     return out.select("f", *(F.when(F.col("cut"), F.col("top") + 3 * F.col("f") + i).otherwise(F.col(c)).cast("int").alias(c) for i, c in enumerate("abc")))
 
 
+def repair_marks(faces: DataFrame, top: int) -> DataFrame:
+    """f, k, old and new: the corners k (0 to 2) at which the third and later faces of an edge begin that edge, each with a
+    new vertex. New vertices are numbered from top on in the order of faces and corners."""
+    corners = F.array(*(F.struct(F.lit(k).alias("k"), F.col(p).alias("p"), F.col(q).alias("q")) for k, (p, q) in enumerate((("a", "b"), ("b", "c"), ("c", "a")))))
+    each = faces.select("f", F.explode(corners).alias("e")).select("f", "e.k", F.col("e.p").alias("old"), F.least("e.p", "e.q").alias("u"), F.greatest("e.p", "e.q").alias("v")).where("u < v")
+    nth = F.dense_rank().over(Window.partitionBy("u", "v").orderBy("f"))
+    late = each.withColumn("nth", nth).where("nth > 2").withColumn("place", 3 * F.col("f").cast("long") + F.col("k"))
+    return running_total(late, "place", F.lit(1), "number").select("f", "k", "old", (F.col("number") + top - 1).cast("int").alias("new"))
+
+
+def repaired_mesh(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Faces, vertices and edges of the mesh in which no edge has more than two of the faces it had.
+
+    Of a third and later face on an edge the corner that begins that edge becomes a new vertex: a copy of the old one, and
+    two edges join it to the face's other corners as they are then. Faces rank by f. Edges that were there stay.
+    """
+    highest = vertices.agg(F.max("v")).first()[0]
+    marks = repair_marks(faces, (-1 if highest is None else highest) + 1)
+    by_face = marks.groupBy("f").agg(*(F.max(F.when(F.col("k") == k, F.col("new"))).alias(f"n{k}") for k in range(3)))
+    both = faces.join(by_face, "f", "left")
+    a, b = F.coalesce("n0", "a"), F.coalesce("n1", "b")
+    added = F.array(*(F.struct(F.col(f"n{k}").alias("new"), F.array(*ends).alias("ends")) for k, ends in enumerate(((F.col("b"), F.col("c")), (F.col("c"), a), (a, b)))))
+    more = both.select(F.explode(added).alias("m")).where("m.new IS NOT NULL").select(F.explode("m.ends").alias("u"), F.col("m.new").alias("v"))
+    copies = marks.select(F.col("old").alias("v"), "new").join(vertices, "v").withColumn("v", F.col("new")).select(*vertices.columns)
+    new_faces = both.select("f", a.cast("int").alias("a"), b.cast("int").alias("b"), F.coalesce("n2", "c").cast("int").alias("c"))
+    return new_faces, vertices.union(copies), unique_edges(faces).union(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def dual_edges(faces: DataFrame) -> DataFrame:
     """Pairs f1 < f2 of faces that share an edge."""
     e = face_edges(faces)

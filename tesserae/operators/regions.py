@@ -270,6 +270,13 @@ def merge_accepted(scores: DataFrame, least: float = -2.0) -> DataFrame:
     return chosen.join(back, [*frame, "target"], "left").where(F.col("wants").isNull() | ((F.col("wants") == F.col("spix")) & (F.col("spix") < F.col("target")))).select(*frame, "spix", "target", "h")
 
 
+def merge_proposals(scores: DataFrame, least: float = -2.0) -> DataFrame:
+    """scores with accepted: whether the merge is carried out."""
+    key = region_key(scores)
+    taken = merge_accepted(scores, least).select(*key, F.lit(True).alias("taken"))
+    return scores.join(taken, key, "left").withColumn("accepted", F.coalesce("taken", F.lit(False))).drop("taken")
+
+
 def border_scores(seg: DataFrame, params: DataFrame, sigma2: float, potts: float, phase: tuple[int, int]) -> DataFrame:
     """One checkerboard phase of the boundary update: t, y, x and the new label of each pixel that may change.
 

@@ -293,11 +293,27 @@ def split(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     return labels, parameters(image, labels, count, np.append(p.propagated, np.zeros(len(ids), bool)), o.sp_size, sample, prior, p.conditioned)
 
 
-def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: int, edge: int = 0) -> tuple[np.ndarray, Params]:
+#: What is told of each step: its name, the labels after it, and of a merge all proposals (region, target, gain, accepted).
+Log = Callable[..., None]
+
+
+def silent(step: str, labels: np.ndarray, merges: tuple | None = None) -> None:
+    pass
+
+
+def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: int, edge: int = 0, told: list | None = None) -> tuple[np.ndarray, Params]:
     """Joins regions to a neighbour where one explains the colours as well; one region for each target.
 
-    Pixels nearer than edge to the frame's two sides in that direction propose nothing.
+    Pixels nearer than edge to the frame's two sides in that direction propose nothing. told: a list that gets the
+    proposals.
     """
+    out, q, proposals = _merged(image, labels, p, o, count, edge)
+    if told is not None:
+        told.append(proposals)
+    return out, q
+
+
+def _merged(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: int, edge: int) -> tuple[np.ndarray, Params, tuple]:
     size = len(p.n)
     near = around(labels, "s" if count % 2 else "w")
     if edge:
@@ -310,12 +326,12 @@ def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     np.maximum.at(target, labels[pair], near[pair])
     ids = np.flatnonzero(target >= 0)
     if not len(ids):
-        return labels, p
+        return labels, p, (ids, ids, np.zeros(0), np.zeros(0, bool))
     n, s, q = colour_sums(image, labels, size)
     f = target[ids]
     own = marginal(n, s, q, o.sigma_app)
     h = marginal(n[ids] + n[f], s[ids] + s[f], q[ids] + q[f], o.sigma_app) - o.alpha - own[ids] - own[f] + o.merge_alpha
-    good = h > -2
+    good, asked = h > -2, (ids, f, h)
     ids, f, h = ids[good], f[good], h[good]
     order = np.lexsort((ids, -h, f))
     ids, f = ids[order], f[order]
@@ -325,8 +341,9 @@ def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     goes[ids] = f
     keep = (goes[f] < 0) | ((goes[f] == ids) & (p.propagated[ids] | (ids < f)))
     ids, f = ids[keep], f[keep]
+    proposals = (*asked, np.isin(asked[0], ids))
     if not len(ids):
-        return labels, p
+        return labels, p, proposals
     flip = p.propagated[ids]
     source, into = np.where(flip, f, ids), np.where(flip, ids, f)
     to = np.arange(size)
@@ -334,7 +351,7 @@ def merge(image: np.ndarray, labels: np.ndarray, p: Params, o: Options, count: i
     total = p.prior_count.copy()
     np.add.at(total, into, p.prior_count[source])
     labels = np.where(labels >= 0, to[np.maximum(labels, 0)], labels)
-    return labels, refit(image, labels, replace(p, prior_count=total), o.sp_size)
+    return labels, refit(image, labels, replace(p, prior_count=total), o.sp_size), proposals
 
 
 def compact(labels: np.ndarray, p: Params, previous: int = 0) -> tuple[np.ndarray, Params]:
@@ -356,7 +373,7 @@ def controlled(o: Options, live: int, step: int, last: int) -> tuple[Options, in
     return replace(base, split_alpha=base.split_alpha - sign, merge_alpha=base.merge_alpha + sign), sign
 
 
-def segment_image(image: np.ndarray, o: Options, log: Callable[[str, np.ndarray], None] = lambda step, labels: None) -> tuple[np.ndarray, Params]:
+def segment_image(image: np.ndarray, o: Options, log: Log = silent) -> tuple[np.ndarray, Params]:
     """Regions of a single image: parameters, splits and merges by turns, border moves. log gets the labels after each step."""
     h, w = image.shape[:2]
     side = max(5, round(math.sqrt(h * w / o.target_nspix))) if o.target_nspix else o.sp_size
@@ -377,8 +394,9 @@ def segment_image(image: np.ndarray, o: Options, log: Callable[[str, np.ndarray]
                 count += 1
                 log("split", labels)
             elif step % 4 == 2:
-                labels, p = merge(image, labels, p, o, count)
-                log("merge", labels)
+                told: list = []
+                labels, p = merge(image, labels, p, o, count, told=told)
+                log("merge", labels, told[0])
         labels = update_labels(image, labels, p, o.sigma2, o.potts, o.niters_seg)
         log("bndy", labels)
         step += 1
@@ -397,6 +415,16 @@ def merge_only(image: np.ndarray, labels: np.ndarray, o: Options, rounds: int) -
     return compact(labels, p)[0]
 
 
+def merge_loop(image: np.ndarray, labels: np.ndarray, o: Options, rounds: int, told: list | None = None) -> np.ndarray:
+    """Rounds of downward merges as in a later frame, which leave out the frame's edge; no border moves, ids are kept."""
+    size = int(labels.max()) + 1
+    live = max(1, len(np.unique(labels[labels >= 0])))
+    p = parameters(image, labels, np.full(size, float(labels.size // live)), np.zeros(size, bool), o.sp_size)
+    for _ in range(rounds):
+        labels, p = merge(image, labels, refit(image, labels, p, o.sp_size), o, 1, 2, told)
+    return labels
+
+
 def pieces(labels: np.ndarray) -> np.ndarray:
     """8-connected pieces of equal labels: each pixel gets the least index of its piece, -1 where there is no label."""
     index = np.where(labels >= 0, np.arange(labels.size).reshape(labels.shape), -1)
@@ -539,8 +567,12 @@ def revive(labels: np.ndarray, p: Params, state: State, o: Options) -> tuple[np.
     return np.where(labels >= 0, to[np.maximum(labels, 0)], -1), replace(p, **out, **empty)
 
 
-def first_frame(image: np.ndarray, o: Options) -> State:
-    labels, p = segment_image(image, o)
+def first_frame(image: np.ndarray, o: Options, log: Log = silent) -> State:
+    labels, p = segment_image(image, o, log)
+    return state_of(labels, p)
+
+
+def state_of(labels: np.ndarray, p: Params) -> State:
     return State(labels, p.n, p.mu, p.centre, p.inverse, scatter(labels, len(p.n))[2] / np.maximum(p.n, 1)[:, None], p.prior_count)
 
 
@@ -565,7 +597,7 @@ def carried_priors(state: State, filled: np.ndarray, size: int, o: Options) -> t
     return weight, sample, prior
 
 
-def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options, log: Callable[[str, np.ndarray], None] = lambda step, labels: None) -> State:
+def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options, log: Log = silent) -> State:
     """Propagates the regions along the motion into the next frame and fits them there; ids stay stable.
 
     log gets the labels after each step: shifted, filled (once whole, once with the largest pieces only), then split,
@@ -608,8 +640,9 @@ def next_frame(image: np.ndarray, flow: np.ndarray, state: State, o: Options, lo
         elif step % 4 == 3:
             labels, p = revive(labels, p, state, o)
             log("relabel", labels)
-            labels, p = merge(image, labels, refit(image, labels, p, o.sp_size), o, count, 2)
-            log("merge", labels)
+            told: list = []
+            labels, p = merge(image, labels, refit(image, labels, p, o.sp_size), o, count, 2, told)
+            log("merge", labels, told[0])
         labels = update_labels(image, labels, p, o.sigma2, o.potts, o.niters_seg)
         log("bndy", labels)
         step += 1

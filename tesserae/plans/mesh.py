@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import hash_unit
@@ -73,6 +73,34 @@ def vertex_rings(faces: DataFrame) -> DataFrame:
     return corners.groupBy("v").applyInPandas(ring, "v int, ring array<int>")
 
 
+def ring_walks(edges: DataFrame, vertices: DataFrame, most: int = 32) -> DataFrame:
+    """v and is_simple of each vertex beside another label: whether a walk inside its label leads around it.
+
+    Only a vertex with exactly two neighbours of its label can be simple. The walk goes from the larger to the smaller one,
+    each time to the largest neighbour of the label but the one it came from, in at most so many steps. A vertex is
+    reduced to its two largest neighbours first, so a step is one join by vertex, whatever the degrees.
+    """
+    lab = vertices.select("v", "spix")
+    near = both_ways(edges).join(lab.select(F.col("v").alias("u"), F.col("spix").alias("own")), "u").join(lab, "v")
+    unlike, like = F.count_if(F.col("own") != F.col("spix")), F.count_if(F.col("own") == F.col("spix"))
+    border = near.groupBy("u").agg(unlike.alias("unlike"), like.alias("like")).where("unlike > 0")
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("v")))
+    two = near.where("own = spix").select("u", "v", rank.alias("k")).where("k <= 2")
+    tops = cut(two.groupBy("u").agg(F.max("v").alias("first"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("second")))
+    begun = border.where("like = 2").join(tops, "u").select(F.col("u").alias("v"), F.col("second").alias("goal"), F.col("u").alias("prev"), F.col("first").alias("at"))
+    around, going = begun.where("at = goal").select("v"), begun.where("at <> goal")
+    for step in range(most):
+        nexts = going.join(tops.select(F.col("u").alias("at"), "first", "second"), "at").withColumn("next", F.when(F.col("first") == F.col("prev"), F.col("second")).otherwise(F.col("first")))
+        moved = nexts.where("next IS NOT NULL").select("v", "goal", F.col("at").alias("prev"), F.col("next").alias("at"))
+        if step % 4 == 3:
+            moved = cut(moved)
+            if moved.isEmpty():
+                break
+        around, going = around.union(moved.where("at = goal").select("v")), moved.where("at <> goal")
+    found = around.withColumn("is_simple", F.lit(True))
+    return border.select(F.col("u").alias("v")).join(found, "v", "left").select("v", F.coalesce("is_simple", F.lit(False)).alias("is_simple"))
+
+
 def ring_from_least(ring: Column) -> Column:
     """The same ring from its least face on, towards the lesser of the two faces beside it."""
     n, k = F.size(ring), F.array_position(ring, F.array_min(ring)).cast("int")
