@@ -10,9 +10,11 @@ all options, a textarea its default content.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ CLOSES = {
 #: End tags that don't reach out of these.
 SCOPE = frozenset("table td th caption html".split())
 
+#: Characters of a line up to which table cells are aligned.
+ALIGNED = 2000
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.DOTALL)
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
@@ -121,6 +125,11 @@ def parse(html: str) -> Node:
         if c := _COMMENT.match(html, at):
             at = c.end()
             continue
+        if at > tags.last:  # no tag ends any more: text, up to a comment that takes the rest
+            begin, at = at, html.find("<!--", at)
+            at = size if at < 0 else at
+            stack.open[-1].children.append(unescape(html[begin:at]))
+            continue
         m, odd = _NAME.match(html, at), html[at + 1 : at + 2] in ("!", "?")
         end = html.find(">", at) if odd and at <= tags.last else tags.end(m.end()) if m else -1
         if end < 0:  # a tag that doesn't end is text
@@ -243,27 +252,56 @@ class Flow:
 
 
 class Table:
-    """Rows of (column, columns, lines); a cell may keep columns of later rows."""
+    """Rows of (column, columns, lines); a cell may keep columns of later rows.
+
+    Kept columns are runs of neighbouring intervals [start, end, row that ends it]; a run is passed in one step until its
+    first interval ends. Cells are aligned to their columns up to ALIGNED characters, beyond it two spaces part them.
+    """
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}
+        self.runs: list[tuple[int, int, int, list[tuple[int, int, int]]]] = []  # start, end, first ending, intervals
+        self.fresh: list[tuple[int, int, int]] = []
         self.caption: list[str] = []
+        self.at = self.run = 0
 
     def row(self) -> None:
+        for start, end, until in self.fresh:
+            self._keep(start, end, until)
         self.rows.append([])
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
+        self.fresh, self.at, self.run = [], 0, 0
+
+    def _keep(self, start: int, end: int, until: int) -> None:
+        low = bisect_left(self.runs, start, key=lambda r: r[1])
+        high = bisect_right(self.runs, end, key=lambda r: r[0])
+        if high == low + 1 and self.runs[low][1] == start:  # goes on where a run ends
+            first, _, least, parts = self.runs[low]
+            parts.append((start, end, until))
+            self.runs[low] = (first, end, min(least, until), parts)
+            return
+        old = [p for r in self.runs[low:high] for p in r[3]]
+        cut = [x for a, b, u in old for x in ((a, min(b, start), u), (max(a, end), b, u)) if x[0] < x[1]]
+        self.runs[low:high] = _runs(sorted([*cut, (start, end, until)]))
 
     def cell(self, node: Node, lines: list[str]) -> None:
         if not self.rows:
             self.row()
-        column = max((c + n for c, n, _ in self.rows[-1]), default=0)
-        while column in self.taken:
-            column += 1
+        column, now = self.at, len(self.rows)
+        while self.run < len(self.runs):
+            start, end, least, parts = self.runs[self.run]
+            if end <= column:
+                self.run += 1
+            elif start > column:
+                break
+            elif least <= now:
+                self.runs[self.run : self.run + 1] = _runs([p for p in parts if p[2] > now])
+            else:
+                column = end
         wide, high = _span(node.attributes.get("colspan")), _span(node.attributes.get("rowspan"), 65_534)
         self.rows[-1].append((column, wide, lines))
+        self.at = column + wide
         if high > 1:
-            self.taken |= dict.fromkeys(range(column, column + wide), high)
+            self.fresh.append((column, column + wide, now + high))
 
     def lines(self) -> list[str]:
         width: dict[int, int] = {}
@@ -271,22 +309,35 @@ class Table:
             for column, wide, lines in row:
                 if wide == 1:
                     width[column] = max(width.get(column, 0), *map(len, lines), 0)
-        place, x = {}, 0
-        for column in range(max([c + n for row in self.rows for c, n, _ in row], default=0)):
-            place[column] = x
-            x += width.get(column, 0) + 2 * (column in width)
+        columns = sorted(width)
+        places = [0, *accumulate(width[c] + 2 for c in columns)]
         out = list(self.caption)
         for row in self.rows:
-            for k in range(max([len(lines) for _, _, lines in row], default=0)):
-                line = ""
-                for column, _, lines in row:
-                    if k < len(lines):
-                        line = line.ljust(place[column]) if len(line) <= place[column] or not line else line + "  "
-                        line += lines[k]
-                out.append(line.rstrip())
+            cells, k = [(places[bisect_left(columns, c)], lines) for c, _, lines in row], 0
+            while cells := [x for x in cells if k < len(x[1])]:
+                line, size = [], 0
+                for place, lines in cells:
+                    pad = place - size if size <= place <= ALIGNED else 2 if size else 0
+                    line += [" " * pad, lines[k]]
+                    size += pad + len(lines[k])
+                out.append("".join(line).rstrip())
+                k += 1
         return out
 
 
+def _runs(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list]]:
+    """Sorted intervals as runs of neighbours."""
+    out: list[tuple[int, int, int, list]] = []
+    for p in parts:
+        if out and out[-1][1] == p[0]:
+            first, _, least, held = out[-1]
+            held.append(p)
+            out[-1] = (first, p[1], min(least, p[2]), held)
+        else:
+            out.append((p[0], p[1], p[2], [p]))
+    return out
+
+
 def _span(value: str | None, most: int = 1000) -> int:
     """The value of a colspan, or of a rowspan with its own bound; HTML itself clamps both."""
     return min(most, max(1, int(value[:9]))) if value and value.isascii() and value.isdigit() else 1
