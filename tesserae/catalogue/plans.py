@@ -222,12 +222,12 @@ def dual_mesh(spark, d):
 
 @register(f"WITH {PX} SELECT CAST(t * 1500 + y * 50 + x AS INTEGER) AS v, CAST(2 * t + CASE WHEN x >= 25 THEN 1 ELSE 0 END AS INTEGER) AS spix FROM px")
 def segment_mesh(spark, d):
-    """Rows of two colours, joined around their middles, whose regions begin one column off: the borders move to where the
-    colours change."""
+    """The grid of all pixels in two colours, whose regions begin one column off: the borders move to where the colours
+    change."""
     px = pixels(spark, d).withColumn("p", F.expr("cast(t * 1500 + y * 50 + x AS int)"))
     v = px.selectExpr("p AS v", "cast(x + 60 * t AS double) AS px", "cast(y AS double) AS py", "0D AS pz", "IF(x < 25, 0D, 100D) AS f0", "0D AS f1", "0D AS f2", "2 * t + IF(x < 26, 0, 1) AS spix")
-    e = px.where("x BETWEEN 23 AND 26").selectExpr("p AS u", "p + 1 AS v")
-    return mesh.segment_mesh(e, v, side=2)
+    e = px.where("x < 49").selectExpr("p AS u", "p + 1 AS v").union(px.where("y < 29").selectExpr("p AS u", "p + 50 AS v"))
+    return mesh.segment_mesh(e, v)
 
 
 @register("""SELECT 'id_' || place AS id, place, potts, sigma_app, sp_size FROM (SELECT CAST(p.i * 1 + s.i * 3 * 2 + z.i * 3 AS INTEGER) AS place, potts, sigma_app, sp_size

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import hash_unit
 from ..operators.graph import both_ways, moments3d, params3d, running_total, update3d
-from .loops import components, cut
+from .loops import components, cut, stored
 
 
 def coloured(edges: DataFrame, seed: int = 123) -> DataFrame:
@@ -141,15 +141,15 @@ def segment_mesh(edges: DataFrame, vertices: DataFrame, rounds: int | None = Non
     """
     edges = cut(edges)
     colours = coloured(edges)
-    vertices = cut(vertices.join(colours, "v", "left").fillna(0, ["colour"]))
+    vertices = stored(vertices.join(colours, "v", "left").fillna(0, ["colour"]), "mesh")
     top = vertices.agg(F.max("colour")).first()[0] or 0
     for _ in range(side if rounds is None else rounds):
-        p = cut(params3d(moments3d(vertices), side))
+        p = stored(params3d(moments3d(vertices), side), "mesh")
         for k in range(passes):
             before = vertices
             for colour in range(top + 1):
                 new = update3d(edges, vertices, p, sigma2, potts, F.col("colour") == colour).select("v", F.col("spix").alias("new"))
-                vertices = cut(vertices.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"))
+                vertices = stored(vertices.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"), "mesh")
             if vertices.select("v", "spix").join(before.select("v", F.col("spix").alias("old")), "v").where("NOT spix <=> old").isEmpty():
                 break
         if not k:
