@@ -1,8 +1,10 @@
 """Secret scanning: three base patterns and an assignment-aware lexer.
 
 The lexer reads lines that look like source or configuration (a name, ``=``, ``:`` or ``=>``, then strings,
-numbers, names and ``+``, or in configuration an unquoted value up to the line's end), keeps the constants that it has seen in the text, and so finds the literals that
-reach a name, directly or through other names. A literal is scored by the words of the names that it reaches
+numbers, names and ``+``, or in configuration an unquoted value up to the line's end), and forms that go over lines or
+name their target otherwise (brackets, sums, triple quotes, subscripts, tuples, typed declarations, macros, block scalars,
+lists, elements). It keeps the constants that it has seen in the text, and so finds the literals that reach a name,
+directly or through other names. A literal is scored by the words of the names that it reaches
 and by how random it looks; spans that score enough are added to those of the base patterns.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Container, Iterator
 
@@ -48,6 +51,28 @@ _TYPES = {"string", "boolean", "integer", "number", "object", "optional"}
 _PLAIN = {"none", "null", "true", "false", "undefined", "changeme", "example", "placeholder"}
 
 _LONGEST_PLAIN = max(map(len, _PLAIN))
+#: Without one of these words no name is sensitive.
+_ANY = re.compile("passw|passphrase|pwd|secret|token|credential|api|key|auth|private|access|bearer|signing|session|salt", re.IGNORECASE)
+
+_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+_PIECE = rf"(?:[bBuUrRfF]{{0,2}}{_STRING}|{_NAME})"
+#: Strings and names that are joined over lines: in brackets, or by an operator or a backslash at a line's end.
+_BRACKETED = rf"\(\s*+{_PIECE}(?:\s*+(?:\+\s*+)?{_PIECE})*+\s*+(?:,\s*+)?\)"
+_JOINED = rf"{_PIECE}(?:[ \t]*(?:\\\r?\n[ \t]*)?\+[ \t]*(?:\\?\r?\n[ \t]*)?{_PIECE}|[ \t]*\\\r?\n[ \t]*{_PIECE}|[ \t]*\r?\n[ \t]*\+[ \t]*{_PIECE})*+"
+_LONG_VALUE = rf"(?:{_BRACKETED}|{_JOINED})"
+_PIECES = re.compile(rf"([bBuUrRfF]{{0,2}})({_STRING})|({_NAME})", re.ASCII)
+_FIELD = re.compile(rf"\{{({_NAME})(?:[:!][^{{}}]*)?\}}", re.ASCII)
+#: Names with values that one line doesn't hold, sums (+=), subscripts and typed declarations before a name.
+_WIDE = re.compile(rf"""(?:(?<![\w$.\-"'\]])({_NAME})|\[[ \t]*["']({_NAME})["'][ \t]*\])[ \t]*(?::[ \t]*{_NAME}[ \t]*)?(\+=|:=|=(?![=>]))[ \t]*({_LONG_VALUE})""", re.ASCII)
+_GO = re.compile(rf"^[ \t]*+(?:(?:const|var|let|val|static|final|public|private)[ \t]++)++({_NAME})[ \t]++[*\[\]\w.]+[ \t]*=[ \t]*({_STRING}|`[^`]*`)", re.ASCII | re.MULTILINE)
+_DEFINE = re.compile(rf"^[ \t]*#[ \t]*define[ \t]+({_NAME})[ \t]+({_STRING}|[^\s(]\S*)", re.ASCII | re.MULTILINE)
+_TUPLE = re.compile(rf"^[ \t]*({_NAME}(?:[ \t]*,[ \t]*{_NAME})++)[ \t]*:?=[ \t]*({_PIECE}(?:[ \t]*,[ \t]*{_PIECE})++)", re.ASCII | re.MULTILINE)
+_TRIPLE = re.compile(rf"""(?<![\w$.\-])({_NAME})["']?[ \t]*+(?::[ \t]*+{_NAME}[ \t]*+)?[:=][ \t]*+[bBuUrRfF]{{0,2}}(\"\"\"|\'\'\')""", re.ASCII)
+_BLOCK_SCALAR = re.compile(rf"""^([ \t]*)(?:-[ \t]+)?["']?({_NAME})["']?[ \t]*+:[ \t]*+(?:[|>][+\-0-9]*+[ \t]*+)?\r?\n""", re.ASCII | re.MULTILINE)
+_ITEM = re.compile(r"[ \t]*-[ \t]+(.*)")
+_ELEMENT = re.compile(r"<[A-Za-z][^<>]*>")
+_PAIR = re.compile(rf"""\b(key|name|id|value)[ \t]*=[ \t]*("[^"]*"|'[^']*')""", re.ASCII | re.IGNORECASE)
+_ASIDE = re.compile(r"(?:^|(?<=[ \t]))(?:#(?![ \t]*define\b)|//|--[ \t])[^\n]*|/\*", re.ASCII | re.MULTILINE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,7 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def sensitivity(name: str) -> int:
     words = [w.lower() for w in _PARTS.findall(name)]
-    return sum(SENSITIVE.get(w, 0) for w in {*words, *(a + b for a, b in zip(words, words[1:], strict=False))})
+    each = {*words, *(a + b for a, b in zip(words, words[1:], strict=False))}
+    return sum(SENSITIVE.get(w, SENSITIVE.get(w.removesuffix("s"), 0)) for w in each)
 
 
 def entropy(count: Counter[str], n: int) -> float:
@@ -112,8 +138,8 @@ def _is_type(text: str) -> bool:
     return not depth and bool(_TYPE.fullmatch("".join(plain).strip()))
 
 
-def statements(text: str, known: Container[str]) -> Iterator[tuple[list[str], list[tuple[int, int, str | None]]]]:
-    """The assignments of a text, in order: names, and the terms of the value: start, end, and the name of a constant or
+def statements(text: str, known: Container[str]) -> Iterator[tuple[int, list[str], list[tuple[int, int, str | None]]]]:
+    """The assignments of a text, in order: place, names, and the terms of the value: start, end, and the name of a constant or
     None for a literal. known: the constants so far.
 
     ``a = b = "x"`` and ``a: b = "x"`` (a may be declared with type b, or b be set in a branch of a) assign to both. A
@@ -152,25 +178,137 @@ def statements(text: str, known: Container[str]) -> Iterator[tuple[list[str], li
                 beside = stop + (text[stop] in _QUOTES)
             raw = text[at:stop].rstrip(" \t\r,;")
             if not v or v.end() < at + len(raw) or not any(name in known for _, _, name in terms):
-                yield names, [(at, at + len(raw), None)] if raw and raw.lower() not in _TYPES and not _EXPRESSION.fullmatch(raw) else []
+                yield m.start(2), names, [(at, at + len(raw), None)] if raw and raw.lower() not in _TYPES and not _EXPRESSION.fullmatch(raw) else []
                 continue
-        yield names, terms
+        yield m.start(2), names, terms
         at = v.end() if v else at
 
 
+def _quoted(text: str, start: int, end: int) -> tuple[int, int, None]:
+    return start + 1, end - 1, None
+
+
+def _terms_of(text: str, start: int, end: int) -> list[tuple[int, int, str | None]]:
+    """The strings and names of a value; of a formatted string its plain parts and the names in its fields."""
+    out: list[tuple[int, int, str | None]] = []
+    for m in _PIECES.finditer(text, start, end):
+        if m[3]:
+            out.append((m.start(), m.end(), m[3]))
+        elif "f" not in m[1].lower():
+            out.append(_quoted(text, *m.span(2)))
+        else:
+            at, stop = m.start(2) + 1, m.end(2) - 1
+            for f in _FIELD.finditer(text, at, stop):
+                out += [(at, f.start(), None)] if f.start() > at else []
+                out.append((f.start(1), f.end(1), f[1]))
+                at = f.end()
+            out += [(at, stop, None)] if stop > at else []
+    return out
+
+
+def wide_statements(text: str) -> list[tuple[int, list[str], list[tuple[int, int, str | None]], bool]]:
+    """Assignments in forms that one line of name and value doesn't show: place, names, terms, and whether they are added to
+    what the name holds. Values over several lines, in brackets or triple quotes, sums, subscripts, tuples, typed
+    declarations, macros, block scalars and lists of configuration, elements with a key and a value."""
+    out: list[tuple[int, list[str], list[tuple[int, int, str | None]], bool]] = []
+    for m in _WIDE.finditer(text):
+        raw, subscript = m[4], m[2] is not None
+        if subscript or m[3] == "+=" or raw[0] == "(" or "\n" in raw or raw[:2].lower() in ('f"', "f'"):
+            out.append((m.start(1) if m[1] else m.start(2), [m[1] or m[2]], _terms_of(text, *m.span(4)), m[3] == "+="))
+    for m in _GO.finditer(text):
+        out.append((m.start(1), [m[1]], [_quoted(text, *m.span(2))], False))
+    for m in _DEFINE.finditer(text):
+        out.append((m.start(1), [m[1]], [_quoted(text, *m.span(2)) if m[2][0] in _QUOTES else (*m.span(2), None)], False))
+    for m in _TUPLE.finditer(text):
+        names, values = re.findall(_NAME, m[1], re.ASCII), list(_PIECES.finditer(text, *m.span(2)))
+        if len(names) == len(values):
+            out += [(m.start(1) + k, [name], _terms_of(text, *v.span()), False) for k, (name, v) in enumerate(zip(names, values, strict=True))]
+    at, absent = 0, set()
+    while m := _TRIPLE.search(text, at):
+        end = -1 if m[2] in absent else text.find(m[2], m.end())
+        if end < 0:
+            absent.add(m[2])
+        else:
+            out.append((m.start(1), [m[1]], [(m.end(), end, None)], False))
+        at = m.end() if end < 0 else end + 3
+    at = 0
+    while m := _BLOCK_SCALAR.search(text, at):
+        at, deep, scalar = m.end(), len(m[1]), m[0].rstrip()[-1:] != ":"
+        lines: list[tuple[int, int, None]] = []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            line = text[at:end]
+            body = line.strip()
+            if body and len(line) - len(line.lstrip()) <= deep - (not scalar and body[:2] == "- "):
+                break
+            if not scalar and body:
+                item = _ITEM.match(line)
+                if not item:
+                    break
+                value = item[1].strip()
+                if value and not re.match(rf"{_NAME}[ \t]*[:=]", value, re.ASCII):
+                    begin = at + item.start(1)
+                    out.append((begin, [m[2]], [_quoted(text, begin, begin + len(value)) if value[0] in _QUOTES and value[-1] == value[0] and len(value) > 1 else (begin, begin + len(value), None)], False))
+            elif body:
+                lines.append((at + line.index(body), at + line.index(body) + len(body), None))
+            at = end + 1
+        if lines:
+            out.append((m.start(2), [m[2]], lines, False))
+        at = max(m.end(), min(at, len(text)))
+    for e in _ELEMENT.finditer(text):
+        found = {p[1].lower(): p for p in reversed(list(_PAIR.finditer(text, *e.span())))}
+        name = next((found[k][2][1:-1] for k in ("key", "name", "id") if k in found), None)
+        if name and "value" in found:
+            out.append((e.start(), [name], [_quoted(text, *found["value"].span(2))], False))
+    return sorted(out, key=lambda x: x[0])
+
+
+def comments(text: str) -> list[tuple[int, int]]:
+    """Where comments stand: behind #, // or -- that begin a line or follow a space, and between /* and */."""
+    out, at = [], 0
+    while m := _ASIDE.search(text, at):
+        end = m.end()
+        if m[0] == "/*":
+            end = text.find("*/", m.end())
+            end = len(text) if end < 0 else end + 2
+        out.append((m.start(), end))
+        at = max(end, m.end())
+    return out
+
+
+def all_statements(text: str, known: Container[str]) -> Iterator[tuple[int, list[str], list[tuple[int, int, str | None]], bool]]:
+    """statements and wide_statements by place; of one place the former come first."""
+    wide, k = wide_statements(text), 0
+    for place, names, terms in statements(text, known):
+        while k < len(wide) and wide[k][0] < place:
+            yield wide[k]
+            k += 1
+        yield place, names, terms, False
+    yield from wide[k:]
+
+
 def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, str, float]]:
     """Start, end, name and score of the literals that reach a sensitive name.
 
     Constants are propagated in text order: ``a = "x"; password = a + "y"`` makes the literals x and y reach
-    password. A name keeps its last literals only, and none once something unknown is assigned to it. Values of any
-    length and any number of literals are scored, by their counts of characters.
+    password. A name keeps its last literals only, and none once something unknown is assigned to it. What comments
+    assign is scored, but stays among comments. Values of any length and any number of literals are scored, by their
+    counts of characters.
     """
-    if "=" not in text and ":" not in text:
+    if not _ANY.search(text):
         return []
-    known: dict[str, Constant] = {}
+    code: dict[str, Constant] = {}
+    aside: dict[str, Constant] = {}
     made: list[Node] = []
-    for names, terms in statements(text, known):
+    remarks = comments(text)
+    begins = [a for a, _ in remarks]
+    for place, names, terms, more in all_statements(text, code):
+        k = bisect_right(begins, place) - 1
+        known = aside if k >= 0 and place < remarks[k][1] else code
         parts: list[tuple[int, int] | Constant] = [(start, end) if term is None else known[term] for start, end, term in terms if term is None or term in known]
+        if more and names[0] in known:
+            parts.insert(0, known[names[0]])
         if not parts:
             for name in names:
                 known.pop(name, None)
