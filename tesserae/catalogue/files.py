@@ -122,34 +122,38 @@ def point_files(spark, d):
 
 
 def _scene(spark, d):
-    """One scene of the first frame's pixels as vertices, two triangles between four of them, and their first edges."""
-    px = pixels(spark, d).where("t = 0")
-    v = px.select(F.lit("s").alias("scene"), F.expr("y * 50 + x").alias("v"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.lit(0.5).alias("pz"), *((F.col(f"c{i}") / 255).alias(f"f{i}") for i in range(3)), F.expr("cast((x + y) % 4 AS int)").alias("gcolor"), F.expr("cast(x div 10 AS int)").alias("spix"))
-    cells = px.where("y < 29 AND x < 49").select(F.expr("y * 49 + x").alias("c"), F.expr("y * 50 + x").alias("p"))
-    f = cells.select(F.lit("s").alias("scene"), F.explode(F.expr("array(struct(2 * c AS f, array(p, p + 1, p + 50) AS verts), struct(2 * c + 1 AS f, array(p + 1, p + 51, p + 50) AS verts))")).alias("k")).select("scene", "k.f", "k.verts")
-    e = cells.select(F.lit("s").alias("scene"), F.col("p").alias("u"), F.expr("p + 1").alias("v"))
+    """Each frame's pixels as the vertices of a scene, two triangles between four of them, and their first edges."""
+    px = pixels(spark, d).withColumn("scene", F.concat(F.lit("s"), "t"))
+    v = px.select("scene", F.expr("y * 50 + x").alias("v"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.lit(0.5).alias("pz"), *((F.col(f"c{i}") / 255).alias(f"f{i}") for i in range(3)), F.expr("cast((x + y) % 4 AS int)").alias("gcolor"), F.expr("cast(x div 10 AS int)").alias("spix"))
+    cells = px.where("y < 29 AND x < 49").select("scene", F.expr("y * 49 + x").alias("c"), F.expr("y * 50 + x").alias("p"))
+    f = cells.select("scene", F.explode(F.expr("array(struct(2 * c AS f, array(p, p + 1, p + 50) AS verts), struct(2 * c + 1 AS f, array(p + 1, p + 51, p + 50) AS verts))")).alias("k")).select("scene", "k.f", "k.verts")
+    e = cells.select("scene", F.col("p").alias("u"), F.expr("p + 1").alias("v"))
     return v, f, e
 
 
-@register(LAB.join(("WITH ", " SELECT CAST(y * 50 + x AS INTEGER) AS v, CAST(x + 5 AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, 0.5::DOUBLE AS pz, round(l, 5) + 0.0 AS f0, round(a, 5) + 0.0 AS f1, round(b, 5) + 0.0 AS f2 FROM lab WHERE t = 0")))
+def _frame_of_scene():
+    return F.expr("cast(substring(scene, 2) AS int)").alias("t")
+
+
+@register(LAB.join(("WITH ", " SELECT t, CAST(y * 50 + x AS INTEGER) AS v, CAST(x + 5 AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, 0.5::DOUBLE AS pz, round(l, 5) + 0.0 AS f0, round(a, 5) + 0.0 AS f1, round(b, 5) + 0.0 AS f2 FROM lab")))
 def scene_files(spark, d):
     """Vertices of a PLY file, colours as Lab, moved by the scene's alignment; the file is made from Lab colours too."""
     base = loops.fresh_folder(spark, "scenes")
     v, f, e = _scene(spark, d)
     lab = v.withColumns({f"f{i}": c for i, c in enumerate(color.rgb_to_lab(F.col("f0"), F.col("f1"), F.col("f2")))})
     files.write_files(files.scene_files(lab, f, e, lab=True), base, ".ply")
-    files.write_files(spark.range(1).select(F.lit("s").alias("scene"), F.lit("axisAlignment = 1 0 0 5 0 1 0 0 0 0 1 0 0 0 0 1\n").alias("content")), base, ".txt")
+    files.write_files(v.select("scene").distinct().select("scene", F.lit("axisAlignment = 1 0 0 5 0 1 0 0 0 0 1 0 0 0 0 1\n").alias("content")), base, ".txt")
     points, _ = files.read_scenes(spark, base)
-    return points.select("v", "px", "py", "pz", *((F.round(f"f{i}", 5) + F.lit(0.0)).alias(f"f{i}") for i in range(3)))
+    return points.select(_frame_of_scene(), "v", "px", "py", "pz", *((F.round(f"f{i}", 5) + F.lit(0.0)).alias(f"f{i}") for i in range(3)))
 
 
-@register(f"WITH {PX}, c AS (SELECT y * 49 + x AS c, y * 50 + x AS p FROM px WHERE t = 0 AND y < 29 AND x < 49) SELECT CAST(2 * c AS INTEGER) AS f, CAST(p AS INTEGER) AS a, CAST(p + 1 AS INTEGER) AS b, CAST(p + 50 AS INTEGER) AS c FROM c UNION ALL SELECT CAST(2 * c + 1 AS INTEGER), CAST(p + 1 AS INTEGER), CAST(p + 51 AS INTEGER), CAST(p + 50 AS INTEGER) FROM c")
+@register(f"WITH {PX}, c AS (SELECT t, y * 49 + x AS c, y * 50 + x AS p FROM px WHERE y < 29 AND x < 49) SELECT t, CAST(2 * c AS INTEGER) AS f, CAST(p AS INTEGER) AS a, CAST(p + 1 AS INTEGER) AS b, CAST(p + 50 AS INTEGER) AS c FROM c UNION ALL SELECT t, CAST(2 * c + 1 AS INTEGER), CAST(p + 1 AS INTEGER), CAST(p + 51 AS INTEGER), CAST(p + 50 AS INTEGER) FROM c")
 def scene_faces(spark, d):
     base = loops.fresh_folder(spark, "faces")
     v, f, _ = _scene(spark, d)
     files.write_files(files.scene_files(v, f), base, ".ply")
     faces = files.read_scenes(spark, base)[1]
-    return faces.select("f", *(F.col("verts")[i].alias(n) for i, n in enumerate("abc")))
+    return faces.select(_frame_of_scene(), "f", *(F.col("verts")[i].alias(n) for i, n in enumerate("abc")))
 
 
 def _ply(spark, folder: str, element: str, schema: str):
@@ -166,7 +170,7 @@ def _ply(spark, folder: str, element: str, schema: str):
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(folder).select("content").mapInPandas(decode, schema)
 
 
-@register(f"WITH {PX} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(c0 AS INTEGER) AS red, CAST(c1 AS INTEGER) AS green, CAST(c2 AS INTEGER) AS blue, CAST((x + y) % 4 AS INTEGER) AS gcolor, CAST(x // 10 AS INTEGER) AS label FROM px WHERE t = 0")
+@register(f"WITH {PX} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(c0 AS INTEGER) AS red, CAST(c1 AS INTEGER) AS green, CAST(c2 AS INTEGER) AS blue, CAST((x + y) % 4 AS INTEGER) AS gcolor, CAST(x // 10 AS INTEGER) AS label FROM px")
 def scene_labels(spark, d):
     """What a scene's file says of its vertices beside their places: colours, the colour of the graph, labels."""
     base = loops.fresh_folder(spark, "marks")
@@ -175,16 +179,16 @@ def scene_labels(spark, d):
     return _ply(spark, base, "vertex", "x double, y double, red int, green int, blue int, gcolor int, label int")
 
 
-@register(f"WITH {PX} SELECT CAST(y * 50 + x AS INTEGER) AS vertex1, CAST(y * 50 + x + 1 AS INTEGER) AS vertex2 FROM px WHERE t = 0 AND y < 29 AND x < 49")
+@register(f"WITH {PX} SELECT CAST(y * 50 + x AS INTEGER) AS vertex1, CAST(y * 50 + x + 1 AS INTEGER) AS vertex2 FROM px WHERE y < 29 AND x < 49")
 def scene_edges(spark, d):
     base = loops.fresh_folder(spark, "edges")
     files.write_files(files.scene_files(*_scene(spark, d)), base, ".ply")
     return _ply(spark, base, "edge", "vertex1 int, vertex2 int")
 
 
-@register(f"""WITH {PX} SELECT CAST(0 AS DOUBLE) AS min_x, CAST(49 AS DOUBLE) AS max_x, CAST(min(y) AS DOUBLE) AS min_y, CAST(max(y) AS DOUBLE) AS max_y, 0.5::DOUBLE AS min_z, 0.5::DOUBLE AS max_z FROM px WHERE t = 0""")
+@register(f"""WITH {PX} SELECT t, CAST(min(x) AS DOUBLE) AS min_x, CAST(max(x) AS DOUBLE) AS max_x, CAST(min(y) AS DOUBLE) AS min_y, CAST(max(y) AS DOUBLE) AS max_y, 0.5::DOUBLE AS min_z, 0.5::DOUBLE AS max_z FROM px GROUP BY t""")
 def scene_boxes(spark, d):
-    return files.boxes(_scene(spark, d)[0]).drop("scene")
+    return files.boxes(_scene(spark, d)[0]).select(_frame_of_scene(), "*").drop("scene")
 
 
 @register(f"""WITH {VERTEX}, r AS (SELECT spix, avg(px) AS x, avg(py) AS y, avg(pz) AS z, var_pop(px) AS var_x, covar_pop(px, py) AS cov_xy, avg(f0) AS f0 FROM vertex GROUP BY spix)
@@ -198,10 +202,10 @@ def region_files(spark, d):
     return out.select(*((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "var_x", "cov_xy")), "red")
 
 
-@register(f"WITH {SEG}, m AS (SELECT t, spix, count(*) AS n, avg(c0) AS mu0, avg(x) AS mx, avg(y) AS my FROM seg GROUP BY t, spix) SELECT spix AS label, round(mu0, 4) AS mu, round(mu0, 4) AS p_mu, round(mx, 4) AS mx, round(my, 4) AS my, CAST(n AS INTEGER) AS n, 25.0::DOUBLE AS prior_count FROM m WHERE t = 0")
+@register(f"WITH {SEG}, m AS (SELECT t, spix, count(*) AS n, avg(c0) AS mu0, avg(x) AS mx, avg(y) AS my FROM seg GROUP BY t, spix) SELECT spix AS label, round(mu0, 4) AS mu, round(mu0, 4) AS p_mu, round(mx, 4) AS mx, round(my, 4) AS my, CAST(n AS INTEGER) AS n, 25.0::DOUBLE AS prior_count FROM m")
 def parameter_files(spark, d):
     base = loops.fresh_folder(spark, "parameters")
-    p = regions.parameters(regions.moments(segments(spark, d).where("t = 0")), F.lit(25.0), 5)
+    p = regions.parameters(regions.moments(segments(spark, d)), F.lit(25.0), 5)
     files.parameter_table(p, 25.0).write.csv(base, header=True)
     r = files.read_results(spark, base)
     assert tuple(r.columns) == files.PARAMETER_COLUMNS

@@ -175,7 +175,7 @@ def evaluate(seg: DataFrame, area: int, reference: int | None = None) -> DataFra
     parts = [temporal_extent(seg), size_variation(seg), explained_variation(seg), explained_variation(seg, over_time=True, scale=255.0).withColumnRenamed("ev", "ev3d"), pooling, undersegmentation(seg, area), accuracy(seg), undersegmentation_3d(seg, area), accuracy_3d(seg), count_stats(seg, reference)]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(F.broadcast(p), video, "left") if video else out.crossJoin(F.broadcast(p))  # each is one row a video
+        out = out.join(p, video, "left") if video else out.crossJoin(F.broadcast(p))  # without videos each is one row
     for name in ("ave_delta_nsp", "std_delta_nsp", "strred0", "strred1"):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(-1.0))
