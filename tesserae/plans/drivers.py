@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import frame as kernel
 from .frame import Options
+from .loops import spread
 
 LABELS = "video string, t int, y int, x int, spix int"
 FRAMES = "video string, t int, height int, width int, image binary, flow binary"
@@ -37,7 +38,7 @@ def _each(pixels: DataFrame, work) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return rows(frame["video"].iloc[0], frame["t"].iloc[0], work(frame))
 
-    return with_video(pixels).groupBy("video", "t").applyInPandas(run, LABELS)
+    return spread(with_video(pixels), "video", "t").groupBy("video", "t").applyInPandas(run, LABELS)
 
 
 def packed(pixels: DataFrame, flows: DataFrame | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def packed(pixels: DataFrame, flows: DataFrame | None = None) -> DataFrame:
         image = raster(f, ["c0", "c1", "c2"])
         return pd.DataFrame({"video": [f["video"].iloc[0]], "t": [np.int32(f["t"].iloc[0])], "height": [np.int32(image.shape[0])], "width": [np.int32(image.shape[1])], "image": [image.astype("<f4").tobytes()], "flow": [raster(f, ["fx", "fy"]).astype("<f4").tobytes()]})
 
-    return px.groupBy("video", "t").applyInPandas(pack, FRAMES)
+    return spread(px, "video", "t").groupBy("video", "t").applyInPandas(pack, FRAMES)
 
 
 def image_of(row) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def trace_frames(pixels: DataFrame, options: Options | None = None) -> DataFrame
         kernel.segment_image(raster(frame, ["c0", "c1", "c2"]), o, log)
         return pd.concat(parts)[["video", "t", "step", "seq", "y", "x", "spix"]]
 
-    return with_video(pixels).groupBy("video", "t").applyInPandas(run, "video string, t int, step string, seq int, y int, x int, spix int")
+    return spread(with_video(pixels), "video", "t").groupBy("video", "t").applyInPandas(run, "video string, t int, step string, seq int, y int, x int, spix int")
 
 
 TRACE = "video string, t int, step string, seq int, height int, width int, labels binary, merges array<struct<spix:int, target:int, h:double, accepted:boolean>>"
@@ -122,7 +123,7 @@ def trace_videos(pixels: DataFrame, flows: DataFrame | None = None, options: Opt
                 log("final", state.labels)
                 yield log.frame()
 
-    return packed(pixels, flows).repartition("video").sortWithinPartitions("video", "t").mapInPandas(run, TRACE)
+    return spread(packed(pixels, flows), "video").sortWithinPartitions("video", "t").mapInPandas(run, TRACE)
 
 
 def trace_steps(seg: DataFrame, flows: DataFrame, options: Options | None = None) -> DataFrame:
@@ -147,7 +148,7 @@ def trace_steps(seg: DataFrame, flows: DataFrame, options: Options | None = None
         log("final", kernel.next_frame(image, flow, kernel.state_of(labels, p), o, log).labels)
         return log.frame()
 
-    return both.groupBy("video", "t").applyInPandas(run, TRACE)
+    return spread(both, "video", "t").groupBy("video", "t").applyInPandas(run, TRACE)
 
 
 def traced_labels(trace: DataFrame) -> DataFrame:
@@ -261,4 +262,4 @@ def segment_videos(pixels: DataFrame, flows: DataFrame | None = None, options: O
                     state = kernel.next_frame(image, flow, state, o)
                 yield rows(video, r.t, state.labels)
 
-    return packed(pixels, flows).repartition("video").sortWithinPartitions("video", "t").mapInPandas(run, LABELS)
+    return spread(packed(pixels, flows), "video").sortWithinPartitions("video", "t").mapInPandas(run, LABELS)

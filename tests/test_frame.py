@@ -184,3 +184,32 @@ def test_wide_holes_are_filled_to_the_end():
     labels = np.full((3, 2600), -1)
     labels[:, 0] = 4
     assert (k.fill(labels, np.zeros((5, 2))) == 4).all()
+
+
+def _count_calls(monkeypatch, name):
+    calls, kept = [], getattr(k, name)
+    monkeypatch.setattr(k, name, lambda *a, **b: calls.append(1) or kept(*a, **b))
+    return calls
+
+
+def test_rounds_that_change_nothing_are_left_out(monkeypatch):
+    image = np.zeros((20, 30, 3))
+    image[:, 15:] = 1
+    o = Options(sp_size=7, niters=16, sigma_app=0.02, use_sm=False)
+    want = k.segment_image(image, o)[0]
+    calls = _count_calls(monkeypatch, "update_labels")
+    assert (k.segment_image(image, o)[0] == want).all() and len(calls) < 16
+    p = k.parameters(image, want, np.full(want.max() + 1, 25.0), np.zeros(want.max() + 1, bool), 7)
+    once = k.update_labels(image, want, p, o.sigma2, o.potts, 40)
+    assert (k.update_labels(image, once, p, o.sigma2, o.potts, 4) == once).all()
+
+
+def test_frames_are_spread_over_tasks(spark):
+    """Few bytes, but long work: one task must not get all frames."""
+    from pyspark.sql import functions as F
+
+    from tesserae.plans import drivers
+
+    px = spark.range(64 * 36).selectExpr("cast(id div 36 AS int) AS t", "cast(id % 36 div 6 AS int) AS y", "cast(id % 6 AS int) AS x", "0D AS c0", "0D AS c1", "0D AS c2")
+    out = drivers.segment_frames(px, Options(sp_size=5, niters=1)).withColumn("task", F.spark_partition_id())
+    assert out.select("task").distinct().count() > 4
