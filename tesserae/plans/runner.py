@@ -77,6 +77,8 @@ def evaluate(spark: SparkSession, folder: str, truth: DataFrame, area: int) -> D
     truth = drivers.with_video(truth)
     for row in done(spark, folder, "labels").join(done(spark, folder, "scores"), list(KEYS), "left_anti").orderBy(*KEYS).collect():
         here = f"{folder}/labels/group={row['group']}/id={row['id']}/rep={row['rep']}"
-        seg = spark.read.parquet(here).select("video", "t", "y", "x", "spix").join(truth, ["video", "t", "y", "x"])
+        seg = spark.read.parquet(here).select("video", "t", "y", "x", "spix")
+        # labels take few bytes on disk, by which the planner would send them whole through the driver
+        seg = seg.hint("merge").join(truth, ["video", "t", "y", "x"])
         write_results(metrics.evaluate(seg, area).withColumns({k: F.lit(row[k]) for k in KEYS}), f"{folder}/scores", KEYS)
     return spark.read.parquet(f"{folder}/scores")

@@ -208,3 +208,19 @@ def test_traces_hold_all_steps_and_proposals(spark):
     assert final.exceptAll(drivers.segment_videos(px, None, o).select("t", "y", "x", "spix")).isEmpty()
     merges = drivers.traced_merges(trace)
     assert merges.where("accepted AND h <= -2").isEmpty() and not merges.where("NOT accepted").isEmpty()
+
+
+def test_labels_of_a_run_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Labels of whole regions take few bytes on disk, however many pixels there are."""
+    from pyspark.sql import functions as F
+
+    base = f"file://{tmp_path}/runs"
+    truth = table(spark, picture(3), np.zeros((H, W))).withColumnRenamed("spix", "gt")
+    seg = truth.select("t", "y", "x", F.lit("").alias("video"), F.expr("cast(x div 19 AS int)").alias("spix"))
+    runner.write_results(seg.withColumns({"group": F.lit("g"), "id": F.lit("id_0"), "rep": F.lit(0)}), f"{base}/labels")
+    plans = []
+    kept = runner.write_results
+    monkeypatch.setattr(runner, "write_results", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a))
+    assert runner.evaluate(spark, base, truth, H * W).count() == 1
+    joins = [line for line in plans[0].splitlines() if "Join" in line and "y#" in line and "x#" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
