@@ -57,6 +57,47 @@ def _schema(layers: list[str], more: str = "") -> str:
     return ", ".join(["video string, t int, ty int, tx int", *(f"{n} binary" for n in layers)]) + more
 
 
+def together(frames: Iterator[pd.DataFrame | dict], most: int = 64) -> Iterator[pd.DataFrame]:
+    """Rows (dicts) or frames of so many tiles at a time as one frame: what is small goes out together."""
+    held: list = []
+
+    def joined() -> pd.DataFrame:
+        return pd.DataFrame(held) if isinstance(held[0], dict) else pd.concat(held, ignore_index=True)
+
+    for f in frames:
+        held.append(f)
+        if len(held) >= most:
+            yield joined()
+            held = []
+    if held:
+        yield joined()
+
+
+def by_tile(rows: DataFrame, work: Callable, schema: str, *order: str) -> DataFrame:
+    """work(key, rows) of the rows of each tile, which gives a dict or a frame.
+
+    Tiles are spread over a fixed number of tasks. A task reads its tiles one after the other from a sorted stream, many in
+    a batch: a group each would cost more than the work on a small tile.
+    """
+
+    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator:
+        rest = None
+        for batch in batches:
+            part = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+            if not len(part):
+                continue
+            at = [part[k].to_numpy() for k in KEY]
+            new = np.flatnonzero(np.logical_or.reduce([a[1:] != a[:-1] for a in at])) + 1
+            edges = [0, *new.tolist()]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield work((at[0][a], int(at[1][a]), int(at[2][a]), int(at[3][a])), part.iloc[a:b])
+            rest = part.iloc[edges[-1] :]
+        if rest is not None and len(rest):
+            yield work((rest["video"].iloc[0], *(int(rest[k].iloc[0]) for k in KEY[1:])), rest)
+
+    return loops.spread(rows, *KEY).sortWithinPartitions(*KEY, *order).mapInPandas(lambda batches: together(tiles(batches)), schema)
+
+
 def tiled(pixels: DataFrame, grid: Grid, columns: dict[str, list[str]]) -> DataFrame:
     """Tiles of rows (video, t, y, x). columns: the columns of each layer; a missing pixel or value is -1."""
     if grid.side % 2:
@@ -64,16 +105,16 @@ def tiled(pixels: DataFrame, grid: Grid, columns: dict[str, list[str]]) -> DataF
     names = [c for cs in columns.values() for c in cs]
     rows = with_video(pixels).select("video", "t", "y", "x", *names, (F.floor(F.col("y") / grid.side)).cast("int").alias("ty"), (F.floor(F.col("x") / grid.side)).cast("int").alias("tx"))
 
-    def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, f: pd.DataFrame) -> dict:
         y0, y1, x0, x1 = grid.box(key[2], key[3])
-        out = list(key)
+        out = {}
         for name, cs in columns.items():
             a = np.full((y1 - y0, x1 - x0, len(cs)), -1.0)
             a[f["y"].to_numpy() - y0, f["x"].to_numpy() - x0] = f[cs].fillna(-1).to_numpy(float)
-            out.append(packed_bytes(a if len(cs) > 1 else a[..., 0], name))
-        return pd.DataFrame([out], columns=[*KEY, *columns])
+            out[name] = packed_bytes(a if len(cs) > 1 else a[..., 0], name)
+        return _row(key, **out)
 
-    return rows.groupBy(*KEY).applyInPandas(pack, _schema(list(columns)))
+    return by_tile(rows, pack, _schema(list(columns)))
 
 
 def unpacked(tiles: DataFrame, grid: Grid, name: str = "labels", column: str = "spix", kind: str = "int") -> DataFrame:
@@ -86,7 +127,7 @@ def unpacked(tiles: DataFrame, grid: Grid, name: str = "labels", column: str = "
                 y, x = np.mgrid[box[0] : box[1], box[2] : box[3]]
                 yield pd.DataFrame({"video": r.video, "t": np.int32(r.t), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), column: layer(getattr(r, name), name, box).ravel()})
 
-    return tiles.select(*KEY, name).mapInPandas(unpack, f"video string, t int, y int, x int, {column} {kind}")
+    return tiles.select(*KEY, name).mapInPandas(lambda batches: together(unpack(batches)), f"video string, t int, y int, x int, {column} {kind}")
 
 
 def exchange(tiles: DataFrame, grid: Grid, sent: list[str], halo: int, work: Callable, schema: str, kept: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
@@ -118,7 +159,11 @@ def exchange(tiles: DataFrame, grid: Grid, sent: list[str], halo: int, work: Cal
 
     moved = tiles.select(*KEY, *dict.fromkeys([*sent, *kept])).mapInPandas(spread, f"video string, t int, ty int, tx int, part array<int>, ids array<int>, {', '.join([*(f'{n} binary' for n in sent), *(f'own_{n} binary' for n in kept)])}")
 
-    def run(key: tuple, f: pd.DataFrame, rows: pd.DataFrame | None) -> pd.DataFrame:
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame | dict:
+        rows = None
+        if named:
+            known = f["spix"].notna().to_numpy()
+            f, rows = f[~known], f.loc[known, columns].astype(kinds)
         seen, box = grid.box(key[2], key[3], halo), grid.box(key[2], key[3])
         held = {}
         for n in sent:
@@ -129,19 +174,24 @@ def exchange(tiles: DataFrame, grid: Grid, sent: list[str], halo: int, work: Cal
                 a[p[0] - seen[0] : p[1] - seen[0], p[2] - seen[2] : p[3] - seen[2]] = part
             held[n] = a
         for n in kept:
-            held[f"own_{n}"] = f[f"own_{n}"].dropna().iloc[0]
+            held[f"own_{n}"] = next(data for data in f[f"own_{n}"] if data is not None)
         inner = np.s_[box[0] - seen[0] : box[1] - seen[0], box[2] - seen[2] : box[3] - seen[2]]
         return work(key, held, (seen[0], seen[2]), inner, rows)
 
     if table is None:
-        return moved.groupBy(*KEY).applyInPandas(lambda key, f: run(key, f, None), schema)
-    seen = moved.select(*KEY, F.explode("ids").alias("spix")).distinct().join(table, ["video", "t", "spix"])
-    needs = seen.select(*(F.col(k).alias(f"at_{k}") for k in KEY), *(c for c in table.columns if c not in ("video", "t")))
-    return moved.groupBy(*KEY).cogroup(needs.groupBy(*(f"at_{k}" for k in KEY))).applyInPandas(lambda key, f, rows: run(key, f, rows.sort_values("spix")), schema)
+        return by_tile(moved.drop("ids"), run, schema)
+    columns = [c for c in table.columns if c not in ("video", "t")]
+    kinds = {f.name: _NUMPY[f.dataType.typeName()] for f in table.schema if f.name in columns}
+    needs = moved.select(*KEY, F.explode("ids").alias("spix")).distinct().join(table, ["video", "t", "spix"])
+    return by_tile(moved.drop("ids").unionByName(needs.select(*KEY, *columns), allowMissingColumns=True), run, schema, "spix")
+
+
+#: Kinds of a region's columns, which pass through columns with nulls.
+_NUMPY = {"integer": np.int32, "long": np.int64, "double": np.float64, "boolean": bool}
 
 
-def _row(key: tuple, **values) -> pd.DataFrame:
-    return pd.DataFrame([[*key, *values.values()]], columns=[*KEY, *values])
+def _row(key: tuple, **values) -> dict:
+    return dict(zip(KEY, key, strict=True)) | values
 
 
 def widened(tiles: DataFrame, grid: Grid, halo: int) -> DataFrame:
@@ -179,7 +229,7 @@ def sums_by_region(tiles: DataFrame, grid: Grid, halo: int, marks: str | None =
                 yield out
 
     columns = [*KEY, "labels", "wide", *([marks] if marks else [])]
-    parts = tiles.select(*columns).mapInPandas(give, f"video string, t int, spix int, marked int, {', '.join(f'{m} double' for m in MOMENTS)}")
+    parts = tiles.select(*columns).mapInPandas(lambda batches: together(give(batches)), f"video string, t int, spix int, marked int, {', '.join(f'{m} double' for m in MOMENTS)}")
     return parts.groupBy("video", "t", "spix", *(["marked"] if marks else [])).agg(*(F.sum(m).alias(m) for m in MOMENTS))
 
 
@@ -339,7 +389,7 @@ def split(tiles: DataFrame, grid: Grid, halo: int, params: DataFrame, o: Options
                 yield pd.DataFrame({"video": r.video, "t": np.int32(r.t), "spix": (ids // 2).astype(np.int32), "moved": (ids % 2).astype(np.int32), "lost": n.astype(np.int64)})
 
     key = ["video", "t", "spix"]
-    missing = parted.mapInPandas(count_lost, "video string, t int, spix int, moved int, lost long").groupBy(*key, "moved").agg(F.sum("lost").alias("lost"))
+    missing = parted.mapInPandas(lambda batches: together(count_lost(batches)), "video string, t int, spix int, moved int, lost long").groupBy(*key, "moved").agg(F.sum("lost").alias("lost"))
     parts = parts.join(missing, [*key, "moved"], "left").fillna(0, ["lost"])
     columns = ["n", "lost", *(f"{c}{i}" for c in "sq" for i in range(3))]
     sides = [parts.where(F.col("moved") == k).select(*key, *(F.col(c).alias(f"{p}{c}") for c in columns)) for k, p in ((0, "k_"), (1, "s_"))]
@@ -413,7 +463,7 @@ def pieces(tiles: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
                 ids, first, n = np.unique(piece[piece >= 0], return_index=True, return_counts=True)
                 yield pd.DataFrame({"video": r.video, "t": np.int32(r.t), "spix": labels[piece >= 0][first].astype(np.int32), "piece": ids, "n": n.astype(np.int64)})
 
-    counted = parted.mapInPandas(count, "video string, t int, spix int, piece long, n long")
+    counted = parted.mapInPandas(lambda batches: together(count(batches)), "video string, t int, spix int, piece long, n long")
     roots = joined.select("id.video", "id.t", "id.piece", F.col("component.piece").alias("whole"))
     return parted, counted.join(roots, ["video", "t", "piece"], "left").withColumn("whole", F.coalesce("whole", "piece"))
 

@@ -224,3 +224,18 @@ def test_labels_of_a_run_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert runner.evaluate(spark, base, truth, H * W).count() == 1
     joins = [line for line in plans[0].splitlines() if "Join" in line and "y#" in line and "x#" in line]
     assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_small_tiles_share_tasks_and_batches(spark):
+    """Many small tiles in few batches of several tasks, and a tile whose rows lie in two batches."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).selectExpr("'' AS video", "cast(id % 50 AS int) AS t", "0 AS ty", "0 AS tx", "cast(id AS int) AS k")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = tiles.by_tile(rows, lambda key, f: tiles._row(key, n=len(f), total=int(f["k"].sum())), "video string, t int, ty int, tx int, n int, total int")
+        found = out.withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found["t"]) == list(range(50)) and (found["n"] == 60).all()
+    assert (found["total"] == 60 * found["t"] + 50 * sum(range(60))).all() and found["task"].nunique() > 4
