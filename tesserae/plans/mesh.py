@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import hash_unit
 from ..operators.graph import both_ways, moments3d, params3d, running_total, update3d
-from .loops import components, cut, stored
+from .loops import components, cut, spread, stored
 
 
 def coloured(edges: DataFrame, seed: int = 123) -> DataFrame:
@@ -50,27 +52,37 @@ def vertex_rings(faces: DataFrame) -> DataFrame:
     """v and ring: the faces around each vertex in order, for vertices whose faces close to a ring (dual polygons)."""
     corners = faces.select("f", F.explode(F.array(*(F.struct(F.col(p).alias("v"), F.least(q, r).alias("p"), F.greatest(q, r).alias("q")) for p, q, r in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))))).alias("k")).select("f", "k.v", "k.p", "k.q")
 
-    def ring(part: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"v": pd.Series(dtype="int32"), "ring": pd.Series(dtype=object)})
-        part = part.sort_values("f")
-        at: dict[int, list[tuple[int, int]]] = {}
-        for f, p, q in zip(part["f"], part["p"], part["q"], strict=True):
-            at.setdefault(p, []).append((f, q))
-            at.setdefault(q, []).append((f, p))
-        if any(len(x) != 2 for x in at.values()):
-            return none
-        start = int(part["p"].iloc[0])
-        out, here, last = [], start, None
-        while True:
-            f, there = next((x for x in at[here] if x[0] != last), (None, None))
-            if f is None or f in out:
-                break
-            out.append(int(f))
-            here, last = there, f
-        closed = len(out) == len(part) and here == start
-        return pd.DataFrame({"v": [int(part["v"].iloc[0])], "ring": [out]}) if closed else none
-
-    return corners.groupBy("v").applyInPandas(ring, "v int, ring array<int>")
+    near = F.sort_array(F.collect_list(F.struct("f", "p", "q")))
+    each = spread(corners, "v").groupBy("v").agg(near.alias("k")).select("v", "k.f", "k.p", "k.q")
+    # where every neighbour has two faces there are as many neighbours as faces
+    maybe = each.where(F.size(F.array_distinct(F.concat("p", "q"))) == F.size("f"))
+
+    def rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(v, ring) for v, f, p, q in zip(batch["v"], batch["f"], batch["p"], batch["q"], strict=True) if (ring := _ring(f.tolist(), p.tolist(), q.tolist()))]
+            if found:
+                yield pd.DataFrame(found, columns=["v", "ring"])
+
+    return maybe.mapInPandas(rings, "v int, ring array<int>")
+
+
+def _ring(faces: list[int], p: list[int], q: list[int]) -> list[int] | None:
+    """The faces in the order of a walk from the first one over the neighbours that two of them share; None if the walk
+    doesn't close, or not around all."""
+    at: dict[int, list[tuple[int, int]]] = {}
+    for f, a, b in zip(faces, p, q, strict=True):
+        at.setdefault(a, []).append((f, b))
+        at.setdefault(b, []).append((f, a))
+    if any(len(x) != 2 for x in at.values()):
+        return None
+    here, last, out = p[0], None, {}
+    while True:
+        f, there = next((x for x in at[here] if x[0] != last), (None, None))
+        if f is None or f in out:
+            break
+        out[f] = None
+        here, last = there, f
+    return list(out) if len(out) == len(faces) and here == p[0] else None
 
 
 def ring_walks(edges: DataFrame, vertices: DataFrame, most: int = 32) -> DataFrame:
