@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import graph
+from ..plans import loops
 from ..sources.testdata import EDGE, FACE, VERTEX, edges, faces, vertices
 
 QUERIES: dict = {}
@@ -26,6 +27,12 @@ def rnd(df, digits, *names):
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
+def stored_graph(spark, d):
+    """Edges and vertices, each made once however often a plan reads them."""
+    e = loops.stored(edges(spark, d), "edges")
+    return e, loops.stored(vertices(spark, d, e), "vertices")
+
+
 FE = FACE + ", fe AS (SELECT DISTINCT f, least(p, q) AS u, greatest(p, q) AS v FROM (SELECT f, a AS p, b AS q FROM face UNION ALL SELECT f, b, c FROM face UNION ALL SELECT f, a, c FROM face) WHERE p <> q)"
 ADJ = EDGE + ", adj AS (SELECT u, v FROM edge UNION ALL SELECT v, u FROM edge)"
 VADJ = VERTEX + ", adj AS (SELECT u, v FROM edge UNION ALL SELECT v, u FROM edge)"
@@ -100,8 +107,7 @@ def label_vote(spark, d):
     j AS (SELECT c, p, q, EXISTS (FROM own o WHERE o.u = pair.p AND o.v = pair.q) OR EXISTS (FROM own o JOIN own r ON r.u = o.v WHERE o.u = pair.p AND r.v = pair.q AND o.v <> pair.c) AS ok FROM pair)
     SELECT vertex.v, coalesce(bool_and(ok), true) AS is_simple FROM vertex LEFT JOIN j ON j.c = vertex.v GROUP BY vertex.v""")
 def two_hop_simple(spark, d):
-    v = vertices(spark, d)
-    return graph.removable(edges(spark, d), v)
+    return graph.removable(*stored_graph(spark, d))
 
 
 _AX = ("px", "py", "pz")
@@ -247,4 +253,4 @@ def ring_simple(spark, d):
     """Border vertices around which a walk inside the label leads."""
     from ..plans import mesh
 
-    return mesh.ring_walks(edges(spark, d), vertices(spark, d))
+    return mesh.ring_walks(*stored_graph(spark, d))

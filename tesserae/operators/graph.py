@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.loops import stored
+
 
 def unique_edges(faces: DataFrame) -> DataFrame:
     """Undirected edges u < v of triangles (a, b, c)."""
@@ -17,8 +19,8 @@ def face_edges(faces: DataFrame) -> DataFrame:
     return faces.select("f", F.explode(pairs).alias("e")).select("f", "e.u", "e.v").where("u < v").distinct()
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def both_ways(edges: DataFrame, *more: str) -> DataFrame:
+    return edges.select("u", "v", *more).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *more))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -143,11 +145,37 @@ def two_hop_pairs(edges: DataFrame) -> DataFrame:
 
 
 def removable(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """v and is_simple: all neighbours with v's label stay joined within two steps without v, inside that label."""
+    """v and is_simple: all neighbours with v's label stay joined within two steps without v, inside that label.
+
+    One pair of neighbours that isn't joined decides. A vertex with more pairs than its least neighbour has neighbours is
+    first asked for its two least ones; only vertices that pass have all their pairs made, which meet by pair: a pair that
+    one vertex alone joins is not joined without it, unless by one of the vertices decided before.
+    """
     lab = vertices.select("v", "spix")
-    own = edges.join(lab.withColumnRenamed("v", "u").withColumnRenamed("spix", "a"), "u").join(lab, "v").where("a = spix").select("u", "v")
-    pairs = two_hop_pairs(own)
-    return lab.select("v").join(pairs.groupBy("c").agg(F.min("joined").alias("all")), F.col("v") == F.col("c"), "left").select("v", (F.coalesce("all", F.lit(1)) == 1).alias("is_simple"))
+    own = edges.join(lab.withColumnRenamed("v", "u").withColumnRenamed("spix", "a"), "u").join(lab, "v").where("a = spix AND u <> v").select("u", "v")
+    near = stored(both_ways(own).distinct(), "near")
+    degree = near.groupBy("u").agg(F.count("*").alias("degree"))
+    ranked = near.join(degree.select(F.col("u").alias("v"), F.col("degree").alias("theirs")), "v")
+    nth = F.row_number().over(Window.partitionBy("u").orderBy("theirs", "v"))
+    two = ranked.withColumn("nth", nth).where("nth <= 2").groupBy("u").agg(F.min(F.when(F.col("nth") == 1, F.struct("v", "theirs"))).alias("least"), F.max(F.when(F.col("nth") == 2, F.col("v"))).alias("q"))
+    asked = stored(two.where("q IS NOT NULL").join(degree, "u").where("degree * (degree - 1) > 2 * least.theirs").select(F.col("u").alias("c"), F.col("least.v").alias("p"), "q"), "asked")
+
+    def through(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+        """Those pairs (c, p, q) that a step from p joins to q, at once or by a vertex other than c."""
+        first = pairs.join(steps.select(F.col("u").alias("p"), F.col("v").alias("via")), "p").where("via <> c")
+        second = first.join(near.select(F.col("u").alias("via"), F.col("v").alias("q")), ["via", "q"])
+        return first.where("via = q").select("c", "p", "q").union(second.select("c", "p", "q")).distinct()
+
+    apart = stored(asked.join(through(asked, near), ["c", "p", "q"], "left_anti").select("c"), "apart")
+    left = near.join(apart.select(F.col("c").alias("u")), "u", "left_anti")
+    pairs = left.select(F.col("u").alias("c"), F.col("v").alias("p")).join(left.select(F.col("u").alias("c"), F.col("v").alias("q")), "c").where("p < q")
+    direct = near.where("u < v").select(F.lit(None).cast("int").alias("c"), F.col("u").alias("p"), F.col("v").alias("q"))
+    met = pairs.select("c", "p", "q").union(direct).groupBy("p", "q").agg(F.min("c").alias("c"), F.max("c").alias("other"), F.count_if(F.col("c").isNull()).alias("direct"))
+    lone = stored(met.where("c = other AND direct = 0").select("c", "p", "q"), "lone")
+    gone = near.join(apart.select(F.col("c").alias("v")), "v", "left_semi")
+    held = lone.join(through(lone, gone), ["c", "p", "q"], "left_anti")
+    bad = apart.union(held.select("c")).distinct().select(F.col("c").alias("v"), F.lit(False).alias("is_simple"))
+    return lab.select("v").join(bad, "v", "left").select("v", F.coalesce("is_simple", F.lit(True)).alias("is_simple"))
 
 
 def removable_by_count(edges: DataFrame, vertices: DataFrame, share: float = 0.2) -> DataFrame:

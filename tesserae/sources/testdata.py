@@ -53,9 +53,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr("cast(least(2 * l_partkey, 2 * l_suppkey + 1) AS int) AS u", "cast(greatest(2 * l_partkey, 2 * l_suppkey + 1) AS int) AS v").distinct()
 
 
-def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the graph: v, position, colours and a region, all arithmetic."""
-    e = edges(spark, sf_dir)
+def vertices(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    """Points of the graph: v, position, colours and a region, all arithmetic. e: the edges, where they are at hand."""
+    e = edges(spark, sf_dir) if e is None else e
     v = e.selectExpr("u AS v").union(e.select("v")).distinct()
     return v.selectExpr("v", "cast(v % 17 AS double) AS px", "cast(v % 23 AS double) AS py", "cast(v % 29 AS double) AS pz", "cast(v % 31 AS double) AS f0", "cast(v % 37 AS double) AS f1", "cast(v % 41 AS double) AS f2", "cast(v % 7 AS int) AS spix")
 

@@ -1,7 +1,11 @@
 """Graph and mesh plans whose work has to grow no faster than their tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from tesserae.operators import graph
 from tesserae.plans import mesh
 
 
@@ -19,3 +23,26 @@ def test_rings_are_not_a_group_of_python_each(spark):
     out = mesh.vertex_rings(faces.repartition(3, "f"))
     assert "FlatMapGroupsInPandas" not in plan(out)
     assert {r.v: r.ring for r in out.withColumn("ring", mesh.ring_from_least(F.col("ring"))).collect()} == {0: [0, 1, 2, 3]}
+
+
+def random_graph(spark, seed, n, m, labels):
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
+    edges = spark.createDataFrame(pairs, "u int, v int")
+    return pairs, edges, spark.createDataFrame([(v, rng.randrange(labels)) for v in range(n)], "v int, spix int")
+
+
+@pytest.mark.parametrize("seed, n, m, labels", [(1, 12, 20, 1), (2, 30, 150, 2), (3, 60, 110, 2), (4, 25, 200, 1)])
+def test_removable_is_what_all_pairs_say(spark, seed, n, m, labels):
+    pairs, edges, vertices = random_graph(spark, seed, n, m, labels)
+    label = {r.v: r.spix for r in vertices.collect()}
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b) and label[a] == label[b]} for v in label}
+    simple = {v: all(q in near[p] or (near[p] & near[q]) - {v} for p in near[v] for q in near[v] if p < q) for v in near}
+    assert {r.v: r.is_simple for r in graph.removable(edges.union(edges.limit(5)), vertices).collect()} == simple
+
+
+def test_a_hub_of_leaves_makes_no_pairs(spark):
+    """20,000 leaves are 200 million pairs, of which one is enough."""
+    edges = spark.range(1, 20001).selectExpr("0 AS u", "cast(id AS int) AS v")
+    out = graph.removable(edges, spark.range(20001).selectExpr("cast(id AS int) AS v", "0 AS spix"))
+    assert [r.v for r in out.where("NOT is_simple").collect()] == [0]
