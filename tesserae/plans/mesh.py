@@ -93,23 +93,24 @@ def ring_walks(edges: DataFrame, vertices: DataFrame, most: int = 32) -> DataFra
     reduced to its two largest neighbours first, so a step is one join by vertex, whatever the degrees.
     """
     lab = vertices.select("v", "spix")
-    near = both_ways(edges).join(lab.select(F.col("v").alias("u"), F.col("spix").alias("own")), "u").join(lab, "v")
-    unlike, like = F.count_if(F.col("own") != F.col("spix")), F.count_if(F.col("own") == F.col("spix"))
-    border = near.groupBy("u").agg(unlike.alias("unlike"), like.alias("like")).where("unlike > 0")
+    ends = edges.join(lab.select(F.col("v").alias("u"), F.col("spix").alias("own")), "u").join(lab, "v")
+    near = stored(ends.select("u", "v", (F.col("own") == F.col("spix")).alias("alike")).where("alike IS NOT NULL"), "near")
+    near = both_ways(near, "alike")
+    border = near.groupBy("u").agg(F.count_if(~F.col("alike")).alias("unlike"), F.count_if("alike").alias("like")).where("unlike > 0").select("u", "like")
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("v")))
-    two = near.where("own = spix").select("u", "v", rank.alias("k")).where("k <= 2")
-    tops = cut(two.groupBy("u").agg(F.max("v").alias("first"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("second")))
-    begun = border.where("like = 2").join(tops, "u").select(F.col("u").alias("v"), F.col("second").alias("goal"), F.col("u").alias("prev"), F.col("first").alias("at"))
-    around, going = begun.where("at = goal").select("v"), begun.where("at <> goal")
+    two = near.where("alike").select("u", "v", rank.alias("k")).where("k <= 2")
+    tops = stored(two.groupBy("u").agg(F.max("v").alias("first"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("second")), "tops")
+    border = stored(border, "border")
+    walks = border.where("like = 2").join(tops, "u").select(F.col("u").alias("v"), F.col("second").alias("goal"), F.col("u").alias("prev"), F.col("first").alias("at"))
+    there = F.col("at") == F.col("goal")
     for step in range(most):
-        nexts = going.join(tops.select(F.col("u").alias("at"), "first", "second"), "at").withColumn("next", F.when(F.col("first") == F.col("prev"), F.col("second")).otherwise(F.col("first")))
-        moved = nexts.where("next IS NOT NULL").select("v", "goal", F.col("at").alias("prev"), F.col("next").alias("at"))
+        nexts = walks.join(tops.select(F.col("u").alias("at"), "first", "second"), "at").withColumn("next", F.when(F.col("first") == F.col("prev"), F.col("second")).otherwise(F.col("first")))
+        walks = nexts.where(there | F.col("next").isNotNull()).select("v", "goal", F.when(there, F.col("prev")).otherwise(F.col("at")).alias("prev"), F.when(there, F.col("at")).otherwise(F.col("next")).alias("at"))
         if step % 4 == 3:
-            moved = cut(moved)
-            if moved.isEmpty():
+            walks = stored(walks, "walks")
+            if walks.where(~there).isEmpty():
                 break
-        around, going = around.union(moved.where("at = goal").select("v")), moved.where("at <> goal")
-    found = around.withColumn("is_simple", F.lit(True))
+    found = walks.where(there).select("v", F.lit(True).alias("is_simple"))
     return border.select(F.col("u").alias("v")).join(found, "v", "left").select("v", F.coalesce("is_simple", F.lit(False)).alias("is_simple"))
 
 

@@ -46,3 +46,15 @@ def test_a_hub_of_leaves_makes_no_pairs(spark):
     edges = spark.range(1, 20001).selectExpr("0 AS u", "cast(id AS int) AS v")
     out = graph.removable(edges, spark.range(20001).selectExpr("cast(id AS int) AS v", "0 AS spix"))
     assert [r.v for r in out.where("NOT is_simple").collect()] == [0]
+
+
+def test_ring_walks_don_t_repeat_their_steps(spark):
+    """Rings of 5, 30 and 60 vertices, of which each has a neighbour of another label; walks take 32 steps at most."""
+    rings, start = [], 0
+    for n in (5, 30, 60):
+        rings.append(range(start, start + n))
+        start += n
+    pairs = [tuple(sorted((r[i], r[(i + 1) % len(r)]))) for r in rings for i in range(len(r))] + [(v, start) for v in range(start)]
+    out = mesh.ring_walks(spark.createDataFrame(pairs, "u int, v int"), spark.createDataFrame([(v, int(v == start)) for v in range(start + 1)], "v int, spix int"))
+    assert {r.v: r.is_simple for r in out.collect()} == {v: v < 35 for v in range(start + 1)}
+    assert plan(out).split("== Initial Plan ==")[0].count("Join") <= 4
