@@ -12,8 +12,9 @@ from ..operators.regions import pooled_video
 from ..plans import drivers, experiments, loops, mesh
 from ..plans import frame as kernel
 from ..plans.frame import PHASES, Options
-from ..sources.testdata import BAND, EDGE, PX, SEG, STRIPE, VERTEX, bands, drift, edges, flows, pixels, segments, stripes, table, vertices
+from ..sources.testdata import BAND, EDGE, PX, SEG, STRIPE, VERTEX, bands, drift, edges, flows, pixels, segments, stripes, table
 from . import scores
+from .graphs import stored_graph
 from .pixels import holes
 
 QUERIES: dict = {}
@@ -195,7 +196,7 @@ def _flood_sql(steps: int = 12) -> str:
 
 @register(_flood_sql())
 def flood_fill(spark, d):
-    e, v = edges(spark, d), vertices(spark, d)
+    e, v = stored_graph(spark, d)
     return mesh.flood_filled(e, v.select("v", F.col("spix").alias("cell")), v)
 
 

@@ -36,13 +36,15 @@ def flood_filled(edges: DataFrame, cells: DataFrame, points: DataFrame) -> DataF
 
     cells: v and cell; points: v, px, py, pz.
     """
-    own = edges.join(cells.select(F.col("v").alias("u"), F.col("cell").alias("a")), "u").join(cells.select("v", F.col("cell").alias("b")), "v").where("a = b").select("u", "v")
+    own = stored(edges.join(cells.select(F.col("v").alias("u"), F.col("cell").alias("a")), "u").join(cells.select("v", F.col("cell").alias("b")), "v").where("a = b").select("u", "v"), "own")
     pieces = components(own).select(F.col("id").alias("v"), "component")
-    full = cut(cells.join(pieces, "v", "left").select("v", "cell", F.coalesce("component", "v").alias("piece")))
-    centre = full.join(points, "v").groupBy("cell").agg(*(F.avg(a).alias(f"m_{a}") for a in ("px", "py", "pz")))
-    far = full.join(points, "v").join(centre, "cell")
-    d2 = F.round(sum(F.pow(F.col(a) - F.col(f"m_{a}"), F.lit(2)) for a in ("px", "py", "pz")), 9)
-    seeds = far.groupBy("cell").agg(F.min(F.struct(d2.alias("d"), "v"))["v"].alias("v")).join(full, ["cell", "v"]).select("cell", F.col("piece").alias("main"))
+    axes = ("px", "py", "pz")
+    placed = points.select("v", *axes, F.lit(True).alias("placed"))
+    full = stored(cells.join(pieces, "v", "left").select("v", "cell", F.coalesce("component", "v").alias("piece")).join(placed, "v", "left"), "pieces")
+    centre = full.where("placed").groupBy("cell").agg(*(F.avg(a).alias(f"m_{a}") for a in axes))
+    far = full.where("placed").join(centre, "cell")
+    d2 = F.round(sum(F.pow(F.col(a) - F.col(f"m_{a}"), F.lit(2)) for a in axes), 9)
+    seeds = far.groupBy("cell").agg(F.min(F.struct(d2.alias("d"), "v", "piece"))["piece"].alias("main"))
     first = full.groupBy("piece").agg(F.min("v").alias("least"))
     numbered = running_total(first, "least", F.lit(1), "k").select("piece", (F.col("k") - 1).cast("int").alias("spix"))
     return full.join(numbered, "piece").join(seeds, "cell", "left").select("v", "spix", (F.col("piece") == F.col("main")).alias("reached"))

@@ -58,3 +58,13 @@ def test_ring_walks_don_t_repeat_their_steps(spark):
     out = mesh.ring_walks(spark.createDataFrame(pairs, "u int, v int"), spark.createDataFrame([(v, int(v == start)) for v in range(start + 1)], "v int, spix int"))
     assert {r.v: r.is_simple for r in out.collect()} == {v: v < 35 for v in range(start + 1)}
     assert plan(out).split("== Initial Plan ==")[0].count("Join") <= 4
+
+
+def test_flood_fill_reads_its_tables_once(spark):
+    """Two cells, one in two pieces; the last vertex has no place."""
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "u int, v int")
+    cells = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 0), (5, 0), (6, 1)], "v int, cell int")
+    points = spark.range(6).selectExpr("cast(id AS int) AS v", "cast(id AS double) AS px", "0D AS py", "0D AS pz")
+    out = mesh.flood_filled(edges, cells, points)
+    assert "Range (" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(0, 0, True), (1, 0, True), (2, 1, True), (3, 1, True), (4, 2, False), (5, 2, False), (6, 3, False)]
