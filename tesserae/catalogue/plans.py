@@ -279,7 +279,7 @@ def stream_frames(spark, d):
     px, fl = unit(pixels(spark, d)), flows(spark, d)
     base = loops.fresh_folder(spark, "stream")
     packed = frames.packed(px, fl)
-    packed.repartition(1).sortWithinPartitions("t").write.option("maxRecordsPerFile", 4).parquet(f"{base}/in")  # files in the order of t
+    frames.write_backlog(packed, f"{base}/in")
     source = spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     query = frames.labelled(source, SMALL).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..plans import frame as kernel
 from ..plans.drivers import FRAMES, image_of, packed  # noqa: F401
 from ..plans.frame import Options, State
+from ..plans.loops import stored
 
 OUTPUT = "video string, t int, late boolean, height int, width int, labels binary"
 #: What is kept of each id: State's arrays, flat.
@@ -36,6 +37,14 @@ def unpacked(labelled: DataFrame) -> DataFrame:
     return labelled.where("NOT late").mapInPandas(unpack, "video string, t int, y int, x int, spix int")
 
 
+def write_backlog(frames: DataFrame, folder: str, least: int = 4, most_files: int = 25) -> None:
+    """Writes FRAMES rows as files in the order of t, for a stream that takes one file a micro-batch: so many frames in a
+    file, and more where the files would be too many. A micro-batch costs the same however few frames it has."""
+    frames = stored(frames, "backlog")
+    each = max(least, -(-frames.count() // most_files))
+    frames.repartition(1).sortWithinPartitions("t").write.option("maxRecordsPerFile", each).parquet(folder)
+
+
 class Regions(StatefulProcessor):
     """State of a video: the last frame's number and labels; a row for each id ever seen; frames that wait for their turn.
 

@@ -68,3 +68,14 @@ def test_flood_fill_reads_its_tables_once(spark):
     out = mesh.flood_filled(edges, cells, points)
     assert "Range (" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(0, 0, True), (1, 0, True), (2, 1, True), (3, 1, True), (4, 2, False), (5, 2, False), (6, 3, False)]
+
+
+@pytest.mark.parametrize("n, files", [(10, 3), (100, 25), (1030, 25)])
+def test_a_longer_backlog_has_no_more_micro_batches(spark, tmp_path, n, files):
+    from tesserae.streaming import frames
+
+    rows = spark.range(n, 0, -1).selectExpr("'' AS video", "cast(id AS int) AS t", "1 AS height", "1 AS width", "cast('a' AS binary) AS image", "cast('b' AS binary) AS flow")
+    frames.write_backlog(rows, f"{tmp_path}/in")
+    spans = spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name().alias("file")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).orderBy("file").collect()
+    assert len(spans) == files and sum(r.n for r in spans) == n
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:], strict=False))
