@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,17 +18,26 @@ from .loops import components, cut, spread, stored
 def coloured(edges: DataFrame, seed: int = 123) -> DataFrame:
     """v and colour: in each round the vertices of highest priority (degree, then a hash, then id) among their uncoloured
     neighbours take the least colour that no neighbour has."""
-    adj = cut(both_ways(edges).distinct())
-    left = cut(adj.groupBy("u").agg(F.count("*").alias("degree")).select(F.col("u").alias("v"), F.struct("degree", hash_unit(F.lit(seed), F.col("u")).alias("h"), "u").alias("rank")))
-    done = left.select("v", F.lit(0).alias("colour")).limit(0)
-    while not left.isEmpty():
-        near = adj.join(left.select(F.col("v"), F.col("rank").alias("theirs")), "v").groupBy(F.col("u").alias("v")).agg(F.max("theirs").alias("theirs"))
-        now = cut(left.join(near, "v", "left").where("theirs IS NULL OR rank > theirs").select("v"))
-        used = now.join(adj.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").join(done.select(F.col("v").alias("w"), "colour"), "w").groupBy("v").agg(F.collect_set("colour").alias("used"))
-        fresh = now.join(used, "v", "left").select("v", F.expr("array_min(array_except(sequence(0, cardinality(coalesce(used, cast(array() AS array<int>)))), coalesce(used, cast(array() AS array<int>))))").alias("colour"))
-        done = done.union(cut(fresh))
-        left = cut(left.join(now, "v", "left_anti"))
-    return done
+    once = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
+    ends = both_ways(once)
+    rank = F.struct("degree", hash_unit(F.lit(seed), F.col("u")).alias("h"), "u")
+    left = stored(ends.groupBy("u").agg(F.count("*").alias("degree")).select(F.col("u").alias("v"), rank.alias("rank")), "ranks")
+    pairs = once.join(left.select(F.col("v").alias("u"), F.col("rank").alias("a")), "u").join(left.select("v", F.col("rank").alias("b")), "v")
+    after = F.col("a") < F.col("b")
+    # each edge once: v waits for the colour of its neighbour of higher priority
+    waits = stored(pairs.select(F.when(after, F.col("u")).otherwise(F.col("v")).alias("v"), F.when(after, F.col("v")).otherwise(F.col("u")).alias("on"), F.lit(None).cast("int").alias("colour")), "waits")
+    left, done = left.select("v"), []
+    lone = left.join(waits.select("v").distinct(), "v", "left_anti").select("v", F.lit(0).alias("colour"))
+    while True:
+        done.append(stored(lone, "colours"))
+        waits = waits.join(done[-1].select("v"), "v", "left_anti")
+        if waits.isEmpty():
+            break
+        now = done[-1].select(F.col("v").alias("on"), F.col("colour").alias("told"))
+        waits = stored(waits.join(now, "on", "left").select("v", "on", F.coalesce("colour", "told").alias("colour")), "waits")
+        used = waits.groupBy("v").agg(F.bool_and(F.col("colour").isNotNull()).alias("ready"), F.collect_set("colour").alias("used")).where("ready")
+        lone = used.select("v", F.expr("array_min(array_except(sequence(0, cardinality(used)), used))").alias("colour"))
+    return reduce(DataFrame.union, done)
 
 
 def flood_filled(edges: DataFrame, cells: DataFrame, points: DataFrame) -> DataFrame:

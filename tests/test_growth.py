@@ -79,3 +79,16 @@ def test_a_longer_backlog_has_no_more_micro_batches(spark, tmp_path, n, files):
     spans = spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name().alias("file")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).orderBy("file").collect()
     assert len(spans) == files and sum(r.n for r in spans) == n
     assert all(x.b < y.a for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_colours_are_those_taken_in_the_order_of_priority(spark):
+    from tesserae.functions.algebra import hash_unit
+
+    pairs, edges, vertices = random_graph(spark, 5, 40, 160, 1)
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(40)}
+    priority = {r.v: (len(near[r.v]), r.h, r.v) for r in vertices.select("v", hash_unit(F.lit(123), F.col("v")).alias("h")).collect()}
+    colours = {}
+    for v in sorted((v for v in near if near[v]), key=priority.get, reverse=True):
+        colours[v] = min(set(range(41)) - {colours.get(w) for w in near[v]})
+    out = mesh.coloured(edges.union(edges.selectExpr("v AS u", "u AS v").limit(9)))
+    assert {r.v: r.colour for r in out.collect()} == colours
