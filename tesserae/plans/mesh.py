@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import hash_unit
 from ..operators.graph import both_ways, moments3d, params3d, running_total, update3d
-from .loops import components, cut, spread, stored
+from .loops import components, spread, stored
 
 
 def coloured(edges: DataFrame, seed: int = 123) -> DataFrame:
@@ -164,19 +164,68 @@ def segment_mesh(edges: DataFrame, vertices: DataFrame, rounds: int | None = Non
 
     A pass that changes no label ends its round, and a round that changes none ends all: what would follow changes nothing.
     """
-    edges = cut(edges)
+    edges = stored(edges, "edges")
     colours = coloured(edges)
     vertices = stored(vertices.join(colours, "v", "left").fillna(0, ["colour"]), "mesh")
     top = vertices.agg(F.max("colour")).first()[0] or 0
+    part = _Part(edges, vertices) if top else None
     for _ in range(side if rounds is None else rounds):
         p = stored(params3d(moments3d(vertices), side), "mesh")
+        mine = part.taken(vertices) if part else vertices
         for k in range(passes):
-            before = vertices
+            moved = False
             for colour in range(top + 1):
-                new = update3d(edges, vertices, p, sigma2, potts, F.col("colour") == colour).select("v", F.col("spix").alias("new"))
-                vertices = stored(vertices.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"), "mesh")
-            if vertices.select("v", "spix").join(before.select("v", F.col("spix").alias("old")), "v").where("NOT spix <=> old").isEmpty():
+                new = update3d(part.edges if part else edges, mine, p, sigma2, potts, (F.col("colour") == colour) & (F.col("inside") if part else F.lit(True))).select("v", F.col("spix").alias("new"))
+                changed = stored(mine.join(new, "v").where("NOT new <=> spix").select("v", "new"), "changed")
+                if not changed.isEmpty():
+                    moved = True
+                    mine = stored(mine.join(changed, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"), "mesh")
+                    if part:
+                        mine = part.grown(changed, mine, vertices)
+            if not moved:
                 break
+        now = mine.select("v", F.col("spix").alias("new"))
+        vertices = stored(vertices.join(now, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"), "mesh")
         if not k:
             break
     return vertices.select("v", "spix")
+
+
+class _Part:
+    """The part of a mesh where labels can change: the vertices inside have or had a neighbour of another label, or one that
+    changed. edges are all those with an end inside; the vertices at their other ends are read only.
+
+    A vertex whose neighbours all have its own label keeps it, so leaving it out changes nothing.
+    """
+
+    def __init__(self, edges: DataFrame, vertices: DataFrame):
+        self.all = edges
+        lab = vertices.select("v", "spix")
+        both = edges.join(lab.select(F.col("v").alias("u"), F.col("spix").alias("own")), "u").join(lab, "v").where("NOT own <=> spix")
+        self.inside = stored(both.select("u").union(both.select("v")).distinct().withColumnRenamed("u", "v"), "inside")
+        self.edges = self._at(self.inside)
+
+    def _at(self, some: DataFrame) -> DataFrame:
+        """The edges with an end among some vertices."""
+        marks = some.select("v", F.lit(True).alias("mark"))
+        both = self.all.join(marks.select(F.col("v").alias("u"), F.col("mark").alias("a")), "u", "left").join(marks, "v", "left")
+        return stored(both.where("a OR mark").select("u", "v"), "edges")
+
+    def taken(self, vertices: DataFrame) -> DataFrame:
+        """The rows of vertices that the edges need, with inside."""
+        ends = both_ways(self.edges).select(F.col("u").alias("v")).distinct()
+        return stored(vertices.join(ends, "v", "left_semi").join(self.inside.withColumn("inside", F.lit(True)), "v", "left").fillna(False, ["inside"]), "mesh")
+
+    def grown(self, changed: DataFrame, mine: DataFrame, vertices: DataFrame) -> DataFrame:
+        """mine with the neighbours of changed vertices inside, and what their edges need."""
+        near = both_ways(self.edges).join(changed.select("v"), "v", "left_semi").select(F.col("u").alias("v")).distinct()
+        fresh = stored(near.join(self.inside, "v", "left_anti"), "inside")
+        if fresh.isEmpty():
+            return mine
+        more = self._at(fresh)
+        for end in ("u", "v"):  # without those that are there
+            more = more.join(self.inside.withColumnRenamed("v", end), end, "left_anti")
+        self.edges = stored(self.edges.union(more.select("u", "v")), "edges")
+        self.inside = stored(self.inside.union(fresh), "inside")
+        kept = mine.select("v", F.col("spix").alias("new"))
+        return stored(self.taken(vertices).join(kept, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"), "mesh")

@@ -92,3 +92,21 @@ def test_colours_are_those_taken_in_the_order_of_priority(spark):
         colours[v] = min(set(range(41)) - {colours.get(w) for w in near[v]})
     out = mesh.coloured(edges.union(edges.selectExpr("v AS u", "u AS v").limit(9)))
     assert {r.v: r.colour for r in out.collect()} == colours
+
+
+def test_labels_are_updated_beside_borders_only(spark, monkeypatch):
+    """A strip of 4 x 60 in two colours whose regions begin far from where the colours change: the border moves there, as it
+    does by updates of all vertices, and no update sees all edges."""
+    v = spark.range(240).selectExpr("cast(id AS int) AS v", "cast(id % 60 AS double) AS px", "cast(id div 60 AS double) AS py", "0D AS pz", "IF(id % 60 < 30, 0D, 100D) AS f0", "0D AS f1", "0D AS f2", "IF(id % 60 < 34, 0, 1) AS spix").cache()
+    edges = v.where("px < 59").selectExpr("v AS u", "v + 1 AS v").union(v.where("py < 3").selectExpr("v AS u", "v + 60 AS v")).cache()
+    seen, update = [], mesh.update3d
+    monkeypatch.setattr(mesh, "update3d", lambda e, *more: seen.append(e.count()) or update(e, *more))
+    got = {r.v: r.spix for r in mesh.segment_mesh(edges, v, rounds=1, passes=2).collect()}
+    assert max(seen) < edges.count() / 2
+    colours = mesh.coloured(edges).cache()
+    now, p = v.join(colours, "v").cache(), mesh.params3d(mesh.moments3d(v), 25).cache()
+    for _ in range(2):
+        for colour in range(colours.agg(F.max("colour")).first()[0] + 1):
+            new = update(edges, now, p, 50.0, 0.5, F.col("colour") == colour).select("v", F.col("spix").alias("new"))
+            now = mesh.stored(now.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"))
+    assert got == {r.v: r.spix for r in now.collect()} and got != {r.v: r.spix for r in v.collect()}
