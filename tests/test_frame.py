@@ -85,6 +85,23 @@ def test_dead_ids_are_revived_and_changed_ones_renamed():
     assert 3 in k.revive(labels, p, moved, Options())[0]
 
 
+def striped(t, h=30, w=50):
+    """Upright stripes, ten pixels wide, that move by two pixels to the left a frame and repeat."""
+    band = (np.arange(w)[None, :].repeat(h, 0) + 2 * t) // 10
+    return np.stack([band % 3 * 0.45, band % 2 * 0.75, np.full((h, w), 0.25)], 2)
+
+
+def test_regions_that_move_do_not_give_way_to_dead_ids_they_pass():
+    """From frame 117 on, stripes pass the places where others of their colour ended."""
+    o, flow = Options(sp_size=7, niters=16, sigma_app=0.02), np.zeros((30, 50, 2))
+    flow[..., 0] = -2
+    state = k.first_frame(striped(0), o)
+    for t in range(1, 160):
+        before, state = state.labels, k.next_frame(striped(t), flow, state, o)
+        now, was = set(np.unique(state.labels).tolist()), set(np.unique(before).tolist())
+        assert (state.labels[:, :-2] == before[:, 2:]).mean() >= 0.9 and len(now & was) >= 0.8 * len(now), t
+
+
 def test_controller_reaches_its_target():
     rng = np.random.default_rng(0)
     image = rng.random((40, 50, 3)) * 0.05 + two_colours(40, 50, 25) * 0.5
