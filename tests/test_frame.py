@@ -102,6 +102,114 @@ def test_regions_that_move_do_not_give_way_to_dead_ids_they_pass():
         assert (state.labels[:, :-2] == before[:, 2:]).mean() >= 0.9 and len(now & was) >= 0.8 * len(now), t
 
 
+def test_a_step_does_not_grow_with_the_ids_ever_seen(monkeypatch):
+    """20,000 dead ids far from all regions, and one whose place and colour a new region has."""
+    o, flow = Options(sp_size=7, niters=16, sigma_app=0.02), np.zeros((30, 50, 2))
+    flow[..., 0] = -2
+    state = k.first_frame(striped(0), o)
+    for t in range(1, 6):
+        state = k.next_frame(striped(t), flow, state, o)
+    n, extra = len(state.n), 20_000
+    rng = np.random.default_rng(5)
+    more = {"n": np.full(extra, 9.0), "mu": 2 + rng.random((extra, 3)), "centre": 10 * rng.random((extra, 2)), "inverse": k.round_shapes(extra), "sample": k.round_shapes(extra), "prior_count": np.full(extra, 9.0)}
+    more["mu"][77], more["centre"][77] = striped(6)[15, 49], [48.5, 14.5]  # the stripe that comes in
+    grown = k.State(state.labels, **{c: np.concatenate([getattr(state, c), v]) for c, v in more.items()})
+    seen, refit = [], k.refit
+    monkeypatch.setattr(k, "refit", lambda image, labels, p, side: seen.append(len(p.n)) or refit(image, labels, p, side))
+    few, many = (k.next_frame(striped(6), flow, s, o) for s in (state, grown))
+    assert max(seen) < 100
+    new = np.unique(few.labels[few.labels >= n])
+    assert len(new) == 1 and (many.labels == np.where(few.labels == new[0], n + 77, few.labels)).all()
+
+
+def test_dead_ids_are_found_by_their_cells():
+    rng = np.random.default_rng(6)
+    known, labels = 3000, np.zeros((10, 20), int)
+    mu, centre = rng.random((known, 3)), rng.random((known, 2)) * [20, 10]
+    state = k.State(labels, np.where(np.arange(known) % 7 == 3, 0.0, 5.0), mu, centre)
+    dead = k.Dead(state, 0.1)
+    at = k.features(mu, centre, labels.shape)
+    for died in (np.array([3, 10]), np.arange(17, 3000, 7)):  # they live until then: 600 and more are sorted in
+        n = state.n.copy()
+        n[died] = 4.0
+        state = k.State(labels, n, mu, centre)
+        dead = dead.after(state, died)
+        want = np.flatnonzero(n > 0)[1:]
+        i, j = k.near_pairs(at[[5, 900]], at[want], 0.1)
+        d = np.sqrt(((at[[5, 900]][i] - at[want][j]) ** 2).sum(1))
+        assert set(want[j[d < 0.1]].tolist()) <= set(dead.near(at[[5, 900]]).tolist()) <= set(want.tolist())
+
+
+class Shelf:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+    def iterator(self):
+        return iter(self.held.items())
+
+    def clear(self):
+        self.held.clear()
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.held[()] = value
+
+
+@pytest.mark.parametrize("held", [1 << 25, 200_000])
+def test_frames_of_a_micro_batch_come_in_order_with_few_calls(monkeypatch, held):
+    """Frames come backwards, one twice, then one that is late; with little memory sorted runs wait in the store."""
+    import pandas as pd
+
+    from tesserae.streaming import frames
+
+    o, flow, shelves = Options(sp_size=7, niters=16, sigma_app=0.02), np.zeros((30, 50, 2), "<f4"), []
+    flow[..., 0] = -2
+    monkeypatch.setattr(frames, "_HELD", held)
+
+    class Handle:
+        def getMapState(self, *_):
+            return shelves.append(Shelf()) or shelves[-1]
+
+        getValueState = getMapState
+
+    processor = frames.Regions(o)
+    processor.init(Handle())
+
+    def rows(ts):
+        yield pd.DataFrame([("", t, 30, 50, striped(t).astype("<f4").tobytes(), flow.tobytes()) for t in ts], columns=["video", "t", "height", "width", "image", "flow"])
+
+    first = list(processor.handleInputRows(("",), rows([*range(29, -1, -1), 7]), None))
+    second = list(processor.handleInputRows(("",), rows([31, 3, 30]), None))
+    assert len(first) == len(second) == 1
+    assert not shelves[2].held and shelves[2].calls <= (0 if held > 1 << 20 else 30)
+    out = pd.concat(first + second)
+    assert sorted(out.t[out.late]) == [3, 7] and out.t[~out.late].tolist() == list(range(32))
+    state = None
+    for t, blob in zip(out.t[~out.late], out.labels[~out.late], strict=True):
+        image = striped(t).astype("<f4").astype(float)
+        state = k.first_frame(image, o) if state is None else k.next_frame(image, flow.astype(float), state, o)
+        assert (np.frombuffer(blob, "<i4").reshape(30, 50) == state.labels).all()
+
+
 def test_controller_reaches_its_target():
     rng = np.random.default_rng(0)
     image = rng.random((40, 50, 3)) * 0.05 + two_colours(40, 50, 25) * 0.5
