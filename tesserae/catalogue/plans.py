@@ -286,7 +286,8 @@ def stream_frames(spark, d):
     done = spark.read.schema("video string, t int, late boolean, height int, width int, labels binary").parquet(f"{base}/out")
     late = done.groupBy("t").agg(F.count_if("late").alias("n_late"))
     batch = drivers.segment_videos(px, fl, SMALL)
-    both = frames.unpacked(done).select("t", "y", "x", F.col("spix").alias("a")).join(batch.select("t", "y", "x", "spix"), ["t", "y", "x"])
+    # labels take few bytes in files and as frames, by which the planner would send all pixels through the driver
+    both = frames.unpacked(done).select("t", "y", "x", F.col("spix").alias("a")).hint("merge").join(batch.select("t", "y", "x", "spix"), ["t", "y", "x"])
     return both.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("spix")).alias("n_other")).join(late, "t")
 
 

@@ -42,10 +42,12 @@ def _each(pixels: DataFrame, work) -> DataFrame:
 
 
 def packed(pixels: DataFrame, flows: DataFrame | None = None) -> DataFrame:
-    """One row a frame: colours and the motion into this frame as float32 bytes."""
+    """One row a frame: colours and the motion into this frame as float32 bytes. Motion has a row a pixel too, however few
+    bytes its files have, so it isn't broadcast."""
     px = with_video(pixels).select("video", "t", "y", "x", "c0", "c1", "c2")
     if flows is not None:
-        px = px.join(with_video(flows).select("video", (F.col("t") + 1).alias("t"), "y", "x", "fx", "fy"), ["video", "t", "y", "x"], "left").fillna(0.0, ["fx", "fy"])
+        motion = with_video(flows).select("video", (F.col("t") + 1).alias("t"), "y", "x", "fx", "fy")
+        px = px.join(motion.hint("merge"), ["video", "t", "y", "x"], "left").fillna(0.0, ["fx", "fy"])
     else:
         px = px.withColumns({"fx": F.lit(0.0), "fy": F.lit(0.0)})
 

@@ -110,3 +110,31 @@ def test_labels_are_updated_beside_borders_only(spark, monkeypatch):
             new = update(edges, now, p, 50.0, 0.5, F.col("colour") == colour).select("v", F.col("spix").alias("new"))
             now = mesh.stored(now.join(new, "v", "left").withColumn("spix", F.coalesce("new", "spix")).drop("new"))
     assert got == {r.v: r.spix for r in now.collect()} and got != {r.v: r.spix for r in v.collect()}
+
+
+def pixel_joins(df):
+    """The planner's joins by pixel."""
+    return [line for line in plan(df).splitlines() if "Join" in line and "y#" in line and "x#" in line]
+
+
+def test_motion_of_pixels_is_not_broadcast(spark, tmp_path):
+    """A row a pixel in files of few bytes."""
+    from tesserae.plans import drivers
+
+    spark.range(3000).selectExpr("cast(id div 600 AS int) AS t", "cast(id % 600 div 30 AS int) AS y", "cast(id % 30 AS int) AS x", "1D AS c0", "2D AS c1", "3D AS c2", "-2D AS fx", "0D AS fy").write.parquet(f"{tmp_path}/px")
+    px = spark.read.parquet(f"{tmp_path}/px")
+    out = drivers.packed(px.drop("fx", "fy"), px.where("x < 29").select("t", "y", "x", "fx", "fy"))
+    joins = pixel_joins(out)
+    assert joins and not any("Broadcast" in line for line in joins)
+    import numpy as np
+
+    for r in out.collect():
+        image, flow = drivers.image_of(r)
+        assert (image == (1, 2, 3)).all() and (flow[:, :29, 0] == (-2 if r.t else 0)).all() and not flow[:, 29].any() and not np.any(flow[..., 1])
+
+
+def test_labels_of_a_stream_are_not_broadcast(spark):
+    from tesserae.catalogue import QUERIES
+
+    joins = pixel_joins(QUERIES["stream_frames"](spark, "/root/testdata/sf0.001"))
+    assert len(joins) >= 2 and not any("Broadcast" in line for line in joins)
