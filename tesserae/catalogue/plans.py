@@ -40,8 +40,9 @@ def unit(df):
 
 def region_colours(labels, pixels, most: int = 45):
     """t, y, x and the mean colour of each pixel's region, which is its own colour if no region goes beyond a stripe; and
-    whether the frame has so few regions that they hold many pixels each."""
-    labels = loops.cut(labels.select("t", "y", "x", "spix"))
+    whether the frame has so few regions that they hold many pixels each. Labels take few bytes in files, by which the planner
+    would broadcast them."""
+    labels = loops.cut(labels.select("t", "y", "x", "spix")).hint("merge")
     found = labels.join(pixels, ["t", "y", "x"])
     few = labels.groupBy("t").agg((F.countDistinct("spix") <= most).alias("few"))
     return pooled_video(found).join(few, "t").select("t", "y", "x", *((F.round(f"m{i}", 6) + F.lit(0.0)).alias(f"m{i}") for i in (0, 1)), "few")

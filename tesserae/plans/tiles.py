@@ -6,6 +6,8 @@ pixels as often, before what is wrong at its rim reaches the tile. So a whole up
 phases) costs one exchange of labels, and the colours around a tile are sent once for all rounds. What regions need
 (parameters, targets of merges, new ids) is joined by frame and region to the tiles that show the region; what
 they give (sums, neighbours) is added up by region. No task holds more than a tile, its halo and the rows of the regions there.
+Tables by region take few bytes in files where regions are alike, by which the planner would broadcast them: they are joined by
+sorting (hint merge).
 
 Results equal those of the kernels of plans.frame on whole frames.
 """
@@ -182,7 +184,7 @@ def exchange(tiles: DataFrame, grid: Grid, sent: list[str], halo: int, work: Cal
         return by_tile(moved.drop("ids"), run, schema)
     columns = [c for c in table.columns if c not in ("video", "t")]
     kinds = {f.name: _NUMPY[f.dataType.typeName()] for f in table.schema if f.name in columns}
-    needs = moved.select(*KEY, F.explode("ids").alias("spix")).distinct().join(table, ["video", "t", "spix"])
+    needs = moved.select(*KEY, F.explode("ids").alias("spix")).distinct().join(table.hint("merge"), ["video", "t", "spix"])
     return by_tile(moved.drop("ids").unionByName(needs.select(*KEY, *columns), allowMissingColumns=True), run, schema, "spix")
 
 
@@ -362,10 +364,10 @@ def split(tiles: DataFrame, grid: Grid, halo: int, params: DataFrame, o: Options
     each = seeds.select("video", "t", "spix", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"y{k}").alias("y"), F.col(f"x{k}").alias("x")) for k in (0, 1)))).alias("s")).select("video", "t", "spix", "s.*")
     lies = exchange(tiles, grid, ["labels"], 0, inside, "video string, t int, spix int, k int", table=each)
     whole = lies.groupBy("video", "t", "spix").agg(F.count_distinct("k").alias("c")).where("c = 2").drop("c")
-    seeds = loops.stored(seeds.join(whole, ["video", "t", "spix"]))
+    seeds = loops.stored(seeds.join(whole.hint("merge"), ["video", "t", "spix"]))
     walked = distances(tiles, grid, seeds)
     if invalid is not None:
-        walked = walked.join(invalid.select(*KEY, "invalid"), list(KEY))
+        walked = walked.join(invalid.select(*KEY, "invalid").hint("merge"), list(KEY))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -377,7 +379,7 @@ def split(tiles: DataFrame, grid: Grid, halo: int, params: DataFrame, o: Options
             yield pd.DataFrame(rows, columns=[*KEY, "labels", "wide", "invalid", "lost"])
 
     parted = loops.stored(walked.mapInPandas(cut, _schema(["labels", "wide", "invalid", "lost"])))
-    parts = sums_by_region(parted, grid, halo, "invalid").withColumnRenamed("marked", "moved").join(seeds.select("video", "t", "spix"), ["video", "t", "spix"])
+    parts = sums_by_region(parted, grid, halo, "invalid").withColumnRenamed("marked", "moved").join(seeds.select("video", "t", "spix").hint("merge"), ["video", "t", "spix"])
 
     def count_lost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -390,10 +392,10 @@ def split(tiles: DataFrame, grid: Grid, halo: int, params: DataFrame, o: Options
 
     key = ["video", "t", "spix"]
     missing = parted.mapInPandas(lambda batches: together(count_lost(batches)), "video string, t int, spix int, moved int, lost long").groupBy(*key, "moved").agg(F.sum("lost").alias("lost"))
-    parts = parts.join(missing, [*key, "moved"], "left").fillna(0, ["lost"])
+    parts = parts.join(missing.hint("merge"), [*key, "moved"], "left").fillna(0, ["lost"])
     columns = ["n", "lost", *(f"{c}{i}" for c in "sq" for i in range(3))]
     sides = [parts.where(F.col("moved") == k).select(*key, *(F.col(c).alias(f"{p}{c}") for c in columns)) for k, p in ((0, "k_"), (1, "s_"))]
-    both = sides[0].join(sides[1], key)
+    both = sides[0].join(sides[1].hint("merge"), key)
     other = F.col("s_lost") < F.col("k_lost") if invalid is not None else F.lit(False)
     share = F.when(other, F.col("s_lost") / F.col("s_n")).otherwise(F.col("k_lost") / F.col("k_n"))
     scored = regions.split_scores(both.withColumn("iperc", share), o.sigma_app, o.split_alpha, o.gamma if invalid is not None else 0.0, least_size=0 if invalid is None else 64)
@@ -401,7 +403,7 @@ def split(tiles: DataFrame, grid: Grid, halo: int, params: DataFrame, o: Options
     last = params.groupBy("video", "t").agg(F.max("spix").alias("last"))
     order = F.row_number().over(Window.partitionBy("video", "t").orderBy("spix"))
     half = F.greatest(F.col("prior_count") / 2, F.lit(8.0 if invalid is None else 36.0))
-    taken = scored.where("accept").withColumn("other", other).join(known, key).join(last, ["video", "t"])
+    taken = scored.where("accept").withColumn("other", other).join(known.hint("merge"), key).join(last.hint("merge"), ["video", "t"])
     accepted = loops.stored(taken.select(*key, (F.col("last") + order).cast("int").alias("name"), (F.col("other") & F.col("propagated")).alias("swap"), half.alias("half"), F.when(F.lit(invalid is None) | F.col("other"), half).otherwise(F.col("prior_count")).alias("prior_count")))
 
     def apply(key, held, origin, inner, rows):
@@ -419,8 +421,8 @@ def split(tiles: DataFrame, grid: Grid, halo: int, params: DataFrame, o: Options
 def merge(tiles: DataFrame, grid: Grid, halo: int, o: Options, direction: str) -> tuple[DataFrame, DataFrame]:
     """Tiles after one round of merges, and the merges (video, t, spix, target)."""
     stats = sums_by_region(tiles, grid, halo)
-    scores = regions.merge_scores(merge_candidates(tiles, grid, direction), stats, o.sigma_app, o.alpha, o.merge_alpha)
-    accepted = loops.stored(regions.merge_accepted(scores))
+    scores = regions.merge_scores(merge_candidates(tiles, grid, direction), stats.hint("merge"), o.sigma_app, o.alpha, o.merge_alpha)
+    accepted = loops.stored(regions.merge_accepted(scores.hint("merge")))
     return loops.stored(renamed(tiles, grid, accepted.select("video", "t", "spix", F.col("target").alias("name")), ["wide"])), accepted
 
 
@@ -465,7 +467,7 @@ def pieces(tiles: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
 
     counted = parted.mapInPandas(lambda batches: together(count(batches)), "video string, t int, spix int, piece long, n long")
     roots = joined.select("id.video", "id.t", "id.piece", F.col("component.piece").alias("whole"))
-    return parted, counted.join(roots, ["video", "t", "piece"], "left").withColumn("whole", F.coalesce("whole", "piece"))
+    return parted, counted.join(roots.hint("merge"), ["video", "t", "piece"], "left").withColumn("whole", F.coalesce("whole", "piece"))
 
 
 def _with_pieces(parted: DataFrame, grid: Grid, table: DataFrame, value: str, kind: str) -> DataFrame:
@@ -492,7 +494,7 @@ def largest_pieces(tiles: DataFrame, grid: Grid) -> DataFrame:
     parted, table = pieces(tiles, grid)
     sizes = table.groupBy("video", "t", "spix", "whole").agg(F.sum("n").alias("n"))
     best = sizes.groupBy("video", "t", "spix").agg(F.min(F.struct((-F.col("n")).alias("less"), "whole")).alias("best"))
-    marked = table.join(best, ["video", "t", "spix"]).withColumn("kept", F.when(F.col("whole") == F.col("best.whole"), F.col("spix")).otherwise(-1))
+    marked = table.join(best.hint("merge"), ["video", "t", "spix"]).withColumn("kept", F.when(F.col("whole") == F.col("best.whole"), F.col("spix")).otherwise(-1))
     return _with_pieces(parted, grid, marked, "kept", "labels")
 
 
@@ -533,20 +535,20 @@ def segment_tiled(pixels: DataFrame, grid: Grid, options: Options | None = None)
     """
     o = options or Options()
     halo = len(PHASES) * o.niters_seg
-    cells = regions.hex_cells(with_video(pixels), o.sp_size, grid.width, grid.height)
+    cells = loops.stored(regions.hex_cells(with_video(pixels), o.sp_size, grid.width, grid.height))
     rank = F.dense_rank().over(Window.partitionBy("video", "t").orderBy("spix")) - 1
     ids = cells.select("video", "t", "spix").distinct().withColumn("name", rank)
-    named = cells.join(ids, ["video", "t", "spix"]).withColumn("spix", F.col("name").cast("int"))
+    named = cells.join(ids.hint("merge"), ["video", "t", "spix"]).withColumn("spix", F.col("name").cast("int"))
     tiles = loops.stored(widened(tiled(named, grid, {"labels": ["spix"], "image": ["c0", "c1", "c2"]}), grid, halo))
     key, count = ["video", "t", "spix"], 0
     cells_per = ids.groupBy("video", "t").agg(F.count("*").alias("c"))
-    priors = loops.stored(ids.join(cells_per, ["video", "t"]).select("video", "t", F.col("name").cast("int").alias("spix"), F.floor(F.lit(grid.height * grid.width) / F.col("c")).cast("double").alias("prior_count")))
+    priors = loops.stored(ids.join(cells_per.hint("merge"), ["video", "t"]).select("video", "t", F.col("name").cast("int").alias("spix"), F.floor(F.lit(grid.height * grid.width) / F.col("c")).cast("double").alias("prior_count")))
 
     def fitted() -> DataFrame:
-        stats = sums_by_region(tiles, grid, halo).join(priors, key)
+        stats = sums_by_region(tiles, grid, halo).join(priors.hint("merge"), key)
         shape = stats.select("*", *(F.lit(v).alias(f"{m}{k}") for m in "kv" for k, v in (("xx", 1.0), ("xy", 0.0), ("yy", 1.0))), F.lit(False).alias("propagated"))
         moments = shape.select(*key, *MOMENTS)
-        return loops.stored(regions.conditioned_parameters(moments, shape.select(*key, "prior_count", "propagated", *(f"{m}{k}" for m in "kv" for k in ("xx", "xy", "yy"))), o.sp_size, False))
+        return loops.stored(regions.conditioned_parameters(moments, shape.select(*key, "prior_count", "propagated", *(f"{m}{k}" for m in "kv" for k in ("xx", "xy", "yy"))).hint("merge"), o.sp_size, False))
 
     for step in range(o.rounds):
         params = fitted()
@@ -554,13 +556,13 @@ def segment_tiled(pixels: DataFrame, grid: Grid, options: Options | None = None)
             tiles, made = split(tiles, grid, halo, params, o, count % 2 + 1)
             new = made.select("video", "t", F.col("name").alias("spix"), F.col("half").alias("prior_count"))
             old = made.select(*key, F.col("prior_count").alias("lower"))
-            priors = loops.stored(priors.join(old, key, "left").select(*key, F.coalesce("lower", "prior_count").alias("prior_count")).union(new))
+            priors = loops.stored(priors.join(old.hint("merge"), key, "left").select(*key, F.coalesce("lower", "prior_count").alias("prior_count")).union(new))
             count += 1
             params = fitted()
         elif o.use_sm and step > o.sm_start and step % 4 == 2:
             tiles, gone = merge(tiles, grid, halo, o, "s" if count % 2 else "w")
             to = gone.select(*key, "target")
-            moved = priors.join(to, key, "left").withColumn("spix", F.coalesce("target", "spix"))
+            moved = priors.join(to.hint("merge"), key, "left").withColumn("spix", F.coalesce("target", "spix"))
             priors = loops.stored(moved.groupBy(*key).agg(F.sum("prior_count").alias("prior_count")))
             params = fitted()
         tiles = loops.stored(moved_borders(tiles, grid, params, halo, o.sigma2, o.potts, o.niters_seg))

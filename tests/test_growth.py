@@ -138,3 +138,20 @@ def test_labels_of_a_stream_are_not_broadcast(spark):
 
     joins = pixel_joins(QUERIES["stream_frames"](spark, "/root/testdata/sf0.001"))
     assert len(joins) >= 2 and not any("Broadcast" in line for line in joins)
+
+
+def test_regions_of_tiles_are_not_broadcast(spark, monkeypatch):
+    """A split and a merge; no step sends a table by region or by frame through the driver."""
+    from tesserae.catalogue.plans import region_colours
+    from tesserae.catalogue.tiled import GRID
+    from tesserae.plans import loops, tiles
+    from tesserae.plans.frame import Options
+    from tesserae.sources.testdata import bands
+
+    plans, kept, px = [], loops.stored, bands(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(loops, "stored", lambda df, *a: plans.append(plan(df)) or kept(df, *a))
+    out = tiles.segment_tiled(px, GRID, Options(sp_size=7, niters=3, sm_start=-1, sigma_app=0.02))
+    last = region_colours(out, px)
+    assert len(pixel_joins(last)) == 1 and "Broadcast" not in pixel_joins(last)[0]
+    assert sum("SortMergeJoin" in p for p in [*plans, plan(out)]) > 5
+    assert not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in [*plans, plan(out)])
