@@ -155,3 +155,10 @@ def test_regions_of_tiles_are_not_broadcast(spark, monkeypatch):
     assert len(pixel_joins(last)) == 1 and "Broadcast" not in pixel_joins(last)[0]
     assert sum("SortMergeJoin" in p for p in [*plans, plan(out)]) > 5
     assert not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in [*plans, plan(out)])
+
+
+def test_labels_of_a_stream_begun_again_are_not_broadcast(spark):
+    from tesserae.catalogue import QUERIES
+
+    joins = pixel_joins(QUERIES["stream_restarted"](spark, "/root/testdata/sf0.001"))
+    assert joins and not any("Broadcast" in line for line in joins)
