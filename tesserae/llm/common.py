@@ -116,8 +116,27 @@ def _lane(eight: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
     return eight[start] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
 
 
-def _blake(data: np.ndarray, start: int, end: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data[start:end], digest_size=8).digest(), "little")
+def _blake(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+#: Hashes of words that a worker has met, forgotten when they are too many.
+_KNOWN: dict[bytes, int] = {}
+_MOST_KNOWN = 1 << 18
+
+
+def _known_blake(words: list[bytes]) -> np.ndarray:
+    """_blake of each word, made once for words that come again and again."""
+    found = list(map(_KNOWN.get, words))
+    new = [k for k, h in enumerate(found) if h is None]
+    if new:
+        made = np.frombuffer(b"".join([hashlib.blake2b(words[k], digest_size=8).digest() for k in new]), "<u8")
+        if len(_KNOWN) + len(new) > _MOST_KNOWN:
+            _KNOWN.clear()
+        for k, h in zip(new, made.tolist(), strict=True):
+            found[k] = h
+        _KNOWN.update((words[k], found[k]) for k in new[:_MOST_KNOWN] if len(words[k]) <= LONG_WORD)
+    return np.array(found, np.uint64)
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -127,7 +146,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     spans can share that quick hash by design; so each is compared with its representative, byte by byte, and hashed by
     itself where they differ.
     """
-    size = end - start
+    size, raw = end - start, data.tobytes()
     if not len(size):
         return np.zeros(0, np.uint64)
     quick, eight = mix(size.astype(np.uint64) * np.uint64(_P)), _lanes(data)
@@ -139,7 +158,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     alone = np.flatnonzero(size > LONG_WORD)
     quick[alone] = np.arange(len(alone), dtype=np.uint64)
     _, first, group = np.unique(quick, return_index=True, return_inverse=True)
-    out = np.fromiter((_blake(data, s, e) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)), np.uint64, len(first))[group]
+    out = _known_blake([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])[group]
     like = first[group]
     same = (size == size[like]) & (size <= LONG_WORD)
     todo, at = np.flatnonzero(same & (size > 0)), 0
@@ -149,7 +168,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         same[todo[~equal]] = False
         todo, at = todo[equal & (left > 8)], at + 8
     for k in np.flatnonzero(~same).tolist():
-        out[k] = _blake(data, start[k], end[k])
+        out[k] = _blake(raw[start[k] : end[k]])
     return out
 
 

@@ -5,8 +5,9 @@ trees a class takes the branches of a few minwise coordinates, which a hash of t
 1/threshold branches on average; a branch is named by the coordinate and the class's minwise token there. Nodes at
 the last level hold classes that share all tokens of their path. Small nodes are compared exhaustively. Of a large
 node every member is first compared with a few pivots; links found that way are contracted to components, and then
-all pairs of members of different components are compared, so no link between components is lost. A pair of sketches
-that the threshold all but excludes is skipped; every link is confirmed on the full sets.
+all pairs of members of different components are compared, so no link between components is lost. Members are laid out
+by the sizes of their sets, and sets too different in size to be linked don't meet. A pair of sketches that the threshold
+all but excludes is skipped; every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, lower_bytes, mix, signed, space_words, stored, text_buffers, word_hashes
@@ -235,11 +236,15 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work(ids: np.ndarray, root: np.ndarray, side: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         open_pairs = (np.bitwise_count((sketch[:, None] ^ sketch[None, :]).view(np.uint64)) <= COORDINATES - LEAST_BITS) & (root[:, None] != root[None, :])
         open_pairs &= np.triu(np.ones_like(open_pairs), 1) if side[0] == 2 else (side[:, None] == 0) & (side[None, :] == 1)
+        size = np.array([len(x) for x in sets])
+        less, more = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+        open_pairs &= (less > 0) & (THRESHOLD[1] * less >= THRESHOLD[0] * more)
         if not open_pairs.any():
             return []
-        size = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(ids)), size)
-        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        values, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = n > 1  # what only one set holds isn't shared
+        owner, column, values = owner[several[column]], (np.cumsum(several) - 1)[column[several[column]]], values[several]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         shared = np.zeros((len(ids), len(ids)), np.float32)
@@ -286,14 +291,22 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def resolve(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between the different roots in each node of placed (node, id, sketch, root), compared in tiles."""
+def resolve(placed: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links between the different roots in each node of placed (node, id, sketch, root), compared in tiles.
+
+    sizes: id, and the least and greatest size (low, high) of its texts' sets. A part of a group holds members that follow
+    each other by size; only parts that have sizes near enough for a link are compared.
+    """
     least = placed.groupBy("node").agg(F.min("id").alias("a"))
     groups = components(placed.join(least, "node").select("a", F.col("id").alias("b")))
-    members = placed.select("id", "sketch", "root").distinct().join(groups, "id").withColumnRenamed("component", "group")
-    parts = members.groupBy("group").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
-    members = stored(members.join(parts, "group").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) AS int)")), "unresolved")
-    rows = members.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    members = placed.select("id", "sketch", "root").distinct().join(groups, "id").withColumnRenamed("component", "group").join(sizes, "id")
+    place = F.row_number().over(Window.partitionBy("group").orderBy("low", "id"))
+    members = stored(members.withColumn("part", F.floor((place - 1) / SIDE).cast("int")), "unresolved")
+    parts = members.groupBy("group", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    near = F.col("p.part").alias("part"), F.col("q.part").alias("other")
+    fit = (THRESHOLD[1] * F.col("p.high") >= THRESHOLD[0] * F.col("q.low")) & (THRESHOLD[1] * F.col("q.high") >= THRESHOLD[0] * F.col("p.low"))
+    met = parts.alias("p").join(parts.alias("q"), (F.col("p.group") == F.col("q.group")) & fit).select(F.col("p.group").alias("group"), *near)
+    rows = members.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id").join(met, ["group", "part"])
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
     rows = rows.select(F.xxhash64("group", low, high).alias("tile"), "id", "root", side.alias("side"), "sketch", "text")
@@ -322,7 +335,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = placed.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("node")
         placed = stored(placed.join(mixed, "node", "left_semi"), "mixed-nodes")
         if not placed.isEmpty():
-            links = stored(links.union(resolve(placed, texts)), "links")
+            sizes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+            links = stored(links.union(resolve(placed, texts, sizes)), "links")
     roots = components(links)
     own = classes.join(roots, "id", "left").select("n_shingles", "p", "q", F.coalesce("component", "id").alias("component_id"))
     shared = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
